@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lodestream.llm.bpe import op7_bpe
 from lodestream.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from lodestream.llm.mixing import OP8_SQL, op8_mixing
 from lodestream.llm.sharding import op10_sharding
@@ -9,6 +10,7 @@ from lodestream.llm.simhash import op9_simhash
 
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op7_bpe": op7_bpe,
     "op8_mixing": op8_mixing,
     "op9_simhash": op9_simhash,
     "op10_sharding": op10_sharding,
