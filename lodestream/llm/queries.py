@@ -6,6 +6,7 @@ from lodestream.llm.bpe import op7_bpe
 from lodestream.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from lodestream.llm.language_id import op6_language_id
 from lodestream.llm.mixing import OP8_SQL, op8_mixing
+from lodestream.llm.quality import op3_quality
 from lodestream.llm.sharding import op10_sharding
 from lodestream.llm.simhash import op9_simhash
 from lodestream.llm.toxicity import op1_toxicity
@@ -13,6 +14,7 @@ from lodestream.llm.toxicity import op1_toxicity
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_quality": op3_quality,
     "op6_language_id": op6_language_id,
     "op7_bpe": op7_bpe,
     "op8_mixing": op8_mixing,
