@@ -1,9 +1,9 @@
 """Exact deduplication by a 128-bit content hash, with a byte comparison inside groups.
 
 Plan: one narrow pass computes (id, code points, MD5 and SHA-256 of the normalised text) and settles it without texts.
-Groups of two and more come from a map-side combined aggregation. Only members of such groups send their text again, and
-there the smallest and the largest text of a group are compared byte for byte; where they differ (a hash collision) the
-group is split by SHA-256. Hot groups are safe: all grouping is partially aggregated, and the join that brings the group
+Groups of two and more come from a map-side combined aggregation. The smallest and the largest text of each group, also
+combined in each task first, are compared byte for byte; where they differ (a hash collision) the group is split by
+SHA-256. Hot groups are safe: all grouping is partially aggregated, and the join that brings the group
 back to the rows has an exchange on either side, so adaptive execution splits a hot hash.
 """
 
@@ -26,12 +26,15 @@ def md5_128(text: Column) -> Column:
     return F.unhex(F.md5(text.cast("binary")))
 
 
-def _collided(df: DataFrame, groups: DataFrame, text_col: str, hashed: Callable[[Column], Column], parts: list[str]) -> DataFrame:
-    """Keys of groups that hold more than one normalised text, from a comparison of the bytes."""
+def _collided(df: DataFrame, text_col: str, hashed: Callable[[Column], Column], parts: list[str]) -> DataFrame:
+    """Keys of groups that hold more than one normalised text, from a comparison of the bytes.
+
+    The smallest and the largest text of a group are found in each task first, so a hot group sends one pair a task.
+    """
     norm = normalised(text_col)
-    texts = df.select(norm.alias("_ls_norm"), hashed(norm).alias("_ls_hash"), F.sha2(norm, 256).alias("_ls_sha") if "_ls_sha" in parts else F.lit(None).cast("string").alias("_ls_sha"))
-    members = texts.join(groups.select(*parts), parts, "left_semi")
-    return members.groupBy(*parts).agg(F.min("_ls_norm").alias("_ls_lo"), F.max("_ls_norm").alias("_ls_hi")).where("_ls_lo != _ls_hi").select(*parts)
+    sha = F.sha2(norm, 256) if "_ls_sha" in parts else F.lit(None).cast("string")
+    texts = df.select(norm.alias("_ls_norm"), hashed(norm).alias("_ls_hash"), sha.alias("_ls_sha"))
+    return texts.groupBy(*parts).agg(F.min("_ls_norm").alias("_ls_lo"), F.max("_ls_norm").alias("_ls_hi")).where("_ls_lo != _ls_hi").select(*parts)
 
 
 def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashed: Callable[[Column], Column] = md5_128) -> DataFrame:
@@ -54,15 +57,14 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return settle(keyed.groupBy(*parts).agg(F.count("*").alias("_ls_size"), best).where("_ls_size > 1"))
 
     groups = grouped(rows, ["_ls_hash"])
-    collided = settle(_collided(df, groups, text_col, hashed, ["_ls_hash"]))
+    collided = settle(_collided(df, text_col, hashed, ["_ls_hash"]))
     parts = ["_ls_hash"]
     if not collided.isEmpty():
         marked = rows.join(collided.withColumn("_ls_split", F.lit(True)), "_ls_hash", "left")
         rows = settle(marked.withColumn("_ls_sub", F.when(F.col("_ls_split"), F.col("_ls_sha")).otherwise("")).drop("_ls_split"))
         parts = ["_ls_hash", "_ls_sub"]
         groups = grouped(rows, parts)
-        both = groups.where("_ls_sub != ''").select("_ls_hash", F.col("_ls_sub").alias("_ls_sha"))
-        if not _collided(df, both, text_col, hashed, ["_ls_hash", "_ls_sha"]).isEmpty():
+        if not _collided(df, text_col, hashed, ["_ls_hash", "_ls_sha"]).isEmpty():
             raise ValueError("two texts agree in the content hash and in SHA-256")
     out = rows.join(groups, parts, "left")
     alone = F.col("_ls_size").isNull()
