@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 #: The white space of all contracts: space and the five ASCII controls from tab to return.
 SPACE_CLASS = r"\x20\x09-\x0D"
@@ -68,22 +69,28 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, per_clas
     for value in (0, 1):
         part = usable.where(F.col("_ls_label") == value).orderBy(order, "_ls_id").limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
-    spark = docs.sparkSession
-    picked = [(r["_ls_id"], r["_ls_label"]) for r in chosen.collect()]
-    if not picked:
+    label = {r["_ls_id"]: r["_ls_label"] for r in chosen.collect()}
+    return [(i, text, label[i]) for i, text in texts_of(docs, list(label), chosen.schema["_ls_id"].dataType, id_col, text_col)]
+
+
+def texts_of(docs: DataFrame, ids: list, id_type: DataType, id_col: str, text_col: str) -> list[tuple[int, str]]:
+    """(id, whole text) of a bounded list of ids, by id; of rows that repeat an id, the smallest text."""
+    if not ids:
         return []
-    ids = spark.createDataFrame(picked, chosen.select("_ls_id", "_ls_label").schema)
-    rows = (
-        docs.select(F.col(f"`{id_col}`").alias("_ls_id"), text_or_empty(text_col).alias("_ls_text"))
-        .join(F.broadcast(ids), "_ls_id")
-        .collect()
-    )
-    found = {}
-    for r in rows:
-        best = found.get(r["_ls_id"])
-        if best is None or r["_ls_text"] < best[0]:
-            found[r["_ls_id"]] = (r["_ls_text"], r["_ls_label"])
-    return [(i, *found[i]) for i in sorted(found)]
+    wanted = docs.sparkSession.createDataFrame([(i,) for i in ids], StructType([StructField("_ls_id", id_type)]))
+    rows = docs.select(F.col(f"`{id_col}`").alias("_ls_id"), text_or_empty(text_col).alias("_ls_text")).join(F.broadcast(wanted), "_ls_id")
+    found: dict = {}
+    for r in rows.collect():
+        if r["_ls_id"] not in found or r["_ls_text"] < found[r["_ls_id"]]:
+            found[r["_ls_id"]] = r["_ls_text"]
+    return [(i, found[i]) for i in sorted(found)]
+
+
+def sampled_texts(docs: DataFrame, rows: int, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[int, str]]:
+    """At most ``rows`` texts with an id, chosen by the hash of the id."""
+    ids = docs.select(F.col(f"`{id_col}`").alias("_ls_id")).where("_ls_id is not null")
+    chosen = ids.orderBy(F.xxhash64(F.lit("sample"), "_ls_id"), "_ls_id").limit(rows)
+    return texts_of(docs, sorted({r["_ls_id"] for r in chosen.collect()}), ids.schema["_ls_id"].dataType, id_col, text_col)
 
 
 def sorted_runs(batches: Iterable[pa.RecordBatch], keys: list[str], rows: int = 20_000) -> Iterator[pa.Table]:

@@ -7,6 +7,7 @@ from lodestream.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from lodestream.llm.language_id import op6_language_id
 from lodestream.llm.mixing import OP8_SQL, op8_mixing
 from lodestream.llm.quality import op3_quality
+from lodestream.llm.secrets import op5_secrets
 from lodestream.llm.sharding import op10_sharding
 from lodestream.llm.simhash import op9_simhash
 from lodestream.llm.toxicity import op1_toxicity
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_quality": op3_quality,
+    "op5_secrets": op5_secrets,
     "op6_language_id": op6_language_id,
     "op7_bpe": op7_bpe,
     "op8_mixing": op8_mixing,
