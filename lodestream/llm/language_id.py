@@ -15,6 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,7 +82,7 @@ def bound(letters: np.ndarray, draw: Letters) -> np.ndarray:
 
 def _slices(batch: pa.RecordBatch, column: int, size: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     start, held = 0, 0
-    for i, n in enumerate(pa.compute.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)):
+    for i, n in enumerate(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)):
         if i > start and (held + n > size or i - start >= 1000):
             yield batch.slice(start, i - start)
             start, held = i, 0
