@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lodestream.llm.bpe import op7_bpe
+from lodestream.llm.embedding_dedup import op4_embedding_dedup
 from lodestream.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from lodestream.llm.language_id import op6_language_id
 from lodestream.llm.mixing import OP8_SQL, op8_mixing
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_quality": op3_quality,
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op5_secrets": op5_secrets,
     "op6_language_id": op6_language_id,
     "op7_bpe": op7_bpe,
