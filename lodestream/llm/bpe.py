@@ -22,6 +22,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -273,7 +274,7 @@ def default_vocabulary() -> str:
 def _slices(batch: pa.RecordBatch, rows: int = 512, size: int = 4_000_000) -> Iterator[tuple[int, int]]:
     """Cut a batch into parts of bounded bytes, so that long texts do not pile up."""
     start, held = 0, 0
-    lengths = pa.compute.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)
+    lengths = pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)
     for i, n in enumerate(lengths):
         if i > start and (i - start >= rows or held + n > size):
             yield start, i
