@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from lodestream.llm.common import held_out, labelled_sample, one_label, read_table, text_or_empty
 
 #: Bounds the labelled rows of either class that are learned from.
-PER_CLASS = 4000
+PER_CLASS = 2000
 NEIGHBOURS = 25
 BLOCK = 32
 SOFT = 0.1
@@ -37,12 +38,19 @@ LEAST_ROWS, LEAST_Z = 5, 6.0
 LEAST_PLACES, LEAST_PLACES_A_ROW = 5, 0.4
 CACHE_WORDS = 400_000
 WORD = re.compile(r"[^\W_]+")
+MARKS = ".,;:!?()[]{}\"'*_-"
+
+
+def words_of(token: str) -> list[str]:
+    """Lower-case words of a run without white space; most runs are one word with some punctuation."""
+    word = token.strip(MARKS).lower()
+    return [word] if word.isalnum() else WORD.findall(word)
 
 
 def terms_of(token: str) -> set[str]:
     """Terms of a run without white space: its words, and the stems that begin them (marked with ``^``)."""
     out = set()
-    for word in WORD.findall(token.lower()):
+    for word in words_of(token):
         out.add(word)
         out.update("^" + word[:n] for n in STEMS if len(word) >= n)
     return out
@@ -54,11 +62,16 @@ class Terms(dict):
     def __init__(self, place: dict[str, int]):
         super().__init__()
         self.place = place
+        # Whatever a term is, its first letters are those of its words: other words need no closer look.
+        self.heads = {t.removeprefix("^")[: STEMS[0]] for t in place}
 
     def __missing__(self, token: str) -> tuple[int, ...]:
         if len(self) > CACHE_WORDS:
             self.clear()
-        found = self[token] = tuple(sorted(self.place[t] for t in terms_of(token) if t in self.place))
+        found = ()
+        if any(w[: STEMS[0]] in self.heads for w in words_of(token)):
+            found = tuple(sorted(self.place[t] for t in terms_of(token) if t in self.place))
+        self[token] = found
         return found
 
     def counts(self, text: str) -> Counter:
@@ -73,15 +86,15 @@ def select_terms(examples: list[tuple[int, str, int]]) -> list[str]:
     """Terms whose share of rows differs between the classes by ``LEAST_Z`` standard errors and more, by name."""
     rows = [Counter(), Counter()]
     total = [0, 0]
-    cache: dict[str, set[str]] = {}
+    cache: dict[str, tuple[str, ...]] = {}
     for _, text, label in examples:
         total[label] += 1
         found = set()
         for token in set(text.split()):
             known = cache.get(token)
             if known is None:
-                known = cache[token] = terms_of(token)
-            found |= known
+                known = cache[token] = tuple(map(sys.intern, terms_of(token)))
+            found.update(known)
         rows[label].update(found)
     if not all(total):
         return []
@@ -96,7 +109,8 @@ def select_terms(examples: list[tuple[int, str, int]]) -> list[str]:
         if error and abs(b / n1 - a / n0) >= LEAST_Z * error:
             kept.append(term)
     places: dict[str, set[int]] = {t: set() for t in kept}
-    hit = {token: found & places.keys() for token, found in cache.items() if not found.isdisjoint(places)}
+    hit = {token: terms for token, found in cache.items() if (terms := [t for t in found if t in places])}
+    del cache
     for _, text, _ in examples:
         tokens = ["", *text.split(), ""]
         for i, token in enumerate(tokens):
