@@ -8,6 +8,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def blank_to_null(c: Column) -> Column:
@@ -100,7 +101,7 @@ def levenshtein_ratio(a: Column, b: Column) -> Column:
     return F.coalesce(1 - F.try_divide(F.levenshtein(x, y), F.greatest(F.length(x), F.length(y))), F.lit(1.0))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def matching_blocks_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio, for which Spark has no function: Arrow batches through the standard library."""
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])

@@ -208,12 +208,15 @@ def page(df: DataFrame, order: Sequence[Column], number: int, size: int = 500, m
     return df.orderBy(*order).offset((max(1, number) - 1) * size).limit(size)
 
 
-def shared_tokens(a: DataFrame, b: DataFrame, a_id: str, b_id: str, a_tokens: Column, b_tokens: Column, least: int = 2) -> DataFrame:
+def shared_tokens(a: DataFrame, b: DataFrame, a_id: str, b_id: str, a_tokens: Column, b_tokens: Column, least: int = 2, same_ids: bool = True) -> DataFrame:
     """For each row of a the row of b that shares most tokens, at least ``least``; ties go to the smaller id.
 
-    Tokens meet in an equi join; pairs are only those that share one.
+    Tokens meet in an equi join; pairs are only those that share one. Give each distinct text once and join its rows back
+    afterwards, or copies multiply. Without ``same_ids`` a row does not meet itself.
     """
     left = a.select(F.col(a_id), F.explode(F.array_distinct(a_tokens)).alias("token"))
     right = b.select(F.col(b_id), F.explode(F.array_distinct(b_tokens)).alias("token"))
-    pairs = left.join(right, "token").groupBy(a_id, b_id).agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+    met = left.join(right, "token")
+    met = met if same_ids else met.where(F.col(a_id) != F.col(b_id))
+    pairs = met.groupBy(a_id, b_id).agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
     return top_within(pairs, [a_id], [F.desc("shared"), F.col(b_id)], 1).drop("place")

@@ -76,7 +76,8 @@ def monthly_report(days: DataFrame, person_col: str) -> DataFrame:
     return days.groupBy(person_col, F.trunc("date", "month").alias("month")).agg(
         F.count("*").alias("days"),
         F.round(F.sum("paired_hours"), 2).alias("total_hours"),
-        F.round(F.avg(F.when(F.col("paired_hours") > 0, F.col("paired_hours"))), 2).alias("mean_hours"),
+        # As decimals the mean is exact, so it rounds alike whatever the order of the rows.
+        F.round(F.avg(F.when(F.col("paired_hours") > 0, F.col("paired_hours").cast("decimal(12,2)"))), 2).cast("double").alias("mean_hours"),
         F.count_if("is_late").alias("late_days"),
         F.count_if("is_full_day").alias("full_days"),
         clock(F.avg(second_of_day(F.col("first_in")))).alias("mean_first_in"),

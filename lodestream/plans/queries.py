@@ -25,7 +25,10 @@ QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 NOW = "2024-01-25 12:00:00"
-now = F.lit(NOW).cast("timestamp_ntz")
+
+
+def now():
+    return F.lit(NOW).cast("timestamp_ntz")
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -57,13 +60,11 @@ def t_join_left(s, d):
     return execute("join", table(s, d, "nation"), {"left_key": "n_nationkey", "right_key": "s_nationkey", "right": "s", "join_type": "left"}, {"s": rich}).select("n_nationkey", "n_name", "s_suppkey")
 
 
-@query("""WITH a AS (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'click' AND user_id % 3 <> 0 GROUP BY 1),
-b AS (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'error' AND user_id % 5 <> 0 GROUP BY 1)
-SELECT coalesce(a.user_id, b.user_id) AS user_id, a.n AS n, b.n AS n_right FROM a FULL JOIN b ON a.user_id = b.user_id""")
+@query("""WITH a AS (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'P' GROUP BY 1), b AS (SELECT o_custkey, count(*) AS n FROM orders WHERE o_totalprice > 400000 GROUP BY 1)
+SELECT coalesce(a.o_custkey, b.o_custkey) AS o_custkey, a.n AS n, b.n AS n_right FROM a FULL JOIN b ON a.o_custkey = b.o_custkey""")
 def t_join_outer(s, d):
-    e = table(s, d, "events")
-    side = lambda kind, k: e.where((F.col("event_type") == kind) & (F.col("user_id") % k != 0)).groupBy("user_id").agg(F.count("*").alias("n"))
-    return execute("join", side("click", 3), {"left_key": "user_id", "right": "b", "join_type": "outer"}, {"b": side("error", 5)})
+    side = lambda kept: table(s, d, "orders").where(kept).groupBy("o_custkey").agg(F.count("*").alias("n"))
+    return execute("join", side("o_orderstatus = 'P'"), {"left_key": "o_custkey", "right": "b", "join_type": "outer"}, {"b": side("o_totalprice > 400000")})
 
 
 @query("""SELECT p_partkey, p_name, p_brand, p_size FROM part
@@ -134,10 +135,10 @@ def t_union_rename_select(s, d):
     return execute("union", c, {"inputs": ["p", "absent"]}, {"p": p})
 
 
-@query("SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC NULLS LAST, c_custkey LIMIT 100")
+@query("SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC NULLS LAST, c_custkey")
 def t_sort(s, d):
     df = execute("sort", table(s, d, "customer"), {"sort_by": [{"column": "c_acctbal", "ascending": False}, {"column": "c_custkey"}]})
-    return df.select("c_custkey", "c_acctbal").limit(100)
+    return df.select("c_custkey", "c_acctbal")
 
 
 @query()
@@ -179,9 +180,9 @@ _period("month", "CAST(date_trunc('month', ts) AS DATE)", "strftime(b, '%b %Y')"
 _period("quarter", "CAST(date_trunc('quarter', ts) AS DATE)", "'Q' || quarter(b) || ' ' || year(b)")
 
 
-@query("""SELECT event_type, count(*) AS n, count(DISTINCT user_id) FILTER (value > 50) AS big_users, round(avg(value) FILTER (user_id % 2 = 0), 4) AS even_mean, round(count(*) * 100.0 / sum(count(*)) OVER (), 2) AS pct FROM events GROUP BY 1""")
+@query("""SELECT event_type, count(*) AS n, count(DISTINCT user_id) FILTER (value > 50) AS big_users, round(avg(value) FILTER (value < 50), 4) AS low_mean, round(count(*) * 100.0 / sum(count(*)) OVER (), 2) AS pct FROM events GROUP BY 1""")
 def filtered_distinct(s, d):
-    out = table(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct(F.when(F.col("value") > 50, F.col("user_id"))).alias("big_users"), r(F.avg(F.when(F.col("user_id") % 2 == 0, F.col("value")))).alias("even_mean"))
+    out = table(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct(F.when(F.col("value") > 50, F.col("user_id"))).alias("big_users"), r(F.avg(F.when(F.col("value") < 50, F.col("value")))).alias("low_mean"))
     return out.withColumn("pct", r(numbers.ratio(F.col("n"), F.sum("n").over(W.partitionBy()), 100.0), 2))
 
 
@@ -348,21 +349,29 @@ def visible_to_team(s, d):
     return analytics.visible_rows(table(s, d, "events"), "team", "", "user_id", team).select("event_id")
 
 
-@query("""WITH x AS (SELECT p_partkey, unnest(list_distinct(string_split(lower(p_name), ' '))) AS token FROM part WHERE p_partkey < 500), y AS (SELECT p_partkey + 100000 AS q, unnest(list_distinct(string_split(lower(p_name), ' '))) AS token FROM part WHERE p_partkey BETWEEN 500 AND 560),
-z AS (SELECT p_partkey, q, count(*) AS shared FROM x JOIN y USING (token) GROUP BY 1, 2 HAVING count(*) >= 2) SELECT p_partkey, q, shared FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY shared DESC, q) AS k FROM z) WHERE k = 1""")
+NAMES_SQL = "n AS (SELECT p_name, min(p_partkey) AS k FROM part GROUP BY 1)"
+
+
+def names(s, d):
+    """Each distinct part name with its smallest id: texts meet as classes, and their rows join back."""
+    return table(s, d, "part").groupBy("p_name").agg(F.min("p_partkey").alias("k"))
+
+
+@query(f"""WITH {NAMES_SQL}, t AS (SELECT k, unnest(list_distinct(string_split(lower(p_name), ' '))) AS token FROM n), z AS (SELECT a.k AS k, b.k AS q, count(*) AS shared FROM t a JOIN t b ON a.token = b.token AND a.k <> b.k GROUP BY 1, 2)
+SELECT p_partkey, q, shared FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY shared DESC, q) AS place FROM z) m JOIN n USING (k) JOIN part USING (p_name) WHERE place = 1""")
 def token_overlap(s, d):
-    p = table(s, d, "part")
-    a, b = p.where("p_partkey < 500"), p.where("p_partkey between 500 and 560").select((F.col("p_partkey") + 100000).alias("q"), F.col("p_name").alias("other"))
-    return analytics.shared_tokens(a, b, "p_partkey", "q", text.name_tokens(F.col("p_name")), text.name_tokens(F.col("other")))
+    a, b = names(s, d), names(s, d).select(F.col("k").alias("q"), F.col("p_name").alias("other"))
+    found = analytics.shared_tokens(a, b, "k", "q", text.name_tokens(F.col("p_name")), text.name_tokens(F.col("other")), least=1, same_ids=False)
+    return table(s, d, "part").join(a, "p_name").join(found, "k").select("p_partkey", "q", "shared")
 
 
 # --- windows ----------------------------------------------------------------------------------------------------------
 
 
-@query("""WITH t AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1) SELECT user_id, n, rank FROM (SELECT *, row_number() OVER (ORDER BY n DESC, user_id) AS rank FROM t) WHERE n >= 20 AND user_id % 2 = 0""")
+@query("""WITH t AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1) SELECT user_id, n, rank FROM (SELECT *, row_number() OVER (ORDER BY n DESC, user_id) AS rank FROM t) WHERE n >= 60""")
 def rank_then_filter(s, d):
     counted = table(s, d, "events").groupBy("user_id").agg(F.count("*").alias("n"))
-    return analytics.ranked_then_filtered(counted, [F.desc("n"), F.col("user_id")], (F.col("n") >= 20) & (F.col("user_id") % 2 == 0))
+    return analytics.ranked_then_filtered(counted, [F.desc("n"), F.col("user_id")], F.col("n") >= 60)
 
 
 @query("""SELECT s_suppkey, round(coalesce((s_acctbal - min(s_acctbal) OVER ()) / nullif(max(s_acctbal) OVER () - min(s_acctbal) OVER (), 0) * 100, 50), 4) AS score FROM supplier""")
@@ -425,7 +434,7 @@ def attendance_months(s, d):
 @query(f"""WITH {PUNCHES_SQL}, w AS (SELECT * FROM p WHERE ts > TIMESTAMP '{NOW}' - INTERVAL 20 HOUR AND ts <= TIMESTAMP '{NOW}')
 SELECT user_id, CASE WHEN arg_max(kind, (ts, event_id)) = 'IN' THEN 'present' ELSE 'left' END AS status, max(ts) AS since FROM w GROUP BY 1""")
 def live_status(s, d):
-    return intervals.live_status(punches(s, d), "user_id", "ts", "kind", "event_id", now).drop("is_late")
+    return intervals.live_status(punches(s, d), "user_id", "ts", "kind", "event_id", now()).drop("is_late")
 
 
 @query(f"""WITH {PAIRED_SQL} SELECT user_id, round(sum(paired_hours) FILTER (day(date) = 1), 2) AS d01, round(sum(paired_hours) FILTER (day(date) = 15), 2) AS d15, round(sum(paired_hours), 2) AS total FROM days WHERE date_trunc('month', date) = DATE '2024-01-01' GROUP BY 1""")
@@ -439,10 +448,10 @@ def merged_codes(s, d):
     return intervals.merged_codes(day_summaries(s, d), code).drop("detail")
 
 
-@query(f"""WITH {PUNCHES_SQL}, b AS (SELECT DISTINCT user_id, date FROM p WHERE event_id % 97 = 0) SELECT p.user_id, p.event_id FROM p JOIN b USING (user_id, date)""")
+@query(f"""WITH {PUNCHES_SQL}, b AS (SELECT DISTINCT user_id, date FROM p WHERE ts >= TIMESTAMP '2024-01-25 00:00:00') SELECT p.user_id, p.event_id FROM p JOIN b USING (user_id, date)""")
 def touched_days(s, d):
     p = punches(s, d)
-    return intervals.touched_days(p, p.where("event_id % 97 = 0"), "user_id", "ts").select("user_id", "event_id")
+    return intervals.touched_days(p, p.where("ts >= timestamp_ntz'2024-01-25 00:00:00'"), "user_id", "ts").select("user_id", "event_id")
 
 
 @query("""WITH q AS (SELECT o_custkey, o_orderkey, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate AS DATE) + 10 AS b FROM orders), x AS (SELECT o_custkey, o_orderkey, CAST(unnest(generate_series(greatest(a, DATE '1997-05-01'), least(b, DATE '1997-05-31'), INTERVAL 1 DAY)) AS DATE) AS date FROM q WHERE a <= DATE '1997-05-31' AND b >= DATE '1997-05-01')
@@ -460,15 +469,22 @@ def weekdays(s, d):
 
 # --- reconciliation ---------------------------------------------------------------------------------------------------
 
-DIFF_SQL = """a AS (SELECT upper(trim(p_name)) AS key, arg_max(p_brand, p_partkey) AS b, arg_max(p_size, p_partkey) AS z FROM part WHERE p_partkey < 60 GROUP BY 1),
-c AS (SELECT upper(trim(p_name)) AS key, arg_max(p_brand, p_partkey) AS b, arg_max(p_size, p_partkey) AS z FROM part WHERE p_partkey BETWEEN 40 AND 110 GROUP BY 1)"""
+NEW_SQL = "n AS (SELECT c_name, CASE WHEN c_acctbal > 9000 THEN 'REVIEW' ELSE c_mktsegment END AS c_mktsegment, c_nationkey, c_custkey FROM customer WHERE c_acctbal >= 0 UNION ALL SELECT s_name, 'NEW', s_nationkey, s_suppkey FROM supplier)"
+DIFF_SQL = f"""{NEW_SQL}, a AS (SELECT upper(trim(c_name)) AS key, arg_max(c_mktsegment, c_custkey) AS b, arg_max(c_nationkey, c_custkey) AS z FROM customer GROUP BY 1), c AS (SELECT upper(trim(c_name)) AS key, arg_max(c_mktsegment, c_custkey) AS b, arg_max(c_nationkey, c_custkey) AS z FROM n GROUP BY 1)"""
+
+
+def new_customers(s, d):
+    """The customer list of a later day: some are gone, some changed, and all suppliers have come in."""
+    c = table(s, d, "customer").where("c_acctbal >= 0")
+    changed = F.when(F.col("c_acctbal") > 9000, "REVIEW").otherwise(F.col("c_mktsegment"))
+    came = table(s, d, "supplier").select(F.col("s_name").alias("c_name"), F.lit("NEW").alias("c_mktsegment"), F.col("s_nationkey").alias("c_nationkey"), F.col("s_suppkey").alias("c_custkey"))
+    return c.select("c_name", changed.alias("c_mktsegment"), "c_nationkey", "c_custkey").unionByName(came)
 
 
 @query(f"""WITH {DIFF_SQL} SELECT coalesce(a.key, c.key) AS key, CASE WHEN a.key IS NULL THEN 'added' WHEN c.key IS NULL THEN 'removed' WHEN a.b IS DISTINCT FROM c.b OR a.z IS DISTINCT FROM c.z THEN 'modified' ELSE 'unchanged' END AS status,
-CASE WHEN a.key IS NULL OR c.key IS NULL THEN '' ELSE concat_ws(';', CASE WHEN a.b IS DISTINCT FROM c.b THEN 'p_brand:' || a.b || '>' || c.b END, CASE WHEN a.z IS DISTINCT FROM c.z THEN 'p_size:' || a.z || '>' || c.z END) END AS changes FROM a FULL JOIN c ON a.key = c.key""")
+CASE WHEN a.key IS NULL OR c.key IS NULL THEN '' ELSE concat_ws(';', CASE WHEN a.b IS DISTINCT FROM c.b THEN 'c_mktsegment:' || a.b || '>' || c.b END, CASE WHEN a.z IS DISTINCT FROM c.z THEN 'c_nationkey:' || a.z || '>' || c.z END) END AS changes FROM a FULL JOIN c ON a.key = c.key""")
 def keyed_diff(s, d):
-    p = table(s, d, "part")
-    out = reconcile.keyed_diff(p.where("p_partkey < 60"), p.where("p_partkey between 40 and 110"), "p_name", ["p_brand", "p_size"], "p_partkey")
+    out = reconcile.keyed_diff(table(s, d, "customer"), new_customers(s, d), "c_name", ["c_mktsegment", "c_nationkey"], "c_custkey")
     shown = F.array_join(F.transform("changes", lambda x: F.concat(x["field"], F.lit(":"), x["old"], F.lit(">"), x["new"])), ";")
     return out.select("key", "status", shown.alias("changes"))
 
@@ -480,12 +496,11 @@ def positional_diff(s, d):
     return reconcile.positional_diff(n, n, "n_nationkey", "n_name", ["n_name"], "n_regionkey")
 
 
-@query("""WITH a AS (SELECT regexp_replace(upper(p_name), '[^A-Z0-9]', '', 'g') AS key, arg_min(p_type, p_partkey) AS t FROM part WHERE p_partkey < 60 GROUP BY 1), b AS (SELECT regexp_replace(upper(p_name), '[^A-Z0-9]', '', 'g') AS key, arg_min(p_type, p_partkey) AS t FROM part WHERE p_partkey BETWEEN 50 AND 100 GROUP BY 1)
+@query(f"""WITH {NEW_SQL}, a AS (SELECT regexp_replace(upper(c_name), '[^A-Z0-9]', '', 'g') AS key, arg_min(c_mktsegment, c_custkey) AS t FROM customer GROUP BY 1), b AS (SELECT regexp_replace(upper(c_name), '[^A-Z0-9]', '', 'g') AS key, arg_min(c_mktsegment, c_custkey) AS t FROM n GROUP BY 1)
 SELECT coalesce(a.key, b.key) AS key, CASE WHEN b.key IS NULL THEN 'missing' WHEN a.key IS NULL THEN 'extra' WHEN a.t = b.t THEN 'matched' ELSE 'mismatch' END AS status,
 CASE WHEN a.key IS NOT NULL AND b.key IS NOT NULL THEN round(1 - levenshtein(lower(a.t), lower(b.t)) / greatest(length(a.t), length(b.t)), 4) END AS similarity FROM a FULL JOIN b ON a.key = b.key""")
 def compared_lists(s, d):
-    p = table(s, d, "part")
-    return reconcile.compare_lists(p.where("p_partkey < 60"), p.where("p_partkey between 50 and 100"), text.tag_key(F.col("p_name")), {"p_type": 1.0}, "p_partkey").drop("severity")
+    return reconcile.compare_lists(table(s, d, "customer"), new_customers(s, d), text.tag_key(F.col("c_name")), {"c_mktsegment": 1.0}, "c_custkey").drop("severity")
 
 
 @query("""WITH a AS (SELECT l_orderkey, round(sum(l_quantity), 2) AS q, round(sum(l_tax), 2) AS t FROM lineitem WHERE l_linenumber <= 4 GROUP BY 1), b AS (SELECT l_orderkey, round(sum(l_quantity), 2) AS q, round(sum(l_tax), 2) AS t FROM lineitem WHERE l_linenumber >= 2 GROUP BY 1)
@@ -504,33 +519,46 @@ def budget_variance(s, d):
     return reconcile.budget_variance(o.where(F.year("o_orderdate") == 1997), o.where(F.year("o_orderdate") == 1998), ["o_orderpriority"], "o_totalprice")
 
 
-@query("""WITH a AS (SELECT p_partkey AS left_id, p_name AS x, p_type AS k FROM part WHERE p_partkey < 300), b AS (SELECT p_partkey AS right_id, p_name AS y, p_type AS k FROM part WHERE p_partkey BETWEEN 300 AND 600),
-z AS (SELECT left_id, right_id, 1 - levenshtein(lower(trim(x)), lower(trim(y))) / greatest(length(trim(x)), length(trim(y))) AS score FROM a JOIN b USING (k))
-SELECT left_id, right_id, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY score DESC, right_id) AS n FROM z WHERE score >= 0.8) WHERE n = 1""")
+def catalogue(s, d):
+    """Each name of each block (type or brand) once, with its smallest id, and the same names as another hand spells them."""
+    part = table(s, d, "part")
+
+    def sides(block: str):
+        a = part.groupBy(block, "p_name").agg(F.min("p_partkey").alias("k"))
+        return a, a.select(F.col("k").alias("q"), F.translate("p_name", "i", "e").alias("n"), F.col(block).alias("b"))
+
+    return part, sides
+
+
+@query("""WITH n AS (SELECT p_type, p_name, min(p_partkey) AS k FROM part GROUP BY 1, 2),
+z AS (SELECT a.k AS k, b.k AS right_id, 1 - levenshtein(lower(trim(a.p_name)), lower(trim(translate(b.p_name, 'i', 'e')))) / greatest(length(trim(a.p_name)), length(trim(b.p_name))) AS score FROM n a JOIN n b USING (p_type)),
+m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, right_id) AS place FROM z WHERE score >= 0.8) WHERE place = 1)
+SELECT p_partkey, right_id, round(score, 4) AS score FROM part JOIN n USING (p_type, p_name) JOIN m USING (k)""")
 def fuzzy_match(s, d):
-    p = table(s, d, "part")
-    return reconcile.best_fuzzy_match(p.where("p_partkey < 300"), p.where("p_partkey between 300 and 600").select(F.col("p_partkey").alias("q"), F.col("p_name").alias("n"), F.col("p_type").alias("t")), "p_partkey", "q", "p_name", "n", (F.col("p_type"), F.col("t")))
+    part, sides = catalogue(s, d)
+    a, b = sides("p_type")
+    found = reconcile.best_fuzzy_match(a, b, "k", "q", "p_name", "n", (F.col("p_type"), F.col("b")))
+    return part.join(a, ["p_type", "p_name"]).join(found, F.col("k") == F.col("left_id")).select("p_partkey", "right_id", "score")
 
 
 @query()
 def greedy_pairs(s, d):
-    p = table(s, d, "part")
-    b = p.where("p_partkey between 100 and 200").select(F.col("p_partkey").alias("q"), F.col("p_name").alias("n"), F.col("p_brand").alias("b"))
-    return reconcile.greedy_pairs(p.where("p_partkey < 100"), b, "p_partkey", "q", "p_name", "n", (F.col("p_brand"), F.col("b")), 0.6)
+    _, sides = catalogue(s, d)
+    a, b = sides("p_brand")
+    return reconcile.greedy_pairs(a, b, "k", "q", "p_name", "n", (F.col("p_brand"), F.col("b")), 0.6)
 
 
 @query()
 def fuzzy_dedup(s, d):
-    p = table(s, d, "part").where("p_partkey < 400")
-    return reconcile.fuzzy_dedup(p, "p_partkey", F.concat_ws("|", text.name_key(F.col("p_name")), "p_brand"), "p_name", F.col("p_brand"), F.col("p_size")).select("p_partkey", "p_name", "p_brand")
+    return reconcile.fuzzy_dedup(table(s, d, "part"), "p_partkey", F.concat_ws("|", text.name_key(F.col("p_name")), "p_brand"), "p_name", F.col("p_brand"), F.col("p_size")).select("p_partkey", "p_name", "p_brand")
 
 
-@query("""WITH c AS (SELECT c_custkey, lower(trim(c_name)) AS n, CAST(c_nationkey AS VARCHAR) AS k FROM customer WHERE c_custkey < 200), s AS (SELECT s_suppkey, replace(lower(s_name), 'supplier', 'customer') AS n, CAST(s_nationkey AS VARCHAR) AS k FROM supplier),
+@query("""WITH c AS (SELECT c_custkey, lower(trim(c_name)) AS n, CAST(c_nationkey AS VARCHAR) AS k FROM customer), s AS (SELECT s_suppkey, replace(lower(s_name), 'supplier', 'customer') AS n, CAST(s_nationkey AS VARCHAR) AS k FROM supplier),
 a AS (SELECT c_custkey AS left_id, min(s_suppkey) AS right_id, 'name' AS matched_by FROM c JOIN s USING (n) GROUP BY 1), b AS (SELECT c_custkey AS left_id, min(s_suppkey) AS right_id, 'nation' AS matched_by FROM c JOIN s USING (k) WHERE c_custkey NOT IN (SELECT left_id FROM a) GROUP BY 1)
 SELECT * FROM a UNION ALL SELECT * FROM b""")
 def cascade_match(s, d):
     exact = [("name", F.lower(F.trim("c_name")), F.replace(F.lower("s_name"), F.lit("supplier"), F.lit("customer"))), ("nation", F.col("c_nationkey").cast("string"), F.col("s_nationkey").cast("string"))]
-    return reconcile.cascade_match(table(s, d, "customer").where("c_custkey < 200"), table(s, d, "supplier"), "c_custkey", "s_suppkey", exact)
+    return reconcile.cascade_match(table(s, d, "customer"), table(s, d, "supplier"), "c_custkey", "s_suppkey", exact)
 
 
 @query("""SELECT a.turn, a.conv_id, CASE WHEN trim(a.role) = '' THEN 0 ELSE round(greatest(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), CASE WHEN contains(p, q) OR contains(q, p) THEN 0.7 ELSE 0 END) * 100, 2) END AS similarity
@@ -558,19 +586,20 @@ def column_completeness(s, d):
     return quality.column_completeness(docs, {"lang": 2, "source": 1})
 
 
-RULES = [quality.pattern("p_brand", r"^Brand#\d$"), quality.within("p_size", 1, 45), quality.required("p_name"), quality.ordered("p_size", "p_retailprice")]
+def rules():
+    return [quality.pattern("p_brand", r"^Brand#\d$"), quality.within("p_size", 1, 45), quality.required("p_name"), quality.ordered("p_size", "p_retailprice")]
 
 
 @query("""SELECT p_partkey, 'pattern' AS rule, 'p_brand' AS column, 'warning' AS severity FROM part WHERE NOT regexp_matches(p_brand, '^Brand#[0-9]$') UNION ALL SELECT p_partkey, 'range', 'p_size', 'error' FROM part WHERE p_size NOT BETWEEN 1 AND 45""")
 def rule_findings(s, d):
-    return quality.findings(table(s, d, "part"), "p_partkey", RULES)
+    return quality.findings(table(s, d, "part"), "p_partkey", rules())
 
 
 @query("""SELECT 'pattern:p_brand' AS rule, count(*) FILTER (NOT regexp_matches(p_brand, '^Brand#[0-9]$')) AS broken, round(100.0 * count(*) FILTER (regexp_matches(p_brand, '^Brand#[0-9]$')) / count(*), 2) AS good_pct FROM part
 UNION ALL SELECT 'range:p_size', count(*) FILTER (p_size NOT BETWEEN 1 AND 45), round(100.0 * count(*) FILTER (p_size BETWEEN 1 AND 45) / count(*), 2) FROM part
 UNION ALL SELECT 'required:p_name', 0, 100.0 UNION ALL SELECT 'order:p_size<=p_retailprice', 0, 100.0""")
 def rule_summary(s, d):
-    return quality.rule_summary(table(s, d, "part"), RULES)
+    return quality.rule_summary(table(s, d, "part"), rules())
 
 
 @query("""SELECT p_name, count(DISTINCT p_brand) AS n_values FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) > 1""")
@@ -626,42 +655,59 @@ def vector_top_k(s, d):
 
 # --- graphs -----------------------------------------------------------------------------------------------------------
 
-EDGES_SQL = "e AS (SELECT o_custkey AS src, o_custkey + 1 + o_orderkey % 7 AS dst FROM orders WHERE o_orderkey % 11 = 0)"
+EDGES_SQL = """v AS (SELECT 'r' || r_regionkey AS id, DATE '1990-01-01' AS finish FROM region UNION ALL SELECT 'n' || n_nationkey, DATE '1990-01-01' FROM nation UNION ALL SELECT 'c' || c_custkey, DATE '1990-01-01' FROM customer UNION ALL SELECT 'o' || o_orderkey, CAST(o_orderdate AS DATE) FROM orders),
+e AS (SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer WHERE c_acctbal > 0 UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders WHERE o_totalprice > 250000 UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier)"""
+
+
+def _id(kind: str, column: str):
+    return F.concat(F.lit(kind), F.col(column).cast("string"))
 
 
 def edges(s, d):
-    return table(s, d, "orders").where("o_orderkey % 11 = 0").select(F.col("o_custkey").alias("src"), (F.col("o_custkey") + 1 + F.col("o_orderkey") % 7).alias("dst"))
+    """Region to nation, nation to customer and supplier, customer to large order; suppliers are no vertices."""
+    link = lambda df, a, x, b, y: df.select(_id(a, x).alias("src"), _id(b, y).alias("dst"))
+    large = table(s, d, "orders").where("o_totalprice > 250000")
+    return (
+        link(table(s, d, "nation"), "r", "n_regionkey", "n", "n_nationkey")
+        .unionByName(link(table(s, d, "customer").where("c_acctbal > 0"), "n", "c_nationkey", "c", "c_custkey"))
+        .unionByName(link(large, "c", "o_custkey", "o", "o_orderkey"))
+        .unionByName(link(table(s, d, "supplier"), "n", "s_nationkey", "s", "s_suppkey"))
+    )
 
 
 def vertices(s, d):
-    return table(s, d, "customer").select(F.col("c_custkey").alias("id"))
+    """Regions, nations, customers and orders, with the day on which an order is finished."""
+    early = F.lit("1990-01-01").cast("date").alias("finish")
+    out = table(s, d, "orders").select(_id("o", "o_orderkey").alias("id"), F.to_date("o_orderdate").alias("finish"))
+    for name, kind, key in (("region", "r", "r_regionkey"), ("nation", "n", "n_nationkey"), ("customer", "c", "c_custkey")):
+        out = out.unionByName(table(s, d, name).select(_id(kind, key).alias("id"), early))
+    return out
 
 
-@query(f"WITH {EDGES_SQL} SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT src FROM e) AND c_custkey NOT IN (SELECT dst FROM e)")
+@query(f"WITH {EDGES_SQL} SELECT id FROM v WHERE id NOT IN (SELECT src FROM e) AND id NOT IN (SELECT dst FROM e)")
 def isolated_nodes(s, d):
-    return graph.isolated(vertices(s, d), edges(s, d))
+    return graph.isolated(vertices(s, d), edges(s, d)).select("id")
 
 
-@query(f"WITH {EDGES_SQL} SELECT src, dst FROM e WHERE src IN (SELECT c_custkey FROM customer) AND dst IN (SELECT c_custkey FROM customer)")
+@query(f"WITH {EDGES_SQL} SELECT src, dst FROM e WHERE src IN (SELECT id FROM v) AND dst IN (SELECT id FROM v)")
 def valid_edges(s, d):
     return graph.valid_edges(vertices(s, d), edges(s, d)).select("src", "dst")
 
 
-@query(f"""WITH RECURSIVE {EDGES_SQL}, t(origin, id) AS (SELECT c_custkey, c_custkey FROM customer WHERE c_custkey < 5 UNION SELECT origin, dst FROM t JOIN e ON id = src) SELECT origin, id FROM t""")
+@query(f"""WITH RECURSIVE {EDGES_SQL}, t(origin, id) AS (SELECT 'r' || r_regionkey, 'r' || r_regionkey FROM region UNION SELECT origin, dst FROM t JOIN e ON id = src) SELECT origin, id FROM t""")
 def reachability(s, d):
-    return graph.reachable(edges(s, d), vertices(s, d).where("id < 5"))
+    return graph.reachable(edges(s, d), table(s, d, "region").select(_id("r", "r_regionkey").alias("id")))
 
 
-@query(f"""WITH RECURSIVE {EDGES_SQL}, f AS (SELECT DISTINCT src, dst FROM e WHERE dst IN (SELECT c_custkey FROM customer)), t(id, layer) AS (SELECT c_custkey, 0 FROM customer UNION SELECT dst, layer + 1 FROM t JOIN f ON id = src) SELECT id, CAST(max(layer) AS INTEGER) AS layer FROM t GROUP BY 1""")
+@query(f"""WITH RECURSIVE {EDGES_SQL}, f AS (SELECT DISTINCT src, dst FROM e WHERE dst IN (SELECT id FROM v)), t(id, layer) AS (SELECT id, 0 FROM v UNION SELECT dst, layer + 1 FROM t JOIN f ON id = src) SELECT id, CAST(max(layer) AS INTEGER) AS layer FROM t GROUP BY 1""")
 def topological_layers(s, d):
     return graph.layers(vertices(s, d), edges(s, d))
 
 
-@query(f"""WITH RECURSIVE {EDGES_SQL}, f AS (SELECT DISTINCT src, dst FROM e), a AS (SELECT c_custkey AS id, DATE '2024-01-01' + CAST(c_custkey * 7 % 90 AS INTEGER) AS finish FROM customer), t(id, r) AS (SELECT id, id FROM a UNION SELECT t.id, dst FROM t JOIN f ON r = src)
-SELECT t.id, max(finish) AS reach FROM t JOIN a ON r = a.id GROUP BY 1""")
+@query(f"""WITH RECURSIVE {EDGES_SQL}, t(id, r) AS (SELECT id, id FROM v UNION SELECT t.id, dst FROM t JOIN e ON r = src) SELECT t.id AS id, max(finish) AS reach FROM t JOIN v ON r = v.id GROUP BY 1""")
 def latest_finish(s, d):
-    a = table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("c_custkey") * 7 % 90).cast("int")).alias("finish"))
-    return graph.total_float(a, edges(s, d).join(vertices(s, d).select(F.col("id").alias("dst")), "dst", "left_semi")).select("id", "reach")
+    v = vertices(s, d)
+    return graph.total_float(v, edges(s, d).join(v.select(F.col("id").alias("dst")), "dst", "left_semi")).select("id", "reach")
 
 
 # --- scores and formulas ----------------------------------------------------------------------------------------------
@@ -703,8 +749,8 @@ def champion_scores(s, d):
 
 @query(f"""WITH l AS (SELECT c_custkey, max(ts) AS t FROM customer LEFT JOIN events ON c_custkey = user_id AND event_type = 'signup' AND ts < TIMESTAMP '{NOW}' GROUP BY 1) SELECT c_custkey, CASE WHEN t IS NULL THEN 'inactive' WHEN date_diff('day', CAST(t AS DATE), DATE '2024-01-25') <= 7 THEN 'active' WHEN date_diff('day', CAST(t AS DATE), DATE '2024-01-25') <= 30 THEN 'recent' ELSE 'dormant' END AS status FROM l""")
 def user_status(s, d):
-    last = table(s, d, "events").where((F.col("event_type") == "signup") & (F.col("ts") < now)).groupBy("user_id").agg(F.max("ts").alias("t"))
-    return table(s, d, "customer").join(last, F.col("c_custkey") == F.col("user_id"), "left").select("c_custkey", scoring.user_status(F.to_date("t"), F.to_date(now)).alias("status"))
+    last = table(s, d, "events").where((F.col("event_type") == "signup") & (F.col("ts") < now())).groupBy("user_id").agg(F.max("ts").alias("t"))
+    return table(s, d, "customer").join(last, F.col("c_custkey") == F.col("user_id"), "left").select("c_custkey", scoring.user_status(F.to_date("t"), F.to_date(now())).alias("status"))
 
 
 @query("""WITH x AS (SELECT p_partkey, p_size * 4.403 * sqrt((p_retailprice / 1000) / (2.5 * 14.504)) AS cv, p_retailprice * 9.81 * p_size * 12 / (0.75 * 3600) AS power, p_size * 4.18 * 25 / 3600 AS duty, (p_size / 10 * 500 / 2) / (138 * 0.85 - (p_size / 10) * 0.6) + 3 AS wall FROM part)
@@ -737,19 +783,19 @@ def keyword_frequency(s, d):
 # --- upserts and streams ----------------------------------------------------------------------------------------------
 
 
-@query("""WITH cur AS (SELECT event_id, user_id, value FROM events WHERE event_id % 3 <> 0), b AS (SELECT event_id, max(user_id + 1) AS user_id, max(value + 1) AS value FROM events WHERE event_id % 2 = 0 GROUP BY 1) SELECT * FROM cur WHERE event_id NOT IN (SELECT event_id FROM b) UNION ALL SELECT * FROM b""")
+@query("""WITH cur AS (SELECT event_id, user_id, value FROM events WHERE event_type <> 'signup'), b AS (SELECT event_id, max(user_id + 1) AS user_id, max(value + 1) AS value FROM events WHERE value > 50 GROUP BY 1) SELECT * FROM cur WHERE event_id NOT IN (SELECT event_id FROM b) UNION ALL SELECT * FROM b""")
 def upserted(s, d):
-    e = table(s, d, "events").select("event_id", "user_id", "value")
-    batch = e.where("event_id % 2 = 0").select("event_id", (F.col("user_id") + 1).alias("user_id"), (F.col("value") + 1).alias("value"))
-    return sinks.upserted(e.where("event_id % 3 != 0"), batch, ["event_id"], [F.desc("value")])
+    e = table(s, d, "events")
+    batch = e.where("value > 50").select("event_id", (F.col("user_id") + 1).alias("user_id"), (F.col("value") + 1).alias("value"))
+    return sinks.upserted(e.where("event_type != 'signup'").select("event_id", "user_id", "value"), batch, ["event_id"], [F.desc("value")])
 
 
-@query("""WITH b AS (SELECT event_id // 2 AS k, value FROM events WHERE event_id % 3 = 0) SELECT count(DISTINCT k) FILTER (value >= 5 AND k NOT IN (SELECT event_id FROM events WHERE event_id % 4 = 0)) AS inserted, count(DISTINCT k) FILTER (value >= 5 AND k IN (SELECT event_id FROM events WHERE event_id % 4 = 0)) AS updated,
+@query("""WITH b AS (SELECT event_id // 2 AS k, value FROM events), c AS (SELECT event_id AS k FROM events WHERE event_type = 'click') SELECT count(DISTINCT k) FILTER (value >= 5 AND k NOT IN (FROM c)) AS inserted, count(DISTINCT k) FILTER (value >= 5 AND k IN (FROM c)) AS updated,
 count(*) FILTER (value >= 5) - count(DISTINCT k) FILTER (value >= 5) AS skipped, count(*) FILTER (NOT value >= 5) AS errors FROM b""")
 def upsert_counts(s, d):
     e = table(s, d, "events")
-    batch = e.where("event_id % 3 = 0").select(F.floor(F.col("event_id") / 2).alias("k"), "value")
-    return sinks.upsert_counts(e.where("event_id % 4 = 0").select(F.col("event_id").alias("k")), batch, ["k"], F.col("value") >= 5)
+    batch = e.select(F.floor(F.col("event_id") / 2).alias("k"), "value")
+    return sinks.upsert_counts(e.where("event_type = 'click'").select(F.col("event_id").alias("k")), batch, ["k"], F.col("value") >= 5)
 
 
 @query("""SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2""")
@@ -771,17 +817,15 @@ def user_sessions(s, d):
 @query(f"""SELECT count(*) FILTER (ts > TIMESTAMP '{NOW}' - INTERVAL 1 HOUR) AS events_hour, count(DISTINCT user_id) FILTER (ts > TIMESTAMP '{NOW}' - INTERVAL 1 HOUR) AS users_hour, count(*) FILTER (ts > TIMESTAMP '{NOW}' - INTERVAL 1 HOUR AND event_type = 'error') AS failed_hour,
 count(*) FILTER (ts > TIMESTAMP '{NOW}' - INTERVAL 1 DAY) AS events_day, count(DISTINCT user_id) FILTER (ts > TIMESTAMP '{NOW}' - INTERVAL 1 DAY) AS users_day, count(*) FILTER (ts > TIMESTAMP '{NOW}' - INTERVAL 1 DAY AND event_type = 'error') AS failed_day FROM events WHERE ts <= TIMESTAMP '{NOW}'""")
 def kpi_snapshot(s, d):
-    return jobs.kpi_snapshot(table(s, d, "events"), "ts", now, {"hour": 60, "day": 1440}, "user_id", F.col("event_type") == "error")
+    return jobs.kpi_snapshot(table(s, d, "events"), "ts", now(), {"hour": 60, "day": 1440}, "user_id", F.col("event_type") == "error")
 
 
 @query(f"SELECT event_id FROM events WHERE ts >= TIMESTAMP '{NOW}' - INTERVAL 48 HOUR")
 def incremental_pull(s, d):
-    return readers.incremental(table(s, d, "events"), "ts", now).select("event_id")
+    return readers.incremental(table(s, d, "events"), "ts", now()).select("event_id")
 
 
 @query("""SELECT user_id AS person, ts AS event_time, 'IN' AS event_type FROM events WHERE event_type = 'click' UNION ALL SELECT user_id, ts + INTERVAL 2 HOUR, 'OUT' FROM events WHERE event_type = 'click'""")
 def two_column_source(s, d):
     rows = table(s, d, "events").where("event_type = 'click'").withColumn("out", F.expr("ts + interval 2 hours"))
     return readers.two_column_view(rows, "user_id", "ts", "out", {})
-
-
