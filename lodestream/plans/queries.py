@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestream.functions import dates, numbers, text
-from lodestream.operators import analytics, anomaly, graph, intervals, quality, reconcile, scoring, vectors
+from lodestream.operators import analytics, anomaly, business, graph, intervals, quality, reconcile, scoring, vectors
 from lodestream.operators.transform import execute
 from lodestream.plans.pipeline import Pipeline
 from lodestream.sources import readers, sinks
@@ -780,6 +780,175 @@ def keyword_frequency(s, d):
     return table(s, d, "benchmark").select(words.alias("word")).groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(25)
 
 
+# --- business records -------------------------------------------------------------------------------------------------
+
+
+@query("""WITH a AS (SELECT o_custkey AS k, round(sum(o_totalprice), 2) AS amount FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), b AS (SELECT o_custkey AS k, round(sum(o_totalprice), 2) AS amount, count(*) AS n FROM orders WHERE o_orderstatus = 'P' GROUP BY 1), c AS (SELECT c_custkey AS k, c_mktsegment AS segment FROM customer WHERE c_acctbal > 0)
+SELECT k, coalesce(a.amount, b.amount) AS amount, b.n AS n, c.segment AS segment, concat_ws(',', CASE WHEN a.amount IS NOT NULL THEN 'final' END, CASE WHEN b.n IS NOT NULL THEN 'pending' END, CASE WHEN c.segment IS NOT NULL THEN 'master' END) AS sources FROM a FULL JOIN b USING (k) LEFT JOIN c USING (k)""")
+def three_source_merge(s, d):
+    total = lambda status: table(s, d, "orders").where(F.col("o_orderstatus") == status).groupBy(F.col("o_custkey").alias("k"))
+    amount = r(F.sum("o_totalprice"), 2).alias("amount")
+    master = table(s, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("segment"))
+    out = business.merged_sources({"final": total("F").agg(amount), "pending": total("P").agg(amount, F.count("*").alias("n")), "master": master}, "k", overlays=["master"])
+    return out.withColumn("sources", F.array_join("sources", ","))
+
+
+@query("""WITH c AS (SELECT p_brand, CAST(z AS DOUBLE) AS z, min(p_partkey) AS m FROM (SELECT p_brand, p_partkey, unnest([p_size, p_size + 25]) AS z FROM part WHERE p_type = 'SMALL') GROUP BY 1, 2)
+SELECT p_partkey, m AS matched_p_partkey FROM part LEFT JOIN c ON part.p_brand = c.p_brand AND p_size = z""")
+def catalogue_lookup(s, d):
+    p = table(s, d, "part")
+    catalogue = p.where("p_type = 'SMALL'").withColumn("other", F.col("p_size") + 25)
+    return business.catalogue_match(p.select("p_partkey", "p_brand", "p_size"), catalogue, ["p_brand"], "p_size", ["p_size", "other"], ["p_partkey"], ["p_partkey"]).select("p_partkey", "matched_p_partkey")
+
+
+@query("""WITH w AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(upper(text), '\\b([A-Z]{5,12})\\b', 1))) AS code FROM documents), c AS (SELECT DISTINCT upper(unnest(string_split(p_name || ' ' || p_type, ' '))) AS code FROM part) SELECT doc_id, code FROM w JOIN c USING (code)""")
+def documents_naming_codes(s, d):
+    codes = table(s, d, "part").select(F.explode(F.split(F.concat_ws(" ", "p_name", "p_type"), " ")).alias("c"))
+    return business.rows_naming_codes(table(s, d, "documents").select("doc_id", "text"), "text", codes, "c", r"\b([A-Z]{5,12})\b").select("doc_id", "code")
+
+
+@query("""SELECT o_orderkey AS id, o_orderkey // 2 AS owner FROM orders WHERE o_orderkey // 2 <> o_orderkey AND o_orderkey // 2 IN (SELECT o_orderkey FROM orders)""")
+def order_references(s, d):
+    name = lambda c: F.concat(F.lit("ORD-"), c.cast("string"))
+    notes = table(s, d, "orders").select("o_orderkey", name(F.col("o_orderkey")).alias("tag"), F.concat(name(F.col("o_orderkey")), F.lit(" replaces "), name(F.floor(F.col("o_orderkey") / 2))).alias("note"))
+    return business.back_references(notes, "o_orderkey", "note", "tag", r"(ORD-\d+)").select("id", "owner")
+
+
+@query("""SELECT event_id FROM events a WHERE event_type = 'error' AND NOT EXISTS (SELECT 1 FROM events b WHERE b.event_type = 'error' AND b.user_id = a.user_id AND b.ts < a.ts AND b.ts >= a.ts - INTERVAL 24 HOUR)""")
+def fresh_alerts(s, d):
+    errors = table(s, d, "events").where("event_type = 'error'").select("event_id", "user_id", "ts")
+    return business.without_recent(errors, errors, ["user_id"], "ts", 24).select("event_id")
+
+
+@query("""SELECT 'event_type' AS dimension, event_type AS value, count(*) AS calls, round(sum(value) * 0.033, 2) AS cost FROM events GROUP BY 2 UNION ALL SELECT 'hour', CAST(hour(ts) AS VARCHAR), count(*), round(sum(value) * 0.033, 2) FROM events GROUP BY 2""")
+def cost_breakdown(s, d):
+    return business.by_each(table(s, d, "events").withColumn("hour", F.hour("ts")), ["event_type", "hour"], {"calls": F.count("*"), "cost": r(F.sum("value") * 0.033, 2)})
+
+
+@query("""WITH n AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS i FROM orders)
+SELECT o_custkey, max(o_orderkey) FILTER (i = 1) AS step_1, max(o_orderkey) FILTER (i = 2) AS step_2, max(o_orderkey) FILTER (i = 3) AS step_3, max(o_orderkey) FILTER (i = 4) AS step_4, max(o_orderkey) FILTER (i = 5) AS step_5, max(o_orderkey) FILTER (i = 6) AS step_6, count(*) AS steps, arg_max(o_orderkey, i) AS last FROM n GROUP BY 1""")
+def document_register(s, d):
+    return business.register(table(s, d, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], "o_orderkey")
+
+
+@query("""SELECT coalesce(o_orderpriority, 'TOTAL') AS o_orderpriority, round(sum(o_totalprice) FILTER (o_orderstatus <> 'P'), 2) AS hours, count(*) AS tasks FROM orders GROUP BY ROLLUP (orders.o_orderpriority)""")
+def manhours(s, d):
+    return business.with_total(table(s, d, "orders"), "o_orderpriority", {"hours": r(F.sum(F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice"))), 2), "tasks": F.count("*")})
+
+
+@query("""WITH s AS (SELECT o_custkey AS k, sum(o_totalprice) AS x FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), c AS (SELECT c_custkey AS k, c_acctbal * 100 AS b FROM customer)
+SELECT k, round(b, 2) AS budget, round(coalesce(x, 0), 2) AS spent, round(b - coalesce(x, 0), 2) AS remaining, CASE WHEN coalesce(x, 0) = 0 THEN 0.0 ELSE coalesce(round(x * 100.0 / nullif(b, 0), 2), 0) END AS used_pct, coalesce(x, 0) > b AS over FROM c LEFT JOIN s USING (k)""")
+def budget_utilisation(s, d):
+    budget = table(s, d, "customer").select(F.col("c_custkey").alias("k"), (F.col("c_acctbal") * 100).alias("b"))
+    spent = table(s, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("k"), "o_totalprice")
+    return business.utilisation(budget, spent, ["k"], "b", "o_totalprice")
+
+
+@query("""WITH x AS (SELECT o_custkey, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate AS DATE) + 5 AS b FROM orders), g AS (SELECT *, date_diff('day', b, lead(a) OVER (PARTITION BY o_custkey ORDER BY a, b)) AS gap FROM x)
+SELECT o_custkey, count(*) AS done, round(avg(gap), 2) AS mean_gap, CASE WHEN avg(gap) IS NOT NULL THEN max(b) + CAST(ceil(round(greatest(15 - count(*), 0) * greatest(avg(gap), 0), 6)) AS INTEGER) END AS expected FROM g GROUP BY 1""")
+def completion_dates(s, d):
+    chain = table(s, d, "orders").select("o_custkey", F.to_date("o_orderdate").alias("a"), F.date_add(F.to_date("o_orderdate"), 5).alias("b"))
+    return business.completion_forecast(chain, ["o_custkey"], "a", "b", 15)
+
+
+@query("""SELECT service, round(sum(p_retailprice), 2) AS revenue, count(*) AS rows FROM (SELECT unnest(string_split(p_name, ' ')) AS service, p_retailprice FROM part) GROUP BY 1""")
+def service_revenue(s, d):
+    return business.exploded_revenue(table(s, d, "part").withColumn("words", F.split("p_name", " ")), "words", F.col("p_retailprice"))
+
+
+@query("""WITH x AS (SELECT o_orderpriority AS k, sum(o_totalprice) FILTER (o_orderstatus = 'F') / 12 AS h, sum(o_totalprice) FILTER (o_orderstatus = 'O') / 12 AS p FROM orders GROUP BY 1) SELECT k, round(h * 0.3 + p * 0.7, 2) AS forecast, round((h * 0.3 + p * 0.7) * 0.75, 2) AS low, round((h * 0.3 + p * 0.7) * 1.25, 2) AS high FROM x""")
+def sales_forecasts(s, d):
+    part = lambda status: F.sum(F.when(F.col("o_orderstatus") == status, F.col("o_totalprice"))) / 12
+    x = table(s, d, "orders").groupBy(F.col("o_orderpriority").alias("k")).agg(part("F").alias("h"), part("O").alias("p"))
+    middle, low, high = business.sales_forecast(F.col("h"), F.col("p"))
+    return x.select("k", middle.alias("forecast"), low.alias("low"), high.alias("high"))
+
+
+@query("""WITH n AS (SELECT conv_id AS block, lower(trim(text)) AS t, min(turn) AS id, count(*) AS n FROM conversations WHERE trim(text) <> '' GROUP BY 1, 2),
+w AS (SELECT *, list_filter(list_distinct(regexp_split_to_array(t, '\\s+')), lambda x: x <> '') AS ws FROM n),
+z AS (SELECT a.block, a.id AS left_id, b.id AS right_id, round(greatest(len(list_intersect(a.ws, b.ws)) / len(list_distinct(list_concat(a.ws, b.ws))), CASE WHEN contains(a.t, b.t) OR contains(b.t, a.t) THEN 0.7 ELSE 0 END) * 100, 2) AS similarity FROM w a JOIN w b ON a.block = b.block AND a.id < b.id)
+SELECT block, left_id, right_id, similarity, 'modified' AS link FROM z WHERE similarity >= 20 UNION ALL SELECT block, id, id, 100.0, 'identical' FROM n WHERE n > 1""")
+def comment_links(s, d):
+    return business.linked_texts(table(s, d, "conversations"), "turn", "text", "conv_id", 20.0)
+
+
+@query("""WITH m AS (SELECT p_brand, list_sort(list(p_size))[CAST(floor(count(*) / 2) AS INTEGER) + 1] AS median FROM part GROUP BY 1) SELECT p_partkey, median FROM part JOIN m USING (p_brand) WHERE abs(p_size - median) > 22""")
+def median_outliers(s, d):
+    return business.upper_median_outliers(table(s, d, "part"), ["p_brand"], "p_size", 22).select("p_partkey", "median")
+
+
+@query(f"""WITH {NEW_SQL}, a AS (SELECT c_name AS k, arg_min(c_mktsegment, c_custkey) AS t FROM customer GROUP BY 1), b AS (SELECT c_name AS k, arg_min(c_mktsegment, c_custkey) AS t FROM n GROUP BY 1), x AS (SELECT a.t AS p, b.t AS q FROM a FULL JOIN b USING (k))
+SELECT count(*) FILTER (p = q) AS matched, count(*) FILTER (p <> q) AS mismatch, count(*) FILTER (q IS NULL) AS missing, count(*) FILTER (p IS NULL) AS extra, round(100.0 * count(*) FILTER (p IS NOT NULL AND q IS NOT NULL) / count(*) FILTER (p IS NOT NULL), 2) AS coverage_pct FROM x""")
+def tag_coverage(s, d):
+    return business.coverage(reconcile.compare_lists(table(s, d, "customer"), new_customers(s, d), text.tag_key(F.col("c_name")), {"c_mktsegment": 1.0}, "c_custkey"))
+
+
+@query("""WITH h AS (SELECT p_name, list(DISTINCT p_type) AS h FROM part GROUP BY 1) SELECT p_name, array_to_string(list_sort(list_filter(['ECONOMY', 'LARGE', 'SMALL', 'TINY'], lambda x: NOT list_contains(h, x))), ',') AS missing, array_to_string(list_sort(list_filter(h, lambda x: NOT list_contains(['ECONOMY', 'LARGE', 'SMALL', 'TINY'], x))), ',') AS unexpected FROM h""")
+def type_gaps(s, d):
+    out = business.list_gaps(table(s, d, "part"), "p_name", "p_type", ["ECONOMY", "LARGE", "SMALL", "TINY"])
+    return out.select("p_name", *[F.array_join(c, ",").alias(c) for c in ("missing", "unexpected")])
+
+
+@query("""SELECT c_custkey FROM customer WHERE regexp_matches(lower(c_name), '0[0-4]$') AND lower(c_mktsegment) = 'building' AND starts_with(lower(c_name), 'cust')""")
+def filter_list(s, d):
+    filters = [{"column": "c_name", "op": "regex", "value": "0[0-4]$"}, {"column": "c_mktsegment", "op": "equals", "value": "Building"}, {"column": "c_name", "op": "starts_with", "value": "CUST"}]
+    return business.matched_filters(table(s, d, "customer"), filters).select("c_custkey")
+
+
+@query("""WITH z AS (SELECT s_suppkey, c_custkey, round(least(0.45 + CASE WHEN abs(c_acctbal - s_acctbal) < 100 THEN 0.35 WHEN abs(c_acctbal - s_acctbal) < 1000 THEN 0.2 ELSE 0 END + CASE WHEN c_mktsegment = 'BUILDING' THEN 0.1 ELSE 0 END, 0.99), 4) AS score FROM supplier JOIN customer ON s_nationkey = c_nationkey)
+SELECT s_suppkey, c_custkey, score, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY s_suppkey ORDER BY score DESC, c_custkey) AS place FROM z) WHERE place <= 8""")
+def recommendations(s, d):
+    a = table(s, d, "supplier").withColumn("nation", F.col("s_nationkey"))
+    b = table(s, d, "customer").withColumn("nation", F.col("c_nationkey"))
+    gap = F.abs(F.col("c_acctbal") - F.col("s_acctbal"))
+    likeness = F.when(gap < 100, 0.9).when(gap < 1000, 0.6).otherwise(0.0)
+    score = scoring.recommendation_score(F.lit(True), likeness, F.col("c_mktsegment") == "BUILDING", F.lit(100))
+    return business.recommended(a, b, "nation", "s_suppkey", "c_custkey", score)
+
+
+@query("""SELECT p_partkey, round(p_size * 6894.757293168 / 1e5, 6) AS bar, round((p_size + 459.67) * 5 / 9 - 273.15, 6) AS celsius, CAST(NULL AS DOUBLE) AS wrong, CAST(NULL AS DOUBLE) AS unknown FROM part""")
+def unit_conversions(s, d):
+    v = F.col("p_size").cast("double")
+    to = lambda a, b: F.round(business.converted(v, F.lit(a), F.lit(b)), 6)
+    return table(s, d, "part").select("p_partkey", to("psi", "bar").alias("bar"), to("F", "C").alias("celsius"), to("psi", "m").alias("wrong"), to("furlong", "m").alias("unknown"))
+
+
+@query("""WITH x AS (SELECT c_custkey, CAST(round(c_acctbal * 100) AS BIGINT) AS cents FROM customer), y AS (SELECT *, sign(cents) * ((abs(cents) * 6 + 26) // 52) AS cut FROM x) SELECT c_custkey, cut / 100 AS deduction, (cents - cut) / 100 AS net FROM y""")
+def payroll_lines(s, d):
+    gross = numbers.gross_pay(F.col("c_acctbal"))
+    cut = F.round(gross * 3 / 26, 2).cast("decimal(18,2)")
+    return table(s, d, "customer").select("c_custkey", cut.cast("double").alias("deduction"), (gross - cut).cast("double").alias("net"))
+
+
+@query(f"""WITH {PAIRED_SQL} SELECT user_id, round(sum(paired_hours) FILTER (month(date) = 1), 2) AS m01, round(sum(paired_hours) FILTER (month(date) = 2), 2) AS m02 FROM days WHERE year(date) = 2024 GROUP BY 1""")
+def attendance_year(s, d):
+    return intervals.month_pivot(day_summaries(s, d), "user_id", 2024).select("user_id", "m01", "m02")
+
+
+@query("""WITH w AS (SELECT event_type, value, time_bucket(INTERVAL 5 MINUTE, ts) - INTERVAL (i * 5) MINUTE AS start FROM events, range(0, 3) t(i)) SELECT start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM w GROUP BY 1, 2""")
+def sliding_windows(s, d):
+    return jobs.sliding(table(s, d, "events"), "ts", "15 minutes", "5 minutes", {"n": F.count("*"), "total": r(F.sum("value"), 2)}, keys=["event_type"]).drop("end")
+
+
+@query("""WITH u AS (SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'error') AS f FROM events GROUP BY 1) SELECT user_id, least(100, n * 2) AS engagement, round(f / n, 4) AS risk FROM u""")
+def engagement(s, d):
+    u = table(s, d, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("f"))
+    score, risk = scoring.engagement(F.col("n"), F.col("f"))
+    return u.select("user_id", score.alias("engagement"), risk.alias("risk"))
+
+
+@query("""WITH x AS (SELECT 'c_mktsegment' AS "column", c_mktsegment AS v FROM customer UNION ALL SELECT 'c_name', CASE WHEN c_acctbal > 0 THEN 'Known' END FROM customer), n AS (SELECT "column", v, count(*) AS n FROM x WHERE v IS NOT NULL GROUP BY 1, 2), m AS (SELECT *, n / sum(n) OVER (PARTITION BY "column") AS share, row_number() OVER (PARTITION BY "column" ORDER BY n DESC, v) AS k FROM n),
+b AS (SELECT "column", count(*) FILTER (v IS NULL) AS fillable_rows FROM x GROUP BY 1) SELECT "column", v AS value, n, round(share, 4) AS share, fillable_rows FROM m JOIN b USING ("column") WHERE k = 1 AND share >= 0.6 AND fillable_rows > 0""")
+def backfill_suggestions(s, d):
+    rows = table(s, d, "customer").select("c_mktsegment", F.when(F.col("c_acctbal") > 0, "Known").alias("c_name"))
+    return quality.backfill_plan(rows, ["c_mktsegment", "c_name"])
+
+
+@query(f"""SELECT max(ts) AS newest, round((epoch(TIMESTAMP '{NOW}') - floor(epoch(max(ts)))) / 60, 2) AS age_minutes, (epoch(TIMESTAMP '{NOW}') - floor(epoch(max(ts)))) / 60 > 60 AS stale FROM events WHERE ts <= TIMESTAMP '{NOW}'""")
+def sync_freshness(s, d):
+    return jobs.freshness(table(s, d, "events").where(F.col("ts") <= now()), "ts", now(), 60)
+
+
 # --- upserts and streams ----------------------------------------------------------------------------------------------
 
 
