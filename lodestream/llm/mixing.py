@@ -8,7 +8,7 @@ whole epochs first, then the rows in key order up to the word where the rest is
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -43,20 +43,27 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return held.select("_ls_source", "source_size", "rows", target.alias("target"))
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 42) -> DataFrame:
-    """One row per input row: id, size (words), source_size, target, taken (words that the mix takes, repeats counted).
+def _key(id_col: str, seed: int) -> Column:
+    return F.md5(F.concat_ws("|", F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), F.lit(str(seed))).cast("binary"))
 
-    Null text has size 0; null source is a source of its own, the last. Ties of the key are broken by id, then size, so
-    reruns agree; rows that agree in all three are interchangeable. An empty table gives an empty result, a corpus
-    without words targets of 0. Other columns are not read.
-    """
-    key = F.md5(F.concat_ws("|", F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), F.lit(str(seed))).cast("binary"))
+
+def _words(text_col: str) -> Column:
+    return F.regexp_count(text_or_empty(text_col), F.lit(f"[^{SPACE_CLASS}]+")).cast("long")
+
+
+def _part(source: Column) -> Column:
+    """The source as a key that is never null."""
+    return F.coalesce(F.concat(F.lit("s"), source), F.lit("n"))
+
+
+def _placed(df: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
+    """Every row's place in its source: _ls_start (words before it), and the source's whole epochs and the rest to take."""
     rows = settle(
         df.select(
             F.col(f"`{id_col}`").alias("_ls_id"),
             F.col(f"`{source_col}`").cast("string").alias("_ls_source"),
-            F.regexp_count(text_or_empty(text_col), F.lit(f"[^{SPACE_CLASS}]+")).cast("long").alias("size"),
-            key.alias("_ls_key"),
+            _words(text_col).alias("size"),
+            _key(id_col, seed).alias("_ls_key"),
         )
     )
     sizes = rows.groupBy("_ls_source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
@@ -64,7 +71,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     ranges = F.greatest(F.lit(1), F.least(F.lit(KEY_SPACE), F.ceil(F.col("rows") / RANGE_ROWS)))
     spot = F.conv(F.substring("_ls_key", 1, 4), 16, 10).cast("long")
     ranged = rows.join(targets, rows["_ls_source"].eqNullSafe(targets["_ls_source"])).select(
-        rows["*"], "source_size", "target", F.floor(spot * ranges / KEY_SPACE).cast("int").alias("_ls_range"), F.coalesce(F.concat(F.lit("s"), rows["_ls_source"]), F.lit("n")).alias("_ls_part")
+        rows["*"], "source_size", "target", F.floor(spot * ranges / KEY_SPACE).cast("int").alias("_ls_range"), _part(rows["_ls_source"]).alias("_ls_part")
     )
     ranged = settle(ranged)
     sums = ranged.groupBy("_ls_part", "_ls_range").agg(F.sum("size").alias("_ls_sum"))
@@ -76,12 +83,19 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     budget = F.floor(F.col("target") + 0.5).cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.greatest(F.col("source_size"), F.lit(1)))).otherwise(0).cast("long")
     rest = budget - epochs * F.col("source_size")
-    return running.select(
-        F.col("_ls_id").alias(id_col),
-        "size",
-        "source_size",
-        "target",
-        (epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - start))).cast("long").alias("taken"),
+    return running.select("_ls_part", "_ls_key", "_ls_id", "size", "source_size", "target", start.alias("_ls_start"), epochs.alias("_ls_epochs"), rest.alias("_ls_rest"))
+
+
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 42) -> DataFrame:
+    """One row per input row: id, size (words), source_size, target, taken (words that the mix takes, repeats counted).
+
+    Null text has size 0; null source is a source of its own, the last. Ties of the key are broken by id, then size, so
+    reruns agree; rows that agree in all three are interchangeable. An empty table gives an empty result, a corpus
+    without words targets of 0. Other columns are not read.
+    """
+    more = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_ls_rest") - F.col("_ls_start")))
+    return _placed(df, id_col, text_col, source_col, seed).select(
+        F.col("_ls_id").alias(id_col), "size", "source_size", "target", (F.col("_ls_epochs") * F.col("size") + more).cast("long").alias("taken")
     )
 
 
@@ -89,18 +103,20 @@ def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """The mix itself: rows of ``df``, columns unchanged, each as often as the mix takes it.
 
     Texts are never cut: the one document of a source in which its budget ends comes in whole if at least half of it was
-    to be taken. Rows that share an id are one document whose copies are those of its largest share.
+    to be taken. Rows that agree in source, id and size are taken alike; rows without words are not taken.
+
+    The prefix sums run over narrow rows; of them one row a source remains, its epochs and the last place in key order that
+    is taken once more. Against that every row decides by itself, so texts are not shuffled.
     """
-    taken = mix(df, id_col, text_col, source_col, seed)
-    copies = settle(
-        taken.where("size > 0")
-        .groupBy(F.col(id_col).alias("_ls_id"))
-        .agg(F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("_ls_copies"))
-        .where("_ls_copies > 0")
-    )
-    joined = df.join(copies, F.col(f"`{id_col}`").eqNullSafe(F.col("_ls_id")))
-    repeated = joined.withColumn("_ls_nth", F.explode(F.sequence(F.lit(1), F.col("_ls_copies"))))
-    return repeated.select(*[F.col(f"`{c}`") for c in df.columns])
+    place = lambda key, i, size: F.struct(key.alias("key"), i.isNull().alias("last"), i.alias("id"), size.alias("size"))
+    half = 2 * F.col("_ls_start") + F.col("size") <= 2 * F.col("_ls_rest")
+    taken_to = F.max(F.when(half & (F.col("size") > 0), place(F.col("_ls_key"), F.col("_ls_id"), F.col("size"))))
+    cuts = settle(_placed(df, id_col, text_col, source_col, seed).groupBy("_ls_part").agg(F.max("_ls_epochs").alias("_ls_epochs"), taken_to.alias("_ls_to")))
+    mine = df.withColumns({"_ls_part": _part(F.col(f"`{source_col}`").cast("string")), "_ls_size": _words(text_col), "_ls_key": _key(id_col, seed)})
+    once_more = F.coalesce(place(F.col("_ls_key"), F.col(f"`{id_col}`"), F.col("_ls_size")) <= F.col("_ls_to"), F.lit(False))
+    copies = F.when(F.col("_ls_size") > 0, F.col("_ls_epochs") + once_more.cast("int")).otherwise(0).cast("int")
+    counted = mine.join(cuts, "_ls_part").withColumn("_ls_copies", copies).where("_ls_copies > 0")
+    return counted.withColumn("_ls_nth", F.explode(F.sequence(F.lit(1), F.col("_ls_copies")))).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:

@@ -111,6 +111,8 @@ def test_mixed_documents_repeat_whole_rows(awkward):
     for r in out.collect():
         copies[r["doc_id"]] += 1
     assert copies and max(n for i, n in copies.items() if i not in (200, None)) <= 2
+    taken = {r["doc_id"]: int(r["taken"] / r["size"] + 0.5) for r in mixing.mix(awkward).collect() if r["size"] and r["doc_id"] not in (200, None)}
+    assert {i: n for i, n in copies.items() if i not in (200, None)} == {i: n for i, n in taken.items() if n}
 
 
 # --- sharding ---------------------------------------------------------------------------------------------------------
