@@ -88,7 +88,8 @@ def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     names = df.columns
     keyed = df.withColumns({"_ls_n": F.length(text_or_empty(text_col)).cast("long"), "_ls_hash": md5_128(normalised(text_col))})
     same = lambda t: F.col(f"`{id_col}`").eqNullSafe(t["_ls_id"]) & (keyed["_ls_n"] == t["_ls_n"]) & (keyed["_ls_hash"] == t["_ls_hash"])
-    left = keyed.join(lost, same(lost), "left_anti")
+    # The list of lost rows grows with the corpus, so it is merged at every size: one shuffle of the texts, in proportion.
+    left = keyed.join(lost.hint("merge"), same(lost), "left_anti")
     if repeated.isEmpty():
         return left.select(*[F.col(f"`{c}`") for c in names])
     once = left.join(repeated, same(repeated), "left_anti").select(*[F.col(f"`{c}`") for c in names])
