@@ -106,7 +106,7 @@ def excel(spark: SparkSession, path: str, sheet: str | int | None = 0, header: i
 
 def text_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, text) of whole text files; bytes that are not UTF-8 become U+FFFD."""
-    return spark.read.format("binaryFile").load(path).select("path", F.decode("content", "UTF-8").alias("text"))
+    return spark.read.format("binaryFile").load(path).select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 # --- events -----------------------------------------------------------------------------------------------------------
@@ -180,7 +180,10 @@ class PagedReader(DataSourceReader):
 
 
 def paged_source(name: str, ddl: str, fetch: Callable[[str, int, int], Sequence[Mapping[str, Any]]]) -> type[DataSource]:
-    """A data source class for ``spark.dataSource.register``; ``fetch(filter, page, size)`` returns rows as mappings."""
+    """A data source class for ``spark.dataSource.register``; ``fetch(filter, page, size)`` returns rows as mappings.
+
+    Filters are pushed down, so the session needs ``spark.sql.python.filterPushdown.enabled``.
+    """
 
     class Paged(DataSource):
         @classmethod

@@ -37,6 +37,7 @@ def test_remote_filters_and_pages(spark):
     def fetch(text, page, size):
         return [{"id": page * size + i} for i in range(size)]
 
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(readers.paged_source("numbers", "id bigint", fetch))
     df = spark.read.format("numbers").option("pages", 5).option("tasks", 2).option("page_size", 3).load()
     assert sorted(r["id"] for r in df.collect()) == list(range(15))
