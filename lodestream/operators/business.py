@@ -211,3 +211,26 @@ def recommended(df: DataFrame, others: DataFrame, key: str, id_col: str, other_i
     met = df.join(others, key).withColumn("score", F.round(score, 4))
     place = F.row_number().over(W.partitionBy(id_col).orderBy(F.desc("score"), other_id))
     return met.withColumn("place", place).where(F.col("place") <= top).select(id_col, other_id, "score", "place")
+
+
+def feature_usage(df: DataFrame, keys: Sequence[str], user_col: str, good: Column, growing: int = 10) -> DataFrame:
+    """Uses, users, uses a user and share of good uses by key; a key with more than ``growing`` uses grows."""
+    found = df.groupBy(*keys).agg(F.count("*").alias("uses"), F.count_distinct(user_col).alias("users"), F.count_if(good).alias("good"))
+    return found.select(
+        *keys, "uses", "users",
+        F.round(ratio(F.col("uses"), F.col("users")), 2).alias("uses_a_user"),
+        F.round(ratio(F.col("good"), F.col("uses"), 100.0, 100.0), 2).alias("success_rate"),
+        F.when(F.col("uses") > growing, "growing").otherwise("stable").alias("trend"),
+    )
+
+
+def keep_richest(df: DataFrame, key: Column, richness: Sequence[str], id_col: str, page_col: str) -> DataFrame:
+    """Of rows with an equal key (trimmed, upper case, not blank) the richest: (key, columns, first_page, last_page, merged).
+
+    ``richness`` is compared in order, null least; of equal rows the smallest id stays. The range of pages is that of all
+    rows. One aggregation, combined before the shuffle, so a key with many rows sends one row a task.
+    """
+    rank = F.struct(*[F.coalesce(F.col(c).cast("double"), F.lit(float("-inf"))).alias(f"r{i}") for i, c in enumerate(richness)], (-F.col(id_col)).alias("id"))
+    keyed = df.withColumn("key", blank_to_null(F.upper(key))).where("key is not null")
+    best = F.max_by(F.struct(*df.columns), rank).alias("_best")
+    return keyed.groupBy("key").agg(best, F.min(page_col).alias("first_page"), F.max(page_col).alias("last_page"), F.count("*").alias("merged")).select("key", "_best.*", "first_page", "last_page", "merged")

@@ -66,6 +66,18 @@ def ordered(low: str, high: str) -> Rule:
     return Rule("order", f"{low}<={high}", F.coalesce(F.col(low) <= F.col(high), F.lit(True)))
 
 
+def inside(inner_low: str, inner_high: str, outer_low: str, outer_high: str) -> list[Rule]:
+    """Both ranges are in order, and the inner one does not leave the outer one."""
+    below = Rule("below", f"{inner_low}>={outer_low}", F.coalesce(F.col(inner_low) >= F.col(outer_low), F.lit(True)), "warning")
+    above = Rule("above", f"{inner_high}<={outer_high}", F.coalesce(F.col(inner_high) <= F.col(outer_high), F.lit(True)), "warning")
+    return [ordered(inner_low, inner_high), ordered(outer_low, outer_high), below, above]
+
+
+def rising(*columns: str) -> list[Rule]:
+    """Neighbours of a ladder of limits (such as LL, L, H, HH) are in order; a missing step breaks nothing."""
+    return [ordered(a, b) for a, b in zip(columns, columns[1:])]
+
+
 def findings(df: DataFrame, id_col: str, rules: Sequence[Rule]) -> DataFrame:
     """One row for each rule that a row breaks: all rules in one pass over the table."""
     broken = F.array_compact(F.array(*[F.when(~r.good, F.struct(F.lit(r.name).alias("rule"), F.lit(r.column).alias("column"), F.lit(r.severity).alias("severity"))) for r in rules]))

@@ -106,3 +106,11 @@ def recommendation_score(same_project: Column, name_similarity: Column, same_sta
     name = F.when(name_similarity >= 0.8, 0.35).when(name_similarity >= 0.5, 0.2).otherwise(0.0)
     fresh = F.when(age_days <= 7, 0.10).when(age_days <= 30, 0.05).otherwise(0.0)
     return F.least(F.when(same_project, 0.45).otherwise(0.0) + name + F.when(same_status, 0.10).otherwise(0.0) + fresh, F.lit(0.99))
+
+
+def complexity(comments: Column, carried: Column, urgent: Column, mean_length: Column) -> Column:
+    """0 to 100 from a revision's number of comments, the shares carried over and urgent, and the comments' mean length."""
+    share = lambda part: F.coalesce(F.try_divide(part, comments), F.lit(0.0)) * 25
+    many = F.when(comments > 50, 30).when(comments > 20, 20).when(comments > 10, 10).otherwise(0)
+    long = F.when(mean_length > 200, 20).when(mean_length > 100, 10).otherwise(0)
+    return F.round(F.least(F.lit(100.0), many + share(carried) + share(urgent) + long), 2)

@@ -999,3 +999,39 @@ def incremental_pull(s, d):
 def two_column_source(s, d):
     rows = table(s, d, "events").where("event_type = 'click'").withColumn("out", F.expr("ts + interval 2 hours"))
     return readers.two_column_view(rows, "user_id", "ts", "out", {})
+
+
+# --- usage by feature, richest records, ladders of limits ---------------------------------------------------------------
+
+
+@query("""SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS uses, count(DISTINCT user_id) AS users, round(count(*) / count(DISTINCT user_id), 2) AS uses_a_user, round(count(*) FILTER (value < 90) * 100.0 / count(*), 2) AS success_rate, CASE WHEN count(*) > 10 THEN 'growing' ELSE 'stable' END AS trend FROM events GROUP BY 1, 2""")
+def feature_usage(s, d):
+    return business.feature_usage(table(s, d, "events").withColumn("day", F.to_date("ts")), ["event_type", "day"], "user_id", F.col("value") < 90)
+
+
+@query("""WITH x AS (SELECT upper(trim(p_name)) AS key, p_partkey, p_size, p_retailprice, row_number() OVER (PARTITION BY upper(trim(p_name)) ORDER BY p_size DESC, p_retailprice DESC, p_partkey) AS k FROM part WHERE trim(p_name) <> '')
+SELECT key, max(p_partkey) FILTER (k = 1) AS p_partkey, max(p_size) FILTER (k = 1) AS p_size, round(max(p_retailprice) FILTER (k = 1), 2) AS p_retailprice, min(p_partkey) AS first_page, max(p_partkey) AS last_page, count(*) AS merged FROM x GROUP BY 1""")
+def richest_parts(s, d):
+    parts = table(s, d, "part").select("p_partkey", "p_size", "p_retailprice", "p_name")
+    return business.keep_richest(parts, F.trim("p_name"), ["p_size", "p_retailprice"], "p_partkey", "p_partkey").withColumn("p_retailprice", r(F.col("p_retailprice"), 2)).drop("p_name")
+
+
+@query("""WITH x AS (SELECT l_orderkey * 10 + l_linenumber AS line, l_discount * 100 AS ll, l_tax * 100 AS l, l_quantity AS h, l_extendedprice / 1000 AS hh, CAST(l_linenumber AS DOUBLE) AS lo, l_quantity * 2 AS hi FROM lineitem)
+SELECT line, 'order' AS rule, 'll<=l' AS "column", 'error' AS severity FROM x WHERE ll > l UNION ALL SELECT line, 'order', 'l<=h', 'error' FROM x WHERE l > h UNION ALL SELECT line, 'order', 'h<=hh', 'error' FROM x WHERE h > hh
+UNION ALL SELECT line, 'order', 'll<=hh', 'error' FROM x WHERE ll > hh UNION ALL SELECT line, 'order', 'lo<=hi', 'error' FROM x WHERE lo > hi UNION ALL SELECT line, 'below', 'll>=lo', 'warning' FROM x WHERE ll < lo UNION ALL SELECT line, 'above', 'hh<=hi', 'warning' FROM x WHERE hh > hi""")
+def limit_findings(s, d):
+    x = table(s, d, "lineitem").selectExpr("l_orderkey * 10 + l_linenumber as line", "l_discount * 100 as ll", "l_tax * 100 as l", "l_quantity as h", "l_extendedprice / 1000 as hh", "cast(l_linenumber as double) as lo", "l_quantity * 2 as hi")
+    return quality.findings(x, "line", [*quality.rising("ll", "l", "h", "hh"), *quality.inside("ll", "hh", "lo", "hi")])
+
+
+@query("""WITH f AS (SELECT user_id, min(hour(ts) * 3600 + minute(ts) * 60 + second(ts)) AS sec FROM events GROUP BY user_id, CAST(ts AS DATE)), m AS (SELECT user_id, CAST(floor(avg(sec)) AS BIGINT) AS sec FROM f GROUP BY 1) SELECT user_id, printf('%02d:%02d', sec // 3600, sec % 3600 // 60) AS mean_first FROM m""")
+def mean_clock(s, d):
+    first = table(s, d, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.min(dates.second_of_day(F.col("ts"))).alias("sec"))
+    return first.groupBy("user_id").agg(dates.clock(F.avg("sec")).alias("mean_first"))
+
+
+@query("""WITH x AS (SELECT conv_id, count(*) AS n, count(*) FILTER (turn > 2) AS c, count(*) FILTER (role = 'user') AS u, avg(length(text)) AS m FROM conversations GROUP BY 1)
+SELECT conv_id, round(least(100, CASE WHEN n > 50 THEN 30 WHEN n > 20 THEN 20 WHEN n > 10 THEN 10 ELSE 0 END + c / n * 25 + u / n * 25 + CASE WHEN m > 200 THEN 20 WHEN m > 100 THEN 10 ELSE 0 END), 2) AS complexity FROM x""")
+def conversation_complexity(s, d):
+    x = table(s, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"), F.count_if(F.col("turn") > 2).alias("c"), F.count_if(F.col("role") == "user").alias("u"), F.avg(F.length("text")).alias("m"))
+    return x.select("conv_id", scoring.complexity(F.col("n"), F.col("c"), F.col("u"), F.col("m")).alias("complexity"))

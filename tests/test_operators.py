@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestream.functions import dates, numbers, text
-from lodestream.operators import anomaly, graph, intervals, quality, reconcile
+from lodestream.operators import anomaly, business, graph, intervals, quality, reconcile
 from lodestream.operators.derive import translate
 from lodestream.operators.transform import execute
 from lodestream.plans.pipeline import Pipeline
@@ -174,3 +174,15 @@ def test_graphs(spark):
     a = spark.createDataFrame([(i, dt.date(2024, 1, 1 + i)) for i in range(3)], "id int, finish date")
     out = {r["id"]: (r["reach"].day, r["is_critical"]) for r in graph.total_float(a, e.where("dst < 3 and src < 3")).collect()}
     assert out == {0: (3, True), 1: (3, True), 2: (3, True)}
+
+
+def test_richest_record_ladders_and_usage(spark):
+    df = spark.createDataFrame([(1, " a1 ", 3, None, 5), (2, "A1", 3, 0.2, 9), (3, "A1", 3, 0.2, 2), (4, " ", 9, 1.0, 1), (5, None, 9, 1.0, 1)], "id int, code string, parts int, sure double, page int")
+    got = business.keep_richest(df, F.trim("code"), ["parts", "sure"], "id", "page").select("key", "id", "first_page", "last_page", "merged")
+    assert rows(got) == [("A1", 2, 2, 9, 3)]
+    limits = spark.createDataFrame([(1, 1.0, None, 3.0), (2, 5.0, 4.0, 3.0)], "id int, ll double, l double, h double")
+    assert [(i, c) for i, _, c, _ in rows(quality.findings(limits, "id", quality.rising("ll", "l", "h")))] == [(2, "l<=h"), (2, "ll<=l")]
+    nested = spark.createDataFrame([(1, 0.0, 9.0, 1.0, 8.0), (2, 2.0, 3.0, 1.0, None)], "id int, a double, b double, c double, d double")
+    assert [(i, rule) for i, rule, *_ in rows(quality.findings(nested, "id", quality.inside("a", "b", "c", "d")))] == [(1, "above"), (1, "below")]
+    used = spark.createDataFrame([("x", 1, True), ("x", None, False), ("y", None, None)], "f string, u int, ok boolean")
+    assert rows(business.feature_usage(used, ["f"], "u", F.col("ok"))) == [("x", 2, 1, 2.0, 50.0, "stable"), ("y", 1, 0, 0.0, 0.0, "stable")]
