@@ -5,23 +5,34 @@ so they meet under at least one of the six pairs of blocks (32-bit keys). Rows w
 Keys with one fingerprint are dropped after a counted, partially aggregated pass. A key with many fingerprints is cut
 into chunks by hash; every pair of chunks is its own small unit of work, so no task holds a whole hot key and no pair is
 lost. Inside a unit the pairs are compared in arrays and only a spanning forest of the verified pairs leaves the task.
+
+``drop_near_duplicates`` has settings of its own: sets of five-word shingles with Jaccard similarity of at least 0.8. At
+0.8 about 15 % of SimHash bits differ, so no blocks of them are both selective and sure to agree; its candidates share one
+of ``BANDS`` keys of ``BAND_ROWS`` independent smallest hashes instead (0.998 of pairs at 0.8, more above), and every link
+is checked on the whole sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from hashlib import md5
 from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_digest
+from xxhash import xxh64_digest, xxh64_intdigest
 
-from lodestream.llm.common import components, keep_listed, read_table, settle, sorted_runs, spanning_edges, text_or_empty
+from lodestream.llm.common import components, read_table, settle, sorted_runs, spanning_edges, text_or_empty
 
 BLOCKS, BLOCK_BITS, SHARED = 4, 16, 2
 CHUNK = 1024
+NEAR_WIDTH, NEAR_LEAST = 5, (4, 5)
+BANDS, BAND_ROWS = 16, 5
+CHUNK_SHINGLES = 200_000
+_DRAWN = np.random.default_rng(42).integers(0, 1 << 32, size=(2, BANDS * BAND_ROWS, 1), dtype=np.uint32)
+_TIMES, _PLUS = _DRAWN[0] | np.uint32(1), _DRAWN[1]
 
 
 def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> bytes:
@@ -131,16 +142,157 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 2) -> DataFrame:
-    """``df`` with, of each component, the row with the smallest id; columns unchanged. Rows that repeat a kept id stay once."""
-    found = settle(simhash_groups(df, id_col, text_col, distance).select(F.col(id_col).alias("_ls_id"), "component_id"))
-    lost = settle(found.where("_ls_id != component_id").select("_ls_id").distinct())
-    out = keep_listed(df, lost, id_col)
-    repeated = settle(found.where("_ls_id is not null").groupBy("_ls_id").count().where("count > 1").select("_ls_id"))
+def shingle_set(text: bytes, width: int = NEAR_WIDTH) -> np.ndarray:
+    """The distinct XXH64 hashes, sorted, of one text's word shingles; of fewer words or none, the hash of the whole."""
+    words = text.lower().split()
+    shingles = map(b" ".join, zip(*(words[i:] for i in range(width)))) if len(words) >= width else [b" ".join(words)]
+    return np.unique(np.frombuffer(b"".join(map(xxh64_digest, shingles, repeat(42))), dtype="<u8"))
+
+
+def band_keys(shingles: np.ndarray) -> list[int]:
+    """One key a band: texts meet that agree in all smallest hashes of a band."""
+    high = (shingles >> np.uint64(32)).astype(np.uint32)
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint32).max, dtype=np.uint32)
+    for at in range(0, len(high), 1024):
+        np.minimum(least, (high[None, at : at + 1024] * _TIMES + _PLUS).min(axis=1), out=least)
+    rows = least.reshape(BANDS, BAND_ROWS)
+    return np.array([xxh64_intdigest(r.tobytes(), seed=i) for i, r in enumerate(rows)], dtype=np.uint64).view(np.int64).tolist()
+
+
+def _alike(shared: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int) -> np.ndarray | bool:
+    """Whether sets of sizes ``a`` and ``b`` with ``shared`` in common reach the similarity."""
+    return NEAR_LEAST[1] * shared >= NEAR_LEAST[0] * (a + b - shared)
+
+
+def _shingled(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row, id, text_md5, digest, n, keys, shingles) of every row; null text counts as empty."""
+    text = text_or_empty(text_col).cast("binary")
+    kept = df.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"), _text_md5(text_col).alias("text_md5"), text.alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                sets = [shingle_set(t.as_py()) for t in batch.column(3)]
+                packed = [x.tobytes() for x in sets]
+                columns = [
+                    *batch.columns[:3],
+                    pa.array([md5(x).digest() for x in packed], pa.binary()),
+                    pa.array([len(x) for x in sets], pa.int64()),
+                    pa.array([band_keys(x) for x in sets], pa.list_(pa.int64())),
+                    pa.array(packed, pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "id", "text_md5", "digest", "n", "keys", "shingles"])
+
+    kind = kept.schema["id"].dataType.simpleString()
+    return kept.mapInArrow(run, f"row bigint, id {kind}, text_md5 binary, digest binary, n bigint, keys array<bigint>, shingles binary")
+
+
+def _pairs_alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pairs (a, b, x, y), those whose shingle sets x and y are alike."""
+    for batch in batches:
+        keep = []
+        for x, y in zip(batch.column(2), batch.column(3)):
+            u, v = np.frombuffer(x.as_py(), dtype="<u8"), np.frombuffer(y.as_py(), dtype="<u8")
+            keep.append(bool(_alike(len(np.intersect1d(u, v, assume_unique=True)), len(u), len(v))))
+        yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+
+def _units_alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over units sorted by (key, lo, hi): alike pairs of different roots, as far as the unit has not joined them yet."""
+    for table in sorted_runs(batches, ["key", "lo", "hi"], 500):
+        key, lo, hi, node, root = (table[c].to_numpy() for c in ("key", "lo", "hi", "node", "root"))
+        start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
+        left, right = [], []
+        for b, e in zip(start, np.r_[start[1:], len(key)]):
+            group = np.unique(root[b:e], return_inverse=True)[1]
+            if not group.any():
+                continue
+            sets = [np.frombuffer(x.as_py(), dtype="<u8") for x in table["shingles"].slice(b, e - b)]
+            size = np.array([len(x) for x in sets])
+            first = np.r_[0, np.cumsum(size)]
+            values, rank = np.unique(np.concatenate(sets), return_inverse=True)
+            for i in range(e - b - 1):
+                others = group[i + 1 :] != group[i]
+                if not (others & _alike(np.minimum(size[i + 1 :], size[i]), size[i + 1 :], size[i])).any():
+                    continue
+                mine = np.zeros(len(values), dtype=bool)
+                mine[rank[first[i] : first[i + 1]]] = True
+                shared = np.add.reduceat(mine[rank[first[i + 1] :]], first[i + 1 : -1] - first[i + 1], dtype=np.int64)
+                for j in i + 1 + np.flatnonzero(others & _alike(shared, size[i + 1 :], size[i])):
+                    if group[i] != group[j]:
+                        left.append(node[b + i])
+                        right.append(node[b + j])
+                        group[group == group[j]] = group[i]
+        if left:
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+
+def similar_links(nodes: DataFrame, shingles: DataFrame) -> DataFrame:
+    """Edges (a, b) that join exactly what the alike pairs among ``nodes`` (node, n, keys) with a common key join.
+
+    ``shingles`` (node, shingles) has their sets; only those that meet another under some key are moved.
+
+    The nodes of a key are first checked against its smallest. Keys whose nodes that has not joined are then compared
+    pair by pair, in units of two chunks of bounded size.
+    """
+    rows = nodes.select("node", "n", F.explode("keys").alias("key"))
+    met = rows.groupBy("key").agg(F.count("*").alias("rows"), F.bit_xor(F.xxhash64("node")).alias("who"), F.min("node").alias("least"), F.sum("n").alias("total")).where("rows > 1")
+    # Keys with the same nodes are the same work.
+    keys = settle(met.groupBy("rows", "who", "least").agg(F.min("key").alias("key"), F.max("total").alias("total")))
+    members = settle(rows.join(keys, "key").select("key", "node", "least", "total"))
+    sets = settle(shingles.join(members.select("node").distinct(), "node", "left_semi"))
+    star = members.where("node != least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
+    both = star.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    stars = settle(both.select("a", "b", "x", "y").mapInArrow(_pairs_alike, "a bigint, b bigint"))
+    placed = settle(members.join(components(stars), "node", "left").withColumn("root", F.coalesce("root", "node")))
+    open_keys = settle(placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key"))
+    chunks = F.ceil(F.col("total") / CHUNK_SHINGLES).cast("int")
+    left = placed.join(open_keys, "key").withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64(F.lit("near"), "node"), F.col("chunks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    units = left.withColumn("other", other).select("key", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "node", "root")
+    order = ["key", "lo", "hi"]
+    compared = units.join(sets, "node").select(*order, "node", "root", "shingles").repartition(*order).sortWithinPartitions(*order)
+    return stars.unionByName(compared.mapInArrow(_units_alike, "a bigint, b bigint"))
+
+
+def _text_md5(text_col: str) -> Column:
+    return F.unhex(F.md5(text_or_empty(text_col).cast("binary")))
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row, id, text_md5, root) of every row: rows of one root are linked, directly or by way of others.
+
+    Links are between sets of ``NEAR_WIDTH``-word shingles with a Jaccard similarity of at least ``NEAR_LEAST``. Equal
+    sets are one node, so copies cost one row each. Null and blank texts are equal.
+    """
+    rows = settle(_shingled(df, id_col, text_col))
+    firsts = settle(rows.groupBy("digest").agg(F.min("row").alias("node")))
+    # The node of a set is one of its rows.
+    nodes = settle(rows.select(F.col("row").alias("node"), "n", "keys").join(firsts, "node", "left_semi"))
+    roots = settle(components(similar_links(nodes, rows.select(F.col("row").alias("node"), "shingles"))))
+    placed = settle(firsts.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root")))
+    return rows.select("row", "id", "text_md5", "digest").join(placed, "digest").select("row", "id", "text_md5", "root")
+
+
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``df`` with, of each component of ``near_duplicates``, the row with the smallest id, a null id last; columns unchanged.
+
+    Rows are told apart by id and text, so rows that only share an id are decided one by one.
+    """
+    found = settle(near_duplicates(df, id_col, text_col))
+    best = settle(found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("row").alias("row"))).alias("best"), F.count("*").alias("rows")).where("rows > 1"))
+    decided = found.join(best, "root").withColumn("stays", F.col("best.row") == F.col("row"))
+    by_key = settle(decided.groupBy(F.col("id").alias("_ls_id"), F.col("text_md5").alias("_ls_md5")).agg(F.max("stays").alias("stays"), F.count("*").alias("rows")).where("not stays or rows > 1"))
+    keyed = df.withColumn("_ls_text_md5", _text_md5(text_col))
+    same = lambda t: F.col(f"`{id_col}`").eqNullSafe(t["_ls_id"]) & (keyed["_ls_text_md5"] == t["_ls_md5"])
+    lost, repeated = by_key.where("not stays"), by_key.where("stays")
+    names = [F.col(f"`{c}`") for c in df.columns]
+    out = keyed.join(lost, same(lost), "left_anti")
     if repeated.isEmpty():
-        return out
-    again = out.join(repeated, F.col(f"`{id_col}`") == F.col("_ls_id"), "left_semi").dropDuplicates([id_col])
-    return keep_listed(out, repeated, id_col).unionByName(again)
+        return out.select(*names)
+    again = out.join(repeated, same(repeated), "left_semi").dropDuplicates([id_col, "_ls_text_md5"])
+    return out.join(repeated, same(repeated), "left_anti").select(*names).unionByName(again.select(*names))
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:

@@ -156,3 +156,65 @@ def test_near_duplicate_vectors_against_brute_force(spark):
         assert (out[i]["n_links"], out[i]["component_id"], out[i]["kept"]) == (len(links[i]), root, i == root), i
     assert next(iter(out.values()))["recall"] >= 0.9
     assert embedding_dedup.near_duplicate_vectors(df.limit(0)).count() == 0
+
+
+# --- the near duplicates of the pipeline ------------------------------------------------------------------------------
+
+
+def brute_similarity(a, b):
+    def shingles(text):
+        words = text.lower().split()
+        return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+    x, y = shingles(a), shingles(b)
+    return len(x & y) / len(x | y)
+
+
+def edited_copies():
+    """Texts of 40 to 1000 words, each with a copy of which some words are replaced; about the similarities 0.6 to 1."""
+    draw = np.random.default_rng(11)
+    pairs = []
+    for n in range(240):
+        words = [f"w{k}" for k in draw.integers(0, 5000, (40, 100, 300, 1000)[n % 4])]
+        other = list(words)
+        for at in draw.choice(len(words), max(1, int(len(words) * draw.uniform(0, 0.05))), replace=False):
+            other[at] = f"x{at}"
+        pairs.append((" ".join(words), " ".join(other)))
+    return pairs
+
+
+def test_edited_copies_are_dropped_from_similarity_0_8_on(spark):
+    pairs = edited_copies()
+    rows = [(2 * i + side, pair[side]) for i, pair in enumerate(pairs) for side in (0, 1)]
+    left = {r["doc_id"] for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    near = [i for i, pair in enumerate(pairs) if brute_similarity(*pair) >= 0.8]
+    far = [i for i, pair in enumerate(pairs) if brute_similarity(*pair) < 0.8]
+    assert len(near) > 80 and len(far) > 20
+    assert all({2 * i, 2 * i + 1} <= left for i in far) and all(2 * i in left for i in near)
+    assert sum(2 * i + 1 not in left for i in near) >= 0.98 * len(near)
+
+
+def test_near_duplicates_join_what_all_pairs_join(spark, monkeypatch):
+    draw = np.random.default_rng(3)
+    base = [[f"b{k}_{i}" for i in range(60)] for k in range(3)]
+    texts = []
+    for n in range(150):
+        words = list(base[n % 3])
+        for at in draw.integers(0, 60, n % 5):
+            words[at] = f"e{draw.integers(0, 4)}"
+        texts.append(" ".join(words))
+    monkeypatch.setattr(simhash, "CHUNK_SHINGLES", 500)  # many units a key
+    shingled = simhash._shingled
+    monkeypatch.setattr(simhash, "_shingled", lambda *a: shingled(*a).withColumn("keys", F.array(F.lit(1).cast("long"))))  # all meet
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = simhash.near_duplicates(df).collect()
+    root = list(range(150))
+    for i in range(150):
+        for j in range(i):
+            if brute_similarity(texts[i], texts[j]) >= 0.8 and root[i] != root[j]:
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    by_root = {}
+    for r in found:
+        by_root.setdefault(r["root"], set()).add(r["id"])
+    assert sorted(map(sorted, by_root.values())) == sorted(sorted(i for i in range(150) if root[i] == r) for r in set(root))
