@@ -218,3 +218,11 @@ def test_near_duplicates_join_what_all_pairs_join(spark, monkeypatch):
     for r in found:
         by_root.setdefault(r["root"], set()).add(r["id"])
     assert sorted(map(sorted, by_root.values())) == sorted(sorted(i for i in range(150) if root[i] == r) for r in set(root))
+
+
+def test_rows_that_share_an_id_or_have_none_are_decided_one_by_one(spark):
+    text = lambda k: " ".join(f"{k}{i}" for i in range(30))
+    rows = [(1, text("a")), (7, text("a") + " end"), (7, text("clean")), (None, text("a") + " stop"), (9, text("p")), (9, text("q")), (None, text("z")), (None, text("z"))]
+    out = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    kept = [(1, text("a")), (7, text("clean")), (9, text("p")), (9, text("q")), (None, text("z"))]
+    assert sorted(map(str, map(tuple, out))) == sorted(map(str, kept))
