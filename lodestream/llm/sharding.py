@@ -2,8 +2,9 @@
 
 Equal texts have equal hashes, and rows are ordered by ``UNITS`` ranges of that hash; a range is the atomic unit, so a
 group of equal texts is never cut. The sums of the units, at most ``UNITS`` of them at any corpus size, meet in one row,
-where a binary search over the capacity finds the smallest that a greedy pass fits into the given number of shards; the
-greedy pass at that capacity gives the cuts. Only the cuts, one number a shard, reach the driver.
+where a binary search over the capacity finds the smallest that a greedy pass fits into the given number of shards, a
+unit above it having a shard alone. The stretches between such units share the shards left over and are cut once more,
+each by its own smallest capacity. Only a few numbers a shard reach the driver.
 """
 
 from __future__ import annotations
@@ -19,26 +20,24 @@ CHUNK_ROWS = 1000
 
 
 def _greedy(capacity: Column) -> Column:
-    """Shards that a greedy left-to-right fill of ``sums`` needs, each at most ``capacity``."""
+    """Shards that a greedy left-to-right fill of ``sums`` needs, each at most ``capacity`` or one unit."""
     zero = F.struct(F.lit(1).cast("long").alias("used"), F.lit(0).cast("long").alias("fill"))
 
     def step(acc: Column, x: Column) -> Column:
-        fits = acc["fill"] + x <= capacity
+        fits = (acc["fill"] == 0) | (acc["fill"] + x <= capacity)
         return F.struct(F.when(fits, acc["used"]).otherwise(acc["used"] + 1).alias("used"), F.when(fits, acc["fill"] + x).otherwise(x).alias("fill"))
 
     return F.aggregate("sums", zero, step, lambda acc: acc["used"])
 
 
-def minimax_cuts(units: DataFrame, shards: int) -> list[int]:
-    """First unit of each shard but the first, from rows (unit, bytes): contiguous, with the smallest possible largest shard.
+def _listed(units: DataFrame, *by: str) -> DataFrame:
+    """The units of each group as arrays ``ids`` and ``sums``, in order, and the bytes ``total``."""
+    listed = units.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("unit", "bytes"))).alias("all"), F.coalesce(F.sum("bytes"), F.lit(0)).cast("long").alias("total"))
+    return listed.select(*by, "total", F.transform("all", lambda x: x["unit"]).alias("ids"), F.transform("all", lambda x: x["bytes"].cast("long")).alias("sums"))
 
-    Fewer non-empty units than shards leave the last shards empty.
-    """
-    listed = units.agg(F.array_sort(F.collect_list(F.struct("unit", "bytes"))).alias("all")).select(
-        F.transform("all", lambda x: x["unit"]).alias("ids"), F.transform("all", lambda x: x["bytes"].cast("long")).alias("sums")
-    )
-    total = F.aggregate("sums", F.lit(0).cast("long"), lambda a, x: a + x)
-    least = F.greatest(F.coalesce(F.array_max("sums"), F.lit(0)), F.ceil(total / shards)).cast("long")
+
+def _capacity(shards: Column) -> Column:
+    """The smallest capacity with which ``sums`` need at most ``shards``."""
 
     def halve(acc: Column, _: Column) -> Column:
         mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("long")
@@ -46,22 +45,45 @@ def minimax_cuts(units: DataFrame, shards: int) -> list[int]:
         fits = F.when(acc["lo"] >= acc["hi"], F.lit(True)).otherwise(_greedy(mid) <= shards)
         return F.struct(F.when(fits, acc["lo"]).otherwise(mid + 1).alias("lo"), F.when(fits, F.least(mid, acc["hi"])).otherwise(acc["hi"]).alias("hi"))
 
-    # The answer lies between the largest unit or the mean, and that plus the largest unit: 63 halvings are always enough.
-    span = F.struct(least.alias("lo"), (least + F.coalesce(F.array_max("sums"), F.lit(0))).cast("long").alias("hi"))
-    capacity = F.aggregate(F.sequence(F.lit(1), F.lit(63)), span, halve, lambda acc: acc["hi"])
-    settled = settle(listed.withColumn("capacity", capacity))
+    # The answer is at most the mean plus the largest unit: 63 halvings are always enough.
+    most = F.ceil(F.col("total") / shards) + F.coalesce(F.array_max("sums"), F.lit(0))
+    span = F.struct(F.lit(0).cast("long").alias("lo"), most.cast("long").alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(63)), span, halve, lambda acc: acc["hi"])
+
+
+def minimax_cuts(units: DataFrame, shards: int) -> list[int]:
+    """First unit of each shard but the first, from rows (unit, bytes): contiguous, with the smallest possible largest shard.
+
+    Units above what the other shards need to hold have shards of their own, and the rest is spread evenly over the
+    others. Fewer non-empty units than shards leave the last shards empty.
+    """
+    capacity = settle(_listed(units).select(_capacity(F.lit(shards)).alias("capacity"))).first()["capacity"]
+    over = F.col("bytes") > capacity
+    # At most UNITS rows; a unit above the capacity is a stretch of its own.
+    before = F.sum(over.cast("int")).over(W.orderBy("unit"))
+    stretches = settle(_listed(units.withColumn("stretch", 2 * before - over.cast("int")), "stretch"))
+    rows = stretches.select("stretch", "total", F.size("ids").alias("units"), _greedy(F.lit(capacity)).alias("used")).collect()
+    used = {r["stretch"]: r["used"] for r in rows}
+    for _ in range(shards - sum(used.values())):
+        able = [r for r in rows if used[r["stretch"]] < r["units"]]
+        if able:
+            used[max(able, key=lambda r: (r["total"] / used[r["stretch"]], -r["stretch"]))["stretch"]] += 1
+    if not used:
+        return []
+    given = F.element_at(F.create_map(*[F.lit(x) for pair in used.items() for x in pair]), F.col("stretch"))
+    settled = settle(stretches.withColumn("given", given).withColumn("capacity", _capacity(F.col("given"))))
 
     start = F.struct(F.lit(0).cast("long").alias("fill"), F.array().cast("array<int>").alias("cuts"))
 
     def cut(acc: Column, x: Column) -> Column:
-        fits = acc["fill"] + x["sums"] <= F.col("capacity")
+        fits = (acc["fill"] > 0) & (acc["fill"] + x["sums"] <= F.col("capacity"))
         return F.struct(
             F.when(fits, acc["fill"] + x["sums"]).otherwise(x["sums"]).alias("fill"),
             F.when(fits, acc["cuts"]).otherwise(F.concat(acc["cuts"], F.array(x["ids"].cast("int")))).alias("cuts"),
         )
 
-    row = settled.select(F.aggregate(F.arrays_zip("ids", "sums"), start, cut, lambda acc: acc["cuts"]).alias("cuts")).first()
-    return list(row["cuts"]) if row and row["cuts"] else []
+    firsts = settled.select(F.aggregate(F.arrays_zip("ids", "sums"), start, cut, lambda acc: acc["cuts"]).alias("cuts")).collect()
+    return sorted(x for r in firsts for x in r["cuts"])[1:]
 
 
 def shard_documents(df: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

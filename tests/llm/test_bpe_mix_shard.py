@@ -161,6 +161,18 @@ def test_shards_keep_equal_texts_together_and_slots_gapless(spark, awkward, empt
     assert all(r["n"] == r["m"] + 1 == r["k"] for r in placed)
 
 
+def test_a_hot_unit_leaves_the_other_shards_even(spark):
+    sums = [10] * 2000
+    sums[700], sums[900] = 10_000, 800
+    units = spark.createDataFrame(list(enumerate(sums)), "unit int, bytes bigint")
+    cuts = sharding.minimax_cuts(units, 40)
+    sizes = [sum(sums[a:b]) for a, b in zip([0, *cuts], [*cuts, 2000])]
+    assert len(sizes) == 40 and sorted(sizes)[-2:] == [800, 10_000]
+    # The last shard of a stretch is short by what the others are rounded up, less than one unit of 10 each.
+    assert max(sorted(sizes)[:-2]) < 600 and min(sizes) > 600 - 26 * 10
+    assert sharding.minimax_cuts(units.limit(0), 40) == []
+
+
 # --- the pipeline -----------------------------------------------------------------------------------------------------
 
 
