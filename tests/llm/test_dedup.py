@@ -226,3 +226,25 @@ def test_rows_that_share_an_id_or_have_none_are_decided_one_by_one(spark):
     out = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     kept = [(1, text("a")), (7, text("clean")), (9, text("p")), (9, text("q")), (None, text("z"))]
     assert sorted(map(str, map(tuple, out))) == sorted(map(str, kept))
+
+
+def test_audit_counts_each_node_once_and_small_groups_apart(spark):
+    unit = lambda i: np.eye(64)[i].tobytes()
+    # One vector with 1000 copies and its 9 neighbours, all links found; ten lone pairs, none found.
+    near = [(np.eye(64)[0] + 0.01 * np.eye(64)[40 + i]) / np.sqrt(1.0001) for i in range(10)]
+    rows = [(i, "p", v.tobytes(), 1000) for i, v in enumerate(near)]
+    for i in range(10):
+        rows += [(100 + 2 * i, "p", unit(1 + i), 1), (101 + 2 * i, "p", ((np.eye(64)[1 + i] + 0.01 * np.eye(64)[60]) / np.sqrt(1.0001)).tobytes(), 1)]
+    full = spark.createDataFrame(rows, "node bigint, part string, unit binary, copies bigint")
+    links = spark.createDataFrame([(r[0], 9000 if r[0] < 100 else 0, r[0] < 100) for r in rows], "node bigint, links bigint, whole boolean")
+    assert embedding_dedup.audit(full, links, 0.98) == 0.0
+    found = links.withColumn("links", F.when(F.col("node") < 100, 9000).otherwise(1))
+    assert embedding_dedup.audit(full, found, 0.98) == 1.0
+
+
+def test_low_recall_is_an_error(spark, monkeypatch):
+    df = spark.createDataFrame([(i, [1.0, float(i)], 0) for i in range(3)], "vec_id bigint, embedding array<double>, label int")
+    monkeypatch.setattr(embedding_dedup, "audit", lambda *_: 0.5)
+    monkeypatch.setattr(embedding_dedup, "RETRIES", 1)
+    with pytest.raises(RuntimeError, match="recall"):
+        embedding_dedup.near_duplicate_vectors(df)
