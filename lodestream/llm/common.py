@@ -5,34 +5,88 @@ Internal columns start with ``_ls_`` so that they do not clash with a caller's c
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
+#: Bounds the bytes of texts that a sample brings to the driver.
+SAMPLE_BYTES = 64_000_000
+#: Up to so many narrow rows may be broadcast, after they were counted; beyond it the join shuffles.
+BROADCAST_ROWS = 500_000
 #: The white space of all contracts: space and the five ASCII controls from tab to return.
 SPACE_CLASS = r"\x20\x09-\x0D"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary folder serves a local master; on a cluster executors would write where nobody reads,
+    so there it is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="lodestream-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+_settled: dict[int, list[str]] = {}
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors, and gives the planner true sizes."""
-    path = f"{shared_dir(df.sparkSession)}/lodestream-{uuid.uuid4().hex}"
+    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors, and gives the planner true sizes.
+
+    The table stays until the shared folder is cleared, unless it is written within ``temporary`` or ``finished``.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/lodestream-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    for paths in _settled.values():
+        paths.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[list[str]]:
+    """Within this block every settled table is listed; on leaving it all those are deleted.
+
+    What outlives the block must be settled again outside of it, and nothing computed later may read the deleted tables.
+    """
+    mark = uuid.uuid4().int
+    _settled[mark] = []
+    try:
+        yield _settled[mark]
+    finally:
+        drop_paths(spark, _settled.pop(mark))
+
+
+def finished(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """The settled result of ``make``; the tables that it settled on its way are deleted."""
+    with temporary(spark) as made:
+        out = settle(make())
+        made.pop()
+    return out
+
+
+def drop_paths(spark: SparkSession, paths: list[str]) -> None:
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +97,11 @@ def text_or_empty(text_col: str) -> Column:
     return F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
 
 
+def readable_text(text_col: str) -> Column:
+    """The text for Python workers: null counts as empty, and bytes that are not UTF-8 become U+FFFD."""
+    return F.make_valid_utf8(text_or_empty(text_col))
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """Rows never learned from: crc32 of the id as text, modulo 5, is 0. A null id counts as held out."""
     return F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % 5 == 0, F.lit(True))
@@ -57,11 +116,13 @@ def one_label(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
     )
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, per_class: int, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[int, str, int]]:
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, label_col: str, per_class: int, id_col: str = "doc_id", text_col: str = "text", most_bytes: int = SAMPLE_BYTES
+) -> list[tuple[int, str, int]]:
     """At most ``per_class`` learnable rows of either class, chosen by the hash of the id, as (id, text, label) by id.
 
-    The bound makes this small enough for the driver at any corpus size. The ids are chosen from labels alone; only the
-    chosen ids, whose number is bounded, are broadcast to fetch whole texts.
+    The bounds on rows and bytes make this small enough for the driver at any corpus size. The ids are chosen from labels
+    alone; only the chosen ids, whose number is bounded, are broadcast to fetch whole texts.
     """
     usable = one_label(labels, id_col, label_col).where(~held_out("_ls_id"))
     order = F.xxhash64(F.lit("sample"), "_ls_id")
@@ -70,27 +131,24 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, per_clas
         part = usable.where(F.col("_ls_label") == value).orderBy(order, "_ls_id").limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
     label = {r["_ls_id"]: r["_ls_label"] for r in chosen.collect()}
-    return [(i, text, label[i]) for i, text in texts_of(docs, list(label), chosen.schema["_ls_id"].dataType, id_col, text_col)]
+    return [(i, text, label[i]) for i, text in texts_of(docs, list(label), chosen.schema["_ls_id"].dataType, id_col, text_col, most_bytes)]
 
 
-def texts_of(docs: DataFrame, ids: list, id_type: DataType, id_col: str, text_col: str) -> list[tuple[int, str]]:
-    """(id, whole text) of a bounded list of ids, by id; of rows that repeat an id, the smallest text."""
+def texts_of(docs: DataFrame, ids: list, id_type: DataType, id_col: str, text_col: str, most_bytes: int = SAMPLE_BYTES) -> list[tuple[int, str]]:
+    """(id, whole text) of a bounded list of ids, by id; of rows that repeat an id, the smallest text.
+
+    Repeats meet in a partial aggregation before anything reaches the driver. Texts come whole, as many as ``most_bytes``
+    hold, in the order of the id's hash; those that do not fit are left out.
+    """
     if not ids:
         return []
     wanted = docs.sparkSession.createDataFrame([(i,) for i in ids], StructType([StructField("_ls_id", id_type)]))
-    rows = docs.select(F.col(f"`{id_col}`").alias("_ls_id"), text_or_empty(text_col).alias("_ls_text")).join(F.broadcast(wanted), "_ls_id")
-    found: dict = {}
-    for r in rows.collect():
-        if r["_ls_id"] not in found or r["_ls_text"] < found[r["_ls_id"]]:
-            found[r["_ls_id"]] = r["_ls_text"]
-    return [(i, found[i]) for i in sorted(found)]
-
-
-def sampled_texts(docs: DataFrame, rows: int, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[int, str]]:
-    """At most ``rows`` texts with an id, chosen by the hash of the id."""
-    ids = docs.select(F.col(f"`{id_col}`").alias("_ls_id")).where("_ls_id is not null")
-    chosen = ids.orderBy(F.xxhash64(F.lit("sample"), "_ls_id"), "_ls_id").limit(rows)
-    return texts_of(docs, sorted({r["_ls_id"] for r in chosen.collect()}), ids.schema["_ls_id"].dataType, id_col, text_col)
+    rows = docs.select(F.col(f"`{id_col}`").alias("_ls_id"), readable_text(text_col).alias("_ls_text")).join(F.broadcast(wanted), "_ls_id")
+    one = settle(rows.groupBy("_ls_id").agg(F.min("_ls_text").alias("_ls_text")))
+    # A bounded number of rows: their lengths are added up in one window.
+    room = F.sum(F.octet_length("_ls_text").cast("long")).over(W.orderBy(F.xxhash64(F.lit("sample"), "_ls_id"), "_ls_id"))
+    fits = one.select("_ls_id", room.alias("room")).where(F.col("room") <= most_bytes).select("_ls_id")
+    return sorted((r["_ls_id"], r["_ls_text"]) for r in one.join(F.broadcast(fits), "_ls_id").collect())
 
 
 def sorted_runs(batches: Iterable[pa.RecordBatch], keys: list[str], rows: int = 20_000) -> Iterator[pa.Table]:
@@ -148,11 +206,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     never grow in number beyond the first symmetric list; each round is written to the shared folder, so a lost executor
     costs one round. No node or component passes through the driver, only the counts that tell when to stop.
     """
-    pairs = settle(
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u is not null and v is not null and u != v").distinct()
-    )
-    seen = None
-    for _ in range(max_rounds):
+    spark = edges.sparkSession
+
+    def contracted(pairs: DataFrame) -> DataFrame:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = settle(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
         # Large star: every larger neighbour of u points at the smallest of u's neighbourhood.
@@ -160,12 +216,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         # Small star: u and its smaller neighbours point at the smallest of them.
         least = settle(large.groupBy("u").agg(F.min("v").alias("m")))
         joined = large.join(least, "u")
-        pairs = settle(
-            joined.select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(least.select("u", F.col("m").alias("v")))
-            .where("u != v")
-            .distinct()
-        )
+        return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
+
+    pairs = settle(
+        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u is not null and v is not null and u != v").distinct()
+    )
+    seen = None
+    for _ in range(max_rounds):
+        pairs = finished(spark, partial(contracted, pairs))
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break
