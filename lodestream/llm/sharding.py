@@ -1,89 +1,168 @@
 """Minimax contiguous partition of a corpus into shards of nearly equal bytes, with DataFrame operations alone.
 
-Equal texts have equal hashes, and rows are ordered by ``UNITS`` ranges of that hash; a range is the atomic unit, so a
-group of equal texts is never cut. The sums of the units, at most ``UNITS`` of them at any corpus size, meet in one row,
-where a binary search over the capacity finds the smallest that a greedy pass fits into the given number of shards, a
-unit above it having a shard alone. The stretches between such units share the shards left over and are cut once more,
-each by its own smallest capacity. Only a few numbers a shard reach the driver.
+The atomic groups are the equal texts, ordered by the hash of their text; the largest of them, as many as there are
+shards, come first, since only they can be larger than what the other shards hold. Such a group has a shard alone, and the
+smallest capacity is sought that a greedy pass from left to right fits the rest into.
+
+The groups are never listed in one place. The search begins with the sums of ``RANGES`` ranges of the hash. From these, a
+binary search gives a capacity that is possible (cuts between ranges) and one that no partition can beat (cuts anywhere
+inside ranges). Between the two, every cut can only lie in a short stretch; only the ranges in those stretches are split
+into finer ones, and so on until they are single groups. Then the two capacities meet, and the partition is the minimax
+over all groups. What the driver sees are the sums of a bounded number of ranges.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from bisect import bisect_right
+from collections.abc import Callable
+from typing import NamedTuple
+
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestream.llm.common import read_table, settle, text_or_empty
 
-UNITS = 65_536
+HASH_BITS = 60
+RANGE_BITS, FINER_BITS, MOST_OPEN = 15, 7, 512
 CHUNK_ROWS = 1000
 
 
-def _greedy(capacity: Column) -> Column:
-    """Shards that a greedy left-to-right fill of ``sums`` needs, each at most ``capacity`` or one unit."""
-    zero = F.struct(F.lit(1).cast("long").alias("used"), F.lit(0).cast("long").alias("fill"))
-
-    def step(acc: Column, x: Column) -> Column:
-        fits = (acc["fill"] == 0) | (acc["fill"] + x <= capacity)
-        return F.struct(F.when(fits, acc["used"]).otherwise(acc["used"] + 1).alias("used"), F.when(fits, acc["fill"] + x).otherwise(x).alias("fill"))
-
-    return F.aggregate("sums", zero, step, lambda acc: acc["used"])
-
-
-def _listed(units: DataFrame, *by: str) -> DataFrame:
-    """The units of each group as arrays ``ids`` and ``sums``, in order, and the bytes ``total``."""
-    listed = units.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("unit", "bytes"))).alias("all"), F.coalesce(F.sum("bytes"), F.lit(0)).cast("long").alias("total"))
-    return listed.select(*by, "total", F.transform("all", lambda x: x["unit"]).alias("ids"), F.transform("all", lambda x: x["bytes"].cast("long")).alias("sums"))
-
-
-def _capacity(shards: Column) -> Column:
-    """The smallest capacity with which ``sums`` need at most ``shards``."""
-
-    def halve(acc: Column, _: Column) -> Column:
-        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("long")
-        # Nothing is left to search once lo = hi; the fill is then skipped.
-        fits = F.when(acc["lo"] >= acc["hi"], F.lit(True)).otherwise(_greedy(mid) <= shards)
-        return F.struct(F.when(fits, acc["lo"]).otherwise(mid + 1).alias("lo"), F.when(fits, F.least(mid, acc["hi"])).otherwise(acc["hi"]).alias("hi"))
-
-    # The answer is at most the mean plus the largest unit: 63 halvings are always enough.
-    most = F.ceil(F.col("total") / shards) + F.coalesce(F.array_max("sums"), F.lit(0))
-    span = F.struct(F.lit(0).cast("long").alias("lo"), most.cast("long").alias("hi"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(63)), span, halve, lambda acc: acc["hi"])
-
-
-def minimax_cuts(units: DataFrame, shards: int) -> list[int]:
-    """First unit of each shard but the first, from rows (unit, bytes): contiguous, with the smallest possible largest shard.
-
-    Units above what the other shards need to hold have shards of their own, and the rest is spread evenly over the
-    others. Fewer non-empty units than shards leave the last shards empty.
+class Range(NamedTuple):
+    """Groups with a hash from ``first`` up to the next range's; ``groups`` of them, ``size`` bytes, the largest ``most``."""
+
+    first: int
+    bits: int
+    size: int
+    groups: int
+    most: int
+
+
+class Line:
+    """Ranges in order behind the heavy groups, with running sums for the greedy passes."""
+
+    def __init__(self, heavy: list[int], ranges: list[Range]):
+        self.size = [*heavy, *(r.size for r in ranges)]
+        self.most = [*heavy, *(r.most for r in ranges)]
+        self.atomic = [True] * len(heavy) + [r.groups == 1 for r in ranges]
+        self.ends = [0]
+        for x in self.size:
+            self.ends.append(self.ends[-1] + x)
+        self.total = self.ends[-1]
+
+    def alone(self, capacity: int) -> int:
+        """Heavy groups above the capacity, which come first; each has a shard of its own."""
+        n = 0
+        while n < len(self.size) and self.atomic[n] and self.size[n] > capacity:
+            n += 1
+        return n
+
+    def item(self, place: int) -> int:
+        """The item that holds the byte after ``place``."""
+        return min(bisect_right(self.ends, place) - 1, len(self.size) - 1)
+
+    def whole(self, place: int, capacity: int) -> int:
+        """Where a greedy shard from ``place`` ends if it may only be cut between items; ``place`` itself if nothing fits."""
+        return self.ends[bisect_right(self.ends, place + capacity) - 1]
+
+    def free(self, place: int, capacity: int) -> int:
+        """Where it ends at most: it may be cut anywhere inside an item of several groups."""
+        end = min(place + capacity, self.total)
+        at = self.item(end)
+        return max(self.ends[at], place) if end < self.total and self.atomic[at] else end
+
+    def sure(self, place: int, capacity: int) -> int:
+        """Where it ends at least: short of the capacity by less than one group."""
+        end = min(place + capacity, self.total)
+        at = self.item(end)
+        return end if end >= self.total else max(place, self.ends[at], end - self.most[at] if not self.atomic[at] else 0)
+
+    def after(self, place: int, capacity: int, step: Callable[[int, int], int]) -> int:
+        """The end of the shard that begins at ``place``, be it a lone group or a greedy fill."""
+        at = self.item(place)
+        return self.ends[at + 1] if at < self.alone(capacity) else step(place, capacity)
+
+    def cuts(self, capacity: int, shards: int, step: Callable[[int, int], int]) -> list[int] | None:
+        """Ends of the shards behind the lone groups, or None if ``shards`` do not suffice."""
+        n = self.alone(capacity)
+        place, found = self.ends[n], []
+        while place < self.total:
+            end = step(place, capacity)
+            if end <= place or n + len(found) >= shards:
+                return None
+            found.append(end)
+            place = end
+        return found
+
+    def least(self, shards: int, step: Callable[[int, int], int], low: int) -> int:
+        """The smallest capacity from ``low`` on with which ``shards`` suffice."""
+        high = max(low, self.total)
+        while low < high:
+            mid = (low + high) // 2
+            low, high = (mid + 1, high) if self.cuts(mid, shards, step) is None else (low, mid)
+        return low
+
+
+def _ranges(groups: DataFrame, bits: int, within: list[int] | None = None, outer: int = 0) -> list[Range]:
+    """Sums of the ranges of ``bits`` bits; with ``within``, only of those inside these ranges of ``outer`` bits."""
+    if within is not None:
+        groups = groups.where(F.shiftright("h", HASH_BITS - outer).isin([first >> (HASH_BITS - outer) for first in within]))
+    first = F.shiftleft(F.shiftright("h", HASH_BITS - bits), HASH_BITS - bits).alias("first")
+    rows = groups.groupBy(first).agg(F.sum("bytes").alias("size"), F.count("*").alias("groups"), F.max("bytes").alias("most")).collect()
+    return sorted(Range(r["first"], bits, r["size"], r["groups"], r["most"]) for r in rows)
+
+
+def minimax_cuts(groups: DataFrame, shards: int) -> tuple[dict[int, int], list[tuple[int, int]]]:
+    """Shards of the heaviest groups by hash, and for the others (hash, shard) wherever another shard begins.
+
+    ``groups`` holds (h, bytes), one row a group. The largest shard is the smallest that any contiguous partition has,
+    where a group above the others' capacity has a shard alone. Fewer groups than shards leave the last shards empty.
     """
-    capacity = settle(_listed(units).select(_capacity(F.lit(shards)).alias("capacity"))).first()["capacity"]
-    over = F.col("bytes") > capacity
-    # At most UNITS rows; a unit above the capacity is a stretch of its own.
-    before = F.sum(over.cast("int")).over(W.orderBy("unit"))
-    stretches = settle(_listed(units.withColumn("stretch", 2 * before - over.cast("int")), "stretch"))
-    rows = stretches.select("stretch", "total", F.size("ids").alias("units"), _greedy(F.lit(capacity)).alias("used")).collect()
-    used = {r["stretch"]: r["used"] for r in rows}
-    for _ in range(shards - sum(used.values())):
-        able = [r for r in rows if used[r["stretch"]] < r["units"]]
-        if able:
-            used[max(able, key=lambda r: (r["total"] / used[r["stretch"]], -r["stretch"]))["stretch"]] += 1
-    if not used:
-        return []
-    given = F.element_at(F.create_map(*[F.lit(x) for pair in used.items() for x in pair]), F.col("stretch"))
-    settled = settle(stretches.withColumn("given", given).withColumn("capacity", _capacity(F.col("given"))))
-
-    start = F.struct(F.lit(0).cast("long").alias("fill"), F.array().cast("array<int>").alias("cuts"))
-
-    def cut(acc: Column, x: Column) -> Column:
-        fits = (acc["fill"] > 0) & (acc["fill"] + x["sums"] <= F.col("capacity"))
-        return F.struct(
-            F.when(fits, acc["fill"] + x["sums"]).otherwise(x["sums"]).alias("fill"),
-            F.when(fits, acc["cuts"]).otherwise(F.concat(acc["cuts"], F.array(x["ids"].cast("int")))).alias("cuts"),
-        )
-
-    firsts = settled.select(F.aggregate(F.arrays_zip("ids", "sums"), start, cut, lambda acc: acc["cuts"]).alias("cuts")).collect()
-    return sorted(x for r in firsts for x in r["cuts"])[1:]
+    heavy = groups.orderBy(F.desc("bytes"), "h").limit(shards).collect()
+    rest = groups.where(~F.col("h").isin([r["h"] for r in heavy])) if heavy else groups
+    sizes = [r["bytes"] for r in heavy]
+    ranges = _ranges(rest, RANGE_BITS)
+    while True:
+        line = Line(sizes, ranges)
+        low = line.least(shards, line.free, max((r.most for r in ranges), default=0))
+        high = line.least(shards, line.whole, low)
+        if low == high:
+            break
+        # The cuts of the best capacity lie between the surest ones with ``low`` and the freest ones with ``high``.
+        open_: set[int] = set()
+        near = far = 0
+        for _ in range(shards):
+            near, far = line.after(near, low, line.sure), line.after(far, high, line.free)
+            open_.update(i - len(sizes) for i in range(line.item(near), line.item(far) + 1) if not line.atomic[i])
+        bits = min(ranges[i].bits for i in open_)
+        now = set(sorted((i for i in open_ if ranges[i].bits == bits), key=lambda i: -ranges[i].size)[:MOST_OPEN])
+        finer = _ranges(rest, min(HASH_BITS, bits + FINER_BITS), [ranges[i].first for i in now], bits)
+        ranges = sorted([r for i, r in enumerate(ranges) if i not in now] + finer)
+    return _numbered(line, [r["h"] for r in heavy], ranges, high, shards)
+
+
+def _numbered(line: Line, heavy: list[int], ranges: list[Range], capacity: int, shards: int) -> tuple[dict[int, int], list[tuple[int, int]]]:
+    """Items to shards: lone groups by their place, the others by the greedy cuts with ``capacity``."""
+    alone = line.alone(capacity)
+    ends = line.cuts(capacity, shards, line.whole) or []
+    # Shards that the greedy pass did not need halve the largest ones that can be cut.
+    for _ in range(shards - alone - len(ends)):
+        halves = []
+        for a, b in zip([line.ends[alone], *ends], ends):
+            i, j = bisect_right(line.ends, a) - 1, bisect_right(line.ends, b) - 1
+            if j - i > 1:
+                halves.append((a - b, min(line.ends[i + 1 : j], key=lambda x: abs(2 * x - a - b))))
+        if not halves:
+            break
+        ends = sorted([*ends, min(halves)[1]])
+    of_heavy, begins = {}, []
+    for i in range(len(line.size)):
+        shard = i if i < alone else alone + bisect_right(ends, line.ends[i])
+        if i < len(heavy):
+            of_heavy[heavy[i]] = shard
+        elif not begins or begins[-1][1] != shard:
+            begins.append((ranges[i - len(heavy)].first, shard))
+    return of_heavy, begins
 
 
 def shard_documents(df: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -91,32 +170,35 @@ def shard_documents(df: DataFrame, shards: int = 40, id_col: str = "doc_id", tex
 
     Size is the UTF-8 bytes of the text plus 16; null text counts none. Equal texts share a shard; slots run from 0
     without a gap. A null id is placed like any other, repeated rows each get a slot, an empty table gives an empty
-    result, and other columns are not read.
+    result, and other columns are not read. Very long texts are groups like others. Different texts that share the first
+    ``HASH_BITS`` bits of their hash are one group.
     """
     text = text_or_empty(text_col)
-    unit = F.conv(F.substring(F.md5(text.cast("binary")), 1, 4), 16, 10).cast("int")
     rows = settle(
         df.select(
             F.col(f"`{id_col}`").alias("_ls_id"),
             (F.octet_length(text) + 16).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
-            unit.alias("unit"),
+            F.conv(F.substring(F.md5(text.cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long").alias("h"),
+            F.monotonically_increasing_id().alias("row"),
         )
     )
-    units = settle(rows.groupBy("unit").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")))
-    cuts = minimax_cuts(units, shards)
+    groups = settle(rows.groupBy("h").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")))
+    of_heavy, begins = minimax_cuts(groups, shards)
     shard = F.lit(0)
-    for i, first in enumerate(cuts):
-        shard = F.when(F.col("unit") >= first, i + 1).otherwise(shard)
-    # Rows of a shard are numbered chunk by chunk; chunks follow the hash of the id, so a hot text is spread over all of them.
-    per_shard = {r["shard"]: r["n"] for r in units.withColumn("shard", shard).groupBy("shard").agg(F.sum("n").alias("n")).collect()}
+    for first, number in begins:
+        shard = F.when(F.col("h") >= first, number).otherwise(shard)
+    for h, number in of_heavy.items():
+        shard = F.when(F.col("h") == h, number).otherwise(shard)
+    # Rows of a shard are numbered chunk by chunk; chunks follow a hash of the row, so a hot text or id is spread over all.
+    per_shard = {r["shard"]: r["n"] for r in groups.withColumn("shard", shard).groupBy("shard").agg(F.sum("n").alias("n")).collect()}
     chunks = F.element_at(F.array(*[F.lit(max(1, -(-per_shard.get(s, 0) // CHUNK_ROWS))) for s in range(shards)]), F.col("shard") + 1)
-    placed = settle(rows.withColumn("shard", shard.cast("int")).withColumn("chunk", F.pmod(F.xxhash64(F.lit("slot"), "_ls_id", "text_crc32"), chunks.cast("long"))))
+    placed = settle(rows.withColumn("shard", shard.cast("int")).withColumn("chunk", F.pmod(F.xxhash64(F.lit("slot"), "row"), chunks.cast("long"))))
     before = W.partitionBy("shard").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
     offsets = settle(
         placed.groupBy("shard", "chunk").agg(F.count("*").alias("n")).select("shard", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     )
-    nth = F.row_number().over(W.partitionBy("shard", "chunk").orderBy(F.col("_ls_id").asc_nulls_last(), "text_crc32", "size"))
+    nth = F.row_number().over(W.partitionBy("shard", "chunk").orderBy("row"))
     return (
         placed.withColumn("nth", nth)
         .join(offsets, ["shard", "chunk"])

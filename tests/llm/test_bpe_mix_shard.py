@@ -118,29 +118,37 @@ def test_mixed_documents_repeat_whole_rows(awkward):
 # --- sharding ---------------------------------------------------------------------------------------------------------
 
 
-def brute_capacity(sums, shards):
-    def needed(capacity):
-        used, fill = 1, 0
+def brute_shards(groups, shards):
+    """Sizes of the shards with the smallest capacity: heavy groups first, those above the capacity alone."""
+    heavy = sorted(groups, key=lambda g: (-g[1], g[0]))[:shards]
+    sums = [x for _, x in heavy] + [x for g in sorted(groups) if g not in set(heavy) for x in [g[1]]]
+    for capacity in range(sum(sums) + 1):
+        found = [0]
         for x in sums:
-            if fill + x > capacity:
-                used, fill = used + 1, 0
-            fill += x
-        return used
+            if found[-1] and found[-1] + x > capacity:
+                found.append(0)
+            found[-1] += x
+        if len(found) <= shards:
+            return capacity, found
 
-    capacity = max([0, *sums])
-    while needed(capacity) > shards:
-        capacity += 1
-    return capacity
 
-
-@pytest.mark.parametrize("seed", range(4))
-def test_minimax_cuts_are_the_best(spark, seed):
+@pytest.mark.parametrize("seed", range(5))
+def test_cuts_are_minimax_over_more_groups_than_ranges(spark, monkeypatch, seed):
+    monkeypatch.setattr(sharding, "RANGE_BITS", 4)
+    monkeypatch.setattr(sharding, "FINER_BITS", 2)
     draw = random.Random(seed)
-    sums = [draw.randint(1, 60) if draw.random() < 0.9 else 400 for _ in range(70)]
-    units = spark.createDataFrame([(3 * i, x) for i, x in enumerate(sums)], "unit int, bytes bigint")
-    cuts = sharding.minimax_cuts(units, 8)
-    largest = [sum(x for i, x in enumerate(sums) if a <= 3 * i < b) for a, b in zip([0, *cuts], [*cuts, 10_000])]
-    assert len(cuts) <= 7 and max(largest) == brute_capacity(sums, 8)
+    sizes = [draw.randint(1, 60) if draw.random() < 0.97 else draw.randint(100, 900) for _ in range(800)]
+    if seed % 2:
+        sizes[5] = 30_000  # more than a shard
+    groups = [(h, x) for h, x in zip(draw.sample(range(1 << 60), 800), sizes)]
+    of_heavy, begins = sharding.minimax_cuts(spark.createDataFrame(groups, "h bigint, bytes bigint"), 8)
+    found = defaultdict(int)
+    for h, x in groups:
+        found[of_heavy.get(h, next((s for first, s in reversed(begins) if h >= first), 0))] += x
+    capacity, _ = brute_shards(groups, 8)
+    alone = [x for _, x in groups if x > capacity]
+    assert sorted(found) == list(range(8)) and sorted(found.values())[8 - len(alone) :] == sorted(alone)
+    assert max(sorted(found.values())[: 8 - len(alone)]) == capacity
 
 
 def test_shards_keep_equal_texts_together_and_slots_gapless(spark, awkward, empty):
@@ -161,16 +169,25 @@ def test_shards_keep_equal_texts_together_and_slots_gapless(spark, awkward, empt
     assert all(r["n"] == r["m"] + 1 == r["k"] for r in placed)
 
 
-def test_a_hot_unit_leaves_the_other_shards_even(spark):
-    sums = [10] * 2000
-    sums[700], sums[900] = 10_000, 800
-    units = spark.createDataFrame(list(enumerate(sums)), "unit int, bytes bigint")
-    cuts = sharding.minimax_cuts(units, 40)
-    sizes = [sum(sums[a:b]) for a, b in zip([0, *cuts], [*cuts, 2000])]
-    assert len(sizes) == 40 and sorted(sizes)[-2:] == [800, 10_000]
-    # The last shard of a stretch is short by what the others are rounded up, less than one unit of 10 each.
-    assert max(sorted(sizes)[:-2]) < 600 and min(sizes) > 600 - 26 * 10
-    assert sharding.minimax_cuts(units.limit(0), 40) == []
+def test_a_hot_text_leaves_the_other_shards_even_and_few_groups_leave_some_empty(spark):
+    sizes = [10] * 2000
+    sizes[700], sizes[900] = 10_000, 800
+    groups = [(i << 48, x) for i, x in enumerate(sizes)]
+    frame = spark.createDataFrame(groups, "h bigint, bytes bigint")
+    of_heavy, begins = sharding.minimax_cuts(frame, 40)
+    found = defaultdict(int)
+    for h, x in groups:
+        found[of_heavy.get(h, next((s for first, s in reversed(begins) if h >= first), 0))] += x
+    assert sorted(found) == list(range(40)) and sorted(found.values())[-2:] == [800, 10_000]
+    assert max(sorted(found.values())[:-2]) <= 530 and min(found.values()) >= 250
+    assert sharding.minimax_cuts(frame.limit(0), 40) == ({}, [])
+    assert sorted(sharding.minimax_cuts(frame.limit(3), 40)[0].values()) == [0, 1, 2]
+
+
+def test_rows_of_one_id_and_text_are_spread_over_chunks(spark):
+    hot = spark.range(5000).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit("same").alias("text"))
+    found = sharding.shard_documents(hot, 4).collect()
+    assert len({r["shard"] for r in found}) == 1 and sorted(r["slot"] for r in found) == list(range(5000))
 
 
 # --- the pipeline -----------------------------------------------------------------------------------------------------
