@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestream.llm.common import read_table, text_or_empty
+from lodestream.llm.common import read_table, readable_text
 
 WIDE = 64
 CACHE_WORDS = 300_000
@@ -292,7 +292,7 @@ def bpe_encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vo
     gives an empty result. ``vocabulary`` must be readable at the same path on every executor.
     """
     path = vocabulary or default_vocabulary()
-    rows = df.select(F.col(f"`{id_col}`").alias("_ls_id"), text_or_empty(text_col).alias("_ls_text"))
+    rows = df.select(F.col(f"`{id_col}`").alias("_ls_id"), readable_text(text_col).alias("_ls_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(path)

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestream.llm.common import held_out, read_table, text_or_empty
+from lodestream.llm.common import held_out, read_table, readable_text
 
 DIMENSIONS = 512
 SEED = 42
@@ -93,7 +93,7 @@ def _slices(batch: pa.RecordBatch, column: int, size: int = 2_000_000) -> Iterat
 
 def profiles(df: DataFrame, lang_col: str = "lang", text_col: str = "text") -> dict[str, np.ndarray]:
     """The prototype of each language: the sum of the vectors of all its documents. Null languages are left out."""
-    rows = df.where(F.col(f"`{lang_col}`").isNotNull()).select(F.col(f"`{lang_col}`").cast("string").alias("lang"), text_or_empty(text_col).alias("text"))
+    rows = df.where(F.col(f"`{lang_col}`").isNotNull()).select(F.col(f"`{lang_col}`").cast("string").alias("lang"), readable_text(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         draw, sums = Letters(), {}
@@ -130,7 +130,7 @@ def identify(df: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "do
     """
     names = sorted(prototypes)
     matrix = np.array([prototypes[x] / (np.linalg.norm(prototypes[x]) or 1.0) for x in names]).reshape(-1, DIMENSIONS).astype(np.float32)
-    rows = df.select(F.col(f"`{id_col}`").alias("_ls_id"), text_or_empty(text_col).alias("_ls_text"))
+    rows = df.select(F.col(f"`{id_col}`").alias("_ls_id"), readable_text(text_col).alias("_ls_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         draw = Letters()

@@ -1,10 +1,12 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine, found with a block-max inverted index.
 
-Terms are words and their first letters (three to six), so that unseen words that are built on a learned stem count too.
-Of all terms those are kept that a bounded sample of labelled rows ties to the label. Their document frequencies are
-counted over all documents. Examples with equal vectors are one entry of the index with the votes of all. Entries lie in
-blocks; each term keeps the largest weight it has in each block, so the sum over a query's terms bounds every cosine in
-the block, and blocks that cannot reach the k-th best are never opened: the neighbours are exact.
+Terms are the words of a bounded sample of labelled rows, all of them; their document frequencies are counted over all
+documents. A term weighs (1 + log tf) x idf x relevance. Relevance, from 0.1 to 1, grows with how surely the share of
+examples that hold the term differs between the classes; without it the rare words of a text, which say nothing about its
+label, decide who its neighbours are. Examples with equal vectors are one entry of the index with the votes of all.
+
+Entries lie in blocks; each term keeps the largest weight it has in each block, so the sum over a query's terms bounds
+every cosine in the block, and blocks that cannot reach the k-th best are never opened: the neighbours are exact.
 
 Votes are weighted by 1 / (distance + ``SOFT``) and by class, so that they reflect the labelled rows and not the balanced
 sample; leave-one-out votes of the examples calibrate them (pooled adjacent violators). Entries and their cosines are
@@ -13,10 +15,7 @@ returned as evidence.
 
 from __future__ import annotations
 
-import math
 import re
-import sys
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,131 +24,98 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestream.llm.common import held_out, labelled_sample, one_label, read_table, text_or_empty
+from lodestream.llm.common import held_out, labelled_sample, one_label, read_table, readable_text
 
 #: Bounds the labelled rows of either class that are learned from.
 PER_CLASS = 2000
 NEIGHBOURS = 25
 BLOCK = 32
 SOFT = 0.1
-STEMS = range(3, 7)
-LEAST_ROWS, LEAST_Z = 5, 6.0
-#: Places of a term count as evidence of their own only if their neighbours differ, as they do not in copies of a passage.
-LEAST_PLACES, LEAST_PLACES_A_ROW = 5, 0.4
-CACHE_WORDS = 400_000
-WORD = re.compile(r"[^\W_]+")
-MARKS = ".,;:!?()[]{}\"'*_-"
-
-
-def words_of(token: str) -> list[str]:
-    """Lower-case words of a run without white space; most runs are one word with some punctuation."""
-    word = token.strip(MARKS).lower()
-    return [word] if word.isalnum() else WORD.findall(word)
+#: Standard errors of a class difference at which a term has about half of its full relevance.
+SURE = 3.0
+FIRST_BLOCKS = 8
+words_of = re.compile(r"[^\W_]+").findall
 
+Example = tuple[int, str, int]
 
-def terms_of(token: str) -> set[str]:
-    """Terms of a run without white space: its words, and the stems that begin them (marked with ``^``)."""
-    out = set()
-    for word in words_of(token):
-        out.add(word)
-        out.update("^" + word[:n] for n in STEMS if len(word) >= n)
-    return out
 
+class Terms:
+    """Places of the terms, and their counts in a text."""
 
-class Terms(dict):
-    """Token -> places of its selected terms; filled on demand and emptied when full."""
-
-    def __init__(self, place: dict[str, int]):
-        super().__init__()
-        self.place = place
-        # Whatever a term is, its first letters are those of its words: other words need no closer look.
-        self.heads = {t.removeprefix("^")[: STEMS[0]] for t in place}
+    def __init__(self, terms: list[str]):
+        self.place = {t: i for i, t in enumerate(terms)}
 
-    def __missing__(self, token: str) -> tuple[int, ...]:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        found = ()
-        if any(w[: STEMS[0]] in self.heads for w in words_of(token)):
-            found = tuple(sorted(self.place[t] for t in terms_of(token) if t in self.place))
-        self[token] = found
-        return found
+    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Places of a text's terms, ascending, and how often each occurs."""
+        found = map(self.place.get, words_of(text.lower()))
+        at = np.fromiter((i for i in found if i is not None), dtype=np.int64)
+        return np.unique(at, return_counts=True)
 
-    def counts(self, text: str) -> Counter:
-        return Counter(i for places in map(self.__getitem__, text.split()) if places for i in places)
 
+def vocabulary(examples: list[Example]) -> list[str]:
+    """Every word of the examples, by name."""
+    return sorted({w for _, text, _ in examples for w in words_of(text.lower())})
 
-def hash_of(left: str, right: str) -> int:
-    return zlib.crc32(f"{left} {right}".encode())
 
+def relevance(examples: list[Example], terms: Terms) -> np.ndarray:
+    """0.1 for a term whose share of examples is the same in both classes, up to 1 the surer it differs.
 
-def select_terms(examples: list[tuple[int, str, int]]) -> list[str]:
-    """Terms whose share of rows differs between the classes by ``LEAST_Z`` standard errors and more, by name."""
-    rows = [Counter(), Counter()]
-    total = [0, 0]
-    cache: dict[str, tuple[str, ...]] = {}
+    Examples with the same words count once, so copies prove nothing.
+    """
+    n = len(terms.place)
+    rows, total, seen = np.zeros((2, n)), [0, 0], set()
     for _, text, label in examples:
-        total[label] += 1
-        found = set()
-        for token in set(text.split()):
-            known = cache.get(token)
-            if known is None:
-                known = cache[token] = tuple(map(sys.intern, terms_of(token)))
-            found.update(known)
-        rows[label].update(found)
+        at, _ = terms.counts(text)
+        key = at.tobytes(), label
+        if key not in seen:
+            seen.add(key)
+            rows[label, at] += 1
+            total[label] += 1
     if not all(total):
-        return []
-    n0, n1 = total
-    kept = []
-    for term in rows[0].keys() | rows[1].keys():
-        a, b = rows[0][term], rows[1][term]
-        if a + b < LEAST_ROWS:
-            continue
-        p = (a + b) / (n0 + n1)
-        error = math.sqrt(p * (1 - p) * (1 / n0 + 1 / n1))
-        if error and abs(b / n1 - a / n0) >= LEAST_Z * error:
-            kept.append(term)
-    places: dict[str, set[int]] = {t: set() for t in kept}
-    hit = {token: terms for token, found in cache.items() if (terms := [t for t in found if t in places])}
-    del cache
-    for _, text, _ in examples:
-        tokens = ["", *text.split(), ""]
-        for i, token in enumerate(tokens):
-            for term in hit.get(token, ()):
-                places[term].add(hash_of(tokens[i - 1], tokens[i + 1]))
-    return sorted(t for t in kept if len(places[t]) >= max(LEAST_PLACES, LEAST_PLACES_A_ROW * (rows[0][t] + rows[1][t])))
+        return np.ones(n)
+    share = rows.sum(axis=0) / sum(total)
+    error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / total[0] + 1 / total[1]))
+    z = (rows[1] / total[1] - rows[0] / total[0]) / error
+    return (1 + z * z) / (1 + SURE * SURE + z * z)
 
 
 def document_frequencies(df: DataFrame, text_col: str, terms: list[str]) -> tuple[int, np.ndarray]:
     """Rows of the whole table, and for each term the rows that hold it: counted in each task, then summed."""
-    place = {t: i for i, t in enumerate(terms)}
+    names = terms
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool, found, rows = Terms(place), np.zeros(len(place) + 1, dtype=np.int64), 0
+        place = {t: i for i, t in enumerate(names)}
+        found, rows = np.zeros(len(names) + 1, dtype=np.int64), 0
         for batch in batches:
             for text in batch.column(0):
-                for i in tool.counts(text.as_py()):
-                    found[i] += 1
+                at = [i for i in map(place.get, set(words_of(text.as_py().lower()))) if i is not None]
+                found[at] += 1
             rows += batch.num_rows
         found[-1] = rows
         at = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(found[at])], names=["term", "n"])
 
-    counted = df.select(text_or_empty(text_col).alias("t")).mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    counted = df.select(readable_text(text_col).alias("t")).mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     found = np.zeros(len(terms) + 1, dtype=np.int64)
-    for r in counted:
-        found[r["term"]] = r["n"]
+    found[counted["term"].to_numpy()] = counted["n"].to_numpy()
     return int(found[-1]), found[:-1]
 
 
+def _spans(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... for length[0] numbers, then those of start[1], and so on."""
+    return np.repeat(start - np.r_[0, np.cumsum(length)[:-1]], length) + np.arange(length.sum())
+
+
 class BlockMaxIndex:
     """Entries (sparse unit vectors) in blocks, with the largest weight of each term in each block."""
 
-    def __init__(self, vectors: list[dict[int, float]], terms: int):
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int):
         self.size = len(vectors)
-        posting = sorted((t, e, w) for e, v in enumerate(vectors) for t, w in v.items())
-        self.entry = np.array([e for _, e, _ in posting], dtype=np.int64)
-        self.weight = np.array([w for _, _, w in posting])
-        term = np.array([t for t, _, _ in posting], dtype=np.int64)
+        entry = np.repeat(np.arange(self.size), [len(t) for t, _ in vectors])
+        term = np.concatenate([t for t, _ in vectors]) if vectors else np.zeros(0, dtype=np.int64)
+        weight = np.concatenate([w for _, w in vectors]) if vectors else np.zeros(0)
+        order = np.lexsort((entry, term))
+        self.entry, self.weight, term = entry[order], weight[order], term[order]
         # One run for each (term, block): where its postings start, and their largest weight.
         new = np.r_[True, (term[1:] != term[:-1]) | (self.entry[1:] // BLOCK != self.entry[:-1] // BLOCK)] if len(term) else np.zeros(0, dtype=bool)
         self.run_start = np.r_[np.flatnonzero(new), len(term)]
@@ -158,95 +124,95 @@ class BlockMaxIndex:
         self.term_runs = np.searchsorted(term[self.run_start[:-1]], np.arange(terms + 1))
         self.blocks = -(-self.size // BLOCK)
 
-    def nearest(self, query: dict[int, float], k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k entries of the largest cosine (ties: smallest entry), cosine above 0, and those cosines."""
-        bound = np.zeros(self.blocks)
-        runs, weights = [], []
-        for t, q in query.items():
-            at = np.arange(self.term_runs[t], self.term_runs[t + 1])
-            bound[self.run_block[at]] += q * self.run_max[at]
-            runs.append(at)
-            weights.append(np.full(len(at), q))
-        if not runs:
+        first = self.term_runs[terms]
+        length = self.term_runs[terms + 1] - first
+        run, q = _spans(first, length), np.repeat(weights, length)
+        if not len(run):
             return np.zeros(0, dtype=np.int64), np.zeros(0)
-        run, q = np.concatenate(runs), np.concatenate(weights)
-        by_block = np.argsort(self.run_block[run], kind="stable")
-        run, q = run[by_block], q[by_block]
+        block = self.run_block[run]
+        bound = np.bincount(block, q * self.run_max[run], self.blocks)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        score = np.zeros(self.size)
-        opened, step, least = 0, 8, 0.0
-        best = np.zeros(0, dtype=np.int64)
+        opened, step, least = 0, FIRST_BLOCKS, 0.0
+        best, cosine = np.zeros(0, dtype=np.int64), np.zeros(0)
+        now = np.zeros(self.blocks, dtype=bool)
         while opened < len(order) and bound[order[opened]] >= least - 1e-12:
-            now = np.sort(order[opened : opened + step])
-            opened, step = opened + step, step * 2
-            lo, hi = np.searchsorted(self.run_block[run], now), np.searchsorted(self.run_block[run], now, side="right")
-            picked = np.concatenate([np.arange(a, b) for a, b in zip(lo, hi)])
-            start, end = self.run_start[run[picked]], self.run_start[run[picked] + 1]
-            length = end - start
-            at = np.repeat(start - np.r_[0, np.cumsum(length)[:-1]], length) + np.arange(length.sum())
-            np.add.at(score, self.entry[at], np.repeat(q[picked], length) * self.weight[at])
-            entries = (now[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            entries = entries[(entries < self.size) & (entries != without)]
-            best = np.concatenate([best, entries[score[entries] > 0]])
-            best = best[np.lexsort((best, -score[best].round(12)))][:k]
-            least = score[best[-1]] if len(best) == k else 0.0
-        return best, np.minimum(score[best], 1.0)
+            reach = order[opened : opened + step]
+            reach = reach[bound[reach] >= least - 1e-12]
+            opened, step = opened + step, step * 4
+            now[:] = False
+            now[reach] = True
+            mine = now[block]
+            start = self.run_start[run[mine]]
+            size = self.run_start[run[mine] + 1] - start
+            at = _spans(start, size)
+            score = np.bincount(self.entry[at], np.repeat(q[mine], size) * self.weight[at], self.size)
+            if without >= 0:
+                score[without] = 0.0
+            more = np.flatnonzero(score > max(0.0, least - 1e-12))
+            best, cosine = np.concatenate([best, more]), np.concatenate([cosine, score[more]])
+            first_k = np.lexsort((best, -cosine.round(12)))[:k]
+            best, cosine = best[first_k], cosine[first_k]
+            least = cosine[-1] if len(best) == k else 0.0
+        return best, np.minimum(cosine, 1.0)
 
 
 def pooled(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Points of the rising step function nearest to (x, y) with weights w (pooled adjacent violators)."""
+    """Levels of the rising step function nearest to (x, y) with weights w (pooled adjacent violators), at their mean x."""
     order = np.argsort(x, kind="stable")
-    stack: list[list[float]] = []  # value, weight, first x, last x
+    stack: list[list[float]] = []  # value, weight, mean x, last x
     for i in order:
         stack.append([y[i], w[i], x[i], x[i]])
         while len(stack) > 1 and (stack[-2][0] >= stack[-1][0] or stack[-2][3] == stack[-1][2]):
-            v, u, _, last = stack.pop()
+            v, u, mean, last = stack.pop()
             top = stack[-1]
-            top[0], top[1], top[3] = (top[0] * top[1] + v * u) / (top[1] + u), top[1] + u, last
-    return np.array([p for s in stack for p in (s[2], s[3])]), np.array([s[0] for s in stack for _ in (0, 1)])
+            both = top[1] + u
+            top[:] = [(top[0] * top[1] + v * u) / both, both, (top[2] * top[1] + mean * u) / both, last]
+    return np.array([s[2] for s in stack]), np.array([s[0] for s in stack])
 
 
 class Model:
     """Learned from examples (id, text, label), document frequencies over the corpus, and the labelled rows of each class."""
 
-    def __init__(self, examples: list[tuple[int, str, int]], terms: list[str], rows: int, frequency: np.ndarray, labelled: tuple[int, int]):
-        self.place = {t: i for i, t in enumerate(terms)}
-        self.idf = np.log((1 + rows) / (1 + frequency)) + 1.0 if terms else np.zeros(0)
-        self.tool = None
-        tool = Terms(self.place)
+    def __init__(self, examples: list[Example], terms: list[str], rows: int, frequency: np.ndarray, labelled: tuple[int, int]):
+        self.terms = Terms(terms)
+        self.weight = (np.log((1 + rows) / (1 + frequency)) + 1.0) * relevance(examples, self.terms) if terms else np.zeros(0)
         sampled = [max(1, sum(y == c for _, _, y in examples)) for c in (0, 1)]
-        self.class_weight = [n / s for n, s in zip(labelled, sampled)]
+        self.class_weight = np.array([n / s for n, s in zip(labelled, sampled)])
         self.prior = (labelled[1] + 0.5) / (sum(labelled) + 1) if sum(labelled) else 0.5
-        merged: dict[tuple, list] = {}
+        merged: dict[bytes, list] = {}
         for i, text, label in examples:
-            vector = self.vector(tool.counts(text))
-            entry = merged.setdefault(tuple(sorted((t, round(w, 12)) for t, w in vector.items())), [vector, 0, 0, i])
-            entry[1 + label] += 1
-        none = merged.pop((), [{}, 0, 0, None])
+            vector = self.vector(text)
+            entry = merged.setdefault(vector[0].tobytes() + vector[1].round(12).tobytes(), [vector, [0, 0], i])
+            entry[1][label] += 1
+        none = merged.pop(b"", [None, [0, 0], None])[1]
         # Entries that share their heaviest terms lie together, which makes the blocks' bounds tight.
-        entries = sorted(merged.values(), key=lambda e: (sorted(e[0].items(), key=lambda x: (-x[1], x[0]))[:3], e[3]))
+        heaviest = lambda v: v[0][np.lexsort((v[0], -v[1]))[:3]].tolist()
+        entries = sorted(merged.values(), key=lambda e: (heaviest(e[0]), e[2]))
         self.vectors = [e[0] for e in entries]
-        self.votes = np.array([[e[1] * self.class_weight[0], e[2] * self.class_weight[1]] for e in entries]).reshape(-1, 2)
-        self.counts = np.array([[e[1], e[2]] for e in entries], dtype=np.int64).reshape(-1, 2)
-        self.ids = [e[3] for e in entries]
-        self.none = np.array([none[1] * self.class_weight[0], none[2] * self.class_weight[1]])
+        self.counts = np.array([e[1] for e in entries], dtype=np.int64).reshape(-1, 2)
+        self.votes = self.counts * self.class_weight
+        self.ids = [e[2] for e in entries]
+        self.none = np.array(none) * self.class_weight
         self.index = BlockMaxIndex(self.vectors, len(terms))
         self.curve = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
         self.calibrate()
 
-    def vector(self, counts: Counter) -> dict[int, float]:
-        v = {t: (1 + math.log(n)) * self.idf[t] for t, n in counts.items()}
-        norm = math.sqrt(sum(x * x for x in v.values()))
-        return {t: x / norm for t, x in v.items()} if norm else {}
+    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """A text's terms, ascending, and their weights, of length 1."""
+        at, count = self.terms.counts(text)
+        w = (1 + np.log(count)) * self.weight[at]
+        return at, w / np.sqrt((w * w).sum()) if len(w) else w
 
-    def vote(self, vector: dict[int, float], without: int = -1, label: int = 0) -> tuple[float, np.ndarray, np.ndarray]:
+    def vote(self, vector: tuple[np.ndarray, np.ndarray], without: int = -1, label: int = 0) -> tuple[float, np.ndarray, np.ndarray]:
         """Weighted share of votes for label 1 among the neighbours; ``without`` leaves one vote of that entry out."""
-        if not vector:
+        if not len(vector[0]):
             pro, all_ = self.none[1], self.none.sum()
             return (pro + self.prior) / (all_ + 1), np.zeros(0, dtype=np.int64), np.zeros(0)
         drop = without if without >= 0 and self.counts[without].sum() == 1 else -1
-        at, cosine = self.index.nearest(vector, NEIGHBOURS, drop)
+        at, cosine = self.index.nearest(*vector, NEIGHBOURS, drop)
         votes = self.votes[at]
         if without >= 0 and drop < 0:
             votes = votes - (at == without)[:, None] * np.eye(2)[label] * self.class_weight[label]
@@ -262,20 +228,19 @@ class Model:
                     x.append(self.vote(vector, e, label)[0])
                     y.append(label)
                     w.append(n * self.class_weight[label])
+        nothing = np.zeros(0, dtype=np.int64), np.zeros(0)
         for label in (0, 1):
             if self.none[label]:
-                x.append(self.vote({})[0])
+                x.append(self.vote(nothing)[0])
                 y.append(label)
                 w.append(self.none[label])
         if len(set(y)) == 2:
-            # Ends that a few examples alone speak for are drawn a little towards the middle.
             px, py = pooled(np.array(x), np.array(y, dtype=float), np.array(w))
-            self.curve = (np.r_[0.0, px, 1.0], np.clip(np.r_[py[0], py, py[-1]], 0.001, 0.999))
+            # Between the levels the curve rises in straight lines; its ends leave room for votes beyond all examples.
+            self.curve = (np.r_[0.0, px, 1.0], np.r_[0.0, np.clip(py, 0.001, 0.999), 1.0])
 
     def score(self, text: str) -> tuple[float, list[str]]:
-        if self.tool is None:
-            self.tool = Terms(self.place)
-        raw, at, cosine = self.vote(self.vector(self.tool.counts(text)))
+        raw, at, cosine = self.vote(self.vector(text))
         evidence = [f"{self.ids[e]}:{int(self.votes[e, 1] > self.votes[e, 0])}:{c:.4f}" for e, c in zip(at[:3], cosine[:3])]
         return float(np.interp(raw, *self.curve)), evidence
 
@@ -284,7 +249,7 @@ def fit(df: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str
     """Learn from at most ``per_class`` labelled rows of either class; frequencies are counted over all of ``df``."""
     examples = labelled_sample(df, labels, label_col, per_class, id_col, text_col)
     counted = dict(one_label(labels, id_col, label_col).where(~held_out("_ls_id")).groupBy("_ls_label").count().collect())
-    terms = select_terms(examples)
+    terms = vocabulary(examples)
     rows, frequency = document_frequencies(df, text_col, terms) if terms else (0, np.zeros(0, dtype=np.int64))
     return Model(examples, terms, rows, frequency, (counted.get(0, 0), counted.get(1, 0)))
 
@@ -292,10 +257,12 @@ def fit(df: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str
 def toxicity(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, score, predicted (1 if score >= 0.5) and evidence (``example id:label:cosine``, at most 3).
 
-    Null and empty texts, and texts without a selected term, get the calibrated share of such examples; without any
-    labels the score is the prior. Ids may be null or repeat; other columns are not read.
+    Null and empty texts, and texts without a word of the examples, get the calibrated share of such examples; without
+    any labels the score is the prior. Ids may be null or repeat, rows of one text have one score, very long texts are
+    scored whole; bytes that are not UTF-8 count as U+FFFD. Other columns are not read; an empty table gives an empty
+    result.
     """
-    rows = df.select(F.col(f"`{id_col}`").alias("_ls_id"), text_or_empty(text_col).alias("_ls_text"))
+    rows = df.select(F.col(f"`{id_col}`").alias("_ls_id"), readable_text(text_col).alias("_ls_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -311,14 +278,18 @@ def toxicity(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def drop_toxic(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``df`` without the rows that the model predicts toxic; columns unchanged, no join, null ids stay as they are."""
-    at = df.columns.index(text_col)
+    """``df`` without the rows that the model predicts toxic; columns unchanged, no join, null ids stay as they are.
+
+    Null and empty texts are scored as in ``toxicity``; repeated rows share their fate; an empty table stays empty.
+    """
+    names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([model.score(t.as_py() or "")[0] < 0.5 for t in batch.column(at)], pa.bool_()))
+            keep = pa.array([model.score(t.as_py())[0] < 0.5 for t in batch.column(len(names))], pa.bool_())
+            yield batch.select(list(range(len(names)))).filter(keep)
 
-    return df.mapInArrow(run, df.schema)
+    return df.select("*", readable_text(text_col).alias("_ls_text")).mapInArrow(run, df.schema)
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:

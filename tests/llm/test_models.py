@@ -1,3 +1,4 @@
+import re
 import zlib
 from collections import Counter
 
@@ -65,16 +66,16 @@ def test_block_max_search_is_exact():
     draw = np.random.default_rng(1)
     vectors = []
     for _ in range(500):
-        terms = draw.choice(40, draw.integers(1, 8), replace=False)
+        terms = np.sort(draw.choice(40, draw.integers(1, 8), replace=False))
         w = draw.random(len(terms))
-        vectors.append(dict(zip(terms.tolist(), (w / np.linalg.norm(w)).tolist())))
+        vectors.append((terms, w / np.linalg.norm(w)))
     index = toxicity.BlockMaxIndex(vectors, 40)
     dense = np.zeros((500, 40))
-    for i, v in enumerate(vectors):
-        dense[i, list(v)] = list(v.values())
+    for i, (t, w) in enumerate(vectors):
+        dense[i, t] = w
     for q in range(60):
         scores = dense @ dense[q]
-        at, cosine = index.nearest(vectors[q], 12, without=q if q % 2 else -1)
+        at, cosine = index.nearest(*vectors[q], 12, without=q if q % 2 else -1)
         if q % 2:
             scores[q] = -1
         best = np.lexsort((np.arange(500), -scores.round(12)))[:12]
@@ -82,9 +83,53 @@ def test_block_max_search_is_exact():
         assert at.tolist() == best.tolist() and np.allclose(cosine, scores[best])
 
 
-def test_copies_of_a_passage_do_not_make_terms():
-    spam = [(i, f"clean words here {'singular' if i < 20 else 'other'} passage goes on", int(i < 20)) for i in range(400)]
-    assert "singular" not in toxicity.select_terms(spam)
+def test_neighbours_votes_and_scores_equal_brute_force_over_whole_texts(corpus):
+    docs, labels = corpus
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    toxic = {r["doc_id"]: r["toxic"] for r in labels.where("doc_id is not null and toxic is not null").collect()}
+    model = toxicity.fit(docs, labels)
+    learned = [i for i in sorted(texts) if i in toxic and not is_held_out(i)]
+    # Every word of every example is a term; frequencies and relevance from plain counts.
+    words = sorted({w for i in learned for w in re.findall(r"[^\W_]+", texts[i].lower())})
+    assert list(model.terms.place) == words
+    place = {w: k for k, w in enumerate(words)}
+    counts = {i: Counter(w for w in re.findall(r"[^\W_]+", t.lower()) if w in place) for i, t in texts.items()}
+    frequency = Counter(w for c in counts.values() for w in c)
+    held = [Counter(w for i in learned if toxic[i] == y for w in counts[i]) for y in (0, 1)]
+    n = [sum(toxic[i] == y for i in learned) for y in (0, 1)]
+
+    def weight(w):
+        share = (held[0][w] + held[1][w]) / sum(n)
+        z = (held[1][w] / n[1] - held[0][w] / n[0]) / np.sqrt(max(share * (1 - share), 1e-12) * (1 / n[0] + 1 / n[1]))
+        return (np.log((1 + len(texts)) / (1 + frequency[w])) + 1) * (1 + z * z) / (10 + z * z)
+
+    def vector(i):
+        v = np.zeros(len(words))
+        for w, k in counts[i].items():
+            v[place[w]] = (1 + np.log(k)) * weight(w)
+        return v / np.linalg.norm(v)
+
+    dense = np.array([vector(i) for i in learned])
+    for i in sorted(texts)[::7]:
+        cosine = dense @ vector(i)
+        raw, at, found = model.vote(model.vector(texts[i]))
+        best = np.sort(cosine)[::-1][: toxicity.NEIGHBOURS]
+        assert np.allclose(np.sort(found)[::-1], best)
+        near = np.argsort(-cosine, kind="stable")[: toxicity.NEIGHBOURS]
+        if best[-1] - np.sort(cosine)[::-1][toxicity.NEIGHBOURS] > 1e-9:  # no tie at the last place
+            assert {model.ids[e] for e in at} == {learned[k] for k in near}
+            pull = 1 / (1 - cosine[near] + toxicity.SOFT)
+            share = (pull @ np.array([toxic[learned[k]] for k in near]) + model.prior) / (pull.sum() + 1)
+            assert np.isclose(raw, share)
+    assert all(r["evidence"] for r in toxicity.toxicity(docs, model).collect())
+
+
+def test_bytes_that_are_not_utf_8(spark, corpus):
+    broken = spark.sql("select 1L as doc_id, cast(unhex('61FF62') as string) as text")
+    model = toxicity.fit(*corpus)
+    assert toxicity.toxicity(broken, model).count() == 1 and toxicity.drop_toxic(broken, model).count() == 1
+    assert secrets.find_secrets(broken, secrets.Field()).count() == 1
+    assert language_id.identify(broken, language_id.profiles(corpus[0])).count() == 1
 
 
 def test_pooled_rises():
