@@ -1,17 +1,24 @@
 """Secret scan: fixed patterns, and a linear-chain conditional random field for what they miss.
 
-The field tags the tokens of every line as begin, inside or outside of a secret. Its features are a token's shape, length,
-mix and variety of characters, the words on either side, and the kind of file (length, share of digits, of ``=`` signs).
-It is trained by maximum likelihood (forward-backward) on a bounded sample of texts, where the patterns' own finds are the
-labels: it learns what secrets look like and what stands before them, and tags others like these. Viterbi decodes.
-
-A token's share of every score depends on the token alone, so it is kept in a bounded cache. A line is decoded only if
-some token could be anything but outside at all: if for every token the gain of leaving "outside" is below twice the
+The field tags the pieces of every line as begin, inside or outside of a secret. Pieces end at white space, quotes,
+brackets and the marks ``= : , ; & |``, so a value stands apart from what it is assigned to. Features are a piece's shape,
+length, mix and variety of characters, all of them over the whole piece, the words on either side, whether the piece
+before assigns, and the kind of file (length, share of digits, of ``=`` signs).
+
+It is trained by maximum likelihood (forward-backward) on a bounded sample of texts, taken apart for texts with each kind
+of base span and for others. The patterns' own finds are labels; since these all look alike, every such line is also
+learned with another value (of another alphabet, length and prefix) behind another word or none, and other lines with a
+value put in, or with ordinary things put in that only look odd: dates, numbers, addresses, links, names of code and
+files. So the field learns what secrets look like, and not what the patterns look for. Viterbi decodes.
+
+A piece's share of every score depends on the piece alone, so it is kept in a bounded cache. A line is decoded only if
+some piece could be anything but outside at all: if for every piece the gain of leaving "outside" is below twice the
 largest gain of a transition, no path can pay for the two transitions that it needs, and all are outside - exactly.
 """
 
 from __future__ import annotations
 
+import random
 import re
 import zlib
 from collections.abc import Iterator
@@ -21,18 +28,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestream.llm.common import read_table, text_or_empty
+from lodestream.llm.common import read_table, readable_text, settle, texts_of
 
-#: Bounds the texts that the field is trained on.
-SAMPLE_ROWS = 4000
-OTHER_LINES, WINDOW = 6000, 200
-FEATURES, EPOCHS, RATE, DECAY = 1 << 13, 12, 0.05, 1e-4
+#: Bounds the texts that the field is trained on: of each kind of base span, and of texts without any; and their bytes.
+MARKED_ROWS, PLAIN_ROWS, TRAIN_BYTES = 500, 2000, 12_000_000
+#: Bounds the lines of training (a line is learned in windows of so many pieces), and the variants of each marked one.
+MARKED_LINES, PLAIN_LINES, WINDOW, VARIANTS = 1000, 3000, 120, 3
+FEATURES, EPOCHS, RATE, DECAY = 1 << 13, 6, 0.05, 1e-4
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
 CACHE_WORDS = 200_000
 KINDS = ("assign", "access", "hex", "crf")
+PIECE = re.compile(r"""\n|[^\s"'=:,;&(){}\[\]<>|]+["':=]*|[=:]+""")
+MARKS = "\"':="
 
 # The base patterns and the least lengths of what they find.
-ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
+ASSIGN_WORDS = "(password|passwd|secret|token|api_?key)"
+ASSIGN = re.compile(ASSIGN_WORDS + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 ASSIGN_LEAST, ACCESS_LEAST = 12, 18
@@ -66,38 +77,52 @@ class _Classes(dict):
 
 CLASSES = _Classes()
 ASCII_CLASSES = bytes(CLASSES[c] for c in range(256))
-NOT_HEX = {c: None for c in map(ord, "0123456789abcdef")}
-RUN = re.compile(r"(.)\1+", re.DOTALL)
-ASSIGNS = re.compile("[:=]")
+NOT_HEX = {c: None for c in map(ord, "0123456789abcdefABCDEF")}
+RUN = re.compile(r"(.)\1*", re.DOTALL)
+NOT_LETTERS = re.compile("[^a-z]+")
 
 
 def outline(word: str) -> str | bytes:
-    """The classes of a token's characters."""
+    """The classes of a piece's characters."""
     return word.encode().translate(ASCII_CLASSES) if word.isascii() else word.translate(CLASSES)
 
 
 def signature(word: str) -> tuple:
-    """What a token's own features depend on: size, shape, mixture of characters, and what it assigns to, if it does.
-
-    For a token without digits and assignments, the outline says it all.
-    """
-    head = word[:200]
-    n = len(head)
-    classes = head.translate(CLASSES)
-    shape = RUN.sub(r"\1", classes[:64])
-    assigns = ASSIGNS.search(head)
-    stem = head[: assigns.start()].lower().strip("\"'([{,;")[:16] if assigns else ""
-    digits = classes.count("0")
-    hexed = n - len(head.translate(NOT_HEX)) if digits else 0
-    kinds = len(set(head)) // 2 if digits else 0
-    return min(len(word), 60) // 4, shape[:8], digits * 5 // n, classes.count("A") * 5 // n, hexed * 5 // n, kinds, min(len(shape), 12), bool(assigns), stem, head[-1] in "=:"
+    """What a piece's own features depend on: size, shape and mixture of characters of all of it, and whether it assigns."""
+    body = word.rstrip(MARKS)
+    n = len(body)
+    if not n:
+        return (0,) * 11 + (True,)
+    classes = body.translate(CLASSES)
+    runs = [len(m.group()) for m in RUN.finditer(classes)]
+    digits, upper, lower = (classes.count(c) for c in "0Aa")
+    shape = RUN.sub(r"\1", classes) if len(runs) <= 6 else "many"
+    hexed = (n - len(body.translate(NOT_HEX))) * 5 // n if digits else 0
+    kinds = min(len(set(body)), 40) // 3 if digits or n > 15 else 0
+    other = n - digits - upper - lower
+    return (
+        min(n, 80) // 4 + 1, shape, digits * 6 // n, upper * 6 // n, hexed, kinds, len(runs) * 6 // n, min(max(runs), 16) // 2, min(other, 4), "." in body or "/" in body or "@" in body, digits > 0 and upper + lower > 0, "=" in word[n:] or ":" in word[n:]
+    )
+
+
+def lead_of(word: str) -> str:
+    """The last run of letters of what may lead to a secret: ``pwd`` of ``DB_PWD=``."""
+    word = word.lower()
+    if word.isalpha() and word.isascii():
+        return word
+    parts = [x for x in NOT_LETTERS.split(word) if x]
+    return parts[-1] if parts else ""
 
 
 def signature_features(sig: tuple) -> tuple[list[int], list[int], list[int]]:
-    """Features of a token for itself, for the token after it, and for the token before it."""
-    size, shape, digits, upper, hexed, kinds, turns, assigns, stem, open_end = sig
-    own = [f"n{size}", f"s{shape}", f"d{digits}", f"u{upper}", f"h{hexed}.{size // 2}", f"e{kinds}", f"t{turns}", f"a{assigns}.{size // 2}", f"k{stem}" if assigns else "k", f"e{kinds}.{digits}.{size // 2}"]
-    return [_feature(x) for x in own], [_feature(f"<s{shape[:4]}"), _feature(f"<a{open_end}")], [_feature(f">s{shape[:4]}")]
+    """Features of a piece for itself, for the piece after it, and for the piece before it."""
+    size, shape, digits, upper, hexed, kinds, turns, longest, other, path, mixed, assigns = sig
+    some = min(size // 3, 4)
+    own = [
+        f"n{size}", f"s{shape}", f"d{digits}.{some}", f"u{upper}.{some}", f"du{digits}.{upper}.{some}", f"h{hexed}.{some}", f"k{kinds}.{some}", f"t{turns}.{some}", f"l{longest}.{some}",
+        f"o{other}.{path}", f"m{mixed}.{turns}.{some}", f"x{mixed}.{path}.{some}", f"a{assigns}",
+    ]
+    return [_feature(x) for x in own], [_feature(f"<s{shape}"), _feature(f"<a{assigns}"), _feature(f"<as{assigns}.{size > 0}")], [_feature(f">s{shape}")]
 
 
 def file_features(text: str) -> list[int]:
@@ -114,7 +139,7 @@ class Field:
         self.moves = np.zeros((3, 3))
         self.moves[OUTSIDE, INSIDE] = -1e4
         self.trained = False
-        self.leads: dict[str, int] = {}  # tokens before a secret in the training texts -> feature
+        self.leads: dict[str, int] = {}  # last letters of pieces before a secret in training -> feature
 
     # --- training ------------------------------------------------------------------------------------------------
 
@@ -215,24 +240,29 @@ class Scanner:
         self.rows: dict[object, int] = {}  # outline or signature -> row of the table
         w = self.field.weights
         # The place before the first and after the last token has features of its own.
-        self.table = [np.concatenate([np.zeros(3), w[_feature("<^")], w[_feature(">$")]])]
-        self.matrix = np.array(self.table)
+        self.table = np.zeros((1024, 9))
+        self.table[0] = np.concatenate([np.zeros(3), w[_feature("<^")], w[_feature(">$")]])
+        self.used = 1
 
     def row(self, word: str) -> int:
-        """The row of the table with a token's scores for itself (0-2), the token after it (3-5) and before it (6-8)."""
-        lead = self.field.leads.get(word)
+        """The row of the table with a piece's scores for itself (0-2), the piece after it (3-5) and before it (6-8)."""
+        lead = self.field.leads.get(lead_of(word))
         key = outline(word)
-        plain = lead is None and not (("0" if isinstance(key, str) else b"0") in key or ":" in word or "=" in word)
+        # The features of a short piece without digits depend on its outline alone.
+        plain = lead is None and len(word) < 16 and ("0" if isinstance(key, str) else b"0") not in key
         found = self.rows.get(key) if plain else None
         if found is None:
             sig = signature(word)
             full = (sig, lead)
             found = self.rows.get(full)
             if found is None:
-                found = self.rows[full] = len(self.table)
+                found = self.rows[full] = self.used
+                if found == len(self.table):
+                    self.table = np.concatenate([self.table, np.zeros_like(self.table)])
                 own, after, before = signature_features(sig)
                 w = self.field.weights
-                self.table.append(np.concatenate([w[own].sum(axis=0), w[after + ([lead] if lead else [])].sum(axis=0), w[before].sum(axis=0)]))
+                self.table[found] = np.concatenate([w[own].sum(axis=0), w[after + ([lead] if lead else [])].sum(axis=0), w[before].sum(axis=0)])
+                self.used += 1
             if plain:
                 self.rows[key] = found
         return found
@@ -247,82 +277,215 @@ class Scanner:
         """(start, kind, end) of the runs that the field tags, in code points."""
         if len(self.known) > CACHE_WORDS or len(self.rows) > CACHE_WORDS:
             self.clear()
-        lines = text.split("\n")
-        split = [line.split() for line in lines]
-        sizes = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
-        words = [w for line in split for w in line]
+        pieces = PIECE.findall(text)
+        words = [w for w in pieces if w != "\n"]
         if not words:
             return []
         at = self.places(words)
-        owner = np.repeat(np.arange(len(lines)), sizes)
+        line = np.fromiter((w == "\n" for w in pieces), dtype=bool, count=len(pieces))
+        owner = np.cumsum(line)[~line]
         first, last = np.r_[True, owner[1:] != owner[:-1]], np.r_[owner[1:] != owner[:-1], True]
         before, after = np.where(first, 0, np.r_[0, at[:-1]]), np.where(last, 0, np.r_[at[1:], 0])
-        if len(self.matrix) < len(self.table):
-            self.matrix = np.array(self.table)
-        emit = self.matrix[at, :3] + self.matrix[before, 3:6] + self.matrix[after, 6:9] + self.field.weights[file_features(text)].sum(axis=0)
+        emit = self.table[at, :3] + self.table[before, 3:6] + self.table[after, 6:9] + self.field.weights[file_features(text)].sum(axis=0)
         hot = np.maximum(emit[:, BEGIN], emit[:, INSIDE]) - emit[:, OUTSIDE] >= self.least
         if not hot.any():
             return []
-        found = []
-        starts = np.r_[0, np.cumsum(sizes)]
-        offsets = np.r_[0, np.cumsum([len(x) + 1 for x in lines])]
+        tags = np.zeros(len(words), dtype=np.int64)
         for k in np.unique(owner[hot]).tolist():
-            tags = self.field.viterbi(emit[starts[k] : starts[k + 1]].tolist())
-            if not any(tags):
-                continue
-            begin = end = None
-            for tag, m in zip(tags, re.finditer(r"\S+", lines[k])):
-                if begin is not None and tag != INSIDE:
-                    found.append((begin, 3, end))
-                    begin = None
-                if tag == BEGIN:
-                    begin = int(offsets[k]) + m.start()
-                if tag != OUTSIDE:
-                    end = int(offsets[k]) + m.end()
-            if begin is not None:
-                found.append((begin, 3, end))
-        return found
-
-
-def training_lines(texts: list[tuple[int, str]]) -> tuple[list[tuple[list[list[int]], list[int]]], dict[str, int]]:
-    """Windows of lines with a base span, all of them, and up to ``OTHER_LINES`` others by hash; and the tokens that lead
-    to a secret, with their features."""
-    with_span, without = [], []
+            a, b = np.searchsorted(owner, (k, k + 1))
+            tags[a:b] = self.field.viterbi(emit[a:b].tolist())
+        if not tags.any():
+            return []
+        found: list[list[int]] = []
+        places = (m for m in PIECE.finditer(text) if m.group() != "\n")
+        for tag, m in zip(tags.tolist(), places):
+            if tag == BEGIN:
+                found.append([m.start(), end_of(m)])
+            elif tag == INSIDE:
+                found[-1][1] = end_of(m)
+        return [(a, 3, b) for a, b in found]
+
+
+def end_of(piece: re.Match) -> int:
+    """Where a secret ends in its piece: behind its ``=`` signs (padding), before other marks."""
+    word = piece.group()
+    body = len(word.rstrip(MARKS))
+    return piece.start() + body + len(word[body:]) - len(word[body:].lstrip("="))
+
+
+# Alphabets, prefixes and leading words of the values that variants are made with.
+LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+LEADING = "password passwd pwd pass passphrase secret token key auth bearer credential authorization private access api client session signature login".split()
+
+
+def drawn_value(draw: random.Random) -> str:
+    """A secret as they come: hex, base 32, 62 or 64, with a prefix, in groups, signed tokens, passwords."""
+
+    def run(alphabet: str, least: int, most: int) -> str:
+        return "".join(draw.choices(alphabet, k=draw.randint(least, most)))
+
+    def prefix() -> str:
+        return draw.choice(["_", "-"]).join(run(LOWER, 2, 5) for _ in range(draw.randint(1, 2))) + draw.choice(["_", "-"])
+
+    both = LOWER + UPPER + DIGITS
+    kind = draw.randrange(9)
+    if kind == 0:
+        return run(DIGITS + "abcdef", 20, 64)
+    if kind == 1:
+        return run(DIGITS + "ABCDEF", 16, 64)
+    if kind == 2:
+        return run(both, 16, 48)
+    if kind == 3:
+        return prefix() + run(both, 14, 40)
+    if kind == 4:
+        return run(both + "+/", 24, 64) + draw.choice(["", "=", "=="])
+    if kind == 5:
+        return run(UPPER + "234567", 16, 40)
+    if kind == 6:
+        return prefix() + "-".join(run(draw.choice([DIGITS, both]), 8, 16) for _ in range(2)) + "-" + run(both, 12, 28)
+    if kind == 7:
+        return ".".join("eyJ" * (i == 0) + run(both + "_-", 16, 48) for i in range(3))
+    return run(both + "!@#$%^*+-_.~", 12, 20)
+
+
+def drawn_filler(draw: random.Random, words: list[str]) -> str:
+    """Something ordinary that looks odd: numbers, dates, addresses, links, names of code and files, runs of words."""
+    n = lambda a, b: str(draw.randint(a, b))
+    w = lambda: draw.choice(words)
+    part = lambda: draw.choice([w, w, lambda: n(0, 10 ** draw.randint(1, 6)), lambda: f"{w()}-{w()}", lambda: f"{w()}_{n(1, 99)}", lambda: f"{w()}-{w()}-{n(1, 9999)}"])()
+    path = lambda: "".join("/" + part() for _ in range(draw.randint(1, 5)))
+    kinds = [
+        lambda: n(0, 10 ** draw.randint(1, 19)),
+        lambda: f"{n(1900, 2099)}-{n(10, 12)}-{n(10, 28)}T{n(10, 23)}:{n(10, 59)}:{n(10, 59)}Z",
+        lambda: f"+{n(1, 99)}-{n(100, 999)}-{n(100, 999)}-{n(1000, 9999)}",
+        lambda: f"{n(1, 255)}.{n(0, 255)}.{n(0, 255)}.{n(0, 255)}",
+        lambda: draw.choice(["https://", "http://", "//", "ftp://"]) + draw.choice(["www.", ""]) + w() + draw.choice([".example.com", ".org", ".net:8080"]) + path() + draw.choice(["", "/", f"?{w()}={n(1, 99)}", f"?{w()}={w()}&{w()}={n(1, 9999)}"]),
+        lambda: path() + draw.choice(["", f"/{w()}.{w()[:3]}"]),
+        lambda: f"{w()}{draw.choice(['', '.', '_', '-'])}{draw.choice([w(), n(1, 9999)])}@{w()}{draw.choice(['', n(1, 9)])}.{draw.choice(['example.com', 'org', 'co.uk'])}",
+        lambda: "".join(w().capitalize() for _ in range(draw.randint(2, 4))) + draw.choice(["", n(1, 99)]),
+        lambda: "_".join(w() for _ in range(draw.randint(2, 4))) + draw.choice(["", "_" + n(1, 99)]),
+        lambda: "-".join(w() for _ in range(draw.randint(2, 5))),
+        lambda: "_".join(w() for _ in range(draw.randint(1, 3))).upper(),
+        lambda: "".join(w() for _ in range(draw.randint(2, 5))),
+        lambda: f"v{n(0, 20)}.{n(0, 20)}.{n(0, 20)}-{w()[:4]}{n(1, 9)}",
+        lambda: f"{draw.choice(UPPER)}{draw.choice(UPPER)}{n(10, 99)} {n(1000, 9999)} {n(1000, 9999)} {n(1000, 9999)} {n(1000, 9999)}",
+        lambda: f"{draw.choice(UPPER)}{draw.choice(UPPER)}{n(10**15, 10**18)}",
+        lambda: f"{w()} = {w()}",
+        lambda: f"{draw.choice(LEADING)}: {w()}",
+        lambda: f"#{n(100000, 999999)}",
+    ]
+    return draw.choice(kinds)()
+
+
+Line = tuple[list[str], list[int], tuple[int, ...]]
+
+
+def value_spans(text: str) -> list[tuple[int, int]]:
+    """The values that base spans hold, without what they are assigned to."""
+    found = [(m.start(2), m.end(2)) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= ASSIGN_LEAST]
+    return found + [(a, b) for a, kind, b in base_spans(text) if kind and not any(x <= a < y for x, y in found)]
+
+
+def tagged(line: str, values: list[tuple[int, int]]) -> tuple[list[str], list[int]]:
+    """The pieces of a line and their tags: what overlaps a value begins it, or is inside."""
+    words, tags, open_ = [], [], None
+    for m in PIECE.finditer(line):
+        end = end_of(m)
+        mine = next((v for v in values if v[0] < end and v[1] > m.start()), None)
+        words.append(m.group())
+        tags.append(OUTSIDE if mine is None else INSIDE if mine == open_ else BEGIN)
+        open_ = mine
+    return words, tags
+
+
+def training_lines(texts: list[tuple[int, str]]) -> list[Line]:
+    """Lines with base spans and their variants, and others with and without values or fillers put in."""
+    draw = random.Random(42)
+    marked, plain = [], []
     for _, text in texts:
-        spans, at, about = base_spans(text), 0, file_features(text)
+        about = tuple(file_features(text))
+        values = sorted(value_spans(text))
+        at = 0
         for line in text.split("\n"):
-            words = list(re.finditer(r"\S+", line))
-            inside = [next((j for j, (a, _, b) in enumerate(spans) if a < at + m.end() and b > at + m.start()), None) for m in words] if spans else [None] * len(words)
-            tags = [OUTSIDE if x is None else INSIDE if i and inside[i - 1] == x else BEGIN for i, x in enumerate(inside)]
-            for i in range(0, len(words), WINDOW):
-                part, tag = words[i : i + WINDOW], tags[i : i + WINDOW]
-                if tag[0] == INSIDE:
-                    tag[0] = BEGIN
-                (with_span if any(tag) else without).append((tuple(m[0] for m in part), tag, tuple(about)))
+            mine = [(a - at, b - at) for a, b in values if a >= at and b <= at + len(line)]
+            touched = mine or any(a < at + len(line) and b > at for a, b in values)
+            if mine:
+                marked.append((line, mine, about))
+            elif line.strip() and not touched:
+                plain.append((line, [], about))
             at += len(line) + 1
-    without.sort(key=lambda x: zlib.crc32(" ".join(x[0]).encode()))
-    leads = {w: _feature("<" + w) for words, tags, _ in with_span for w, tag in zip(words, tags[1:]) if tag}
-    out, seen, known = [], set(), {}
-    for words, tags, about in with_span + without[:OTHER_LINES]:
-        if (words, about) in seen:
-            continue
-        seen.add((words, about))
+    order = lambda x: (zlib.crc32(x[0].encode()), x[0], x[2])
+    marked, plain = sorted(marked, key=order)[:MARKED_LINES], sorted(plain, key=order)[:PLAIN_LINES]
+    if not marked:
+        return []
+    words = [w.lower() for line, _, _ in plain[:500] for w in line.split() if w.isalpha()] or list(LEADING)
+    lines = marked + plain
+    for line, values, about in marked:
+        a, b = values[0]
+        for _ in range(VARIANTS):
+            value = drawn_value(draw)
+            ahead = ASSIGN_TAIL.search(line, 0, a)
+            begin = ahead.start() if ahead else a
+            lead = draw.choice(["", draw.choice(words) + " ", draw.choice(words) + " ", draw.choice(LEADING) + draw.choice([" ", ": ", "=", " = ", '="']), "_".join([draw.choice(words).upper(), draw.choice(LEADING).upper()]) + "="])
+            lines.append((line[:begin] + lead + value + line[b:], [(begin + len(lead), begin + len(lead) + len(value))], about))
+    for n, (line, _, about) in enumerate(plain):
+        cut = [m.start() for m in re.finditer(r"\S+", line)]
+        for _ in range(2):
+            where = draw.choice(cut)
+            filler = drawn_filler(draw, words) + " "
+            lines.append((line[:where] + filler + line[where:], [], about))
+        if n % 3 == 0:
+            where, value = draw.choice(cut), drawn_value(draw)
+            lead = draw.choice(["", draw.choice(LEADING) + draw.choice([" ", ": ", "=", ' = "']), draw.choice(words) + draw.choice([" ", " ", ": ", "="])])
+            lead = draw.choice(["", drawn_filler(draw, words) + " "]) + lead
+            lines.append((line[:where] + lead + value + " " + line[where:], [(where + len(lead), where + len(lead) + len(value))], about))
+    out = []
+    for line, values, about in lines:
+        pieces, tags = tagged(line, values)
+        for i in range(0, len(pieces), WINDOW):
+            tag = tags[i : i + WINDOW]
+            if tag[0] == INSIDE:
+                tag[0] = BEGIN
+            out.append((pieces[i : i + WINDOW], tag, about))
+    return out
+
+
+# What stands between the word that a base span begins with and its value.
+ASSIGN_TAIL = re.compile(r"""\S*["']?\x20*[:=]\x20*["']?$""")
+
+
+def featured(lines: list[Line]) -> tuple[list[tuple[list[list[int]], list[int]]], dict[str, int]]:
+    """The features of every piece of the lines with their tags, and the features of words that lead to secrets."""
+    leads = {lead_of(w): _feature("<w" + lead_of(w)) for words, tags, _ in lines for w, tag in zip(words, tags[1:]) if tag == BEGIN and lead_of(w)}
+    out, known = [], {}
+    for words, tags, about in lines:
         look = []
         for w in words:
             if w not in known:
                 own, after, before = signature_features(signature(w))
-                known[w] = own, after + ([leads[w]] if w in leads else []), before
+                lead = leads.get(lead_of(w))
+                known[w] = own, after + ([lead] if lead else []), before
             look.append(known[w])
-        ends = ([], [_feature("<^")], []), ([], [], [_feature(">$")])
-        look = [ends[0], *look, ends[1]]
+        look = [([], [_feature("<^")], []), *look, ([], [], [_feature(">$")])]
         out.append(([look[j][0] + look[j - 1][1] + look[j + 1][2] + list(about) for j in range(1, len(look) - 1)], tags))
     return out, leads
 
 
-def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS) -> Field:
-    """A field trained on at most ``rows`` texts; untrained, and then adding nothing, if none of them has a base span."""
+def sampled(df: DataFrame, id_col: str, text_col: str, marked: int = MARKED_ROWS, plain: int = PLAIN_ROWS) -> list[tuple[int, str]]:
+    """Texts to train on, by the hash of the id: so many with each kind of base span, and so many without any."""
+    text = readable_text(text_col)
+    has = [text.rlike(x) for x in (f"(?i){ASSIGN_WORDS}.{{0,9}}[A-Za-z0-9+/_.=-]{{{ASSIGN_LEAST},}}", f"AKIA[A-Z0-9]{{{ACCESS_LEAST - 4},}}", HEX.pattern)]
+    flags = settle(df.select(F.col(f"`{id_col}`").alias("_ls_id"), *[x.alias(f"_ls_{i}") for i, x in enumerate(has)]).where("_ls_id is not null"))
+    order = F.xxhash64(F.lit("sample"), "_ls_id"), F.col("_ls_id")
+    groups = [flags.where(f"_ls_{i}").orderBy(*order).limit(marked) for i in range(3)] + [flags.where("not (_ls_0 or _ls_1 or _ls_2)").orderBy(*order).limit(plain)]
+    ids = sorted({r["_ls_id"] for g in groups for r in g.select("_ls_id").collect()})
+    return texts_of(df, ids, flags.schema["_ls_id"].dataType, id_col, text_col, TRAIN_BYTES)
+
+
+def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Field:
+    """A field trained on a bounded sample; untrained, and then adding nothing, if no text has a base span."""
     field = Field()
-    lines, field.leads = training_lines(sampled_texts(df, rows, id_col, text_col))
+    lines, field.leads = featured(training_lines(sampled(df, id_col, text_col)))
     field.train(lines)
     return field
 
@@ -331,10 +494,10 @@ def find_secrets(df: DataFrame, field: Field, id_col: str = "doc_id", text_col:
     """One row per input row: id, spans (array of kind, start, end in code points; end exclusive), base spans first found
     by pattern, and those of kind ``crf`` that overlap no base span; by start, then kind.
 
-    Null text counts as empty and has none. Ids may be null or repeat; other columns are not read; an empty table gives
-    an empty result.
+    Null text counts as empty and has none. Ids may be null or repeat; very long texts and pieces are read whole; bytes
+    that are not UTF-8 count as U+FFFD. Other columns are not read; an empty table gives an empty result.
     """
-    rows = df.select(F.col(f"`{id_col}`").alias("_ls_id"), text_or_empty(text_col).alias("_ls_text"))
+    rows = df.select(F.col(f"`{id_col}`").alias("_ls_id"), readable_text(text_col).alias("_ls_text"))
     span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,7 +517,11 @@ def find_secrets(df: DataFrame, field: Field, id_col: str = "doc_id", text_col:
 
 
 def redact(df: DataFrame, field: Field, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """``df`` with every found span of the text replaced by ``mark``; other columns unchanged, null text stays null."""
+    """``df`` with every found span of the text replaced by ``mark``; other columns unchanged.
+
+    Null text stays null, empty text empty; repeated rows and rows without an id are redacted alike, an empty table stays
+    empty.
+    """
     at = df.columns.index(text_col)
 
     def cleaned(scanner: Scanner | None, text: str) -> str:

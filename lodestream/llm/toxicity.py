@@ -33,7 +33,7 @@ BLOCK = 32
 SOFT = 0.1
 #: Standard errors of a class difference at which a term has about half of its full relevance.
 SURE = 3.0
-FIRST_BLOCKS = 8
+FIRST_BLOCKS = 6
 words_of = re.compile(r"[^\W_]+").findall
 
 Example = tuple[int, str, int]
@@ -103,7 +103,10 @@ def document_frequencies(df: DataFrame, text_col: str, terms: list[str]) -> tupl
 
 def _spans(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """start[0], start[0] + 1, ... for length[0] numbers, then those of start[1], and so on."""
-    return np.repeat(start - np.r_[0, np.cumsum(length)[:-1]], length) + np.arange(length.sum())
+    end = np.cumsum(length)
+    out = np.repeat(start - end + length, length)
+    out += np.arange(len(out))
+    return out
 
 
 class BlockMaxIndex:
@@ -135,20 +138,22 @@ class BlockMaxIndex:
         bound = np.bincount(block, q * self.run_max[run], self.blocks)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        opened, step, least = 0, FIRST_BLOCKS, 0.0
-        best, cosine = np.zeros(0, dtype=np.int64), np.zeros(0)
+        best, cosine, least = np.zeros(0, dtype=np.int64), np.zeros(0), 0.0
         now = np.zeros(self.blocks, dtype=bool)
-        while opened < len(order) and bound[order[opened]] >= least - 1e-12:
-            reach = order[opened : opened + step]
+        # A few blocks with the largest bounds set the bar; then all those are opened that can still reach it.
+        for reach in (order[:FIRST_BLOCKS], order[FIRST_BLOCKS:]):
             reach = reach[bound[reach] >= least - 1e-12]
-            opened, step = opened + step, step * 4
+            if not len(reach):
+                break
             now[:] = False
             now[reach] = True
-            mine = now[block]
-            start = self.run_start[run[mine]]
-            size = self.run_start[run[mine] + 1] - start
+            mine = run.compress(now.take(block))
+            start = self.run_start.take(mine)
+            size = self.run_start.take(mine + 1) - start
             at = _spans(start, size)
-            score = np.bincount(self.entry[at], np.repeat(q[mine], size) * self.weight[at], self.size)
+            part = self.weight.take(at)
+            part *= np.repeat(q.compress(now.take(block)), size)
+            score = np.bincount(self.entry.take(at), part, self.size)
             if without >= 0:
                 score[without] = 0.0
             more = np.flatnonzero(score > max(0.0, least - 1e-12))
