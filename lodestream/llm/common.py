@@ -210,11 +210,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
 
     def contracted(pairs: DataFrame) -> DataFrame:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = settle(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
+        low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         # Large star: every larger neighbour of u points at the smallest of u's neighbourhood.
         large = settle(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct())
         # Small star: u and its smaller neighbours point at the smallest of them.
-        least = settle(large.groupBy("u").agg(F.min("v").alias("m")))
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
 
