@@ -36,7 +36,7 @@ MARKED_ROWS, PLAIN_ROWS, TRAIN_BYTES = 500, 2000, 12_000_000
 MARKED_LINES, PLAIN_LINES, WINDOW, VARIANTS = 1000, 3000, 120, 3
 FEATURES, EPOCHS, RATE, DECAY = 1 << 13, 6, 0.05, 1e-4
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
 KINDS = ("assign", "access", "hex", "crf")
 PIECE = re.compile(r"""\n|[^\s"'=:,;&(){}\[\]<>|]+["':=]*|[=:]+""")
 MARKS = "\"':="
@@ -236,10 +236,10 @@ class Scanner:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {"": 0}
+        # The end of a line is row 0, as is what lies before the first and after the last piece.
+        self.known: dict[str, int] = {"\n": 0}
         self.rows: dict[object, int] = {}  # outline or signature -> row of the table
         w = self.field.weights
-        # The place before the first and after the last token has features of its own.
         self.table = np.zeros((1024, 9))
         self.table[0] = np.concatenate([np.zeros(3), w[_feature("<^")], w[_feature(">$")]])
         self.used = 1
@@ -247,26 +247,35 @@ class Scanner:
     def row(self, word: str) -> int:
         """The row of the table with a piece's scores for itself (0-2), the piece after it (3-5) and before it (6-8)."""
         lead = self.field.leads.get(lead_of(word))
+        if lead is None and len(word) < 16 and word.isascii() and word.isalpha() and (word.islower() or word.istitle()):
+            key = (len(word), word.islower())
+            found = self.rows.get(key)
+            if found is None:
+                found = self.rows[key] = self.new_row((signature(word), None))
+            return found
         key = outline(word)
         # The features of a short piece without digits depend on its outline alone.
         plain = lead is None and len(word) < 16 and ("0" if isinstance(key, str) else b"0") not in key
         found = self.rows.get(key) if plain else None
         if found is None:
-            sig = signature(word)
-            full = (sig, lead)
-            found = self.rows.get(full)
-            if found is None:
-                found = self.rows[full] = self.used
-                if found == len(self.table):
-                    self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-                own, after, before = signature_features(sig)
-                w = self.field.weights
-                self.table[found] = np.concatenate([w[own].sum(axis=0), w[after + ([lead] if lead else [])].sum(axis=0), w[before].sum(axis=0)])
-                self.used += 1
+            found = self.new_row((signature(word), lead))
             if plain:
                 self.rows[key] = found
         return found
 
+    def new_row(self, full: tuple) -> int:
+        """The row of a signature and a lead, made if it is new."""
+        found = self.rows.get(full)
+        if found is None:
+            found = self.rows[full] = self.used
+            if found == len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            own, after, before = signature_features(full[0])
+            w = self.field.weights
+            self.table[found] = np.concatenate([w[own].sum(axis=0), w[after + ([full[1]] if full[1] else [])].sum(axis=0), w[before].sum(axis=0)])
+            self.used += 1
+        return found
+
     def places(self, words: list[str]) -> np.ndarray:
         known, row = self.known, self.row
         for word in set(words).difference(known):
@@ -278,27 +287,27 @@ class Scanner:
         if len(self.known) > CACHE_WORDS or len(self.rows) > CACHE_WORDS:
             self.clear()
         pieces = PIECE.findall(text)
-        words = [w for w in pieces if w != "\n"]
-        if not words:
+        if not pieces:
             return []
-        at = self.places(words)
-        line = np.fromiter((w == "\n" for w in pieces), dtype=bool, count=len(pieces))
-        owner = np.cumsum(line)[~line]
-        first, last = np.r_[True, owner[1:] != owner[:-1]], np.r_[owner[1:] != owner[:-1], True]
-        before, after = np.where(first, 0, np.r_[0, at[:-1]]), np.where(last, 0, np.r_[at[1:], 0])
-        emit = self.table[at, :3] + self.table[before, 3:6] + self.table[after, 6:9] + self.field.weights[file_features(text)].sum(axis=0)
-        hot = np.maximum(emit[:, BEGIN], emit[:, INSIDE]) - emit[:, OUTSIDE] >= self.least
-        if not hot.any():
+        at = self.places(pieces)
+        emit = self.table[:, :3].take(at, axis=0)
+        emit[1:] += self.table[:, 3:6].take(at[:-1], axis=0)
+        emit[:-1] += self.table[:, 6:].take(at[1:], axis=0)
+        emit[0] += self.table[0, 3:6]
+        emit[-1] += self.table[0, 6:]
+        emit += self.field.weights[file_features(text)].sum(axis=0)
+        hot = np.flatnonzero((np.maximum(emit[:, BEGIN], emit[:, INSIDE]) - emit[:, OUTSIDE] >= self.least) & (at > 0))
+        if not len(hot):
             return []
-        tags = np.zeros(len(words), dtype=np.int64)
-        for k in np.unique(owner[hot]).tolist():
-            a, b = np.searchsorted(owner, (k, k + 1))
+        ends = np.r_[np.flatnonzero(at == 0), len(at)]
+        tags = np.zeros(len(pieces), dtype=np.int64)
+        for line in np.unique(np.searchsorted(ends, hot)).tolist():
+            a, b = ends[line - 1] + 1 if line else 0, ends[line]
             tags[a:b] = self.field.viterbi(emit[a:b].tolist())
         if not tags.any():
             return []
         found: list[list[int]] = []
-        places = (m for m in PIECE.finditer(text) if m.group() != "\n")
-        for tag, m in zip(tags.tolist(), places):
+        for tag, m in zip(tags.tolist(), PIECE.finditer(text)):
             if tag == BEGIN:
                 found.append([m.start(), end_of(m)])
             elif tag == INSIDE:
@@ -474,7 +483,13 @@ def featured(lines: list[Line]) -> tuple[list[tuple[list[list[int]], list[int]]]
 def sampled(df: DataFrame, id_col: str, text_col: str, marked: int = MARKED_ROWS, plain: int = PLAIN_ROWS) -> list[tuple[int, str]]:
     """Texts to train on, by the hash of the id: so many with each kind of base span, and so many without any."""
     text = readable_text(text_col)
-    has = [text.rlike(x) for x in (f"(?i){ASSIGN_WORDS}.{{0,9}}[A-Za-z0-9+/_.=-]{{{ASSIGN_LEAST},}}", f"AKIA[A-Z0-9]{{{ACCESS_LEAST - 4},}}", HEX.pattern)]
+    # A mark of assignment and some digits are quicker to look for than the patterns, and prose lacks one of them mostly.
+    digits = text.rlike("[0-9][0-9a-f]")
+    has = [
+        (text.contains("=") | text.contains(":")) & text.rlike(f"(?i){ASSIGN_WORDS}.{{0,9}}[A-Za-z0-9+/_.=-]{{{ASSIGN_LEAST},}}"),
+        text.contains("AKIA") & text.rlike(f"AKIA[A-Z0-9]{{{ACCESS_LEAST - 4},}}"),
+        digits & text.rlike(HEX.pattern),
+    ]
     flags = settle(df.select(F.col(f"`{id_col}`").alias("_ls_id"), *[x.alias(f"_ls_{i}") for i, x in enumerate(has)]).where("_ls_id is not null"))
     order = F.xxhash64(F.lit("sample"), "_ls_id"), F.col("_ls_id")
     groups = [flags.where(f"_ls_{i}").orderBy(*order).limit(marked) for i in range(3)] + [flags.where("not (_ls_0 or _ls_1 or _ls_2)").orderBy(*order).limit(plain)]
