@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestream.operators.graph import cut
+
 from lodestream.functions.dates import PERIODS
 from lodestream.functions.numbers import ratio
 
@@ -106,17 +108,41 @@ def greatest_with_ties(df: DataFrame, keys: Sequence[str], value_col: str) -> Da
     return df.withColumn("_rank", F.rank().over(W.partitionBy(*keys).orderBy(F.col(value_col).desc()))).where("_rank = 1").drop("_rank")
 
 
+def placed(df: DataFrame, order: Sequence[Column], place: str) -> DataFrame:
+    """The place of every row among all, from 1 on: ranges of the order, their counts added up, and places inside ranges.
+
+    No task holds more than a range. ``order`` must tell rows apart for the places to be the same on every run.
+    """
+    ranged = cut(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    # One row a range.
+    before = counts.select("_range", F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    nth = F.row_number().over(W.partitionBy("_range").orderBy(*order))
+    return ranged.withColumn("_nth", nth).join(F.broadcast(before), "_range").withColumn(place, (F.col("_before") + F.col("_nth")).cast("int")).drop("_range", "_nth", "_before")
+
+
 def ranked_then_filtered(df: DataFrame, order: Sequence[Column], keep: Column, place: str = "rank") -> DataFrame:
     """Places among all rows, then the filter: what is left keeps the place that it had."""
-    return df.withColumn(place, F.row_number().over(W.partitionBy(F.lit(0)).orderBy(*order))).where(keep)
+    return placed(df, order, place).where(keep)
+
 
+def min_max(df: DataFrame, values: Mapping[str, Column], by: Sequence[str] = (), invert: Sequence[str] = ()) -> DataFrame:
+    """New columns with ``values`` scaled to 0 to 100 within the group; 50 where all are equal.
 
-def min_max(c: Column, by: Sequence[str] = (), invert: bool = False) -> Column:
-    """0 to 100 within the group; 50 where all are equal."""
-    group = W.partitionBy(*(by or [F.lit(0)]))
-    low, high = F.min(c).over(group), F.max(c).over(group)
-    share = (c - low) / F.nullif(high - low, F.lit(0))
-    return F.coalesce((1 - share if invert else share) * 100, F.lit(50.0))
+    Lowest and highest values come from a partial aggregation: one row for all, or one a group, joined back.
+    """
+    ends = [x for k, c in values.items() for x in (F.min(c).alias(f"_lo_{k}"), F.max(c).alias(f"_hi_{k}"))]
+    if by:
+        group = df.groupBy(*by).agg(*ends)
+        joined = df.alias("l").join(group.alias("g"), [F.col(f"l.{k}").eqNullSafe(F.col(f"g.{k}")) for k in by]).drop(*[F.col(f"g.{k}") for k in by])
+    else:
+        joined = df.join(F.broadcast(df.agg(*ends)))
+
+    def scaled(name: str, c: Column) -> Column:
+        share = (c - F.col(f"_lo_{name}")) / F.nullif(F.col(f"_hi_{name}") - F.col(f"_lo_{name}"), F.lit(0))
+        return F.coalesce((1 - share if name in invert else share) * 100, F.lit(50.0))
+
+    return joined.withColumns({k: scaled(k, c) for k, c in values.items()}).drop(*[f"_{e}_{k}" for k in values for e in ("lo", "hi")])
 
 
 def running_balance(df: DataFrame, keys: Sequence[str], order_col: str, delta: Column, carried: Column, name: str = "balance") -> DataFrame:

@@ -15,10 +15,13 @@ from lodestream.functions.dates import weekdays_after
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint; where no folder is set, as in tests, one of its own is."""
+    """Checkpoint below ``spark.checkpoint.dir``; a local master without that setting gets a temporary folder, a cluster an error."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestream-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lodestream-"))
     return df.checkpoint()
 
 

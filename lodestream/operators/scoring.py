@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestream.functions.numbers import ladder, ratio
 from lodestream.functions.text import stable_unit
-from lodestream.operators.analytics import min_max
+from lodestream.operators.analytics import min_max, placed
 
 LEAD_WEIGHTS = {"company_size": 0.25, "industry_fit": 0.20, "budget_match": 0.25, "urgency": 0.15, "decision_authority": 0.15}
 LEAD_GRADES = [(80, "A"), (60, "B"), (40, "C")]
@@ -65,17 +65,16 @@ def champion_scores(stats: DataFrame, user_col: str) -> DataFrame:
     """
     raw = stats.withColumn("_eff", F.when(F.col("ai_cost") > 0, F.col("actions") / F.col("ai_cost")).otherwise(F.col("actions").cast("double")))
     parts: Mapping[str, Column] = {
-        "usage_frequency": min_max(F.col("actions")), "feature_diversity": min_max(F.col("features")), "time_spent": min_max(F.col("minutes")),
-        "ai_utilization": min_max(F.col("ai_requests")), "cost_efficiency": min_max(F.col("_eff")), "success_rate": F.col("success_rate"),
+        "usage_frequency": F.col("actions"), "feature_diversity": F.col("features"), "time_spent": F.col("minutes"),
+        "ai_utilization": F.col("ai_requests"), "cost_efficiency": F.col("_eff"),
     }
-    scaled = raw.withColumns({k: F.round(c, 2) for k, c in parts.items()})
+    scaled = min_max(raw, parts).withColumns({k: F.round(k, 2) for k in [*parts, "success_rate"]})
     total = F.lit(0.0)
     for k, w in CHAMPION_WEIGHTS.items():
         total = total + F.col(k) * w
     score = F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), total)), 2)
     out = scaled.withColumn("score", score).withColumn("tier", ladder(F.col("score"), CHAMPION_TIERS, "rookie"))
-    place = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("score"), F.desc("ai_requests"), F.desc("features"), user_col))
-    return out.withColumn("place", place).drop("_eff")
+    return placed(out, [F.desc("score"), F.desc("ai_requests"), F.desc("features"), F.col(user_col)], "place").drop("_eff")
 
 
 def user_status(last_seen: Column, now: Column) -> Column:

@@ -1,7 +1,8 @@
 """The twelve operators of the JSON-configured transform pipeline, each a lazy DataFrame composition.
 
 Every operator takes a frame, its configuration and the frames it may refer to by name, and returns a frame; nothing here
-runs a job, except ``pivot`` without listed values, which must ask for the distinct values of one column. Unknown columns
+runs a job, except ``pivot`` without listed values, which must ask for the distinct values of one column, and ``sample``,
+which counts. Unknown columns
 and predicates are left out with a warning, as users of such pipelines expect; unknown operators are errors.
 """
 
@@ -9,6 +10,8 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable, Mapping
+from datetime import date
+from decimal import Decimal
 from functools import reduce
 from typing import Any
 
@@ -54,21 +57,56 @@ def _lower(c: Column) -> Column:
     return F.lower(c.cast("string"))
 
 
-#: Predicate -> (column, its type, value) -> condition that is never null.
+def _fitting(kind: T.DataType, value: Any) -> Column | None:
+    """``value`` as something that columns of this type can be compared with; None if they never equal."""
+    if isinstance(value, bool):
+        return F.lit(value) if isinstance(kind, T.BooleanType) else None
+    if isinstance(value, (int, float, Decimal)):
+        return F.lit(value) if isinstance(kind, T.NumericType) else None
+    dated = isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType))
+    if isinstance(value, str):
+        return F.lit(value) if isinstance(kind, (T.StringType, T.CharType, T.VarcharType)) else F.lit(value).try_cast(kind) if dated else None
+    return F.lit(value) if dated and isinstance(value, date) else None
+
+
+def _compared(test: Callable[[Column, Column], Column], nan: bool = False) -> Callable[[Column, T.DataType, Any], Column]:
+    """A comparison that is false for nulls and for values of another type; NaN meets nothing unless ``nan``."""
+
+    def build(c: Column, kind: T.DataType, value: Any) -> Column:
+        other = _fitting(kind, value)
+        if other is None:
+            return F.lit(False)
+        found = F.coalesce(test(c, other), F.lit(False))
+        return found if nan else found & ~_is_null(c, kind)
+
+    return build
+
+
+def _listed(c: Column, kind: T.DataType, value: Any) -> Column:
+    fitting = [x for x in (_fitting(kind, v) for v in value) if x is not None] if isinstance(value, (list, tuple, set)) else []
+    return F.coalesce(c.isin(*fitting), F.lit(False)) if fitting else F.lit(False)
+
+
+_equal = _compared(lambda c, v: c == v)
+_iequal = lambda c, k, v: F.coalesce(_lower(c) == str(v).lower(), F.lit(False))
+
+#: Predicate -> (column, its type, value) -> condition that is never null and never fails, whatever the types.
 PREDICATES: dict[str, Callable[[Column, T.DataType, Any], Column]] = {
-    "equals": lambda c, k, v: F.coalesce(c == F.lit(v), F.lit(False)),
-    "not_equals": lambda c, k, v: ~c.eqNullSafe(F.lit(v)),
-    "greater_than": lambda c, k, v: F.coalesce((c > F.lit(v)) & ~_is_null(c, k), F.lit(False)),
-    "greater_equal": lambda c, k, v: F.coalesce((c >= F.lit(v)) & ~_is_null(c, k), F.lit(False)),
-    "less_than": lambda c, k, v: F.coalesce((c < F.lit(v)) & ~_is_null(c, k), F.lit(False)),
-    "less_equal": lambda c, k, v: F.coalesce((c <= F.lit(v)) & ~_is_null(c, k), F.lit(False)),
+    "equals": _equal,
+    "not_equals": lambda c, k, v: ~_equal(c, k, v),
+    "greater_than": _compared(lambda c, v: c > v),
+    "greater_equal": _compared(lambda c, v: c >= v),
+    "less_than": _compared(lambda c, v: c < v),
+    "less_equal": _compared(lambda c, v: c <= v),
     "contains": lambda c, k, v: F.coalesce(_lower(c).contains(str(v).lower()), F.lit(False)),
     "not_contains": lambda c, k, v: F.coalesce(~_lower(c).contains(str(v).lower()), F.lit(True)),
     "starts_with": lambda c, k, v: F.coalesce(_lower(c).startswith(str(v).lower()), F.lit(False)),
     "ends_with": lambda c, k, v: F.coalesce(_lower(c).endswith(str(v).lower()), F.lit(False)),
     "is_null": lambda c, k, v: _is_null(c, k),
     "not_null": lambda c, k, v: ~_is_null(c, k),
-    "in_list": lambda c, k, v: F.coalesce(c.isin(list(v)), F.lit(False)) if isinstance(v, (list, tuple, set)) else F.lit(False),
+    "in_list": _listed,
+    "iexact": _iequal,
+    "iregex": lambda c, k, v: F.coalesce(c.cast("string").rlike("(?i)" + str(v)), F.lit(False)),
 }
 
 #: Aggregate -> column -> expression. Nulls are skipped; the sum of nothing is 0.
@@ -170,13 +208,16 @@ def clean(df: DataFrame, config: Config, inputs: Mapping[str, DataFrame] = {}) -
 @register_op("derive")
 def derive(df: DataFrame, config: Config, inputs: Mapping[str, DataFrame] = {}) -> DataFrame:
     """New columns in order, each may use those before it. A bad expression is an error, never a missing column."""
-    kinds = {"int": "bigint", "float": "double", "str": "string"}
+    kinds = {"int": "bigint", "float": "double", "str": "string", "bool": "boolean"}
     for spec in config.get("new_columns", []):
         value = F.expr(translate(spec["expression"], df.columns))
         kind = spec.get("data_type", "str")
-        if kind in kinds:
-            text = value.cast("string")
-            value = text if kind == "str" else (text.try_cast(kinds[kind]) if kind == "float" else F.coalesce(text.try_cast("bigint"), text.try_cast("double").cast("bigint")))
+        # Numbers are cast as they are; only text is parsed, and an int may be written with a fraction there.
+        text = isinstance(df.select(value.alias("v")).schema["v"].dataType, T.StringType)
+        if kind == "int" and text:
+            value = F.coalesce(value.try_cast("bigint"), value.try_cast("double").try_cast("bigint"))
+        elif kind in kinds:
+            value = value.try_cast(kinds[kind])
         df = df.withColumn(spec["name"], value)
     return df
 
@@ -230,15 +271,29 @@ def sort(df: DataFrame, config: Config, inputs: Mapping[str, DataFrame] = {}) ->
     return df.orderBy(*order) if order else df
 
 
+#: Sizes up to this are one top-k over the data.
+TOP_ROWS = 10_000
+
+
 @register_op("sample")
 def sample(df: DataFrame, config: Config, inputs: Mapping[str, DataFrame] = {}) -> DataFrame:
     """Exactly ``sample_size`` rows, else ``sample_fraction`` (10 %) of the rows, without replacement.
 
-    Rows are taken in the order of a seeded hash of the whole row, so the same rows come back each time. A size is one
-    top-k over the data; a fraction first counts the rows.
+    Rows are taken in the order of a seeded hash of the whole row, so the same rows come back each time. Small sizes are
+    one top-k over the data. For others one job counts the rows of each of 65,536 ranges of the hash; the ranges before
+    the one in which the sample ends are taken whole by a filter, and only that one is sorted.
     """
+    cells = [F.coalesce(quoted(c).cast("string"), F.lit("")) for c in df.columns]
+    keyed = df.withColumn("_ls_key", F.md5(F.concat_ws("|", F.lit(str(config.get("random_state", 42))), *cells)))
     size = config.get("sample_size")
-    if size is None:
-        size = round(df.count() * float(config.get("sample_fraction", 0.1)))
-    order = F.xxhash64(F.lit(config.get("random_state", 42)), *map(quoted, df.columns))
-    return df.orderBy(order, *map(quoted, df.columns)).limit(int(size))
+    if size is not None and int(size) <= TOP_ROWS:
+        return keyed.orderBy("_ls_key").limit(int(size)).drop("_ls_key")
+    spot = F.substring("_ls_key", 1, 4)
+    counts = sorted((r["spot"], r["n"]) for r in keyed.groupBy(spot.alias("spot")).agg(F.count("*").alias("n")).collect())
+    left = int(size) if size is not None else round(sum(n for _, n in counts) * float(config.get("sample_fraction", 0.1)))
+    for last, n in counts:
+        if n > left:
+            part = keyed.where(spot == last).orderBy("_ls_key").limit(left)
+            return keyed.where(spot < last).unionByName(part).drop("_ls_key")
+        left -= n
+    return df

@@ -141,9 +141,17 @@ def t_sort(s, d):
     return df.select("c_custkey", "c_acctbal")
 
 
-@query()
+SAMPLE_KEY = "md5('42|' || o_orderkey || '|' || o_custkey || '|' || o_orderstatus)"
+
+
+@query(f"SELECT o_orderkey FROM orders ORDER BY {SAMPLE_KEY} LIMIT 500")
 def t_sample(s, d):
-    return execute("sample", table(s, d, "orders"), {"sample_size": 500}).select("o_orderkey")
+    return execute("sample", table(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), {"sample_size": 500}).select("o_orderkey")
+
+
+@query(f"SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY {SAMPLE_KEY}) AS n, count(*) OVER () AS c FROM orders) WHERE n <= round(c * 0.3)")
+def t_sample_fraction(s, d):
+    return execute("sample", table(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), {"sample_fraction": 0.3}).select("o_orderkey")
 
 
 @query("""SELECT c_mktsegment, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey
@@ -377,7 +385,7 @@ def rank_then_filter(s, d):
 
 @query("""SELECT s_suppkey, round(coalesce((s_acctbal - min(s_acctbal) OVER ()) / nullif(max(s_acctbal) OVER () - min(s_acctbal) OVER (), 0) * 100, 50), 4) AS score FROM supplier""")
 def min_max_scaled(s, d):
-    return table(s, d, "supplier").select("s_suppkey", r(analytics.min_max(F.col("s_acctbal"))).alias("score"))
+    return analytics.min_max(table(s, d, "supplier"), {"score": F.col("s_acctbal")}).select("s_suppkey", r(F.col("score")).alias("score"))
 
 
 @query("""WITH m AS (SELECT user_id, CAST(date_trunc('week', ts) AS DATE) AS week, round(sum(CASE WHEN event_type = 'purchase' THEN value ELSE 0 END) - sum(CASE WHEN event_type = 'error' THEN value ELSE 0 END), 2) AS delta FROM events GROUP BY 1, 2)
@@ -802,9 +810,9 @@ def catalogue_lookup(s, d):
     return business.catalogue_match(p.select("p_partkey", "p_brand", "p_size"), catalogue, ["p_brand"], "p_size", ["p_size", "other"], ["p_partkey"], ["p_partkey"]).select("p_partkey", "matched_p_partkey")
 
 
-@query("""WITH w AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(upper(text), '\\b([A-Z]{5,12})\\b', 1))) AS code FROM documents), c AS (SELECT DISTINCT upper(unnest(string_split(p_name || ' ' || p_type, ' '))) AS code FROM part) SELECT doc_id, code FROM w JOIN c USING (code)""")
+@query("""WITH w AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(upper(text), '\\b([A-Z]{5,12})\\b', 1))) AS code FROM documents), c AS (SELECT unnest(['LICENSE', 'RELEASED', 'UNDER', 'MOLLY', 'THATTHE']) AS code) SELECT doc_id, code FROM w JOIN c USING (code)""")
 def documents_naming_codes(s, d):
-    codes = table(s, d, "part").select(F.explode(F.split(F.concat_ws(" ", "p_name", "p_type"), " ")).alias("c"))
+    codes = s.createDataFrame([("License",), ("released",), ("UNDER",), ("molly",), ("thatthe",)], "c string")
     return business.rows_naming_codes(table(s, d, "documents").select("doc_id", "text"), "text", codes, "c", r"\b([A-Z]{5,12})\b").select("doc_id", "code")
 
 
@@ -868,9 +876,9 @@ def sales_forecasts(s, d):
 @query("""WITH n AS (SELECT conv_id AS block, lower(trim(text)) AS t, min(turn) AS id, count(*) AS n FROM conversations WHERE trim(text) <> '' GROUP BY 1, 2),
 w AS (SELECT *, list_filter(list_distinct(regexp_split_to_array(t, '\\s+')), lambda x: x <> '') AS ws FROM n),
 z AS (SELECT a.block, a.id AS left_id, b.id AS right_id, round(greatest(len(list_intersect(a.ws, b.ws)) / len(list_distinct(list_concat(a.ws, b.ws))), CASE WHEN contains(a.t, b.t) OR contains(b.t, a.t) THEN 0.7 ELSE 0 END) * 100, 2) AS similarity FROM w a JOIN w b ON a.block = b.block AND a.id < b.id)
-SELECT block, left_id, right_id, similarity, 'modified' AS link FROM z WHERE similarity >= 20 UNION ALL SELECT block, id, id, 100.0, 'identical' FROM n WHERE n > 1""")
+SELECT block, left_id, right_id, similarity, 'modified' AS link FROM z WHERE similarity >= 6 UNION ALL SELECT block, id, id, 100.0, 'identical' FROM n WHERE n > 1""")
 def comment_links(s, d):
-    return business.linked_texts(table(s, d, "conversations"), "turn", "text", "conv_id", 20.0)
+    return business.linked_texts(table(s, d, "conversations"), "turn", "text", "conv_id", 6.0)
 
 
 @query("""WITH m AS (SELECT p_brand, list_sort(list(p_size))[CAST(floor(count(*) / 2) AS INTEGER) + 1] AS median FROM part GROUP BY 1) SELECT p_partkey, median FROM part JOIN m USING (p_brand) WHERE abs(p_size - median) > 22""")

@@ -1,12 +1,13 @@
 """Hand-worked cases: null semantics of the transform operators, pipelines, pairing, reconciliation, quality, graphs."""
 
 import datetime as dt
+import math
 
 import pytest
 from pyspark.sql import functions as F
 
 from lodestream.functions import dates, numbers, text
-from lodestream.operators import anomaly, business, graph, intervals, quality, reconcile
+from lodestream.operators import anomaly, business, graph, intervals, quality, reconcile, transform
 from lodestream.operators.derive import translate
 from lodestream.operators.transform import execute
 from lodestream.plans.pipeline import Pipeline
@@ -186,3 +187,84 @@ def test_richest_record_ladders_and_usage(spark):
     assert [(i, rule) for i, rule, *_ in rows(quality.findings(nested, "id", quality.inside("a", "b", "c", "d")))] == [(1, "above"), (1, "below")]
     used = spark.createDataFrame([("x", 1, True), ("x", None, False), ("y", None, None)], "f string, u int, ok boolean")
     assert rows(business.feature_usage(used, ["f"], "u", F.col("ok"))) == [("x", 2, 1, 2.0, 50.0, "stable"), ("y", 1, 0, 0.0, 0.0, "stable")]
+
+
+MIXED = "n bigint, x double, t string, b boolean, d date, w timestamp_ntz"
+VALUES = [7, 7.0, "7", "abc", True, None, ["7", 7, None], "2024-05-01"]
+
+
+def plain_predicate(name, cell, kind, value):
+    """What a predicate means, in plain Python."""
+    import datetime
+
+    null = cell is None or (isinstance(cell, float) and math.isnan(cell))
+
+    def fits(v):
+        if isinstance(v, bool) or kind == "b":
+            return isinstance(v, bool) and kind == "b"
+        if isinstance(v, str) and kind in "dw":
+            try:
+                datetime.datetime.fromisoformat(v)
+            except ValueError:
+                return False
+            return True
+        return isinstance(v, str) if kind == "t" else isinstance(v, (int, float)) and kind in "nx"
+
+    def same(v):
+        if isinstance(v, str) and kind in "dw":
+            at = datetime.datetime.fromisoformat(v)
+            return at.date() if kind == "d" else at
+        return v
+
+    if name == "in_list":
+        return not null and isinstance(value, list) and any(fits(v) and cell == same(v) for v in value)
+    ok = not null and fits(value)
+    if name in ("equals", "not_equals"):
+        return (ok and cell == same(value)) == (name == "equals")
+    tests = {"greater_than": lambda: cell > same(value), "greater_equal": lambda: cell >= same(value), "less_than": lambda: cell < same(value), "less_equal": lambda: cell <= same(value)}
+    return ok and tests[name]()
+
+
+@pytest.mark.parametrize("kind", "nxtbdw")
+def test_comparisons_never_fail_and_are_false_for_other_types(spark, kind):
+    import datetime
+
+    day = datetime.date(2024, 5, 1)
+    rows = [(7, 7.0, "7", True, day, datetime.datetime(2024, 5, 1)), (8, float("nan"), "abc", False, datetime.date(2023, 1, 1), datetime.datetime(2025, 1, 1, 3)), (None,) * 6]
+    df = spark.createDataFrame(rows, MIXED)
+    at = [c.split()[0] for c in MIXED.split(", ")].index(kind)
+    names = ["equals", "not_equals", "greater_than", "greater_equal", "less_than", "less_equal", "in_list"]
+    cases = [(n, v) for n in names for v in VALUES]
+    columns = [transform.PREDICATES[n](F.col(kind), df.schema[kind].dataType, v).alias(f"c{i}") for i, (n, v) in enumerate(cases)]
+    for row, found in zip(rows, df.select(*columns).collect()):
+        for (name, value), got in zip(cases, found):
+            assert got == plain_predicate(name, row[at], kind, value), (name, row[at], value)
+
+
+def test_derive_casts_numbers_directly_and_text_by_parsing(spark):
+    df = spark.createDataFrame([(7.9, "12.7", "x", 0), (-7.9, "5", "true", 3), (float("nan"), None, None, None)], "x double, t string, u string, n int")
+    columns = [{"name": f"{c}_{k}", "expression": c, "data_type": k} for c in "xtun" for k in ("int", "float", "bool")]
+    out = [r.asDict() for r in transform.execute("derive", df, {"new_columns": columns}).collect()]
+    assert [r["x_int"] for r in out] == [7, -7, None] and [r["t_int"] for r in out] == [12, 5, None] and [r["u_float"] for r in out] == [None] * 3
+    assert [r["n_bool"] for r in out] == [False, True, None] and [r["u_bool"] for r in out] == [None, True, None] and [r["n_float"] for r in out] == [0.0, 3.0, None]
+
+
+def test_large_samples_are_exact_and_the_same_each_time(spark, monkeypatch):
+    monkeypatch.setattr(transform, "TOP_ROWS", 10)
+    df = spark.range(5000).withColumn("t", (F.col("id") % 7).cast("string")).repartition(5)
+    for config in ({"sample_size": 1234}, {"sample_fraction": 0.2468}):
+        one = sorted(r["id"] for r in transform.execute("sample", df, config).collect())
+        again = sorted(r["id"] for r in transform.execute("sample", df.repartition(3), config).collect())
+        assert one == again and len(one) == 1234 == len(set(one))
+    assert transform.execute("sample", df, {"sample_size": 99_999}).count() == 5000
+
+
+def test_places_among_all_and_scaling(spark):
+    from lodestream.operators import analytics
+
+    df = spark.createDataFrame([(i, float((i * 37) % 101), "ab"[i % 2]) for i in range(300)], "id int, v double, g string").repartition(4)
+    placed = {r["id"]: r["place"] for r in analytics.placed(df, [F.desc("v"), F.col("id")], "place").collect()}
+    order = sorted(range(300), key=lambda i: (-((i * 37) % 101), i))
+    assert placed == {i: n + 1 for n, i in enumerate(order)}
+    even = analytics.min_max(df.withColumn("same", F.lit(3)), {"s": F.col("v"), "e": F.col("same")}, ["g"], invert=["s"]).collect()
+    assert {r["e"] for r in even} == {50.0} and min(r["s"] for r in even) == 0.0 and max(r["s"] for r in even) == 100.0 and len(even) == 300

@@ -2,12 +2,14 @@
 
 import math
 import os
+import shutil
 import subprocess
 import sys
 
 import duckdb
 import pytest
 
+from lodestream.plans import report_queries  # noqa: F401  registers its queries
 from lodestream.plans.queries import ORACLE_SQL, QUERIES
 
 from .conftest import DATA, ROOT
@@ -54,9 +56,13 @@ def test_query(spark, duck, name):
     assert canon(out.columns, found) == canon(columns, got.fetchall())
 
 
-def test_entry_imports_without_a_session_and_without_the_llm_folder(tmp_path):
-    for f in ("__spark_entry__.py", "lodestream"):
-        os.symlink(f"{ROOT}/{f}", tmp_path / f)
-    # corpus_pipeline.py is absent here, as when the driver deletes it with the llm folders.
-    code = "import __spark_entry__ as e; q = e.queries(); assert q and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)"
+@pytest.mark.parametrize("left", ["nothing", "an empty folder", "the pipeline alone"])
+def test_entry_imports_without_a_session_and_without_the_llm_folder(tmp_path, left):
+    shutil.copy(f"{ROOT}/__spark_entry__.py", tmp_path)
+    shutil.copytree(f"{ROOT}/lodestream", tmp_path / "lodestream", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    if left == "an empty folder":
+        (tmp_path / "lodestream" / "llm").mkdir()
+    if left == "the pipeline alone":
+        (tmp_path / "corpus_pipeline.py").write_text("from lodestream.llm import bpe\n")
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 130 and 'pipeline' not in q and not any(k.startswith('op1_') for k in q) and set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, check=True)
