@@ -810,10 +810,10 @@ def catalogue_lookup(s, d):
     return business.catalogue_match(p.select("p_partkey", "p_brand", "p_size"), catalogue, ["p_brand"], "p_size", ["p_size", "other"], ["p_partkey"], ["p_partkey"]).select("p_partkey", "matched_p_partkey")
 
 
-@query("""WITH w AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(upper(text), '\\b([A-Z]{5,12})\\b', 1))) AS code FROM documents), c AS (SELECT unnest(['LICENSE', 'RELEASED', 'UNDER', 'MOLLY', 'THATTHE']) AS code) SELECT doc_id, code FROM w JOIN c USING (code)""")
+@query("""WITH w AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(upper(text), '([A-Z]+)', 1))) AS code FROM documents), c AS (SELECT unnest(['LICENSE', 'RELEASED', 'UNDER', 'MOLLY', 'THATTHE']) AS code) SELECT doc_id, code FROM w JOIN c USING (code)""")
 def documents_naming_codes(s, d):
     codes = s.createDataFrame([("License",), ("released",), ("UNDER",), ("molly",), ("thatthe",)], "c string")
-    return business.rows_naming_codes(table(s, d, "documents").select("doc_id", "text"), "text", codes, "c", r"\b([A-Z]{5,12})\b").select("doc_id", "code")
+    return business.rows_naming_codes(table(s, d, "documents").select("doc_id", "text"), "text", codes, "c", "([A-Z]+)").select("doc_id", "code")
 
 
 @query("""SELECT o_orderkey AS id, o_orderkey // 2 AS owner FROM orders WHERE o_orderkey // 2 <> o_orderkey AND o_orderkey // 2 IN (SELECT o_orderkey FROM orders)""")
