@@ -25,6 +25,7 @@ SAMPLE_BYTES = 64_000_000
 BROADCAST_ROWS = 500_000
 #: The white space of all contracts: space and the five ASCII controls from tab to return.
 SPACE_CLASS = r"\x20\x09-\x0D"
+SPACE = re.compile(f"[{SPACE_CLASS}]")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -102,6 +103,19 @@ def readable_text(text_col: str) -> Column:
     return F.make_valid_utf8(text_or_empty(text_col))
 
 
+def slices(text: str, size: int = 100_000) -> Iterator[str]:
+    """A text in parts of about ``size`` characters that end at white space, so that the words of a long one are never
+    listed all at once; a run without white space stays whole."""
+    at, end = 0, len(text)
+    while end - at > size:
+        cut = SPACE.search(text, at + size)
+        if cut is None:
+            break
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:]
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """Rows never learned from: crc32 of the id as text, modulo 5, is 0. A null id counts as held out."""
     return F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % 5 == 0, F.lit(True))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestream.llm.common import held_out, labelled_sample, one_label, read_table, readable_text
+from lodestream.llm.common import held_out, labelled_sample, one_label, read_table, readable_text, slices
 
 #: Bounds the labelled rows of either class that are learned from.
 PER_CLASS = 2000
@@ -47,9 +47,8 @@ class Terms:
 
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Places of a text's terms, ascending, and how often each occurs."""
-        found = map(self.place.get, words_of(text.lower()))
-        at = np.fromiter((i for i in found if i is not None), dtype=np.int64)
-        return np.unique(at, return_counts=True)
+        parts = [np.fromiter((i for i in map(self.place.get, words_of(part.lower())) if i is not None), dtype=np.int64) for part in slices(text)]
+        return np.unique(np.concatenate(parts) if len(parts) > 1 else parts[0], return_counts=True)
 
 
 def vocabulary(examples: list[Example]) -> list[str]:
@@ -88,8 +87,9 @@ def document_frequencies(df: DataFrame, text_col: str, terms: list[str]) -> tupl
         found, rows = np.zeros(len(names) + 1, dtype=np.int64), 0
         for batch in batches:
             for text in batch.column(0):
-                at = [i for i in map(place.get, set(words_of(text.as_py().lower()))) if i is not None]
-                found[at] += 1
+                at = {i for part in slices(text.as_py()) for i in map(place.get, set(words_of(part.lower())))}
+                at.discard(None)
+                found[list(at)] += 1
             rows += batch.num_rows
         found[-1] = rows
         at = np.flatnonzero(found)
@@ -205,6 +205,10 @@ class Model:
         self.curve = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
         self.calibrate()
 
+    def __getstate__(self) -> dict:
+        """Tasks need the index, not what it was made from."""
+        return {k: v for k, v in self.__dict__.items() if k not in ("vectors", "counts")}
+
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """A text's terms, ascending, and their weights, of length 1."""
         at, count = self.terms.counts(text)
@@ -287,14 +291,15 @@ def drop_toxic(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame
 
     Null and empty texts are scored as in ``toxicity``; repeated rows share their fate; an empty table stays empty.
     """
-    names = df.columns
+    at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = pa.array([model.score(t.as_py())[0] < 0.5 for t in batch.column(len(names))], pa.bool_())
-            yield batch.select(list(range(len(names)))).filter(keep)
+            texts = batch.column(at).cast(pa.binary())
+            keep = [model.score((t.as_py() or b"").decode("utf-8", "replace"))[0] < 0.5 for t in texts]
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return df.select("*", readable_text(text_col).alias("_ls_text")).mapInArrow(run, df.schema)
+    return df.mapInArrow(run, df.schema)
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
