@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestream.llm.common import BROADCAST_ROWS, SPACE_CLASS, read_table, settle, text_or_empty
+from lodestream.llm.common import SPACE_CLASS, bounded, read_table, settle, text_or_empty
 
 
 def normalised(text_col: str) -> Column:
@@ -28,11 +28,6 @@ def md5_128(text: Column) -> Column:
     return F.unhex(F.md5(text.cast("binary")))
 
 
-def bounded(df: DataFrame) -> DataFrame:
-    """A settled table of narrow rows, to be broadcast if it was counted to be small; else the join is left to the planner."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def _collided(df: DataFrame, text_col: str, hashed: Callable[[Column], Column], parts: list[str], groups: DataFrame) -> DataFrame:
     """Keys of groups that hold more than one normalised text, from a comparison of the bytes of all texts in ``groups``.
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_digest, xxh64_intdigest
 
-from lodestream.llm.common import components, read_table, settle, sorted_runs, spanning_edges, text_or_empty
+from lodestream.llm.common import bounded, components, read_table, settle, sorted_runs, spanning_edges, text_or_empty
 
 BLOCKS, BLOCK_BITS, SHARED = 4, 16, 2
 CHUNK = 1024
@@ -241,8 +241,9 @@ def similar_links(nodes: DataFrame, shingles: DataFrame) -> DataFrame:
     # Keys with the same nodes are the same work.
     keys = settle(met.groupBy("rows", "who", "least").agg(F.min("key").alias("key"), F.max("total").alias("total")))
     members = settle(rows.join(keys, "key").select("key", "node", "least", "total"))
-    sets = settle(shingles.join(members.select("node").distinct(), "node", "left_semi"))
-    star = members.where("node != least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
+    # Lists of nodes that are small, as counted, go to where the sets are; else the sets are shuffled.
+    sets = settle(shingles.join(bounded(settle(members.select("node").distinct())), "node", "left_semi"))
+    star = bounded(settle(members.where("node != least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()))
     both = star.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     stars = settle(both.select("a", "b", "x", "y").mapInArrow(_pairs_alike, "a bigint, b bigint"))
     placed = settle(members.join(components(stars), "node", "left").withColumn("root", F.coalesce("root", "node")))
@@ -269,7 +270,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = settle(_shingled(df, id_col, text_col))
     firsts = settle(rows.groupBy("digest").agg(F.min("row").alias("node")))
     # The node of a set is one of its rows.
-    nodes = settle(rows.select(F.col("row").alias("node"), "n", "keys").join(firsts, "node", "left_semi"))
+    nodes = settle(rows.select(F.col("row").alias("node"), "n", "keys").join(bounded(settle(firsts.select("node"))), "node", "left_semi"))
     roots = settle(components(similar_links(nodes, rows.select(F.col("row").alias("node"), "shingles"))))
     placed = settle(firsts.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root")))
     return rows.select("row", "id", "text_md5", "digest").join(placed, "digest").select("row", "id", "text_md5", "root")
@@ -278,7 +279,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with, of each component of ``near_duplicates``, the row with the smallest id, a null id last; columns unchanged.
 
-    Rows are told apart by id and text, so rows that only share an id are decided one by one.
+    Rows are told apart by id and text, so rows that only share an id are decided one by one. Null and blank texts are
+    equal to one another; an empty table stays empty.
     """
     found = settle(near_duplicates(df, id_col, text_col))
     best = settle(found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("row").alias("row"))).alias("best"), F.count("*").alias("rows")).where("rows > 1"))
@@ -286,7 +288,7 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     by_key = settle(decided.groupBy(F.col("id").alias("_ls_id"), F.col("text_md5").alias("_ls_md5")).agg(F.max("stays").alias("stays"), F.count("*").alias("rows")).where("not stays or rows > 1"))
     keyed = df.withColumn("_ls_text_md5", _text_md5(text_col))
     same = lambda t: F.col(f"`{id_col}`").eqNullSafe(t["_ls_id"]) & (keyed["_ls_text_md5"] == t["_ls_md5"])
-    lost, repeated = by_key.where("not stays"), by_key.where("stays")
+    lost, repeated = (bounded(settle(by_key.where(x).select("_ls_id", "_ls_md5"))) for x in ("not stays", "stays"))
     names = [F.col(f"`{c}`") for c in df.columns]
     out = keyed.join(lost, same(lost), "left_anti")
     if repeated.isEmpty():
