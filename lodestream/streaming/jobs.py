@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,35 +58,68 @@ def first_in_period(alerts: DataFrame, keys: Sequence[str], time_col: str, secon
     return alerts.withColumn("_p", period).groupBy(*keys, "_p").agg(F.min(time_col).alias(time_col), F.count("*").alias("merged")).drop("_p")
 
 
+def _versions(spark: SparkSession, root: str) -> dict[int, str]:
+    """The versions of a table: number and path."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(root)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(where)] if fs.exists(where) else []
+    return {int(n[2:]): f"{root}/{n}" for n in names if n.startswith("v=")}
+
+
+def _first_version(spark: SparkSession, checkpoint: str, path: str) -> int:
+    """The version of batch 0 of this checkpoint: after all that were there when it began, noted beside its offsets."""
+    note = f"{checkpoint}/first_version"
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(note)
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        first = max(_versions(spark, path), default=-1) + 1
+        spark.createDataFrame([(first,)], "first bigint").coalesce(1).write.parquet(note)
+    return spark.read.parquet(note).first()["first"]
+
+
 def idempotent_ingest(path: str, checkpoint: str, summaries: str, person_col: str, id_col: str, time_col: str, kind_col: str) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function: upserts events by id (the last write wins), then recomputes the touched days.
 
     Events and day summaries are versions of a table, one directory a batch, so a batch that is run again overwrites its
-    own version and no reader sees half a table. ``checkpoint`` keeps nothing of its own here; it is where the query's
-    own offsets lie, and is named so that the three belong together.
+    own version and no reader sees half a table. ``checkpoint`` is the query's; a query with a new one goes on from the
+    newest version. The version before stays for readers and for batches that are run again; older ones are deleted.
     """
 
-    def latest(spark: SparkSession, root: str, batch_id: int, empty: DataFrame) -> DataFrame:
-        # Batches are numbered without gaps, so the version to build on is the one before.
-        return spark.read.parquet(f"{root}/v={batch_id - 1}") if batch_id > 0 else empty
-
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        version = _first_version(spark, checkpoint, path) + batch_id
+
+        def before(root: str, empty: DataFrame) -> DataFrame:
+            return spark.read.parquet(f"{root}/v={version - 1}") if version > 0 else empty
+
         good = batch.where(F.col(id_col).isNotNull() & F.col(time_col).isNotNull() & F.upper(kind_col).isin("IN", "OUT"))
-        merged = upserted(latest(spark, path, batch_id, good.limit(0)), good, [id_col], [F.desc(time_col)])
-        merged.write.mode("overwrite").parquet(f"{path}/v={batch_id}")
-        events = spark.read.parquet(f"{path}/v={batch_id}")
+        merged = upserted(before(path, good.limit(0)), good, [id_col], [F.desc(time_col)])
+        merged.write.mode("overwrite").parquet(f"{path}/v={version}")
+        events = spark.read.parquet(f"{path}/v={version}")
         days = daily_summary(touched_days(events, good, person_col, time_col), person_col, time_col, kind_col, id_col)
-        upserted(latest(spark, summaries, batch_id, days.limit(0)), days, [person_col, "date"], [F.desc("date")]).write.mode("overwrite").parquet(f"{summaries}/v={batch_id}")
+        upserted(before(summaries, days.limit(0)), days, [person_col, "date"], [F.desc("date")]).write.mode("overwrite").parquet(f"{summaries}/v={version}")
+        for root in (path, summaries):
+            for number, old in _versions(spark, root).items():
+                if number < version - 1:
+                    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(old)
+                    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
     return run
 
 
-def cooled_down(alerts: DataFrame, key: str, time_col: str, confidence_col: str, seconds: int, least: float = 0.7) -> DataFrame:
-    """Alerts that pass: confident ones, at most one for each key in ``seconds``, by event time across batches."""
+def cooled_down(alerts: DataFrame, key: str, time_col: str, confidence_col: str, seconds: int, least: float = 0.7, late: str = "1 day") -> DataFrame:
+    """Alerts that pass: confident ones, at most one for each key in ``seconds``, by event time across batches.
+
+    A key's state goes once the watermark (``late``) has passed its cool-down, when nothing it could hold back can come.
+    Rows without a time do not count.
+    """
     schema = f"{key} {alerts.schema[key].dataType.simpleString()}, {time_col} timestamp, {confidence_col} double"
 
     def run(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
         passed = []
         rows = pd.concat(list(parts)).sort_values(time_col)
@@ -96,31 +130,55 @@ def cooled_down(alerts: DataFrame, key: str, time_col: str, confidence_col: str,
                 passed.append((k[0], t, c))
         if last is not None:
             state.update((last,))
+            state.setTimeoutTimestamp(max(int((last + seconds) * 1000), state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame(passed, columns=[key, time_col, confidence_col])
 
-    return alerts.select(key, time_col, confidence_col).groupBy(key).applyInPandasWithState(run, schema, "last double", "append", GroupStateTimeout.NoTimeout)
+    timed = alerts.select(key, time_col, confidence_col).where(F.col(time_col).isNotNull()).withWatermark(time_col, late)
+    return timed.groupBy(key).applyInPandasWithState(run, schema, "last double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def scored_online(points: DataFrame, key: str, time_col: str, value_col: str, history: int = 100, sigmas: float = 3.0, least: int = 10) -> DataFrame:
-    """Each point's z-score against the last ``history`` points of its key, kept as state."""
+def z_scores(past: np.ndarray, values: np.ndarray, history: int, least: int) -> np.ndarray:
+    """Of each value, the distance in standard deviations from the mean of the ``history`` values before it.
+
+    0 where fewer than ``least`` come before, where those do not vary, and for nulls, which count as no value.
+    """
+    line = np.concatenate([np.full(history, np.nan), past, values])
+    before = np.lib.stride_tricks.sliding_window_view(line, history)[len(past) : -1]
+    known = ~np.isnan(before)
+    n = known.sum(axis=1)
+    mean = np.where(known, before, 0.0).sum(axis=1) / np.maximum(n, 1)
+    std = np.sqrt((np.where(known, before - mean[:, None], 0.0) ** 2).sum(axis=1) / np.maximum(n, 1))
+    good = (n >= least) & (std > 0) & ~np.isnan(values)
+    return np.where(good, np.abs(values - mean) / np.where(std > 0, std, 1.0), 0.0)
+
+
+def scored_online(
+    points: DataFrame, key: str, time_col: str, value_col: str, history: int = 100, sigmas: float = 3.0, least: int = 10, late: str = "1 day", idle_days: int = 30
+) -> DataFrame:
+    """Each point's z-score against the last ``history`` points of its key, kept as state.
+
+    A key without points for ``idle_days`` past the watermark (``late``) is forgotten and begins anew. Rows without a time do not count.
+    """
     schema = f"{key} {points.schema[key].dataType.simpleString()}, {time_col} timestamp, {value_col} double, z_score double, is_anomaly boolean"
 
     def run(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        past = list(state.get[0]) if state.exists else []
-        out = []
+        if state.hasTimedOut:
+            state.remove()
+            return
+        past = np.array(state.get[0] if state.exists else [], dtype=float)
         rows = pd.concat(list(parts)).sort_values(time_col)
-        for t, v in zip(rows[time_col], rows[value_col]):
-            z = 0.0
-            if len(past) >= least:
-                mean = sum(past) / len(past)
-                std = (sum((x - mean) ** 2 for x in past) / len(past)) ** 0.5
-                z = abs(v - mean) / std if std else 0.0
-            out.append((k[0], t, v, z, z > sigmas))
-            past = [*past, float(v)][-history:]
-        state.update((past,))
-        yield pd.DataFrame(out, columns=[key, time_col, value_col, "z_score", "is_anomaly"])
-
-    return points.select(key, time_col, value_col).groupBy(key).applyInPandasWithState(run, schema, "past array<double>", "append", GroupStateTimeout.NoTimeout)
+        for at in range(0, len(rows), 10_000):
+            part = rows.iloc[at : at + 10_000]
+            values = part[value_col].to_numpy(dtype=float)
+            z = z_scores(past, values, history, least)
+            past = np.concatenate([past, values[~np.isnan(values)]])[-history:]
+            yield pd.DataFrame({key: k[0], time_col: part[time_col], value_col: values, "z_score": z, "is_anomaly": z > sigmas})
+        state.update((past.tolist(),))
+        newest = max(int(rows[time_col].max().timestamp() * 1000), state.getCurrentWatermarkMs())
+        state.setTimeoutTimestamp(newest + idle_days * 86_400_000)
+
+    timed = points.select(key, time_col, value_col).where(F.col(time_col).isNotNull()).withWatermark(time_col, late)
+    return timed.groupBy(key).applyInPandasWithState(run, schema, "past array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def freshness(df: DataFrame, time_col: str, now: Column, limit_minutes: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, StringContains, StringStartsWith
@@ -88,6 +89,13 @@ def test_ingest_is_idempotent_and_recomputes_touched_days(spark, tmp_path):
         run(batch, i)  # a batch that is run again changes nothing
     out = {r["person"]: r["paired_hours"] for r in spark.read.parquet(f"{days}/v=1").collect()}
     assert out == {"a": 4.0, "b": 8.0} and spark.read.parquet(f"{events}/v=1").count() == 4
+    # A query with a new checkpoint goes on from there, and only the version before stays.
+    again = jobs.idempotent_ingest(events, str(tmp_path / "other"), days, "person", "event_id", "t", "kind")
+    more = spark.createDataFrame([("e9", "c", "IN", dt.datetime(2024, 1, 9, 9))], "event_id string, person string, kind string, t timestamp")
+    for _ in range(2):
+        again(more, 0)
+    assert spark.read.parquet(f"{events}/v=2").count() == 5 and spark.read.parquet(f"{days}/v=2").count() == 3
+    assert sorted(jobs._versions(spark, events)) == sorted(jobs._versions(spark, days)) == [1, 2]
 
 
 @pytest.fixture()
@@ -120,6 +128,31 @@ def test_cool_down_and_online_scores(spark, stream, tmp_path):
     assert [(r["k"], r["v"]) for r in scored.where("is_anomaly").collect()] == [("a", 50.0)] and scored.count() == 33
 
 
+def test_keyed_state_goes_when_the_watermark_has_passed(spark, tmp_path):
+    base = dt.datetime(2024, 1, 1)
+    for i, (k, day) in enumerate([("a", 0), ("b", 60), ("b", 61), ("a", 62)]):
+        spark.createDataFrame([(k, base + dt.timedelta(days=day), 0.9)], "k string, t timestamp, v double").coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+    live = jobs.events_as_stream(spark, str(tmp_path / "in/*"), "k string, t timestamp, v double", "t")
+    for name, df in (("cool", jobs.cooled_down(live, "k", "t", "v", 600)), ("score", jobs.scored_online(live, "k", "t", "v"))):
+        q = df.writeStream.format("memory").queryName(f"{name}_gone").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        assert spark.table(f"{name}_gone").count() == 4
+        assert sum(p["stateOperators"][0]["numRowsRemoved"] for p in q.recentProgress) >= 1
+
+
+def test_z_scores_against_a_plain_loop():
+    draw = np.random.default_rng(3)
+    past, values = draw.normal(size=7), draw.normal(size=200)
+    values[[3, 50]] = np.nan
+    line = np.concatenate([past, values])
+    for i, z in enumerate(jobs.z_scores(past, values, 20, 10)):
+        before = line[max(0, i + 7 - 20) : i + 7]
+        before = before[~np.isnan(before)]
+        want = abs(values[i] - before.mean()) / before.std() if len(before) >= 10 and not np.isnan(values[i]) else 0.0
+        assert abs(z - want) < 1e-9
+    assert not jobs.z_scores(np.ones(20), np.array([1.0, 2.0]), 20, 10)[0]
+
+
 def test_freshness(spark, stream):
     batch, _ = stream
     out = jobs.freshness(batch, "t", F.lit("2024-01-01 01:40:00"), 45).first()
