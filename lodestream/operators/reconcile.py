@@ -90,13 +90,18 @@ def budget_variance(base: DataFrame, compare: DataFrame, keys: Sequence[str], am
 def best_fuzzy_match(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_text: str, right_text: str, block: tuple[Column, Column], threshold: float = 0.8) -> DataFrame:
     """For each left row the right row of the same block with the largest Levenshtein ratio, if it reaches the threshold.
 
-    Only rows of one block meet; ties go to the smaller id. The blocks are the caller's: an equi join on their keys.
+    Only texts of one block meet, each distinct text once, and only where their lengths allow the ratio; ties go to the
+    smaller id. The blocks are the caller's: an equi join on their keys.
     """
-    a = left.select(F.col(left_id).alias("left_id"), F.col(left_text).alias("_a"), block[0].alias("_block"))
-    b = right.select(F.col(right_id).alias("right_id"), F.col(right_text).alias("_b"), block[1].alias("_block"))
-    scored = a.join(b, "_block").select("left_id", "right_id", levenshtein_ratio(F.col("_a"), F.col("_b")).alias("score")).where(F.col("score") >= threshold)
+    text = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))
+    a = left.select(F.col(left_id).alias("left_id"), text(left_text).alias("_a"), block[0].alias("_block"))
+    b = right.select(F.col(right_id).alias("right_id"), text(right_text).alias("_b"), block[1].alias("_block"))
+    longer, apart = F.greatest(F.length("_a"), F.length("_b")), F.abs(F.length("_a") - F.length("_b"))
+    pairs = a.select("_a", "_block").distinct().join(b.groupBy("_b", "_block").agg(F.min("right_id").alias("right_id")), "_block").where(apart <= (1 - threshold + 1e-9) * longer)
+    scored = pairs.select("_a", "_block", "right_id", levenshtein_ratio(F.col("_a"), F.col("_b")).alias("score")).where(F.col("score") >= threshold)
     best = F.max_by(F.struct("right_id", "score"), F.struct("score", (-F.col("right_id")).alias("t")))
-    return scored.groupBy("left_id").agg(best.alias("m")).select("left_id", "m.right_id", F.round("m.score", 4).alias("score"))
+    found = scored.groupBy("_a", "_block").agg(best.alias("m"))
+    return a.join(found, ["_a", "_block"]).select("left_id", "m.right_id", F.round("m.score", 4).alias("score"))
 
 
 def cascade_match(left: DataFrame, right: DataFrame, left_id: str, right_id: str, exact: Sequence[tuple[str, Column, Column]]) -> DataFrame:

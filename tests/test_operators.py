@@ -144,6 +144,13 @@ def test_ratios_and_ladders(spark):
 # --- reconciliation, quality, anomalies, graphs -----------------------------------------------------------------------
 
 
+def test_best_fuzzy_match_of_repeated_blank_and_missing_texts(spark):
+    a = spark.createDataFrame([(1, "Pump A ", "x"), (2, "pump a", "x"), (3, None, "x"), (4, "pump a", "y"), (5, "valve", None), (6, "pump", "x")], "i int, n string, k string")
+    b = spark.createDataFrame([(9, "pump b", "x"), (8, "PUMP B", "x"), (7, " ", "x"), (6, "pump abcdefgh", "y"), (5, "valve", None)], "j int, m string, l string")
+    found = rows(reconcile.best_fuzzy_match(a, b, "i", "j", "n", "m", (F.col("k"), F.col("l"))))
+    assert found == [(1, 8, 0.8333), (2, 8, 0.8333), (3, 7, 1.0)]
+
+
 def test_greedy_pairs_and_fuzzy_dedup(spark):
     a = spark.createDataFrame([(1, "pump alpha"), (2, "pump alpho")], "id int, n string")
     b = spark.createDataFrame([(7, "pump alpha"), (8, "pump alphx")], "q int, m string")
