@@ -4,10 +4,12 @@
 2. A first graph comes from random hyperplanes: nodes are range-sorted by (label, sign code, projection) and compared with
    the next few in that order; the ranges split a crowded code, so no task holds it whole.
 3. Rounds of NN-descent: the neighbours and reverse neighbours of a node meet (a join on either end), are compared with
-   one another, and whoever is nearer than the worst of a list enters it. It stops when hardly any list changes.
-4. A list all of whose places are links is saturated: there may be more. Such nodes, and only they, are enlarged: within
-   their component they are compared with one another in blocks of bounded size, and only counts leave a block, never
-   pairs. A link to a node whose list is not saturated stands in that node's own list.
+   one another, and whoever is nearer than the worst of a list enters it, until hardly any list changes; then only those
+   that links join, until no more links come.
+4. A list all of whose places are links is saturated: there may be more. A link to a node whose list is not saturated stands
+   in that node's own list, so saturated nodes can only lack links among each other. They, and only they, get lists twice as
+   long, with a first graph of their own that looks twice as far, and descend again; those that are saturated even then are
+   compared with all others of their label that are, in blocks of bounded size. Only counts and joining links leave a block.
 5. Recall is audited against brute force, in blocks, for every vector whose id is divisible by ``AUDIT_EVERY``. If a link
    is missing, another first graph with other hyperplanes is added and the rounds go on; whatever label then still misses
    one is compared exactly, in blocks.
@@ -30,7 +32,9 @@ from pyspark.sql.types import IntegralType
 from lodestream.llm.common import components, read_table, settle, sorted_runs, spanning_edges
 
 NEIGHBOURS, TABLES, AHEAD, BEST = 10, 8, 8, 5
-ROUNDS, FEW_CHANGES = 4, 0.005
+#: Saturated lists are doubled up to this length; beyond it blocks are the cheaper exact way.
+LONGEST = 40
+ROUNDS, FEW_CHANGES, LINK_ROUNDS = 4, 0.005, 12
 #: A group is cut into blocks of ``BLOCK`` vectors, up to ``BLOCKS`` of them; then these grow up to ``LARGEST`` vectors.
 BLOCK, BLOCKS, LARGEST, STRIP = 256, 64, 16_384, 128
 AUDIT_EVERY, ATTEMPTS = 20, 2
@@ -104,68 +108,76 @@ def _hashed(bits: int, seed: int, tables: int):
     return run
 
 
-def _ahead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by (t, part, code, spot): for each row the best few of those near it in that order."""
-    held: pa.RecordBatch | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        now = pa.Table.from_batches([held, batch] if held is not None else [batch]).combine_chunks().to_batches()[0]
-        held = now.slice(max(0, now.num_rows - AHEAD))
-        t, code, node = (now.column(i).to_numpy() for i in (0, 2, 4))
-        part = now.column(1).dictionary_encode().indices.to_numpy()
-        units = now.column(5)
-        n = now.num_rows
-        near, other = np.full((n, 2 * AHEAD), -2.0, dtype=np.float32), np.zeros((n, 2 * AHEAD), dtype=np.int64)
-        lengths = pc.binary_length(units).to_numpy()
-        for dim in np.unique(lengths // 4).tolist():
-            mine = np.flatnonzero(lengths == 4 * dim)
-            x = _matrix(units.take(pa.array(mine)), "<f4", dim)
-            for s in range(1, min(AHEAD, len(mine) - 1) + 1):
-                a, b = mine[:-s], mine[s:]
-                same = (b - a == s) & (t[a] == t[b]) & (part[a] == part[b]) & (code[a] == code[b])
-                k = np.flatnonzero(same)
-                cos = np.einsum("ij,ij->i", x[k], x[k + s])
-                near[a[k], s - 1], other[a[k], s - 1] = cos, node[b[k]]
-                near[b[k], AHEAD + s - 1], other[b[k], AHEAD + s - 1] = cos, node[a[k]]
-        best = np.argpartition(-near, BEST, axis=1)[:, :BEST]
-        row = np.repeat(np.arange(n), BEST)
-        cos, to = near[row, best.ravel()], other[row, best.ravel()]
-        keep = cos > -1.5
-        yield pa.RecordBatch.from_arrays([pa.array(node[row[keep]]), pa.array(to[keep]), pa.array(cos[keep])], names=["a", "b", "cos"])
-
-
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over the members of neighbourhoods, sorted by centre: for each member its best few fellows that beat its list."""
-    for table in sorted_runs(batches, ["centre"], 5_000):
-        node, worst = table["node"].to_numpy(), table["worst"].to_numpy()
-        centre = table["centre"].to_numpy()
-        lengths = pc.binary_length(table["unit"]).to_numpy()
-        dim = int(lengths[0]) // 4
-        start = np.flatnonzero(np.r_[True, centre[1:] != centre[:-1]])
-        size = np.diff(np.r_[start, len(centre)])
-        if (lengths != lengths[0]).any():  # centres of several dimensions: one group at a time
-            groups = [(np.array([s]), int(n)) for s, n in zip(start, size)]
-        else:
-            groups = [(start[size == n], int(n)) for n in np.unique(size)]
-        units = [x.as_py() for x in table["unit"]]
-        for at, n in groups:
-            if n < 2:
+def _ahead(ahead: int, few: int):
+    """Over rows sorted by (t, part, code, spot): for each row the best ``few`` of the ``ahead`` on either side of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.RecordBatch | None = None
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            dim = len(units[at[0]]) // 4
-            for lo in range(0, len(at), 512):
-                rows = at[lo : lo + 512, None] + np.arange(n)
-                x = np.frombuffer(b"".join(units[i] for i in rows.ravel()), dtype=np.float32).reshape(len(rows), n, dim)
-                cos = x @ x.transpose(0, 2, 1)
-                cos[:, np.arange(n), np.arange(n)] = -2
-                ids = node[rows]
-                cos[(ids[:, :, None] == ids[:, None, :])] = -2
-                cos[cos <= worst[rows][:, :, None]] = -2
-                k = min(BEST, n - 1)
-                best = np.argpartition(-cos, k - 1, axis=2)[:, :, :k]
-                value = np.take_along_axis(cos, best, axis=2)
-                g, i, j = np.nonzero(value > -1.5)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[g, i]), pa.array(ids[g, best[g, i, j]]), pa.array(value[g, i, j])], names=["a", "b", "cos"])
+            now = pa.Table.from_batches([held, batch] if held is not None else [batch]).combine_chunks().to_batches()[0]
+            held = now.slice(max(0, now.num_rows - ahead))
+            t, code, node = (now.column(i).to_numpy() for i in (0, 2, 4))
+            part = now.column(1).dictionary_encode().indices.to_numpy()
+            units = now.column(5)
+            n = now.num_rows
+            near, other = np.full((n, 2 * ahead), -2.0, dtype=np.float32), np.zeros((n, 2 * ahead), dtype=np.int64)
+            lengths = pc.binary_length(units).to_numpy()
+            for dim in np.unique(lengths // 4).tolist():
+                mine = np.flatnonzero(lengths == 4 * dim)
+                x = _matrix(units.take(pa.array(mine)), "<f4", dim)
+                for s in range(1, min(ahead, len(mine) - 1) + 1):
+                    a, b = mine[:-s], mine[s:]
+                    same = (b - a == s) & (t[a] == t[b]) & (part[a] == part[b]) & (code[a] == code[b])
+                    k = np.flatnonzero(same)
+                    cos = np.einsum("ij,ij->i", x[k], x[k + s])
+                    near[a[k], s - 1], other[a[k], s - 1] = cos, node[b[k]]
+                    near[b[k], ahead + s - 1], other[b[k], ahead + s - 1] = cos, node[a[k]]
+            best = np.argpartition(-near, few, axis=1)[:, :few]
+            row = np.repeat(np.arange(n), few)
+            cos, to = near[row, best.ravel()], other[row, best.ravel()]
+            keep = cos > -1.5
+            yield pa.RecordBatch.from_arrays([pa.array(node[row[keep]]), pa.array(to[keep]), pa.array(cos[keep])], names=["a", "b", "cos"])
+
+    return run
+
+
+def _met(few: int):
+    """Over the members of neighbourhoods, sorted by centre: for each member its best ``few`` fellows that beat its list."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in sorted_runs(batches, ["centre"], 5_000):
+            node, worst = table["node"].to_numpy(), table["worst"].to_numpy()
+            centre = table["centre"].to_numpy()
+            lengths = pc.binary_length(table["unit"]).to_numpy()
+            dim = int(lengths[0]) // 4
+            start = np.flatnonzero(np.r_[True, centre[1:] != centre[:-1]])
+            size = np.diff(np.r_[start, len(centre)])
+            if (lengths != lengths[0]).any():  # centres of several dimensions: one group at a time
+                groups = [(np.array([s]), int(n)) for s, n in zip(start, size)]
+            else:
+                groups = [(start[size == n], int(n)) for n in np.unique(size)]
+            units = [x.as_py() for x in table["unit"]]
+            for at, n in groups:
+                if n < 2:
+                    continue
+                dim = len(units[at[0]]) // 4
+                for lo in range(0, len(at), 512):
+                    rows = at[lo : lo + 512, None] + np.arange(n)
+                    x = np.frombuffer(b"".join(units[i] for i in rows.ravel()), dtype=np.float32).reshape(len(rows), n, dim)
+                    cos = x @ x.transpose(0, 2, 1)
+                    cos[:, np.arange(n), np.arange(n)] = -2
+                    ids = node[rows]
+                    cos[(ids[:, :, None] == ids[:, None, :])] = -2
+                    cos[cos <= worst[rows][:, :, None]] = -2
+                    k = min(few, n - 1)
+                    best = np.argpartition(-cos, k - 1, axis=2)[:, :, :k]
+                    value = np.take_along_axis(cos, best, axis=2)
+                    g, i, j = np.nonzero(value > -1.5)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[g, i]), pa.array(ids[g, best[g, i, j]]), pa.array(value[g, i, j])], names=["a", "b", "cos"])
+
+    return run
 
 
 def _nearest(pairs: DataFrame, k: int) -> DataFrame:
@@ -175,27 +187,44 @@ def _nearest(pairs: DataFrame, k: int) -> DataFrame:
     return once.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
 
 
-def first_graph(nodes: DataFrame, count: int, seed: int) -> DataFrame:
-    """Candidate pairs (a, b, cos) from hyperplane codes of about ``BUCKET`` nodes each."""
-    bits = max(0, int(np.ceil(np.log2(max(1, count) / BUCKET))))
+def first_graph(nodes: DataFrame, count: int, seed: int, ahead: int = AHEAD, few: int = BEST) -> DataFrame:
+    """Candidate pairs (a, b, cos) from hyperplane codes of about ``BUCKET`` nodes each, more if it looks further ahead."""
+    bits = max(0, int(np.ceil(np.log2(max(1, count) / (BUCKET * ahead / AHEAD)))))
     hashed = settle(nodes.select("node", "part", "unit").mapInArrow(_hashed(min(bits, 40), seed, TABLES), "t int, part string, code bigint, spot double, node bigint, unit binary"))
     order = ["t", "part", "code", "spot"]
     spread = hashed.repartitionByRange(*order).sortWithinPartitions(*order)
-    return spread.mapInArrow(_ahead, "a bigint, b bigint, cos float")
+    return spread.mapInArrow(_ahead(ahead, few), "a bigint, b bigint, cos float")
+
+
+def _refined(nodes: DataFrame, graph: DataFrame, through: DataFrame, k: int, few: int) -> DataFrame:
+    """One round: the ends of the edges ``through`` that meet in a node are compared, and lists take in who is nearer.
 
+    Only ``k`` of a neighbourhood are sure to hold one that a list of fewer places lacks."""
+    worst = graph.groupBy("a").agg(F.when(F.count("*") >= k, F.min("cos")).otherwise(F.lit(-1.0)).alias("worst"))
+    known = settle(nodes.select("node", "unit").join(worst.withColumnRenamed("a", "node"), "node", "left").select("node", "unit", F.coalesce("worst", F.lit(-1.0)).cast("float").alias("worst")))
+    back = through.withColumn("rank", F.row_number().over(W.partitionBy("b").orderBy(F.col("cos").desc(), "a"))).where(F.col("rank") <= k)
+    members = through.select(F.col("a").alias("centre"), F.col("b").alias("node")).unionByName(back.select(F.col("b").alias("centre"), F.col("a").alias("node"))).distinct()
+    met = members.join(known, "node").select("centre", "node", "worst", "unit").repartition("centre").sortWithinPartitions("centre")
+    found = met.mapInArrow(_met(few), "a bigint, b bigint, cos float")
+    return settle(_nearest(graph.select("a", "b", "cos", F.lit(1).alias("old")).unionByName(found.withColumn("old", F.lit(0))), k))
 
-def descend(nodes: DataFrame, graph: DataFrame, count: int, k: int = NEIGHBOURS, rounds: int = ROUNDS) -> DataFrame:
-    """Refine neighbour lists (a, b, cos, place) until few change."""
+
+def descend(nodes: DataFrame, graph: DataFrame, count: int, threshold: float, k: int = NEIGHBOURS, rounds: int = ROUNDS) -> DataFrame:
+    """Refine neighbour lists (a, b, cos, place) until few change, and then along links alone until no list that is not
+    saturated gets another link."""
     for _ in range(rounds):
-        worst = graph.groupBy("a").agg(F.when(F.count("*") >= k, F.min("cos")).otherwise(F.lit(-1.0)).alias("worst"))
-        known = settle(nodes.select("node", "unit").join(worst.withColumnRenamed("a", "node"), "node", "left").select("node", "unit", F.coalesce("worst", F.lit(-1.0)).cast("float").alias("worst")))
-        back = graph.withColumn("rank", F.row_number().over(W.partitionBy("b").orderBy(F.col("cos").desc(), "a"))).where(F.col("rank") <= k)
-        members = graph.select(F.col("a").alias("centre"), F.col("b").alias("node")).unionByName(back.select(F.col("b").alias("centre"), F.col("a").alias("node"))).distinct()
-        met = members.join(known, "node").select("centre", "node", "worst", "unit").repartition("centre").sortWithinPartitions("centre")
-        found = met.mapInArrow(_met, "a bigint, b bigint, cos float")
-        graph = settle(_nearest(graph.select("a", "b", "cos", F.lit(1).alias("old")).unionByName(found.withColumn("old", F.lit(0))), k))
+        graph = _refined(nodes, graph, graph, k, max(BEST, k // 2))
         if graph.where("old = 0").count() <= FEW_CHANGES * count * k:
             break
+    linked = F.col("cos") >= threshold - 1e-4
+    for _ in range(LINK_ROUNDS):
+        links = settle(graph.where(linked).select("a", "b", "cos"))
+        ends = settle(links.select(F.col("a").alias("node")).union(links.select("b")).distinct())
+        near = _refined(nodes.join(ends, "node", "left_semi"), graph.join(ends.withColumnRenamed("node", "a"), "a", "left_semi"), links, k, k)
+        graph = settle(graph.join(ends.withColumnRenamed("node", "a"), "a", "left_anti").select("a", "b", "cos", "old", "place").unionByName(near.select("a", "b", "cos", "old", "place")))
+        new = near.where((F.col("old") == 0) & linked)
+        if new.join(saturated(near, threshold, k).withColumnRenamed("node", "a"), "a", "left_anti").isEmpty():
+            break
     return graph
 
 
@@ -265,16 +294,33 @@ def saturated(graph: DataFrame, threshold: float, k: int = NEIGHBOURS) -> DataFr
     return lists.where((F.col("n") >= k) & (F.col("least") >= threshold - 1e-4)).select("node")
 
 
-def counted_links(full: DataFrame, graph: DataFrame, edges: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
-    """(node, links), copies of linked nodes counted: from the lists, and for saturated nodes among each other in blocks."""
-    crowded = settle(saturated(graph, threshold))
-    among, _ = in_blocks(full.select("node", "unit", "copies").join(crowded, "node").join(roots, "node").select(F.col("root").alias("part"), "node", "unit", "copies"), threshold)
+def enlarged(small: DataFrame, full: DataFrame, graph: DataFrame, edges: DataFrame, threshold: float, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The nodes (node) whose lists are saturated even at ``LONGEST`` places, and all links that lists have, each once.
+
+    Every step doubles the lists of the nodes that are still saturated; who is not has all of its links in its list.
+    """
+    k, crowded = NEIGHBOURS, settle(saturated(graph, threshold))
+    while k < LONGEST and (count := crowded.count()):
+        k *= 2
+        nodes = settle(small.join(crowded, "node", "left_semi"))
+        known = graph.join(crowded.withColumnRenamed("node", "a"), "a", "left_semi").join(crowded.withColumnRenamed("node", "b"), "b", "left_semi")
+        start = first_graph(nodes, count, 1000 * k + seed, AHEAD * k // NEIGHBOURS, k).withColumn("old", F.lit(1)).unionByName(known.select("a", "b", "cos", F.lit(1).alias("old")))
+        graph = descend(nodes, settle(_nearest(start, k)), count, threshold, k)
+        edges = settle(edges.unionByName(_checked(graph, full, threshold)).distinct())
+        crowded = settle(saturated(graph, threshold, k))
+    return crowded, edges
+
+
+def counted_links(full: DataFrame, crowded: DataFrame, edges: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(node, links), copies of linked nodes counted, and joining links (a, b): from the lists, and for nodes that are still
+    ``crowded`` among each other in blocks of their whole label."""
+    among, joining = in_blocks(full.select("part", "node", "unit", "copies").join(crowded, "node", "left_semi"), threshold)
     copies = full.select("node", "copies")
     mark = crowded.withColumn("full", F.lit(True))
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     marked = both.join(mark.withColumnRenamed("node", "a").withColumnRenamed("full", "fa"), "a", "left").join(mark.withColumnRenamed("node", "b").withColumnRenamed("full", "fb"), "b", "left")
     listed = marked.where("fa is null or fb is null").join(copies.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("listed"))
-    return copies.join(listed, "node", "left").join(among, "node", "left").select("node", (F.coalesce("links", F.lit(0)) + F.coalesce("listed", F.lit(0))).cast("long").alias("links"))
+    return copies.join(listed, "node", "left").join(among, "node", "left").select("node", (F.coalesce("links", F.lit(0)) + F.coalesce("listed", F.lit(0))).cast("long").alias("links")), joining
 
 
 def true_links(full: DataFrame, threshold: float) -> DataFrame:
@@ -334,10 +380,10 @@ def near_duplicate_vectors(df: DataFrame, threshold: float = 0.98, id_col: str =
         start = first_graph(small, count, attempt).withColumn("old", F.lit(1))
         if graph is not None:
             start = start.unionByName(graph.select("a", "b", "cos", "old"))
-        graph = descend(small, settle(_nearest(start, NEIGHBOURS)), count)
-        edges = settle(_checked(graph, full, threshold))
-        roots = settle(components(edges))
-        links = settle(counted_links(full, graph, edges, roots, threshold))
+        graph = descend(small, settle(_nearest(start, NEIGHBOURS)), count, threshold)
+        crowded, edges = enlarged(small, full, graph, settle(_checked(graph, full, threshold)), threshold, attempt)
+        links, joining = counted_links(full, crowded, edges, threshold)
+        links, edges = settle(links), settle(edges.unionByName(joining).distinct())
         recall, tested, doubted = audit(true, links)
         if not doubted:
             break
@@ -345,9 +391,10 @@ def near_duplicate_vectors(df: DataFrame, threshold: float = 0.98, id_col: str =
         # The exact way for labels in which a link is missing.
         part = F.col("part").isin(doubted)
         exact, joining = in_blocks(full.where(part).select("part", "node", "unit", "copies"), threshold)
-        roots = settle(components(edges.unionByName(joining)))
+        edges = edges.unionByName(joining)
         links = settle(links.join(exact.withColumnRenamed("links", "all"), "node", "left").select("node", F.coalesce("all", "links").alias("links")))
         recall, tested, _ = audit(true, links)
+    roots = settle(components(edges))
     placed = settle(full.select("node", "least", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     lowest = settle(placed.groupBy("root").agg(F.min("least").alias("component")))
     known = settle(placed.join(lowest, "root").join(links, "node").select("node", "component", (F.col("links") + F.col("copies") - 1).alias("n")))

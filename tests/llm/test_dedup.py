@@ -272,7 +272,7 @@ def test_no_link_is_lost_between_crowded_groups(spark, monkeypatch, block):
 
 
 def test_a_label_that_misses_links_is_compared_exactly(spark, monkeypatch):
-    monkeypatch.setattr(embedding_dedup, "descend", lambda small, graph, count: graph.where("cos > 2"))  # finds nothing
+    monkeypatch.setattr(embedding_dedup, "descend", lambda small, graph, count, threshold: graph.where("cos > 2"))  # finds nothing
     rows = clumps()
     n, root = brute_vectors(rows)
     out = embedding_dedup.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")).collect()
@@ -283,3 +283,34 @@ def test_a_label_that_misses_links_is_compared_exactly(spark, monkeypatch):
 def test_recall_is_null_where_there_is_no_link_to_test(spark):
     df = spark.createDataFrame([(i, [1.0, float(i)], i) for i in range(3)], "vec_id bigint, embedding array<double>, label int")
     assert {(r["recall"], r["links_tested"], r["n_links"]) for r in embedding_dedup.near_duplicate_vectors(df).collect()} == {(None, 0, 0)}
+
+
+def far_from_the_audit():
+    """Pairs and triples of tight clumps of 11 to 30 that link across, none with an id divisible by 20, and single vectors."""
+    draw = np.random.default_rng(21)
+    clumped, single = [], []
+    for k in range(18):
+        a = draw.normal(size=64)
+        a /= np.linalg.norm(a)
+        centres = [a]
+        for _ in range(1 + k % 3):
+            side = draw.normal(size=64)
+            side -= side @ centres[-1] * centres[-1]
+            centres.append(0.986 * centres[-1] + np.sqrt(1 - 0.986**2) * side / np.linalg.norm(side))
+        size = int(draw.integers(11, 31))
+        clumped += [(c + draw.normal(size=64) * 0.001, k % 2) for c in centres for _ in range(size)]
+    single = [(draw.normal(size=64), i % 2) for i in range(400)]
+    ids = iter(i for i in range(10_000) if i % 20)
+    other = iter(range(20_000, 40_000))
+    rows = [(next(ids), v.tolist(), lab) for v, lab in clumped] + [(next(other), v.tolist(), lab) for v, lab in single]
+    return [rows[i] for i in draw.permutation(len(rows))]
+
+
+def test_no_link_is_lost_where_no_audited_id_lies(spark):
+    rows = sorted(far_from_the_audit())
+    n, root = brute_vectors(rows)
+    assert (n >= 10).sum() > 500
+    out = embedding_dedup.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int").repartition(4)).collect()
+    expected = {rows[i][0]: (int(n[i]), rows[int(root[i])][0]) for i in range(len(rows))}
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in out} == expected
+    assert {r["links_tested"] for r in out} == {0} and {r["recall"] for r in out} == {None}
