@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestream.operators.quantiles import exact_quantiles, joined_by
+
 # The templates of known patterns, and the weights of the methods in the risk score.
 PATTERNS: dict[str, list[int]] = {
     "spike": [0, 0, 0, 10, 0, 0, 0, 0, 0, 0],
@@ -19,10 +21,10 @@ RISK_WEIGHTS = {"isolation_forest": 0.3, "statistical": 0.3, "pattern": 0.2, "pr
 
 def statistics(df: DataFrame, keys: Sequence[str], value_col: str) -> DataFrame:
     """Count, mean, deviations (population and sample) and exact quartiles of each series."""
-    v = F.col(value_col).cast("double")
-    q = F.percentile(v, [0.25, 0.5, 0.75])
-    out = df.groupBy(*keys).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std_pop"), F.stddev_samp(v).alias("std"), q.alias("_q"))
-    return out.select(*keys, "n", "mean", "std_pop", "std", *[F.get("_q", i).alias(k) for i, k in enumerate(("q25", "median", "q75"))])
+    v, quartiles = F.col(value_col).cast("double"), ["q25", "median", "q75"]
+    out = df.groupBy(*keys).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std_pop"), F.stddev_samp(v).alias("std"))
+    found = exact_quantiles(df, keys, v, [0.25, 0.5, 0.75], quartiles)
+    return joined_by(out, found, keys).select(*[f"`{k}`" for k in keys], "n", "mean", "std_pop", "std", *quartiles)
 
 
 def statistical(df: DataFrame, keys: Sequence[str], value_col: str, sigmas: float = 3.0, iqr_factor: float = 1.5, least: int = 10) -> DataFrame:

@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from difflib import SequenceMatcher
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestream.functions.numbers import ratio
-from lodestream.functions.text import levenshtein_ratio, weighted_similarity
+from lodestream.functions.text import weighted_similarity
+from lodestream.operators.graph import cut
+from lodestream.operators.similarity import best_matches
 
 
 def last_per_key(df: DataFrame, key: Column, columns: Sequence[str], order_col: str) -> DataFrame:
@@ -87,73 +87,24 @@ def budget_variance(base: DataFrame, compare: DataFrame, keys: Sequence[str], am
     return both.select(*keys, F.round("base", 2).alias("base"), F.round("compare", 2).alias("compare"), F.round(gap, 2).alias("variance"), pct.alias("variance_pct"), bucket.alias("bucket"))
 
 
-def best_fuzzy_match(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_text: str, right_text: str, block: tuple[Column, Column], threshold: float = 0.8) -> DataFrame:
-    """For each left row the right row of the same block with the largest Levenshtein ratio, if it reaches the threshold.
+def cascade_match(
+    left: DataFrame, right: DataFrame, left_id: str, right_id: str, exact: Sequence[tuple[str, Column, Column]],
+    texts: tuple[str, str] | None = None, least_words: float = 0.6, least_ratio: float = 0.85, measure: str = "blocks",
+) -> DataFrame:
+    """(left_id, right_id, matched_by): one stage after another, each seeing only rows that no earlier stage matched.
 
-    Only texts of one block meet, each distinct text once, and only where their lengths allow the ratio; ties go to the
-    smaller id. The blocks are the caller's: an equi join on their keys.
+    Exact keys come first, in order. With ``texts`` (a column of either side) the rest is matched by the share of common words
+    (``words:0.67``), then by the ratio of the whole texts (``text:0.91``): the best right row of all, ties to the smaller id.
     """
-    text = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))
-    a = left.select(F.col(left_id).alias("left_id"), text(left_text).alias("_a"), block[0].alias("_block"))
-    b = right.select(F.col(right_id).alias("right_id"), text(right_text).alias("_b"), block[1].alias("_block"))
-    longer, apart = F.greatest(F.length("_a"), F.length("_b")), F.abs(F.length("_a") - F.length("_b"))
-    pairs = a.select("_a", "_block").distinct().join(b.groupBy("_b", "_block").agg(F.min("right_id").alias("right_id")), "_block").where(apart <= (1 - threshold + 1e-9) * longer)
-    scored = pairs.select("_a", "_block", "right_id", levenshtein_ratio(F.col("_a"), F.col("_b")).alias("score")).where(F.col("score") >= threshold)
-    best = F.max_by(F.struct("right_id", "score"), F.struct("score", (-F.col("right_id")).alias("t")))
-    found = scored.groupBy("_a", "_block").agg(best.alias("m"))
-    return a.join(found, ["_a", "_block"]).select("left_id", "m.right_id", F.round("m.score", 4).alias("score"))
-
-
-def cascade_match(left: DataFrame, right: DataFrame, left_id: str, right_id: str, exact: Sequence[tuple[str, Column, Column]]) -> DataFrame:
-    """Exact keys one after another: each stage sees only rows that no earlier stage matched."""
-    out, rest = None, left
+    rest, out = left, left.sparkSession.createDataFrame([], f"left_id {left.schema[left_id].dataType.simpleString()}, right_id {right.schema[right_id].dataType.simpleString()}, matched_by string")
     for name, a, b in exact:
         keys = right.select(b.alias("_k"), F.col(right_id)).where(F.trim("_k") != "").groupBy("_k").agg(F.min(right_id).alias("right_id"))
         hit = rest.select(F.col(left_id).alias("left_id"), a.alias("_k")).join(keys, "_k").select("left_id", "right_id", F.lit(name).alias("matched_by"))
-        out = hit if out is None else out.unionByName(hit)
+        out = out.unionByName(hit)
         rest = rest.join(hit.select(F.col("left_id").alias(left_id)), left_id, "left_anti")
+    for name, how, least in (("words", "words", least_words), ("text", measure, least_ratio)) if texts else ():
+        rest = cut(rest)
+        found = cut(best_matches(rest.where(F.trim(texts[0]) != ""), right.where(F.trim(texts[1]) != ""), left_id, right_id, *texts, least, how))
+        out = out.unionByName(found.select("left_id", "right_id", F.format_string(f"{name}:%.2f", "score").alias("matched_by")))
+        rest = rest.join(found.select(F.col("left_id").alias(left_id)), left_id, "left_anti")
     return out
-
-
-def greedy_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_text: str, right_text: str, block: tuple[Column, Column], threshold: float = 0.8) -> DataFrame:
-    """One-to-one pairs inside blocks: the best remaining pair first, ties by ids, until none reaches the threshold.
-
-    Order-dependent, so it runs as one function over each block (``applyInPandas``); a block must be small, as blocks by
-    normalised prefix and number are.
-    """
-    a = left.select(block[0].alias("block"), F.col(left_id).alias("left_id"), F.col(left_text).alias("text"))
-    b = right.select(block[1].alias("block"), F.col(right_id).alias("right_id"), F.col(right_text).alias("text"))
-
-    def pair(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        scored = sorted((-SequenceMatcher(None, p.text or "", q.text or "").ratio(), p.left_id, q.right_id) for p in x.itertuples() for q in y.itertuples())
-        used_a, used_b, out = set(), set(), []
-        for score, i, j in scored:
-            if -score >= threshold and i not in used_a and j not in used_b:
-                used_a.add(i)
-                used_b.add(j)
-                out.append((i, j, round(-score, 4)))
-        return pd.DataFrame(out, columns=["left_id", "right_id", "score"])
-
-    kinds = f"left_id {a.schema['left_id'].dataType.simpleString()}, right_id {b.schema['right_id'].dataType.simpleString()}, score double"
-    return a.groupBy("block").cogroup(b.groupBy("block")).applyInPandas(pair, kinds)
-
-
-def fuzzy_dedup(df: DataFrame, id_col: str, signature: Column, text_col: str, block: Column, richness: Column, threshold: float = 0.9) -> DataFrame:
-    """Exact duplicates by signature first, then near ones inside blocks; of each set the richest row stays (ties: id).
-
-    In a block rows are taken from the richest down; a row goes if it is near one that stayed.
-    """
-    once = df.withColumn("_sig", signature).withColumn("_rich", richness)
-    best = W.partitionBy("_sig").orderBy(F.desc("_rich"), F.col(id_col))
-    once = once.withColumn("_n", F.row_number().over(best)).where("_n = 1")
-    slim = once.select(block.alias("block"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), "_rich")
-
-    def keep(x: pd.DataFrame) -> pd.DataFrame:
-        stayed: list[tuple] = []
-        for row in x.sort_values(["_rich", "id"], ascending=[False, True]).itertuples():
-            if not any(SequenceMatcher(None, row.text or "", t).ratio() >= threshold for _, t in stayed):
-                stayed.append((row.id, row.text or ""))
-        return pd.DataFrame({"_keep": [i for i, _ in stayed]})
-
-    kept = slim.groupBy("block").applyInPandas(keep, f"_keep {slim.schema['id'].dataType.simpleString()}")
-    return once.drop("_sig", "_rich", "_n").join(kept, F.col(id_col) == F.col("_keep"), "left_semi")

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestream.operators.derive import translate
+from lodestream.operators.quantiles import exact_quantiles, joined_by
 
 log = logging.getLogger(__name__)
 
@@ -172,7 +173,7 @@ def filter_rows(df: DataFrame, config: Config, inputs: Mapping[str, DataFrame] =
 def aggregate(df: DataFrame, config: Config, inputs: Mapping[str, DataFrame] = {}) -> DataFrame:
     """Rows with a null group key are left out, as in the data frames such pipelines were written for."""
     keys = [k for k in config.get("group_by", []) if k in df.columns]
-    out = []
+    out, medians = [], {}
     for spec in config.get("aggregations", []):
         column, name = spec.get("column"), spec.get("function", "sum")
         if column not in df.columns:
@@ -180,12 +181,22 @@ def aggregate(df: DataFrame, config: Config, inputs: Mapping[str, DataFrame] = {
             continue
         if name not in AGGREGATES:
             raise ValueError(f"unknown aggregation {name!r}")
-        out.append(AGGREGATES[name](quoted(column)).alias(spec.get("output_name") or f"{column}_{name}"))
+        output = spec.get("output_name") or f"{column}_{name}"
+        if name == "median":  # not in a buffer of the group's values, and put in its place below
+            medians[output] = column
+            out.append(F.lit(None).cast("double").alias(output))
+        else:
+            out.append(AGGREGATES[name](quoted(column)).alias(output))
+    rows = df.where(reduce(lambda a, b: a & b, [~_is_null(quoted(k), df.schema[k].dataType) for k in keys])) if keys else df
     if not out:
-        return df.select(*map(quoted, keys)).na.drop().distinct() if keys else df.limit(0)
-    if not keys:
-        return df.agg(*out)
-    return df.na.drop(subset=keys).groupBy(*map(quoted, keys)).agg(*out)
+        return rows.select(*map(quoted, keys)).distinct() if keys else df.limit(0)
+    done = rows.groupBy(*map(quoted, keys)).agg(*out) if keys else rows.agg(*out)
+    for output, column in medians.items():
+        names = done.columns
+        found = exact_quantiles(rows.select(*map(quoted, keys), quoted(column).alias("_ls_value")), keys, F.col("_ls_value"), [0.5], ["_ls_median"])
+        both = joined_by(done, found, keys)
+        done = both.select(*[F.col("_ls_median").alias(c) if c == output else quoted(c) for c in names])
+    return done
 
 
 @register_op("clean")

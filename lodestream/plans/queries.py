@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestream.functions import dates, numbers, text
-from lodestream.operators import analytics, anomaly, business, graph, intervals, quality, reconcile, scoring, vectors
+from lodestream.operators import analytics, anomaly, business, graph, intervals, quality, reconcile, scoring, similarity, vectors
 from lodestream.operators.transform import execute
 from lodestream.plans.pipeline import Pipeline
 from lodestream.sources import readers, sinks
@@ -546,7 +546,7 @@ SELECT p_partkey, right_id, round(score, 4) AS score FROM part JOIN n USING (p_t
 def fuzzy_match(s, d):
     part, sides = catalogue(s, d)
     a, b = sides("p_type")
-    found = reconcile.best_fuzzy_match(a, b, "k", "q", "p_name", "n", (F.col("p_type"), F.col("b")))
+    found = similarity.best_matches(a, b, "k", "q", "p_name", "n", block=(F.col("p_type"), F.col("b")))
     return part.join(a, ["p_type", "p_name"]).join(found, F.col("k") == F.col("left_id")).select("p_partkey", "right_id", "score")
 
 
@@ -554,12 +554,12 @@ def fuzzy_match(s, d):
 def greedy_pairs(s, d):
     _, sides = catalogue(s, d)
     a, b = sides("p_brand")
-    return reconcile.greedy_pairs(a, b, "k", "q", "p_name", "n", (F.col("p_brand"), F.col("b")), 0.6)
+    return similarity.greedy_pairs(a, b, "k", "q", "p_name", "n", (F.col("p_brand"), F.col("b")), 0.6)
 
 
 @query()
 def fuzzy_dedup(s, d):
-    return reconcile.fuzzy_dedup(table(s, d, "part"), "p_partkey", F.concat_ws("|", text.name_key(F.col("p_name")), "p_brand"), "p_name", F.col("p_brand"), F.col("p_size")).select("p_partkey", "p_name", "p_brand")
+    return similarity.fuzzy_dedup(table(s, d, "part"), "p_partkey", F.concat_ws("|", text.name_key(F.col("p_name")), "p_brand"), "p_name", F.col("p_brand"), F.col("p_size")).select("p_partkey", "p_name", "p_brand")
 
 
 @query("""WITH c AS (SELECT c_custkey, lower(trim(c_name)) AS n, CAST(c_nationkey AS VARCHAR) AS k FROM customer), s AS (SELECT s_suppkey, replace(lower(s_name), 'supplier', 'customer') AS n, CAST(s_nationkey AS VARCHAR) AS k FROM supplier),

@@ -12,6 +12,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 from pyspark.sql.types import StructType
 
 from lodestream.functions.text import blank_to_null
+from lodestream.sources import xlsx
+from lodestream.sources.xlsx import excel  # noqa: F401  one of the readers
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,20 +90,14 @@ def sheet_frame(spark: SparkSession, rows: Sequence[Sequence[Any]], aliases: Map
     return spark.createDataFrame(found, ", ".join(f"`{n}` string" for n in names))
 
 
-def excel(spark: SparkSession, path: str, sheet: str | int | None = 0, header: int = 0) -> DataFrame:
-    """A sheet, or with ``sheet=None`` all of them with a column ``sheet``; needs an Excel engine for pandas."""
-    import pandas as pd
-
-    found = pd.read_excel(path, sheet_name=sheet, header=header, dtype=str)
-    if not isinstance(found, dict):
-        found = {None: found}
-    out = None
-    for name, frame in found.items():
-        frame.columns = [str(c).strip() for c in frame.columns]
-        df = spark.createDataFrame(frame.fillna(""))
-        df = df if name is None else df.withColumn("sheet", F.lit(str(name)))
-        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
-    return out
+def excel_with_header(spark: SparkSession, path: str, aliases: Mapping[str, Sequence[str]], sheet: str | int = 0, within: int = 30) -> DataFrame:
+    """A sheet with a header somewhere in its first rows, as text columns of canonical names; rows blank in all of them go."""
+    top = xlsx.top_rows(spark, path, sheet, within)
+    header = header_row(top, aliases, within)
+    place = resolve_columns(top[header], aliases)
+    below = xlsx.cells(spark, path, sheet, header + 2)
+    values = below.select("row", *[F.nullif(F.trim(F.try_element_at("cells", F.lit(i))), F.lit("")).alias(n) for n, i in place.items()])
+    return values.where(F.coalesce(*[F.col(f"`{n}`") for n in place]).isNotNull()).drop("row")
 
 
 def text_files(spark: SparkSession, path: str) -> DataFrame:

@@ -2,31 +2,49 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestream.sources.xlsx import write_workbook
+
 FORMATS = ("parquet", "json", "csv", "excel")
 EXCEL_ROWS = 1_048_575
 
 
 def master_file(df: DataFrame, path: str, kind: str = "parquet") -> None:
-    """The result of a pipeline in one of the declared formats. Excel holds one sheet on one machine, so it is refused
-    for more rows than a sheet has."""
+    """The result of a pipeline in one of the declared formats. See ``excel_file`` for the one that is a single file."""
     if kind not in FORMATS:
         raise ValueError(f"unknown format {kind!r}")
     if kind == "excel":
-        if df.limit(EXCEL_ROWS + 1).count() > EXCEL_ROWS:
-            raise ValueError("more rows than a sheet holds; write parquet or csv")
-        df.toPandas().to_excel(path, index=False)
+        excel_file({"Sheet1": df}, path)
     elif kind == "csv":
         df.write.mode("overwrite").option("header", True).csv(path)
     else:
         getattr(df.write.mode("overwrite"), kind)(path)
 
 
+def excel_file(sheets: Mapping[str, DataFrame], path: str) -> None:
+    """One workbook, a sheet for each frame, put where Spark can write (``path`` is replaced).
+
+    Refused for more rows than a sheet has. Rows are streamed, partition by partition, to one archive and from there to
+    ``path``: a workbook is one file, but it is never held in memory.
+    """
+    spark = next(iter(sheets.values())).sparkSession
+    for df in sheets.values():
+        if df.limit(EXCEL_ROWS + 1).count() > EXCEL_ROWS:
+            raise ValueError("more rows than a sheet holds; write parquet or csv")
+    with tempfile.TemporaryDirectory(prefix="lodestream-") as folder:
+        local = f"{folder}/book.xlsx"
+        write_workbook(local, [(name, df.columns, df.toLocalIterator()) for name, df in sheets.items()])
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.copyFromLocalFile(True, True, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"file://{local}"), where)
+
+
 def upserted(current: DataFrame, batch: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """``current`` with the rows of ``batch`` put in by key; of several batch rows of a key the first in ``order``."""
     newest = batch.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")

@@ -6,12 +6,16 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lodestream.operators.intervals import daily_summary, touched_days
-from lodestream.sources.sinks import upserted
+from lodestream.operators.intervals import daily_summary
+from lodestream.sources import parted
+
+#: Ids of a batch that may be broadcast, after they were counted.
+BROADCAST_ROWS = 100_000
 
 
 def events_as_stream(spark: SparkSession, path: str, schema: str, time_col: str, files_a_batch: int = 1) -> DataFrame:
@@ -58,56 +62,68 @@ def first_in_period(alerts: DataFrame, keys: Sequence[str], time_col: str, secon
     return alerts.withColumn("_p", period).groupBy(*keys, "_p").agg(F.min(time_col).alias(time_col), F.count("*").alias("merged")).drop("_p")
 
 
-def _versions(spark: SparkSession, root: str) -> dict[int, str]:
-    """The versions of a table: number and path."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(root)
-    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = [f.getPath().getName() for f in fs.listStatus(where)] if fs.exists(where) else []
-    return {int(n[2:]): f"{root}/{n}" for n in names if n.startswith("v=")}
-
-
 def _first_version(spark: SparkSession, checkpoint: str, path: str) -> int:
     """The version of batch 0 of this checkpoint: after all that were there when it began, noted beside its offsets."""
     note = f"{checkpoint}/first_version"
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(note)
-    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
-        first = max(_versions(spark, path), default=-1) + 1
-        spark.createDataFrame([(first,)], "first bigint").coalesce(1).write.parquet(note)
+    if not parted.exists(spark, f"{note}/_SUCCESS"):
+        first = max(parted.versions(spark, path), default=-1) + 1
+        spark.createDataFrame([(first,)], "first bigint").coalesce(1).write.mode("overwrite").parquet(note)
     return spark.read.parquet(note).first()["first"]
 
 
+COUNTERS = ("inserted", "updated", "skipped", "errors")
+
+
 def idempotent_ingest(path: str, checkpoint: str, summaries: str, person_col: str, id_col: str, time_col: str, kind_col: str) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function: upserts events by id (the last write wins), then recomputes the touched days.
 
-    Events and day summaries are versions of a table, one directory a batch, so a batch that is run again overwrites its
-    own version and no reader sees half a table. ``checkpoint`` is the query's; a query with a new one goes on from the
-    newest version. The version before stays for readers and for batches that are run again; older ones are deleted.
+    Events and day summaries are tables in day parts (``sources.parted``): a batch reads the ids that are known, and rewrites
+    the days that its events are of, or were of before; files of other days stay as they are. A batch that is run again
+    overwrites its own version. ``checkpoint`` is the query's; a query with a new one goes on from the newest version.
+
+    What the batch held is observed as it is staged, in the same pass, and kept in ``ingest_counters``.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         version = _first_version(spark, checkpoint, path) + batch_id
-
-        def before(root: str, empty: DataFrame) -> DataFrame:
-            return spark.read.parquet(f"{root}/v={version - 1}") if version > 0 else empty
-
-        good = batch.where(F.col(id_col).isNotNull() & F.col(time_col).isNotNull() & F.upper(kind_col).isin("IN", "OUT"))
-        merged = upserted(before(path, good.limit(0)), good, [id_col], [F.desc(time_col)])
-        merged.write.mode("overwrite").parquet(f"{path}/v={version}")
-        events = spark.read.parquet(f"{path}/v={version}")
-        days = daily_summary(touched_days(events, good, person_col, time_col), person_col, time_col, kind_col, id_col)
-        upserted(before(summaries, days.limit(0)), days, [person_col, "date"], [F.desc("date")]).write.mode("overwrite").parquet(f"{summaries}/v={version}")
+        before, schema = version - 1, batch.schema
+        valid = F.coalesce(F.col(id_col).isNotNull() & F.col(time_col).isNotNull() & F.upper(kind_col).isin("IN", "OUT"), F.lit(False))
+        order = W.partitionBy("_ok", id_col).orderBy(F.desc(time_col))
+        ranked = batch.withColumn("_ok", valid).withColumn("_n", F.row_number().over(order))
+        known = parted.read_parts(spark, path, schema, version=before).select(F.col(id_col).alias("_id"), F.col("part").alias("_was"))
+        ids = batch.where(valid).select(F.col(id_col).alias("_id")).distinct()
+        met = known.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "_id", "left_semi")
+        marked = ranked.join(met, F.col("_ok") & (F.col(id_col) == F.col("_id")), "left").drop("_id")
+        once = F.col("_ok") & (F.col("_n") == 1)
+        seen = Observation()
+        counted = (F.count_if(once & F.col("_was").isNull()), F.count_if(once & F.col("_was").isNotNull()), F.count_if(F.col("_ok") & (F.col("_n") > 1)), F.count_if(~F.col("_ok")))
+        staged = f"{path}/staged/v={version}"
+        marked.observe(seen, *[c.alias(n) for c, n in zip(counted, COUNTERS)]).write.mode("overwrite").parquet(staged)
+        row = seen.get
+        spark.createDataFrame([(version, *[int(row[n]) for n in COUNTERS])], "version bigint, " + ", ".join(f"{n} bigint" for n in COUNTERS)).coalesce(1).write.mode("overwrite").parquet(f"{path}/counters/v={version}")
+
+        new = spark.read.parquet(staged).where(once).withColumn("part", F.date_format(time_col, "yyyy-MM-dd"))
+        days = [r["part"] for r in new.select("part").union(new.select("_was")).distinct().where("part is not null").collect()]
+        kept = parted.read_parts(spark, path, schema, days, before).join(new.select(id_col), id_col, "left_anti")
+        parted.replace_parts(kept.unionByName(new.select(*schema.names, "part")), path, version, days, before)
+        events = parted.read_parts(spark, path, schema, days, version)
+        again = daily_summary(events.drop("part"), person_col, time_col, kind_col, id_col).withColumn("part", F.col("date").cast("string"))
+        parted.replace_parts(again, summaries, version, days, before)
         for root in (path, summaries):
-            for number, old in _versions(spark, root).items():
-                if number < version - 1:
-                    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(old)
-                    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            parted.drop_unused(spark, root)
+        for old in parted.names(spark, f"{path}/staged"):
+            if int(old[2:]) < version:
+                parted.deleted(spark, f"{path}/staged/{old}")
 
     return run
 
 
+def ingest_counters(spark: SparkSession, path: str) -> DataFrame:
+    """(version, inserted, updated, skipped, errors) of every batch of ``idempotent_ingest``: repeats in a batch are skipped."""
+    return spark.read.parquet(f"{path}/counters/v=*")
+
+
 def cooled_down(alerts: DataFrame, key: str, time_col: str, confidence_col: str, seconds: int, least: float = 0.7, late: str = "1 day") -> DataFrame:
     """Alerts that pass: confident ones, at most one for each key in ``seconds``, by event time across batches.
 

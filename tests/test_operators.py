@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestream.functions import dates, numbers, text
-from lodestream.operators import anomaly, business, graph, intervals, quality, reconcile, transform
+from lodestream.operators import anomaly, business, graph, intervals, quality, reconcile, similarity, transform
 from lodestream.operators.derive import translate
 from lodestream.operators.transform import execute
 from lodestream.plans.pipeline import Pipeline
@@ -147,17 +147,17 @@ def test_ratios_and_ladders(spark):
 def test_best_fuzzy_match_of_repeated_blank_and_missing_texts(spark):
     a = spark.createDataFrame([(1, "Pump A ", "x"), (2, "pump a", "x"), (3, None, "x"), (4, "pump a", "y"), (5, "valve", None), (6, "pump", "x")], "i int, n string, k string")
     b = spark.createDataFrame([(9, "pump b", "x"), (8, "PUMP B", "x"), (7, " ", "x"), (6, "pump abcdefgh", "y"), (5, "valve", None)], "j int, m string, l string")
-    found = rows(reconcile.best_fuzzy_match(a, b, "i", "j", "n", "m", (F.col("k"), F.col("l"))))
+    found = rows(similarity.best_matches(a, b, "i", "j", "n", "m", block=(F.col("k"), F.col("l"))))
     assert found == [(1, 8, 0.8333), (2, 8, 0.8333), (3, 7, 1.0)]
 
 
 def test_greedy_pairs_and_fuzzy_dedup(spark):
     a = spark.createDataFrame([(1, "pump alpha"), (2, "pump alpho")], "id int, n string")
     b = spark.createDataFrame([(7, "pump alpha"), (8, "pump alphx")], "q int, m string")
-    found = rows(reconcile.greedy_pairs(a, b, "id", "q", "n", "m", (F.lit("k"), F.lit("k"))))
+    found = rows(similarity.greedy_pairs(a, b, "id", "q", "n", "m", (F.lit("k"), F.lit("k"))))
     assert [(i, j) for i, j, _ in found] == [(1, 7), (2, 8)]
     rich = spark.createDataFrame([(1, "centrifugal pump", 1), (2, "centrifugal pumps", 5), (3, "valve", 1), (4, "Valve", 0)], "id int, n string, r int")
-    assert sorted(r["id"] for r in reconcile.fuzzy_dedup(rich, "id", F.lower("n"), "n", F.lit(1), F.col("r")).collect()) == [2, 3]
+    assert sorted(r["id"] for r in similarity.fuzzy_dedup(rich, "id", F.lower("n"), "n", F.lit(1), F.col("r")).collect()) == [2, 3]
 
 
 def test_quality_rules(spark):

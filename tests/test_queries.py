@@ -9,7 +9,7 @@ import sys
 import duckdb
 import pytest
 
-from lodestream.plans import report_queries  # noqa: F401  registers its queries
+from lodestream.plans import matching_queries, report_queries  # noqa: F401  register their queries
 from lodestream.plans.queries import ORACLE_SQL, QUERIES
 
 from .conftest import DATA, ROOT

@@ -1,13 +1,16 @@
 """Readers, sinks and streams, on small files of their own."""
 
 import datetime as dt
+import pathlib
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, StringContains, StringStartsWith
 
-from lodestream.sources import readers, sinks
+from lodestream.operators import intervals
+from lodestream.sources import parted, readers, sinks, views
 from lodestream.streaming import jobs
 
 
@@ -87,15 +90,74 @@ def test_ingest_is_idempotent_and_recomputes_touched_days(spark, tmp_path):
         batch = spark.createDataFrame([(e, p, k, dt.datetime.fromisoformat(t)) for e, p, k, t in part], schema)
         run(batch, i)
         run(batch, i)  # a batch that is run again changes nothing
-    out = {r["person"]: r["paired_hours"] for r in spark.read.parquet(f"{days}/v=1").collect()}
-    assert out == {"a": 4.0, "b": 8.0} and spark.read.parquet(f"{events}/v=1").count() == 4
-    # A query with a new checkpoint goes on from there, and only the version before stays.
+    kind = spark.createDataFrame([], schema).schema
+    summary = intervals.daily_summary(spark.createDataFrame([], schema), "person", "t", "kind", "event_id").schema
+    out = {r["person"]: r["paired_hours"] for r in parted.read_parts(spark, days, summary).collect()}
+    assert out == {"a": 4.0, "b": 8.0} and parted.read_parts(spark, events, kind).count() == 4
+    # A query with a new checkpoint goes on from there; days that a batch does not touch keep their files.
+    files = {p: p.stat().st_mtime_ns for root in (events, days) for p in pathlib.Path(root).glob("data/*/part=2024-01-08/*.parquet")}
     again = jobs.idempotent_ingest(events, str(tmp_path / "other"), days, "person", "event_id", "t", "kind")
-    more = spark.createDataFrame([("e9", "c", "IN", dt.datetime(2024, 1, 9, 9))], "event_id string, person string, kind string, t timestamp")
+    more = spark.createDataFrame([("e9", "c", "IN", dt.datetime(2024, 1, 9, 9))], schema)
     for _ in range(2):
         again(more, 0)
-    assert spark.read.parquet(f"{events}/v=2").count() == 5 and spark.read.parquet(f"{days}/v=2").count() == 3
-    assert sorted(jobs._versions(spark, events)) == sorted(jobs._versions(spark, days)) == [1, 2]
+    assert parted.read_parts(spark, events, kind).count() == 5 and parted.read_parts(spark, days, summary).count() == 3
+    assert all(p.stat().st_mtime_ns == at for p, at in files.items() if "v=1" in str(p)) and any("v=1" in str(p) for p in files)
+    # An event whose time is corrected leaves its old day.
+    again(spark.createDataFrame([("e9", "c", "IN", dt.datetime(2024, 1, 10, 9)), ("e3", "b", "IN", dt.datetime(2024, 1, 10, 8))], schema), 1)
+    found = {(r["person"], str(r["date"])) for r in parted.read_parts(spark, days, summary).collect()}
+    assert found == {("a", "2024-01-08"), ("b", "2024-01-08"), ("b", "2024-01-10"), ("c", "2024-01-10")}
+    assert set(parted.live_parts(spark, events)) == {"2024-01-08", "2024-01-10"} and parted.versions(spark, events) == [2, 3]
+    assert rows(jobs.ingest_counters(spark, events)) == [(0, 3, 0, 0, 1), (1, 1, 1, 0, 1), (2, 1, 0, 0, 0), (3, 0, 2, 0, 0)]
+
+
+def test_ingest_counts_what_upsert_counts_counts(spark, tmp_path):
+    schema = "event_id string, person string, kind string, t timestamp"
+    draw = random.Random(5)
+    run = jobs.idempotent_ingest(str(tmp_path / "e"), str(tmp_path / "c"), str(tmp_path / "d"), "person", "event_id", "t", "kind")
+    current = spark.createDataFrame([], schema)
+    for i in range(3):
+        part = [(draw.choice([None, *map(str, range(12))]), draw.choice("ab"), draw.choice(["IN", "OUT", "in", "LUNCH", None]), draw.choice([None, dt.datetime(2024, 1, draw.randint(1, 4), draw.randint(0, 23))])) for _ in range(25)]
+        batch = spark.createDataFrame(part, schema)
+        valid = F.col("event_id").isNotNull() & F.col("t").isNotNull() & F.upper("kind").isin("IN", "OUT")
+        expected = tuple(sinks.upsert_counts(current, batch, ["event_id"], valid).first())
+        run(batch, i)
+        assert tuple(jobs.ingest_counters(spark, str(tmp_path / "e")).where(f"version = {i}").first())[1:] == expected
+        current = parted.read_parts(spark, str(tmp_path / "e"), current.schema).drop("part")
+
+
+def test_a_view_refreshed_from_changes_equals_one_made_anew(spark, tmp_path):
+    draw = random.Random(8)
+    schema = "id int, g string, h int, v double, ok boolean"
+    make = lambda i: (i, draw.choice(["x", "y", "z", None]), draw.randint(0, 3), draw.choice([None, round(draw.uniform(-9, 9), 3)]), draw.random() < 0.8)
+    table = {i: make(i) for i in range(120)}
+    frame = lambda found: spark.createDataFrame(list(found), schema)
+    spec = {"n": ("count", "v"), "total": ("sum", "v"), "mean": ("avg", "v"), "least": ("min", "v"), "most": ("max", "h")}
+    view = views.View(str(tmp_path / "view"), ["g", "h"], spec, "ok", buckets=8)
+    view.create(frame(table.values()))
+    key = lambda r: tuple(round(x, 6) if isinstance(x, float) else x for x in r)
+    for step in range(4):
+        gone = draw.sample(sorted(table), 30 if step < 3 else len(table))
+        removed = [table.pop(i) for i in gone]
+        added = [make(i) for i in gone[:15]] + [make(1000 * (step + 1) + i) for i in range(10)] if step < 3 else []
+        table.update({r[0]: r for r in added})
+        now = frame(table.values())
+        view.refresh(frame(added), frame(removed), now)
+        anew = views.View(str(tmp_path / f"anew{step}"), ["g", "h"], spec, "ok", buckets=3)
+        anew.create(now)
+        assert sorted(map(key, view.read(spark, now).collect()), key=repr) == sorted(map(key, anew.read(spark, now).collect()), key=repr)
+    assert view.read(spark, now).count() == 0
+    with pytest.raises(ValueError):
+        views.View("x", ["g"], {"m": ("median", "v")})
+
+
+def test_a_refresh_rewrites_only_buckets_of_changed_groups(spark, tmp_path):
+    rows_ = spark.range(200).select((F.col("id") % 40).alias("g"), F.col("id").cast("double").alias("v"))
+    view = views.View(str(tmp_path / "v"), ["g"], {"s": ("sum", "v")}, buckets=16)
+    view.create(rows_)
+    one = spark.createDataFrame([(7, 5.0)], "g bigint, v double")
+    view.refresh(one, one.limit(0), rows_.union(one))
+    live = parted.live_parts(spark, view.root)
+    assert sorted(live.values()).count(1) == 1 and view.read(spark, rows_).where("g = 7").first()["s"] == 7 + 47 + 87 + 127 + 167 + 5
 
 
 @pytest.fixture()
