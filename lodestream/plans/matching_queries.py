@@ -39,7 +39,7 @@ SPELT_SQL = "a AS (SELECT p_brand, p_name, min(p_partkey) AS k FROM part GROUP B
 
 @query(f"""WITH RECURSIVE {SPELT_SQL},
 z AS (SELECT p_brand, k, q, p_name, n, 1 - levenshtein(p_name, n) / greatest(length(p_name), length(n)) AS score FROM a JOIN b USING (p_brand)),
-o AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY score DESC, p_name, n, k, q) AS i FROM z WHERE score >= 0.6),
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY score DESC, p_name, n, k, q) AS i FROM z WHERE score >= 0.6),
 g(p_brand, i, ua, ub, hit) AS (SELECT DISTINCT p_brand, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS BIGINT[]), false FROM o
 UNION ALL SELECT g.p_brand, o.i, CASE WHEN list_contains(ua, k) OR list_contains(ub, q) THEN ua ELSE list_append(ua, k) END, CASE WHEN list_contains(ua, k) OR list_contains(ub, q) THEN ub ELSE list_append(ub, q) END,
 NOT (list_contains(ua, k) OR list_contains(ub, q)) FROM g JOIN o ON o.p_brand = g.p_brand AND o.i = g.i + 1)
@@ -52,7 +52,7 @@ def greedy_pairs_by_edits(s, d):
 
 
 @query(f"""WITH RECURSIVE u AS (SELECT url AS t, first(page_id ORDER BY length(html) DESC, page_id) AS i, max(length(html)) AS rich FROM pages GROUP BY 1),
-o AS (SELECT t, i, row_number() OVER (ORDER BY rich DESC, i) AS k FROM u), near AS (SELECT y.k AS k, list(x.k) AS ns FROM o x JOIN o y ON x.k < y.k WHERE {RATIO_SQL} >= 0.9 GROUP BY 1),
+o AS MATERIALIZED (SELECT t, i, row_number() OVER (ORDER BY rich DESC, i) AS k FROM u), near AS MATERIALIZED (SELECT y.k AS k, list(x.k) AS ns FROM o x JOIN o y ON x.k < y.k WHERE {RATIO_SQL} >= 0.9 GROUP BY 1),
 g(k, kept) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL SELECT g.k + 1, CASE WHEN list_has_any(kept, coalesce(ns, CAST([] AS BIGINT[]))) THEN kept ELSE list_append(kept, g.k + 1) END FROM g LEFT JOIN near ON near.k = g.k + 1 WHERE g.k < (SELECT max(k) FROM o))
 SELECT i AS page_id FROM o WHERE list_contains((SELECT kept FROM g ORDER BY k DESC LIMIT 1), k)""")
 def richest_urls(s, d):
@@ -65,10 +65,10 @@ COMMENT_KEY_SQL = """k0 AS (SELECT doc_id, regexp_replace(trim(regexp_replace(lo
 k AS (SELECT doc_id, t FROM k0 WHERE length(t) >= 5)"""
 
 
-@query(f"""WITH RECURSIVE {COMMENT_KEY_SQL}, u AS (SELECT t, min(doc_id) AS i FROM k GROUP BY 1), o AS (SELECT i, left(t, 150) AS h, least(length(t), 150) AS n, row_number() OVER (ORDER BY i) AS k FROM u),
+@query(f"""WITH RECURSIVE {COMMENT_KEY_SQL}, u AS (SELECT t, min(doc_id) AS i FROM k GROUP BY 1), o AS MATERIALIZED (SELECT i, left(t, 150) AS h, least(length(t), 150) AS n, row_number() OVER (ORDER BY i) AS k FROM u),
 c AS (SELECT k, n, unnest(range(1, n + 1)) AS p, unnest(list_transform(range(1, n + 1), lambda e: substr(h, e, 1))) AS ch FROM o),
 m AS (SELECT y.k AS k, x.k AS x, count(*) AS same, max(greatest(x.n, y.n)) AS longer FROM c x JOIN c y ON x.p = y.p AND x.ch = y.ch AND x.k < y.k GROUP BY 1, 2),
-near AS (SELECT k, list(x) AS ns FROM m WHERE (longer - same) * 10 <= longer GROUP BY 1),
+near AS MATERIALIZED (SELECT k, list(x) AS ns FROM m WHERE (longer - same) * 10 <= longer GROUP BY 1),
 g(k, kept) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL SELECT g.k + 1, CASE WHEN list_has_any(kept, coalesce(ns, CAST([] AS BIGINT[]))) THEN kept ELSE list_append(kept, g.k + 1) END FROM g LEFT JOIN near ON near.k = g.k + 1 WHERE g.k < (SELECT max(k) FROM o))
 SELECT i AS doc_id FROM o WHERE list_contains((SELECT kept FROM g ORDER BY k DESC LIMIT 1), k)""")
 def distinct_comments(s, d):
@@ -130,7 +130,7 @@ def layers_without_circles(s, d):
 
 # --- revisions ----------------------------------------------------------------------------------------------------------
 
-REVISED_SQL = """v AS (SELECT conv_id, turn, role, text, CASE WHEN turn < 2 THEN chr(65 + turn) WHEN turn % 5 = 4 THEN CAST(turn AS VARCHAR) || 'a' ELSE CAST(turn * 4 AS VARCHAR) END AS rev FROM conversations),
+REVISED_SQL = """v AS (SELECT conv_id, turn, role, text, CASE WHEN turn < 2 THEN chr(CAST(65 + turn AS INTEGER)) WHEN turn % 5 = 4 THEN CAST(turn AS VARCHAR) || 'a' ELSE CAST(turn * 4 AS VARCHAR) END AS rev FROM conversations),
 k AS (SELECT *, list_distinct(list_filter(regexp_split_to_array(upper(text), '[,\\s;/]+'), lambda e: e <> '')) AS tags, row_number() OVER (PARTITION BY conv_id ORDER BY CASE WHEN turn < 2 THEN 0 WHEN turn % 5 = 4 THEN 2 ELSE 1 END, CASE WHEN turn < 2 OR turn % 5 <> 4 THEN turn END, upper(rev), turn) AS place FROM v),
 l AS (SELECT *, lag(tags) OVER w AS old, lag(role) OVER w AS was FROM k WINDOW w AS (PARTITION BY conv_id ORDER BY place)),
 c AS (SELECT *, CASE WHEN old IS NULL THEN 0 ELSE len(list_filter(tags, lambda e: NOT list_contains(old, e))) END AS added, CASE WHEN old IS NULL THEN 0 ELSE len(list_filter(old, lambda e: NOT list_contains(tags, e))) END AS removed FROM l)"""
@@ -158,7 +158,7 @@ def price_quantiles(s, d):
 
 
 @query("""WITH n AS (SELECT o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderpriority <> '5-LOW' UNION ALL SELECT o_custkey, 'P', o_totalprice * 2 FROM orders WHERE o_orderpriority = '1-URGENT')
-SELECT o_custkey, o_orderstatus, count(*) AS rows, round(sum(o_totalprice), 2) AS total, round(avg(o_totalprice), 2) AS mean, round(min(o_totalprice), 2) AS least, round(max(o_totalprice), 2) AS most FROM n GROUP BY 1, 2""")
+SELECT o_custkey, o_orderstatus, count(*) AS rows, round(sum(o_totalprice), 2) AS total, round(avg(o_totalprice), 6) AS mean, round(min(o_totalprice), 2) AS least, round(max(o_totalprice), 2) AS most FROM n GROUP BY 1, 2""")
 def refreshed_view(s, d):
     """A view of all orders, refreshed after low ones were deleted and urgent ones were entered twice as dear."""
     orders = table(s, d, "orders")
@@ -169,4 +169,4 @@ def refreshed_view(s, d):
     view = View(f"{shared_folder(s)}/lodestream-view-{uuid.uuid4().hex}", ["o_custkey", "o_orderstatus"], measures)
     view.create(orders.select(*columns))
     view.refresh(urgent, low, kept.unionByName(urgent))
-    return view.read(s, orders.select(*columns)).select("o_custkey", "o_orderstatus", "rows", *[r(F.col(c), 2).alias(c) for c in measures])
+    return view.read(s, orders.select(*columns)).select("o_custkey", "o_orderstatus", "rows", *[r(F.col(c), 6 if c == "mean" else 2).alias(c) for c in measures])

@@ -76,9 +76,9 @@ def first_in_period(alerts: DataFrame, keys: Sequence[str], time_col: str, secon
     the stream has one already. Rows without a time do not count. Columns stay as they are.
     """
     period = F.lit(seconds) if isinstance(seconds, int) else seconds
-    timed = alerts.where(F.col(time_col).isNotNull()).withColumn("_seconds", F.coalesce(period.cast("double"), F.lit(0.0)))
+    timed = alerts.where(F.col(time_col).isNotNull()).withColumn("period_seconds", F.coalesce(period.cast("double"), F.lit(0.0)))
     timed = timed.withWatermark(time_col, late) if late else timed
-    processor = FirstInPeriod(keys, time_col, "_seconds", alerts.columns, idle_seconds)
+    processor = FirstInPeriod(keys, time_col, "period_seconds", alerts.columns, idle_seconds)
     return timed.groupBy(*keys).transformWithStateInPandas(statefulProcessor=processor, outputStructType=alerts.schema, outputMode="Append", timeMode="EventTime" if not idle_seconds else "ProcessingTime")
 
 
