@@ -93,7 +93,9 @@ def alerts_by_config(detections: DataFrame, configs: DataFrame, config_col: str,
 def burst_alerts(events: DataFrame, keys: Sequence[str], time_col: str, failed: Column, least: int = 5, size: str = "15 minutes", slide: str = "5 minutes", hours: int = BURST_HOURS, late: str = "1 hour") -> DataFrame:
     """Bursts: windows in which a key fails at least ``least`` times (high from twice that on), at most one for each key in
     ``hours``. The window aggregate feeds the keyed state in one query; a window counts once the watermark has passed it."""
-    timed = events.where(failed).withWatermark(time_col, late) if events.isStreaming else events.where(failed)
+    # Events that did not fail move the watermark too. A condition on the time as well is not moved in front of it.
+    bad = F.when(F.col(time_col).isNotNull(), failed).otherwise(F.lit(False))
+    timed = (events.withWatermark(time_col, late) if events.isStreaming else events).where(bad)
     counted = timed.groupBy(F.window(time_col, size, slide), *keys).agg(F.count("*").alias("failures")).where(F.col("failures") >= least)
     # The time of a window, its last microsecond, goes on with the watermark of the aggregate.
     found = counted.select(*keys, F.window_time("window").alias("detected"), "failures", F.when(F.col("failures") >= 2 * least, "high").otherwise("medium").alias("severity"))
