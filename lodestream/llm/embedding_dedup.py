@@ -201,7 +201,7 @@ def _refined(nodes: DataFrame, graph: DataFrame, through: DataFrame, k: int, few
 
     Only ``k`` of a neighbourhood are sure to hold one that a list of fewer places lacks."""
     worst = graph.groupBy("a").agg(F.when(F.count("*") >= k, F.min("cos")).otherwise(F.lit(-1.0)).alias("worst"))
-    known = settle(nodes.select("node", "unit").join(worst.withColumnRenamed("a", "node"), "node", "left").select("node", "unit", F.coalesce("worst", F.lit(-1.0)).cast("float").alias("worst")))
+    known = nodes.select("node", "unit").join(worst.withColumnRenamed("a", "node"), "node", "left").select("node", "unit", F.coalesce("worst", F.lit(-1.0)).cast("float").alias("worst"))
     back = through.withColumn("rank", F.row_number().over(W.partitionBy("b").orderBy(F.col("cos").desc(), "a"))).where(F.col("rank") <= k)
     members = through.select(F.col("a").alias("centre"), F.col("b").alias("node")).unionByName(back.select(F.col("b").alias("centre"), F.col("a").alias("node"))).distinct()
     met = members.join(known, "node").select("centre", "node", "worst", "unit").repartition("centre").sortWithinPartitions("centre")
@@ -216,16 +216,19 @@ def descend(nodes: DataFrame, graph: DataFrame, count: int, threshold: float, k:
         graph = _refined(nodes, graph, graph, k, max(BEST, k // 2))
         if graph.where("old = 0").count() <= FEW_CHANGES * count * k:
             break
+    # Only nodes with links take part from here on, so all other lists stay as they are.
     linked = F.col("cos") >= threshold - 1e-4
+    links = graph.where(linked)
+    ends = settle(links.select(F.col("a").alias("node")).union(links.select("b")).distinct())
+    mine, own = nodes.join(ends, "node", "left_semi"), ends.withColumnRenamed("node", "a")
+    near = graph.join(own, "a", "left_semi")
     for _ in range(LINK_ROUNDS):
-        links = settle(graph.where(linked).select("a", "b", "cos"))
-        ends = settle(links.select(F.col("a").alias("node")).union(links.select("b")).distinct())
-        near = _refined(nodes.join(ends, "node", "left_semi"), graph.join(ends.withColumnRenamed("node", "a"), "a", "left_semi"), links, k, k)
-        graph = settle(graph.join(ends.withColumnRenamed("node", "a"), "a", "left_anti").select("a", "b", "cos", "old", "place").unionByName(near.select("a", "b", "cos", "old", "place")))
+        near = _refined(mine, near, near.where(linked), k, k)
         new = near.where((F.col("old") == 0) & linked)
         if new.join(saturated(near, threshold, k).withColumnRenamed("node", "a"), "a", "left_anti").isEmpty():
             break
-    return graph
+    columns = ["a", "b", "cos", "old", "place"]
+    return settle(graph.join(own, "a", "left_anti").select(*columns).unionByName(near.select(*columns)))
 
 
 def _checked(pairs: DataFrame, full: DataFrame, threshold: float) -> DataFrame:
