@@ -6,7 +6,9 @@ from collections.abc import Mapping, Sequence
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -67,6 +69,17 @@ def classify_prefix(c: Column, rules: Sequence[tuple[str, str]], default: str) -
     return out
 
 
+def matches(c: Column, pattern: str) -> Column:
+    """Whether the text holds a match of the pattern, without case; false for null, and for what is not a regular expression
+    to the engine that runs it (the JVM's), which is asked before the plan is made."""
+    spark = SparkSession.active()
+    try:
+        spark.sparkContext._jvm.java.util.regex.Pattern.compile(f"(?i){pattern}")
+    except (IllegalArgumentException, Py4JJavaError):  # the first is what PySpark makes of a faulty pattern
+        return F.lit(False)
+    return F.coalesce(c.cast("string").rlike(f"(?i){pattern}"), F.lit(False))
+
+
 def classify_words(c: Column, rules: Sequence[tuple[str, Sequence[str]]], default: str) -> Column:
     """The label of the first rule one of whose words occurs in the text."""
     out = F.lit(default)

@@ -12,21 +12,50 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestream.functions.numbers import ratio
-from lodestream.functions.text import blank_to_null, text_similarity
-
-# Unit -> (family, factor, offset) with SI = value * factor + offset.
-UNITS: dict[str, tuple[str, float, float]] = {
-    "Pa": ("pressure", 1.0, 0.0), "kPa": ("pressure", 1e3, 0.0), "bar": ("pressure", 1e5, 0.0), "psi": ("pressure", 6894.757293168, 0.0),
-    "K": ("temperature", 1.0, 0.0), "C": ("temperature", 1.0, 273.15), "F": ("temperature", 5 / 9, 459.67 * 5 / 9),
-    "m": ("length", 1.0, 0.0), "mm": ("length", 1e-3, 0.0), "in": ("length", 0.0254, 0.0), "ft": ("length", 0.3048, 0.0),
-    "m3/h": ("flow", 1 / 3600, 0.0), "l/min": ("flow", 1 / 60000, 0.0), "gpm": ("flow", 6.30901964e-5, 0.0),
-}
+from lodestream.functions.text import blank_to_null, matches, text_similarity
+
+# Unit -> (family, factor, offset, other names) with SI = value * factor + offset. Names are without case and blanks.
+UNITS: dict[str, tuple[str, float, float, tuple[str, ...]]] = {
+    "Pa": ("pressure", 1.0, 0.0, ("pascal",)),
+    "kPa": ("pressure", 1e3, 0.0, ()),
+    "MPa": ("pressure", 1e6, 0.0, ()),
+    "bar": ("pressure", 1e5, 0.0, ("barg", "bar g", "bara", "bar a")),
+    "psi": ("pressure", 6894.757293168, 0.0, ("psig", "lbf/in2")),
+    "mmH2O": ("pressure", 9.80665, 0.0, ("mm h2o", "mmwc")),
+    "mmHg": ("pressure", 133.322, 0.0, ("torr",)),
+    "K": ("temperature", 1.0, 0.0, ("kelvin",)),
+    "C": ("temperature", 1.0, 273.15, ("degc", "°c", "celsius")),
+    "F": ("temperature", 5 / 9, 459.67 * 5 / 9, ("degf", "°f", "fahrenheit")),
+    "m": ("length", 1.0, 0.0, ("meter",)),
+    "mm": ("length", 1e-3, 0.0, ()),
+    "cm": ("length", 1e-2, 0.0, ()),
+    "km": ("length", 1e3, 0.0, ()),
+    "in": ("length", 0.0254, 0.0, ("inch", '"')),
+    "ft": ("length", 0.3048, 0.0, ()),
+    "m3/s": ("flow", 1.0, 0.0, ("m3s",)),
+    "m3/h": ("flow", 1 / 3600, 0.0, ("m3h", "m3/hr")),
+    "l/min": ("flow", 1 / 60000, 0.0, ("lpm",)),
+    "gpm": ("flow", 6.30901964e-5, 0.0, ()),
+    "kg/s": ("mass flow", 1.0, 0.0, ("kgs",)),
+    "kg/h": ("mass flow", 1 / 3600, 0.0, ("kgh", "kg/hr")),
+    "V": ("voltage", 1.0, 0.0, ("vdc", "vac", "volt")),
+    "kV": ("voltage", 1e3, 0.0, ()),
+    "pH": ("ph", 1.0, 0.0, ()),
+    "%": ("percent", 1.0, 0.0, ("pct", "percent")),
+}
+
+
+def _slug(name: str) -> str:
+    return "".join(name.lower().split())
 
 
 def converted(value: Column, source: Column, target: Column) -> Column:
-    """The value in another unit, by way of SI; null if a unit is unknown or of another family."""
-    table = F.create_map(*[x for u, (family, factor, offset) in UNITS.items() for x in (F.lit(u), F.struct(F.lit(family).alias("family"), F.lit(factor).alias("factor"), F.lit(offset).alias("offset")))])
-    a, b = F.try_element_at(table, source), F.try_element_at(table, target)
+    """The value in another unit, by way of SI; null if a unit is unknown or of another family. Units go by any of their names,
+    whatever their case and blanks."""
+    named = {_slug(n): (family, factor, offset) for unit, (family, factor, offset, others) in UNITS.items() for n in (unit, *others)}
+    table = F.create_map(*[x for n, (family, factor, offset) in named.items() for x in (F.lit(n), F.struct(F.lit(family).alias("family"), F.lit(factor).alias("factor"), F.lit(offset).alias("offset")))])
+    found = lambda c: F.try_element_at(table, F.regexp_replace(F.lower(c), r"\s+", ""))
+    a, b = found(source), found(target)
     return F.when(a["family"] == b["family"], (value * a["factor"] + a["offset"] - b["offset"]) / b["factor"])
 
 
@@ -188,18 +217,12 @@ def matched_filters(df: DataFrame, filters: Sequence[Mapping[str, str]]) -> Data
 
     A pattern that is not a regular expression, and an unknown column, match nothing.
     """
-    import re
-
     for f in filters:
         if f["column"] not in df.columns:
             return df.limit(0)
         c, v = F.lower(F.col(f["column"]).cast("string")), f["value"].lower()
         if f["op"] == "regex":
-            try:
-                re.compile(f["value"])
-            except re.error:
-                return df.limit(0)
-            hit = F.col(f["column"]).cast("string").rlike(f"(?i){f['value']}")
+            hit = matches(F.col(f["column"]), f["value"])
         else:
             hit = {"equals": lambda: c == v, "contains": lambda: c.contains(v), "starts_with": lambda: c.startswith(v), "ends_with": lambda: c.endswith(v)}[f["op"]]()  # noqa: B023
         df = df.where(F.coalesce(hit, F.lit(False)))

@@ -77,6 +77,41 @@ def reconcile_amounts(mine: DataFrame, theirs: DataFrame, keys: Sequence[str], f
     return both.select(*keys, status.alias("status"), F.when(status == "variance", off).otherwise(F.array().cast("array<string>")).alias("fields"), *[g.alias(f"{f}_gap") for f, g in zip(fields, gaps)])
 
 
+# Tolerances of amounts (both must hold) and of hours, and the percentages from which a difference is a warning
+# and critical.
+AMOUNT_TOLERANCE, PERCENT_TOLERANCE, HOURS_TOLERANCE = "1.00", "0.5", "2.00"
+WARNING_PERCENT, CRITICAL_PERCENT = "2.0", "10.0"
+
+
+def field_variances(mine: DataFrame, theirs: DataFrame, keys: Sequence[str], fields: Mapping[str, str]) -> DataFrame:
+    """(keys, field, mine, theirs, diff, pct, severity): a row for every field beyond its tolerance of the keys on both sides.
+
+    ``fields`` are name -> kind, ``hours`` or ``currency``. The difference (theirs - mine) is in cents, the percentage that of
+    mine, or of theirs where mine is 0. A value that only one side has is a variance without a difference: info if theirs
+    lacks it, a warning if mine does. All fields are compared in one join.
+    """
+    number = lambda f: F.col(f).cast("decimal(20,6)").alias(f)
+    both = mine.select(*keys, F.struct(*map(number, fields)).alias("a")).join(theirs.select(*keys, F.struct(*map(number, fields)).alias("b")), list(keys))
+    found = []
+    for field, kind in fields.items():
+        a, b = F.col(f"a.{field}"), F.col(f"b.{field}")
+        diff = F.round(b - a, 2)
+        base = F.when(a != 0, a).when(b != 0, b).otherwise(1)
+        pct = F.round(F.try_divide(F.abs(diff), F.abs(base)) * 100, 2)
+        exact = lambda text: F.lit(text).cast("decimal(10,2)")
+        within = F.abs(diff) <= exact(HOURS_TOLERANCE) if kind == "hours" else (F.abs(diff) <= exact(AMOUNT_TOLERANCE)) & (pct <= exact(PERCENT_TOLERANCE))
+        severity = F.when(b.isNull(), "info").when(a.isNull(), "warning").when(pct >= exact(CRITICAL_PERCENT), "critical").when(pct >= exact(WARNING_PERCENT), "warning").otherwise("info")
+        out = F.struct(F.lit(field).alias("field"), a.cast("double").alias("mine"), b.cast("double").alias("theirs"), diff.cast("double").alias("diff"), pct.cast("double").alias("pct"), severity.alias("severity"))
+        found.append(F.when((a.isNotNull() | b.isNotNull()) & ~F.coalesce(within, F.lit(False)), out))
+    return both.select(*keys, F.inline(F.array_compact(F.array(*found))))
+
+
+def variance_counts(variances: DataFrame) -> DataFrame:
+    """(field, variances, critical, warning, info): the counters of ``field_variances`` by field."""
+    kinds = ("critical", "warning", "info")
+    return variances.groupBy("field").agg(F.count("*").alias("variances"), *[F.count_if(F.col("severity") == k).alias(k) for k in kinds])
+
+
 def budget_variance(base: DataFrame, compare: DataFrame, keys: Sequence[str], amount: str, tight: float = 5.0) -> DataFrame:
     """Sums side by side: difference, percentage (100 where the base is 0 and the other is not) and a bucket."""
     total = lambda df, name: df.groupBy(*keys).agg(F.sum(amount).alias(name))

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestream.functions.text import matches
 from lodestream.operators.derive import translate
 from lodestream.operators.quantiles import exact_quantiles, joined_by
 
@@ -58,12 +59,27 @@ def _lower(c: Column) -> Column:
     return F.lower(c.cast("string"))
 
 
+def _literal(value: int | float | Decimal) -> int | float | Decimal:
+    """A number as Spark has literals for: whole numbers beyond 64 bits as decimals, those beyond 38 digits as doubles."""
+    if isinstance(value, float) or (isinstance(value, int) and -(1 << 63) <= value < 1 << 63):
+        return value
+    exact = Decimal(value)
+    if exact.is_finite() and abs(exact) < Decimal(10) ** 38 and -38 <= exact.as_tuple().exponent:
+        digits = len(exact.as_tuple().digits) + max(exact.as_tuple().exponent, 0)
+        if max(digits, -exact.as_tuple().exponent) <= 38:
+            return exact
+    try:
+        return float(value)
+    except OverflowError:
+        return float("inf") if value > 0 else float("-inf")
+
+
 def _fitting(kind: T.DataType, value: Any) -> Column | None:
     """``value`` as something that columns of this type can be compared with; None if they never equal."""
     if isinstance(value, bool):
         return F.lit(value) if isinstance(kind, T.BooleanType) else None
     if isinstance(value, (int, float, Decimal)):
-        return F.lit(value) if isinstance(kind, T.NumericType) else None
+        return F.lit(_literal(value)) if isinstance(kind, T.NumericType) else None
     dated = isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType))
     if isinstance(value, str):
         return F.lit(value) if isinstance(kind, (T.StringType, T.CharType, T.VarcharType)) else F.lit(value).try_cast(kind) if dated else None
@@ -107,7 +123,7 @@ PREDICATES: dict[str, Callable[[Column, T.DataType, Any], Column]] = {
     "not_null": lambda c, k, v: ~_is_null(c, k),
     "in_list": _listed,
     "iexact": _iequal,
-    "iregex": lambda c, k, v: F.coalesce(c.cast("string").rlike("(?i)" + str(v)), F.lit(False)),
+    "iregex": lambda c, k, v: matches(c, str(v)),
 }
 
 #: Aggregate -> column -> expression. Nulls are skipped; the sum of nothing is 0.

@@ -92,6 +92,33 @@ def cascade_of_texts(s, d):
     return reconcile.cascade_match(part, theirs, "p_partkey", "q", exact, ("p_name", "n"), 0.3, 0.7, "edits")
 
 
+VARIED_SQL = """a AS (SELECT l_orderkey, CAST(CAST(sum(l_quantity) AS DECIMAL(20, 6)) AS DECIMAL(20, 6)) AS h, CAST(sum(CAST(l_extendedprice AS DECIMAL(20, 6))) AS DECIMAL(20, 6)) AS p FROM lineitem WHERE l_linenumber <= 6 GROUP BY 1),
+b AS (SELECT l_orderkey, CASE WHEN count(*) > 3 THEN CAST(sum(l_quantity) AS DECIMAL(20, 6)) END AS h, CAST(sum(CAST(l_extendedprice AS DECIMAL(20, 6))) AS DECIMAL(20, 6)) AS p FROM lineitem GROUP BY 1),
+f AS (SELECT l_orderkey, 'hours' AS field, a.h AS x, b.h AS y FROM a JOIN b USING (l_orderkey) UNION ALL SELECT l_orderkey, 'pay', a.p, b.p FROM a JOIN b USING (l_orderkey)),
+d AS (SELECT *, round(y - x, 2) AS diff, CAST(round(abs(round(y - x, 2)) * 100 / abs(CASE WHEN x <> 0 THEN x WHEN y <> 0 THEN y ELSE 1 END), 2) AS DOUBLE) AS pct FROM f),
+v AS (SELECT l_orderkey, field, CAST(x AS DOUBLE) AS mine, CAST(y AS DOUBLE) AS theirs, CAST(diff AS DOUBLE) AS diff, pct, CASE WHEN y IS NULL THEN 'info' WHEN x IS NULL THEN 'warning' WHEN pct >= 10 THEN 'critical' WHEN pct >= 2 THEN 'warning' ELSE 'info' END AS severity FROM d
+WHERE NOT coalesce(CASE WHEN field = 'hours' THEN abs(diff) <= 2 ELSE abs(diff) <= 1 AND pct <= 0.5 END, false))"""
+
+
+def varied(s, d):
+    """Orders without their seventh line, against whole ones that lack the quantity where they are short."""
+    amount = lambda c: F.col(c).cast("decimal(20,6)")
+    sums = lambda df, h: df.groupBy("l_orderkey").agg(h.alias("hours"), F.sum(amount("l_extendedprice")).alias("pay"))
+    li = table(s, d, "lineitem")
+    mine, theirs = sums(li.where("l_linenumber <= 6"), F.sum(amount("l_quantity"))), sums(li, F.when(F.count("*") > 3, F.sum(amount("l_quantity"))))
+    return reconcile.field_variances(mine, theirs, ["l_orderkey"], {"hours": "hours", "pay": "currency"})
+
+
+@query(f"WITH {VARIED_SQL} SELECT l_orderkey, field, mine, theirs, diff, severity FROM v")
+def field_variances(s, d):
+    return varied(s, d).drop("pct")
+
+
+@query(f"WITH {VARIED_SQL} SELECT field, count(*) AS variances, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'warning') AS warning, count(*) FILTER (severity = 'info') AS info FROM v GROUP BY 1")
+def variance_counts(s, d):
+    return reconcile.variance_counts(varied(s, d))
+
+
 # --- circles ------------------------------------------------------------------------------------------------------------
 
 TRADE_SQL = """f AS (SELECT c_nationkey AS src, s_nationkey AS dst, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2),

@@ -505,11 +505,12 @@ def positional_diff(s, d):
     return reconcile.positional_diff(n, n, "n_nationkey", "n_name", ["n_name"], "n_regionkey")
 
 
-@query(f"""WITH {NEW_SQL}, a AS (SELECT regexp_replace(upper(c_name), '[^A-Z0-9]', '', 'g') AS key, arg_min(c_mktsegment, c_custkey) AS t FROM customer GROUP BY 1), b AS (SELECT regexp_replace(upper(c_name), '[^A-Z0-9]', '', 'g') AS key, arg_min(c_mktsegment, c_custkey) AS t FROM n GROUP BY 1)
-SELECT coalesce(a.key, b.key) AS key, CASE WHEN b.key IS NULL THEN 'missing' WHEN a.key IS NULL THEN 'extra' WHEN a.t = b.t THEN 'matched' ELSE 'mismatch' END AS status,
-CASE WHEN a.key IS NOT NULL AND b.key IS NOT NULL THEN round(1 - levenshtein(lower(a.t), lower(b.t)) / greatest(length(a.t), length(b.t)), 4) END AS similarity FROM a FULL JOIN b ON a.key = b.key""")
+@query(f"""WITH {NEW_SQL}, a AS (SELECT regexp_replace(upper(c_name), '[^A-Z0-9]', '', 'g') AS key, arg_min(c_mktsegment, c_custkey) AS t FROM customer GROUP BY 1), b AS (SELECT regexp_replace(upper(c_name), '[^A-Z0-9]', '', 'g') AS key, arg_min(c_mktsegment, c_custkey) AS t FROM n GROUP BY 1),
+z AS (SELECT coalesce(a.key, b.key) AS key, CASE WHEN b.key IS NULL THEN 'missing' WHEN a.key IS NULL THEN 'extra' WHEN a.t = b.t THEN 'matched' ELSE 'mismatch' END AS status,
+CASE WHEN a.key IS NOT NULL AND b.key IS NOT NULL THEN round(1 - levenshtein(lower(a.t), lower(b.t)) / greatest(length(a.t), length(b.t)), 4) END AS similarity FROM a FULL JOIN b ON a.key = b.key)
+SELECT *, CASE WHEN status = 'missing' THEN 'high' WHEN status = 'extra' OR (status = 'mismatch' AND similarity < 0.5) THEN 'medium' WHEN status = 'mismatch' THEN 'low' ELSE 'none' END AS severity FROM z""")
 def compared_lists(s, d):
-    return reconcile.compare_lists(table(s, d, "customer"), new_customers(s, d), text.tag_key(F.col("c_name")), {"c_mktsegment": 1.0}, "c_custkey").drop("severity")
+    return reconcile.compare_lists(table(s, d, "customer"), new_customers(s, d), text.tag_key(F.col("c_name")), {"c_mktsegment": 1.0}, "c_custkey")
 
 
 @query("""WITH a AS (SELECT l_orderkey, round(sum(l_quantity), 2) AS q, round(sum(l_tax), 2) AS t FROM lineitem WHERE l_linenumber <= 4 GROUP BY 1), b AS (SELECT l_orderkey, round(sum(l_quantity), 2) AS q, round(sum(l_tax), 2) AS t FROM lineitem WHERE l_linenumber >= 2 GROUP BY 1)
@@ -644,9 +645,9 @@ def forecasts(s, d):
 
 
 @query("""WITH v AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events), w AS (SELECT user_id, 11 - k AS i, value FROM v WHERE k <= 10), t AS (SELECT * FROM (VALUES ('spike', [0,0,0,10,0,0,0,0,0,0]), ('drop', [10,10,10,0,10,10,10,10,10,10]), ('increasing', [1,2,3,4,5,6,7,8,9,10])) x(name, a)),
-c AS (SELECT user_id, name, corr(value, a[i]) AS s FROM w, t GROUP BY 1, 2 HAVING count(*) = 10) SELECT user_id, round(greatest(max(s), 0), 3) AS similarity, max(s) >= 0.85 AS detected FROM c GROUP BY 1""")
+c AS (SELECT user_id, name, corr(value, a[i]) AS s FROM w, t GROUP BY 1, 2 HAVING count(*) = 10) SELECT user_id, CASE WHEN max(s) > 0 THEN arg_max(name, s) END AS pattern, round(greatest(max(s), 0), 3) AS similarity, max(s) >= 0.85 AS detected FROM c GROUP BY 1""")
 def pattern_matches(s, d):
-    return anomaly.patterns(table(s, d, "events"), ["user_id"], "event_id", "value").select("user_id", r(F.col("similarity"), 3).alias("similarity"), "detected")
+    return anomaly.patterns(table(s, d, "events"), ["user_id"], "event_id", "value").select("user_id", "pattern", r(F.col("similarity"), 3).alias("similarity"), "detected")
 
 
 @query("""SELECT s_suppkey, 's_acctbal' AS metric, round(s_acctbal, 4) AS value, round(m, 4) AS mean FROM supplier, (SELECT avg(s_acctbal) AS m FROM supplier) WHERE s_acctbal > m * 1.5""")
@@ -750,10 +751,10 @@ def win_probabilities(s, d):
 
 @query("""WITH u AS (SELECT user_id, count(*) AS a, count(DISTINCT event_type) AS f, CAST(count(DISTINCT CAST(ts AS DATE)) AS DOUBLE) AS m, count(*) FILTER (event_type = 'view') AS q, round(count(*) FILTER (event_type <> 'error') * 100.0 / count(*), 2) AS g FROM events GROUP BY 1),
 n AS (SELECT *, round(coalesce((a - min(a) OVER ()) / nullif(max(a) OVER () - min(a) OVER (), 0) * 100, 50), 2) AS p1, round(coalesce((f - min(f) OVER ()) / nullif(max(f) OVER () - min(f) OVER (), 0) * 100, 50), 2) AS p2, round(coalesce((m - min(m) OVER ()) / nullif(max(m) OVER () - min(m) OVER (), 0) * 100, 50), 2) AS p3, round(coalesce((q - min(q) OVER ()) / nullif(max(q) OVER () - min(q) OVER (), 0) * 100, 50), 2) AS p4 FROM u),
-z AS (SELECT user_id, CAST(round(CAST(0.20 * p1 + 0.15 * p2 + 0.10 * p3 + 0.25 * p4 + 0.15 * p1 + 0.15 * g AS DECIMAL(30, 10)), 2) AS DOUBLE) AS score FROM n) SELECT user_id, score FROM z""")
+z AS (SELECT user_id, q, f, CAST(round(CAST(0.20 * p1 + 0.15 * p2 + 0.10 * p3 + 0.25 * p4 + 0.15 * p1 + 0.15 * g AS DECIMAL(30, 10)), 2) AS DOUBLE) AS score FROM n) SELECT user_id, score, CASE WHEN score >= 90 THEN 'diamond' WHEN score >= 75 THEN 'platinum' WHEN score >= 60 THEN 'gold' WHEN score >= 40 THEN 'silver' WHEN score >= 20 THEN 'bronze' ELSE 'rookie' END AS tier, CAST(row_number() OVER (ORDER BY score DESC, q DESC, f DESC, user_id) AS INTEGER) AS place FROM z""")
 def champion_scores(s, d):
     u = table(s, d, "events").groupBy("user_id").agg(F.count("*").alias("actions"), F.count_distinct("event_type").alias("features"), F.count_distinct(F.to_date("ts")).cast("double").alias("minutes"), F.count_if(F.col("event_type") == "view").alias("ai_requests"), F.lit(0.0).alias("ai_cost"), r(F.count_if(F.col("event_type") != "error") * 100.0 / F.count("*"), 2).alias("success_rate"))
-    return scoring.champion_scores(u, "user_id").select("user_id", "score")
+    return scoring.champion_scores(u, "user_id").select("user_id", "score", "tier", "place")
 
 
 @query(f"""WITH l AS (SELECT c_custkey, max(ts) AS t FROM customer LEFT JOIN events ON c_custkey = user_id AND event_type = 'signup' AND ts < TIMESTAMP '{NOW}' GROUP BY 1) SELECT c_custkey, CASE WHEN t IS NULL THEN 'inactive' WHEN date_diff('day', CAST(t AS DATE), DATE '2024-01-25') <= 7 THEN 'active' WHEN date_diff('day', CAST(t AS DATE), DATE '2024-01-25') <= 30 THEN 'recent' ELSE 'dormant' END AS status FROM l""")
@@ -915,11 +916,11 @@ def recommendations(s, d):
     return business.recommended(a, b, "nation", "s_suppkey", "c_custkey", score)
 
 
-@query("""SELECT p_partkey, round(p_size * 6894.757293168 / 1e5, 6) AS bar, round((p_size + 459.67) * 5 / 9 - 273.15, 6) AS celsius, CAST(NULL AS DOUBLE) AS wrong, CAST(NULL AS DOUBLE) AS unknown FROM part""")
+@query("""SELECT p_partkey, round(p_size * 6894.757293168 / 1e5, 6) AS bar, round((p_size + 459.67) * 5 / 9 - 273.15, 6) AS celsius, CAST(NULL AS DOUBLE) AS wrong, CAST(NULL AS DOUBLE) AS unknown, round(p_size * 133.322 / 1e3, 6) AS kilopascal FROM part""")
 def unit_conversions(s, d):
     v = F.col("p_size").cast("double")
     to = lambda a, b: F.round(business.converted(v, F.lit(a), F.lit(b)), 6)
-    return table(s, d, "part").select("p_partkey", to("psi", "bar").alias("bar"), to("F", "C").alias("celsius"), to("psi", "m").alias("wrong"), to("furlong", "m").alias("unknown"))
+    return table(s, d, "part").select("p_partkey", to("psi", "bar").alias("bar"), to("F", "C").alias("celsius"), to("psi", "m").alias("wrong"), to("furlong", "m").alias("unknown"), to(" TORR", "kpa").alias("kilopascal"))
 
 
 @query("""WITH x AS (SELECT c_custkey, CAST(round(c_acctbal * 100) AS BIGINT) AS cents FROM customer), y AS (SELECT *, sign(cents) * ((abs(cents) * 6 + 26) // 52) AS cut FROM x) SELECT c_custkey, cut / 100 AS deduction, (cents - cut) / 100 AS net FROM y""")

@@ -60,6 +60,36 @@ def test_clean_sort_select_unpivot_union(spark):
     assert (9, None, True) in rows(execute("union", df, {"inputs": ["o", "absent"]}, {"o": other}))
 
 
+def test_field_variances_and_their_severity(spark):
+    kind = "e string, hours double, pay double"
+    mine = spark.createDataFrame([("a", 160.0, 1000.0), ("b", 160.0, 1000.0), ("c", None, 0.0), ("d", 8.0, None), ("e", 1.0, 1.0)], kind)
+    theirs = spark.createDataFrame([("a", 162.0, 1001.0), ("b", 170.0, 1200.0), ("c", 5.0, 50.0), ("d", None, None), ("z", 1.0, 1.0)], kind)
+    out = reconcile.field_variances(mine, theirs, ["e"], {"hours": "hours", "pay": "currency"})
+    assert rows(out) == [
+        ("b", "hours", 160.0, 170.0, 10.0, 6.25, "warning"), ("b", "pay", 1000.0, 1200.0, 200.0, 20.0, "critical"), ("c", "hours", None, 5.0, None, None, "warning"),
+        ("c", "pay", 0.0, 50.0, 50.0, 100.0, "critical"), ("d", "hours", 8.0, None, None, None, "info"),
+    ]
+    assert rows(reconcile.variance_counts(out)) == [("hours", 3, 0, 2, 1), ("pay", 2, 2, 0, 0)]
+
+
+def test_units_by_any_name(spark):
+    df = spark.createDataFrame([(32.0, "°F", "celsius"), (1.0, "Bar G", "kpa"), (760.0, "torr", "MMHG"), (1.0, "m3 / hr", "LPM"), (1.0, "kg/h", "m3/h"), (1.0, None, "m")], "v double, a string, b string")
+    got = [r[0] for r in df.select(business.converted(F.col("v"), F.col("a"), F.col("b"))).collect()]
+    assert [None if x is None else round(x, 6) for x in got] == [0.0, 100.0, 760.0, 16.666667, None, None]
+
+
+def test_no_filter_can_fail(spark):
+    df = spark.createDataFrame([(1, "a(b"), (None, None), (2**62, "(?P<x>a)")], "i long, s string")
+    kept = lambda **c: execute("filter", df, {"conditions": [c]}).count()
+    for pattern in ("(", "(?P<x>a)", "[", "*", "a{2,1}", "\\"):
+        assert kept(column="s", operator="iregex", value=pattern) == 0
+        assert business.matched_filters(df, [{"column": "s", "op": "regex", "value": pattern}]).count() == 0
+    assert kept(column="s", operator="iregex", value="A\\(") == 1 and kept(column="i", operator="iregex", value="^1$") == 1
+    for huge in (10**25, 10**45, 10**400):
+        assert kept(column="i", operator="less_than", value=huge) == 2 and kept(column="i", operator="greater_than", value=-huge) == 2
+        assert kept(column="i", operator="equals", value=huge) == 0 and kept(column="i", operator="in_list", value=[1, huge]) == 1
+
+
 def test_pivot_fills_and_sample_is_exact_and_repeatable(spark):
     df = spark.createDataFrame([("a", "x", 1), ("a", "y", 2), ("b", "x", 3), (None, "x", 4)], "i string, c string, v int")
     assert rows(execute("pivot", df, {"index": ["i"], "columns": "c", "values": "v"})) == [("a", 1, 2), ("b", 3, 0)]
