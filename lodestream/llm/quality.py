@@ -3,7 +3,8 @@
 Learned filters slide over every byte of the UTF-8 text. Their responses are max-pooled over chunks of ``2 * HALF`` bytes
 that overlap by half, rectified, and summed up over the whole document (mean and maximum over its chunks); a logistic
 layer makes one probability of that. A filter over bytes is a table of weights for each of its places, so a convolution
-is ``WIDTH`` table look-ups, with memory bounded by a window of the text, however long it is.
+is ``WIDTH`` table look-ups, a window of the text at a time; what is kept of a text is one row of maxima a half chunk, half a
+byte for each of its bytes.
 """
 
 from __future__ import annotations
@@ -40,16 +41,17 @@ class Network:
         The last half chunk is padded with zero bytes; a filter may reach over the end of its half into the next.
         """
         n = max(1, -(-len(data) // HALF))
-        padded = np.zeros(n * HALF + WIDTH - 1, dtype=np.intp)
-        padded[: len(data)] = data
         top = np.empty((n, FILTERS), dtype=np.float32)
         place = np.empty((n, FILTERS), dtype=np.int64) if where else None
         for at in range(0, n, WINDOW_HALVES):
             end = min(n, at + WINDOW_HALVES)
             size = (end - at) * HALF
-            total = np.take(self.filters[0], padded[at * HALF : at * HALF + size], axis=0)
+            window = data[at * HALF : at * HALF + size + WIDTH - 1]
+            padded = np.zeros(size + WIDTH - 1, dtype=np.intp)
+            padded[: len(window)] = window
+            total = np.take(self.filters[0], padded[:size], axis=0)
             for j in range(1, WIDTH):
-                total += np.take(self.filters[j], padded[at * HALF + j : at * HALF + j + size], axis=0)
+                total += np.take(self.filters[j], padded[j : j + size], axis=0)
             cube = total.reshape(end - at, HALF, FILTERS)
             if where:
                 best = cube.argmax(axis=1)
@@ -140,8 +142,8 @@ def fit(df: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: st
 def quality(df: DataFrame, network: Network, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, score, predicted (1 if score >= ``threshold``).
 
-    Null text counts as empty, which is scored like any other (one chunk of padding). Ids may be null or repeat; other
-    columns are not read; an empty table gives an empty result.
+    Null text counts as empty, which is scored like any other (one chunk of padding). Very long texts are scored whole, in
+    windows. Ids may be null or repeat; other columns are not read; an empty table gives an empty result.
     """
     rows = df.select(F.col(f"`{id_col}`").alias("_ls_id"), text_or_empty(text_col).cast("binary").alias("_ls_text"))
 
