@@ -1,16 +1,18 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine, found with a block-max inverted index.
 
-Terms are the words of a bounded sample of labelled rows, all of them; their document frequencies are counted over all
-documents. A term weighs (1 + log tf) x idf x relevance. Relevance, from 0.1 to 1, grows with how surely the share of
-examples that hold the term differs between the classes; without it the rare words of a text, which say nothing about its
-label, decide who its neighbours are. Examples with equal vectors are one entry of the index with the votes of all.
+Terms are the words of a bounded sample of labelled rows, all of them, as with any fitted vectoriser; their document
+frequencies are counted over all documents. A term weighs (1 + log tf) x idf, and the neighbours of a text are the entries of
+the largest cosine under these weights and no others. Examples with equal vectors are one entry of the index with the votes
+of all.
 
 Entries lie in blocks; each term keeps the largest weight it has in each block, so the sum over a query's terms bounds
 every cosine in the block, and blocks that cannot reach the k-th best are never opened: the neighbours are exact.
 
-Votes are weighted by 1 / (distance + ``SOFT``) and by class, so that they reflect the labelled rows and not the balanced
-sample; leave-one-out votes of the examples calibrate them (pooled adjacent violators). Entries and their cosines are
-returned as evidence.
+Neighbours vote by their distance. A text shares most of its rare words with an example by chance, and those say nothing
+about its label, so the distance of a vote is the one minus the cosine of the same two vectors with every term scaled by its
+relevance, which grows with how surely the share of examples that hold the term differs between the classes. Votes are
+weighted by class too, so that they reflect the labelled rows and not the sample; leave-one-out votes of the examples
+calibrate them (pooled adjacent violators). Entries and their TF-IDF cosines are returned as evidence.
 """
 
 from __future__ import annotations
@@ -28,9 +30,10 @@ from lodestream.llm.common import held_out, labelled_sample, one_label, read_tab
 
 #: Bounds the labelled rows of either class that are learned from.
 PER_CLASS = 2000
-NEIGHBOURS = 25
+NEIGHBOURS = 300
 BLOCK = 32
-SOFT = 0.1
+#: A vote weighs (distance + SOFT) ** -SHARP, relative to the largest; PRIOR such votes go to the share of label 1.
+SOFT, SHARP, PRIOR = 0.1, 12, 0.3
 #: Standard errors of a class difference at which a term has about half of its full relevance.
 SURE = 3.0
 FIRST_BLOCKS = 6
@@ -183,7 +186,8 @@ class Model:
 
     def __init__(self, examples: list[Example], terms: list[str], rows: int, frequency: np.ndarray, labelled: tuple[int, int]):
         self.terms = Terms(terms)
-        self.weight = (np.log((1 + rows) / (1 + frequency)) + 1.0) * relevance(examples, self.terms) if terms else np.zeros(0)
+        self.weight = np.log((1 + rows) / (1 + frequency)) + 1.0 if terms else np.zeros(0)
+        self.relevance = relevance(examples, self.terms) if terms else np.zeros(0)
         sampled = [max(1, sum(y == c for _, _, y in examples)) for c in (0, 1)]
         self.class_weight = np.array([n / s for n, s in zip(labelled, sampled)])
         self.prior = (labelled[1] + 0.5) / (sum(labelled) + 1) if sum(labelled) else 0.5
@@ -202,6 +206,11 @@ class Model:
         self.ids = [e[2] for e in entries]
         self.none = np.array(none) * self.class_weight
         self.index = BlockMaxIndex(self.vectors, len(terms))
+        # Entries under relevance, one after the other, and room for the same of a text.
+        self.start = np.cumsum([0] + [len(t) for t, _ in self.vectors])
+        self.entry_terms = np.concatenate([t for t, _ in self.vectors]) if self.vectors else np.zeros(0, dtype=np.int64)
+        self.entry_weights = np.concatenate([self.scaled(v) for v in self.vectors]) if self.vectors else np.zeros(0)
+        self.room = np.zeros(len(terms))
         self.curve = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
         self.calibrate()
 
@@ -215,19 +224,39 @@ class Model:
         w = (1 + np.log(count)) * self.weight[at]
         return at, w / np.sqrt((w * w).sum()) if len(w) else w
 
-    def vote(self, vector: tuple[np.ndarray, np.ndarray], without: int = -1, label: int = 0) -> tuple[float, np.ndarray, np.ndarray]:
-        """Weighted share of votes for label 1 among the neighbours; ``without`` leaves one vote of that entry out."""
+    def scaled(self, vector: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """A vector's weights times the relevance of their terms, of length 1."""
+        w = vector[1] * self.relevance[vector[0]]
+        return w / np.sqrt((w * w).sum())
+
+    def relevant_cosines(self, vector: tuple[np.ndarray, np.ndarray], entries: np.ndarray) -> np.ndarray:
+        """The cosines of a text and some entries under relevance."""
+        length = self.start[entries + 1] - self.start[entries]
+        at = _spans(self.start[entries], length)
+        self.room[vector[0]] = self.scaled(vector)
+        products = self.entry_weights.take(at) * self.room.take(self.entry_terms.take(at))
+        self.room[vector[0]] = 0.0
+        return np.clip(np.add.reduceat(products, np.cumsum(length) - length), 0.0, 1.0) if len(entries) else np.zeros(0)
+
+    def vote(self, vector: tuple[np.ndarray, np.ndarray], without: int = -1, label: int = 0) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+        """Weighted share of votes for label 1 among the neighbours, those, their TF-IDF cosines, and the weights of their votes.
+
+        ``without`` leaves one vote of that entry out.
+        """
         if not len(vector[0]):
             pro, all_ = self.none[1], self.none.sum()
-            return (pro + self.prior) / (all_ + 1), np.zeros(0, dtype=np.int64), np.zeros(0)
+            return (pro + self.prior) / (all_ + 1), np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0)
         drop = without if without >= 0 and self.counts[without].sum() == 1 else -1
         at, cosine = self.index.nearest(*vector, NEIGHBOURS, drop)
+        if not len(at):
+            return self.prior, at, cosine, np.zeros(0)
         votes = self.votes[at]
         if without >= 0 and drop < 0:
             votes = votes - (at == without)[:, None] * np.eye(2)[label] * self.class_weight[label]
-        near = 1 / (1 - cosine + SOFT)
-        pro, all_ = float(near @ votes[:, 1]), float(near @ votes.sum(axis=1))
-        return (pro + self.prior) / (all_ + 1), at, cosine
+        near = 1 - self.relevant_cosines(vector, at) + SOFT
+        pull = (near.min() / near) ** SHARP
+        pro, all_ = float(pull @ votes[:, 1]), float(pull @ votes.sum(axis=1))
+        return (pro + PRIOR * self.prior) / (all_ + PRIOR), at, cosine, pull
 
     def calibrate(self) -> None:
         x, y, w = [], [], []
@@ -249,8 +278,9 @@ class Model:
             self.curve = (np.r_[0.0, px, 1.0], np.r_[0.0, np.clip(py, 0.001, 0.999), 1.0])
 
     def score(self, text: str) -> tuple[float, list[str]]:
-        raw, at, cosine = self.vote(self.vector(text))
-        evidence = [f"{self.ids[e]}:{int(self.votes[e, 1] > self.votes[e, 0])}:{c:.4f}" for e, c in zip(at[:3], cosine[:3])]
+        raw, at, cosine, pull = self.vote(self.vector(text))
+        first = np.argsort(-pull, kind="stable")[:3]
+        evidence = [f"{self.ids[e]}:{int(self.votes[e, 1] > self.votes[e, 0])}:{c:.4f}" for e, c in zip(at[first], cosine[first])]
         return float(np.interp(raw, *self.curve)), evidence
 
 
@@ -264,7 +294,8 @@ def fit(df: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str
 
 
 def toxicity(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, score, predicted (1 if score >= 0.5) and evidence (``example id:label:cosine``, at most 3).
+    """One row per input row: id, score, predicted (1 if score >= 0.5) and evidence (``example id:label:cosine``,
+    the three neighbours whose votes weigh most).
 
     Null and empty texts, and texts without a word of the examples, get the calibrated share of such examples; without
     any labels the score is the prior. Ids may be null or repeat, rows of one text have one score, very long texts are

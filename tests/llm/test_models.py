@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -84,13 +85,15 @@ def test_block_max_search_is_exact():
         assert at.tolist() == best.tolist() and np.allclose(cosine, scores[best])
 
 
-def test_neighbours_votes_and_scores_equal_brute_force_over_whole_texts(corpus):
+@pytest.mark.parametrize("neighbours", [40, toxicity.NEIGHBOURS])
+def test_neighbours_and_votes_equal_plain_tf_idf_over_whole_texts(corpus, neighbours, monkeypatch):
+    monkeypatch.setattr(toxicity, "NEIGHBOURS", neighbours)
     docs, labels = corpus
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     toxic = {r["doc_id"]: r["toxic"] for r in labels.where("doc_id is not null and toxic is not null").collect()}
     model = toxicity.fit(docs, labels)
     learned = [i for i in sorted(texts) if i in toxic and not is_held_out(i)]
-    # Every word of every example is a term; frequencies and relevance from plain counts.
+    # Every word of every example is a term; its weight is plain TF-IDF, from plain counts over all texts.
     words = sorted({w for i in learned for w in re.findall(r"[^\W_]+", texts[i].lower())})
     assert list(model.terms.place) == words
     place = {w: k for k, w in enumerate(words)}
@@ -99,29 +102,34 @@ def test_neighbours_votes_and_scores_equal_brute_force_over_whole_texts(corpus):
     held = [Counter(w for i in learned if toxic[i] == y for w in counts[i]) for y in (0, 1)]
     n = [sum(toxic[i] == y for i in learned) for y in (0, 1)]
 
-    def weight(w):
+    def relevance(w):
         share = (held[0][w] + held[1][w]) / sum(n)
         z = (held[1][w] / n[1] - held[0][w] / n[0]) / np.sqrt(max(share * (1 - share), 1e-12) * (1 / n[0] + 1 / n[1]))
-        return (np.log((1 + len(texts)) / (1 + frequency[w])) + 1) * (1 + z * z) / (10 + z * z)
+        return (1 + z * z) / (10 + z * z)
 
-    def vector(i):
+    def vector(i, scale=lambda w: 1.0):
         v = np.zeros(len(words))
         for w, k in counts[i].items():
-            v[place[w]] = (1 + np.log(k)) * weight(w)
+            v[place[w]] = (1 + np.log(k)) * (np.log((1 + len(texts)) / (1 + frequency[w])) + 1) * scale(w)
         return v / np.linalg.norm(v)
 
-    dense = np.array([vector(i) for i in learned])
+    plain, scaled = np.array([vector(i) for i in learned]), np.array([vector(i, relevance) for i in learned])
+    label = np.array([toxic[i] for i in learned])
+    compared = 0
     for i in sorted(texts)[::7]:
-        cosine = dense @ vector(i)
-        raw, at, found = model.vote(model.vector(texts[i]))
-        best = np.sort(cosine)[::-1][: toxicity.NEIGHBOURS]
-        assert np.allclose(np.sort(found)[::-1], best)
-        near = np.argsort(-cosine, kind="stable")[: toxicity.NEIGHBOURS]
-        if best[-1] - np.sort(cosine)[::-1][toxicity.NEIGHBOURS] > 1e-9:  # no tie at the last place
+        cosine = plain @ vector(i)
+        raw, at, found, _ = model.vote(model.vector(texts[i]))
+        near = np.argsort(-cosine, kind="stable")[:neighbours]
+        near = near[cosine[near] > 1e-12]
+        assert np.allclose(np.sort(found)[::-1], cosine[near])
+        rest = np.delete(cosine, near)
+        if cosine[near[-1]] - rest.max() > 1e-9:  # no tie at the last place
+            compared += 1
             assert {model.ids[e] for e in at} == {learned[k] for k in near}
-            pull = 1 / (1 - cosine[near] + toxicity.SOFT)
-            share = (pull @ np.array([toxic[learned[k]] for k in near]) + model.prior) / (pull.sum() + 1)
-            assert np.isclose(raw, share)
+            distance = 1 - np.clip(scaled[near] @ vector(i, relevance), 0, 1) + toxicity.SOFT
+            pull = (distance.min() / distance) ** toxicity.SHARP
+            assert np.isclose(raw, (pull @ label[near] + toxicity.PRIOR * model.prior) / (pull.sum() + toxicity.PRIOR))
+    assert compared > 30
     assert all(r["evidence"] for r in toxicity.toxicity(docs, model).collect())
 
 
@@ -183,6 +191,76 @@ def test_languages_on_held_out_rows(corpus, awkward, empty):
     assert {r["lang_pred"] for r in language_id.identify(docs.limit(3), {}).collect()} == {"und"}
 
 
+def plain_bundle(text):
+    """The sum of bound trigrams, one at a time."""
+    points = [0] + [ord(c) if c.isalpha() else 0 for c in text.lower()] + [0]
+    draw, total = language_id.Letters(), np.zeros(language_id.DIMENSIONS)
+    for a, b, c in zip(points, points[1:], points[2:]):
+        if b:
+            x, y, z = (draw(np.array([p], dtype=np.uint32))[0].astype(int) for p in (a, b, c))
+            total += np.roll(x, 2) * np.roll(y, 1) * z
+    return total
+
+
+@pytest.mark.parametrize("piece, part, letters", [(7, 4, 30), (100, 4096, 50_000), (100_000, 4096, 50_000)])
+def test_bundles_of_pieces_equal_plain_sums(piece, part, letters, monkeypatch):
+    for name, value in (("PIECE", piece), ("PART", part), ("LETTERS", letters)):
+        monkeypatch.setattr(language_id, name, value)
+    draw = random.Random(1)
+    texts = ["".join(draw.choice("abcde\u00e9 \u4e2d\u6587\u03a3.\u0130\u00df  ") for _ in range(draw.choice([0, 1, 3, 50, 400]))) for _ in range(30)]
+    got = language_id.bundled(texts, list(range(30)), 30, language_id.Letters())
+    assert all((row == plain_bundle(t)).all() for row, t in zip(got, texts))
+    by_two = language_id.bundled(texts, [i % 2 for i in range(30)], 2, language_id.Letters())
+    assert (by_two == np.array([got[::2].sum(axis=0), got[1::2].sum(axis=0)])).all()
+
+
+def test_languages_equal_brute_force(corpus):
+    docs, _ = corpus
+    rows = docs.collect()
+    sums = {}
+    for r in rows:
+        if r["lang"] and not is_held_out(r["doc_id"]):
+            sums[r["lang"]] = sums.get(r["lang"], 0) + plain_bundle(r["text"])
+    found = {r["doc_id"]: r for r in language_id.identify(docs, language_id.profiles(docs.where(~held_out()))).collect()}
+    for r in rows[::11]:
+        v = plain_bundle(r["text"])
+        cosine = {x: p @ v / np.linalg.norm(p) / np.linalg.norm(v) for x, p in sums.items()}
+        best = max(sorted(cosine), key=cosine.get)
+        assert found[r["doc_id"]]["lang_pred"] == best and np.isclose(found[r["doc_id"]]["score"], max(0.0, cosine[best]))
+
+
+def test_a_long_text_of_many_trigrams_needs_little_memory():
+    draw = random.Random(3)
+    text = "".join(chr(draw.randrange(0x4E00, 0x9FA5)) for _ in range(400_000))
+    tracemalloc.start()
+    language_id.bundled([text], [0], 1, language_id.Letters())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
+
+
+def test_spans_apart_from_others():
+    draw = random.Random(5)
+    for _ in range(200):
+        cuts = sorted(draw.sample(range(60), 12))
+        spans = [(a, 3, b) for a, b in zip(cuts[::2], cuts[1::2])]
+        others = [(a, draw.randrange(3), a + draw.randrange(1, 9)) for a in (draw.randrange(60) for _ in range(draw.randrange(6)))]
+        assert secrets.apart(spans, others) == [x for x in spans if not any(x[0] < b and a < x[2] for a, _, b in others)]
+
+
+def test_quality_over_windows_equals_one_pass():
+    network, draw = quality.Network(), np.random.default_rng(4)
+    for size in (0, 1, 127, 128, 129, quality.HALF * quality.WINDOW_HALVES, quality.HALF * quality.WINDOW_HALVES + 3, 40_000):
+        data = draw.integers(0, 256, size, dtype=np.uint8)
+        n = max(1, -(-size // quality.HALF))
+        padded = np.r_[data, np.zeros(n * quality.HALF + quality.WIDTH - 1 - size, dtype=np.uint8)]
+        response = sum(network.filters[j][padded[j : j + n * quality.HALF]] for j in range(quality.WIDTH)) + network.bias
+        top = response.reshape(n, quality.HALF, quality.FILTERS).max(axis=1)
+        chunks = np.array([np.maximum(top[k : k + 2].max(axis=0), 0) for k in range(max(1, n - 1))])
+        z = np.r_[chunks.mean(axis=0), chunks.max(axis=0)] @ network.weights + network.offset
+        assert np.isclose(network.probability(data.tobytes()), 1 / (1 + np.exp(-z)), atol=1e-5)
+
+
 def test_trigrams_stay_inside_words_and_texts():
     owner, gram, count, letters = language_id.trigrams(["Ab c", "", "1-2", "ABA aba"])
     found = Counter()
