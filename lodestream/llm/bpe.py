@@ -22,11 +22,10 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestream.llm.common import read_table, readable_text
+from lodestream.llm.common import parts, read_table, readable_text
 
 WIDE = 64
 CACHE_WORDS = 300_000
@@ -271,19 +270,6 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _slices(batch: pa.RecordBatch, rows: int = 512, size: int = 4_000_000) -> Iterator[tuple[int, int]]:
-    """Cut a batch into parts of bounded bytes, so that long texts do not pile up."""
-    start, held = 0, 0
-    lengths = pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)
-    for i, n in enumerate(lengths):
-        if i > start and (i - start >= rows or held + n > size):
-            yield start, i
-            start, held = i, 0
-        held += n
-    if start < batch.num_rows:
-        yield start, batch.num_rows
-
-
 def bpe_encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, decode: bool = False) -> DataFrame:
     """One row per input row: id, n_tokens, token_ids (packed little-endian unsigned 32-bit, as training shards hold them),
     and with ``decode`` the text that those ids stand for, ``decoded``.
@@ -296,16 +282,14 @@ def bpe_encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(path)
-        for batch in batches:
-            for a, b in _slices(batch):
-                part = batch.slice(a, b - a)
-                packed = tool.encode(part.column(1).to_pylist())
-                columns = [part.column(0), pa.array([len(x) // 4 for x in packed], pa.int64()), pa.array(packed, pa.binary())]
-                names = ["_ls_id", "n_tokens", "token_ids"]
-                if decode:
-                    columns.append(pa.array(map(tool.decode, packed), pa.string()))
-                    names.append("decoded")
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+        for part in parts(batches, 1, 512, 4_000_000):
+            packed = tool.encode(part.column(1).to_pylist())
+            columns = [part.column(0), pa.array([len(x) // 4 for x in packed], pa.int64()), pa.array(packed, pa.binary())]
+            names = ["_ls_id", "n_tokens", "token_ids"]
+            if decode:
+                columns.append(pa.array(map(tool.decode, packed), pa.string()))
+                names.append("decoded")
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     kind = rows.schema[0].dataType.simpleString()
     out = rows.mapInArrow(run, f"_ls_id {kind}, n_tokens bigint, token_ids binary" + ", decoded string" * decode)
@@ -319,7 +303,7 @@ def bpe_decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "token_ids"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(path)
-        for batch in batches:
+        for batch in parts(batches, 1):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((tool.decode(x.as_py()) for x in batch.column(1)), pa.string())], names=["_ls_id", "text"])
 
     return rows.mapInArrow(run, f"_ls_id {rows.schema[0].dataType.simpleString()}, text string").withColumnRenamed("_ls_id", id_col)

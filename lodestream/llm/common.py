@@ -14,6 +14,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -121,6 +122,22 @@ def slices(text: str, size: int = 100_000) -> Iterator[str]:
     yield text[at:]
 
 
+def parts(batches: Iterable[pa.RecordBatch], column: int, rows: int = 1000, size: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that ``column`` (text or bytes) holds at most about ``size`` bytes in each, a longer value alone.
+
+    What a function makes of a batch is then bounded whatever the session's batch size is.
+    """
+    for batch in batches:
+        start, held = 0, 0
+        for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)):
+            if i > start and (i - start >= rows or held + n > size):
+                yield batch.slice(start, i - start)
+                start, held = i, 0
+            held += int(n)
+        if start < batch.num_rows:
+            yield batch.slice(start)
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """Rows never learned from: crc32 of the id as text, modulo 5, is 0. A null id counts as held out."""
     return F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % 5 == 0, F.lit(True))

@@ -18,11 +18,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestream.llm.common import held_out, read_table, readable_text
+from lodestream.llm.common import held_out, parts, read_table, readable_text
 
 DIMENSIONS = 512
 SEED = 42
@@ -144,36 +143,24 @@ def bundled(texts: list[str], group: list[int], groups: int, draw: Letters) -> n
     return sums
 
 
-def _slices(batch: pa.RecordBatch, column: int, size: int = 1_000_000) -> Iterator[pa.RecordBatch]:
-    start, held = 0, 0
-    for i, n in enumerate(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)):
-        if i > start and (held + n > size or i - start >= 1000):
-            yield batch.slice(start, i - start)
-            start, held = i, 0
-        held += n
-    if start < batch.num_rows:
-        yield batch.slice(start)
-
-
 def profiles(df: DataFrame, lang_col: str = "lang", text_col: str = "text") -> dict[str, np.ndarray]:
     """The prototype of each language: the sum of the vectors of all its documents. Null languages are left out."""
     rows = df.where(F.col(f"`{lang_col}`").isNotNull()).select(F.col(f"`{lang_col}`").cast("string").alias("lang"), readable_text(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         draw, sums = Letters(), {}
-        for whole in batches:
-            for batch in _slices(whole, 1):
-                langs = batch.column(0).to_pylist()
-                names = sorted(set(langs))
-                place = {x: i for i, x in enumerate(names)}
-                for x, v in zip(names, bundled(batch.column(1).to_pylist(), [place[x] for x in langs], len(names), draw)):
-                    sums[x] = sums.get(x, 0) + v
+        for batch in parts(batches, 1):
+            langs = batch.column(0).to_pylist()
+            names = sorted(set(langs))
+            place = {x: i for i, x in enumerate(names)}
+            for x, v in zip(names, bundled(batch.column(1).to_pylist(), [place[x] for x in langs], len(names), draw)):
+                sums[x] = sums.get(x, 0) + v
         for x, v in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([x]), pa.array([v.astype(np.int64).tolist()], pa.list_(pa.int64()))], names=["lang", "v"])
 
-    parts = rows.mapInArrow(run, "lang string, v array<bigint>").select("lang", F.posexplode("v").alias("i", "x"))
+    by_place = rows.mapInArrow(run, "lang string, v array<bigint>").select("lang", F.posexplode("v").alias("i", "x"))
     found: dict[str, np.ndarray] = {}
-    for r in parts.groupBy("lang", "i").agg(F.sum("x").alias("x")).collect():
+    for r in by_place.groupBy("lang", "i").agg(F.sum("x").alias("x")).collect():
         found.setdefault(r["lang"], np.zeros(DIMENSIONS))[r["i"]] = r["x"]
     return found
 
@@ -191,18 +178,17 @@ def identify(df: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         draw = Letters()
-        for whole in batches:
-            for batch in _slices(whole, 1):
-                n = batch.num_rows
-                sums = bundled(batch.column(1).to_pylist(), list(range(n)), n, draw)
-                size = np.linalg.norm(sums, axis=1)
-                best, score = np.full(n, -1), np.zeros(n)
-                if names:
-                    cosine = sums @ matrix.T / np.where(size > 0, size, 1.0)[:, None]
-                    best = np.where(size > 0, cosine.argmax(axis=1), -1)
-                    score = np.where(size > 0, np.clip(cosine.max(axis=1), 0.0, 1.0), 0.0)
-                labels = pa.array([names[b] if b >= 0 else UNKNOWN for b in best.tolist()], pa.string())
-                yield pa.RecordBatch.from_arrays([batch.column(0), labels, pa.array(score)], names=["_ls_id", "lang_pred", "score"])
+        for batch in parts(batches, 1):
+            n = batch.num_rows
+            sums = bundled(batch.column(1).to_pylist(), list(range(n)), n, draw)
+            size = np.linalg.norm(sums, axis=1)
+            best, score = np.full(n, -1), np.zeros(n)
+            if names:
+                cosine = sums @ matrix.T / np.where(size > 0, size, 1.0)[:, None]
+                best = np.where(size > 0, cosine.argmax(axis=1), -1)
+                score = np.where(size > 0, np.clip(cosine.max(axis=1), 0.0, 1.0), 0.0)
+            labels = pa.array([names[b] if b >= 0 else UNKNOWN for b in best.tolist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), labels, pa.array(score)], names=["_ls_id", "lang_pred", "score"])
 
     kind = rows.schema[0].dataType.simpleString()
     return rows.mapInArrow(run, f"_ls_id {kind}, lang_pred string, score double").withColumnRenamed("_ls_id", id_col)

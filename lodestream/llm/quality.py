@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestream.llm.common import held_out, labelled_sample, one_label, read_table, text_or_empty
+from lodestream.llm.common import held_out, labelled_sample, one_label, parts, read_table, text_or_empty
 
 #: Bounds the labelled rows of either class that are learned from.
 PER_CLASS = 1200
@@ -148,7 +148,7 @@ def quality(df: DataFrame, network: Network, threshold: float = 0.3, id_col: str
     rows = df.select(F.col(f"`{id_col}`").alias("_ls_id"), text_or_empty(text_col).cast("binary").alias("_ls_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, 1):
             score = np.fromiter((network.probability(t.as_py()) for t in batch.column(1)), dtype=np.float64, count=batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["_ls_id", "score", "predicted"])
 

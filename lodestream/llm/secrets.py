@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestream.llm.common import read_table, readable_text, settle, texts_of
+from lodestream.llm.common import parts, read_table, readable_text, settle, texts_of
 
 #: Bounds the texts that the field is trained on: of each kind of base span, and of texts without any; and their bytes.
 MARKED_ROWS, PLAIN_ROWS, TRAIN_BYTES = 500, 2000, 12_000_000
@@ -110,8 +110,8 @@ def lead_of(word: str) -> str:
     word = word.lower()
     if word.isalpha() and word.isascii():
         return word
-    parts = [x for x in NOT_LETTERS.split(word) if x]
-    return parts[-1] if parts else ""
+    runs = [x for x in NOT_LETTERS.split(word) if x]
+    return runs[-1] if runs else ""
 
 
 def signature_features(sig: tuple) -> tuple[list[int], list[int], list[int]]:
@@ -530,7 +530,7 @@ def find_secrets(df: DataFrame, field: Field, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(field) if field.trained else None
-        for batch in batches:
+        for batch in parts(batches, 1):
             out = []
             for t in batch.column(1):
                 text = t.as_py()
@@ -562,7 +562,7 @@ def redact(df: DataFrame, field: Field, text_col: str = "text", mark: str = "[SE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(field) if field.trained else None
-        for batch in batches:
+        for batch in parts(batches, at):
             texts = [None if (x := t.as_py()) is None else cleaned(scanner, x) for t in batch.column(at)]
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_digest, xxh64_intdigest
 
-from lodestream.llm.common import bounded, components, read_table, settle, sorted_runs, spanning_edges, text_or_empty
+from lodestream.llm.common import bounded, components, parts, read_table, settle, sorted_runs, spanning_edges, text_or_empty
 
 BLOCKS, BLOCK_BITS, SHARED = 4, 16, 2
 CHUNK = 1024
@@ -58,7 +58,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = df.select(F.col(f"`{id_col}`").alias("_ls_id"), text_or_empty(text_col).cast("binary").alias("_ls_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, 1):
             found = b"".join(fingerprint(t.as_py(), width) for t in batch.column(1))
             values = np.frombuffer(found, dtype=">i8").astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], names=["_ls_id", "_ls_fp"])
@@ -170,19 +170,17 @@ def _shingled(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     kept = df.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"), _text_md5(text_col).alias("text_md5"), text.alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                sets = [shingle_set(t.as_py()) for t in batch.column(3)]
-                packed = [x.tobytes() for x in sets]
-                columns = [
-                    *batch.columns[:3],
-                    pa.array([md5(x).digest() for x in packed], pa.binary()),
-                    pa.array([len(x) for x in sets], pa.int64()),
-                    pa.array([band_keys(x) for x in sets], pa.list_(pa.int64())),
-                    pa.array(packed, pa.binary()),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=["row", "id", "text_md5", "digest", "n", "keys", "shingles"])
+        for batch in parts(batches, 3):
+            sets = [shingle_set(t.as_py()) for t in batch.column(3)]
+            packed = [x.tobytes() for x in sets]
+            columns = [
+                *batch.columns[:3],
+                pa.array([md5(x).digest() for x in packed], pa.binary()),
+                pa.array([len(x) for x in sets], pa.int64()),
+                pa.array([band_keys(x) for x in sets], pa.list_(pa.int64())),
+                pa.array(packed, pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "id", "text_md5", "digest", "n", "keys", "shingles"])
 
     kind = kept.schema["id"].dataType.simpleString()
     return kept.mapInArrow(run, f"row bigint, id {kind}, text_md5 binary, digest binary, n bigint, keys array<bigint>, shingles binary")

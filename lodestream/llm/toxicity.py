@@ -11,8 +11,8 @@ every cosine in the block, and blocks that cannot reach the k-th best are never
 Neighbours vote by their distance. A text shares most of its rare words with an example by chance, and those say nothing
 about its label, so the distance of a vote is the one minus the cosine of the same two vectors with every term scaled by its
 relevance, which grows with how surely the share of examples that hold the term differs between the classes. Votes are
-weighted by class too, so that they reflect the labelled rows and not the sample; leave-one-out votes of the examples
-calibrate them (pooled adjacent violators). Entries and their TF-IDF cosines are returned as evidence.
+weighted by class too, so that they reflect the labelled rows and not the sample. Votes for the examples themselves, without
+their own and under a relevance learned from other examples, calibrate them (pooled adjacent violators). Entries and their TF-IDF cosines are returned as evidence.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestream.llm.common import held_out, labelled_sample, one_label, read_table, readable_text, slices
+from lodestream.llm.common import held_out, labelled_sample, one_label, parts, read_table, readable_text, slices
 
 #: Bounds the labelled rows of either class that are learned from.
 PER_CLASS = 2000
@@ -34,6 +34,8 @@ NEIGHBOURS = 300
 BLOCK = 32
 #: A vote weighs (distance + SOFT) ** -SHARP, relative to the largest; PRIOR such votes go to the share of label 1.
 SOFT, SHARP, PRIOR = 0.1, 12, 0.3
+#: Examples are calibrated with a relevance that was learned from the other folds.
+FOLDS = 5
 #: Standard errors of a class difference at which a term has about half of its full relevance.
 SURE = 3.0
 FIRST_BLOCKS = 6
@@ -50,8 +52,8 @@ class Terms:
 
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Places of a text's terms, ascending, and how often each occurs."""
-        parts = [np.fromiter((i for i in map(self.place.get, words_of(part.lower())) if i is not None), dtype=np.int64) for part in slices(text)]
-        return np.unique(np.concatenate(parts) if len(parts) > 1 else parts[0], return_counts=True)
+        found = [np.fromiter((i for i in map(self.place.get, words_of(part.lower())) if i is not None), dtype=np.int64) for part in slices(text)]
+        return np.unique(np.concatenate(found) if len(found) > 1 else found[0], return_counts=True)
 
 
 def vocabulary(examples: list[Example]) -> list[str]:
@@ -59,28 +61,6 @@ def vocabulary(examples: list[Example]) -> list[str]:
     return sorted({w for _, text, _ in examples for w in words_of(text.lower())})
 
 
-def relevance(examples: list[Example], terms: Terms) -> np.ndarray:
-    """0.1 for a term whose share of examples is the same in both classes, up to 1 the surer it differs.
-
-    Examples with the same words count once, so copies prove nothing.
-    """
-    n = len(terms.place)
-    rows, total, seen = np.zeros((2, n)), [0, 0], set()
-    for _, text, label in examples:
-        at, _ = terms.counts(text)
-        key = at.tobytes(), label
-        if key not in seen:
-            seen.add(key)
-            rows[label, at] += 1
-            total[label] += 1
-    if not all(total):
-        return np.ones(n)
-    share = rows.sum(axis=0) / sum(total)
-    error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / total[0] + 1 / total[1]))
-    z = (rows[1] / total[1] - rows[0] / total[0]) / error
-    return (1 + z * z) / (1 + SURE * SURE + z * z)
-
-
 def document_frequencies(df: DataFrame, text_col: str, terms: list[str]) -> tuple[int, np.ndarray]:
     """Rows of the whole table, and for each term the rows that hold it: counted in each task, then summed."""
     names = terms
@@ -187,7 +167,6 @@ class Model:
     def __init__(self, examples: list[Example], terms: list[str], rows: int, frequency: np.ndarray, labelled: tuple[int, int]):
         self.terms = Terms(terms)
         self.weight = np.log((1 + rows) / (1 + frequency)) + 1.0 if terms else np.zeros(0)
-        self.relevance = relevance(examples, self.terms) if terms else np.zeros(0)
         sampled = [max(1, sum(y == c for _, _, y in examples)) for c in (0, 1)]
         self.class_weight = np.array([n / s for n, s in zip(labelled, sampled)])
         self.prior = (labelled[1] + 0.5) / (sum(labelled) + 1) if sum(labelled) else 0.5
@@ -209,8 +188,8 @@ class Model:
         # Entries under relevance, one after the other, and room for the same of a text.
         self.start = np.cumsum([0] + [len(t) for t, _ in self.vectors])
         self.entry_terms = np.concatenate([t for t, _ in self.vectors]) if self.vectors else np.zeros(0, dtype=np.int64)
-        self.entry_weights = np.concatenate([self.scaled(v) for v in self.vectors]) if self.vectors else np.zeros(0)
         self.room = np.zeros(len(terms))
+        self.learn_relevance(np.ones(len(entries), dtype=bool))
         self.curve = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
         self.calibrate()
 
@@ -224,6 +203,24 @@ class Model:
         w = (1 + np.log(count)) * self.weight[at]
         return at, w / np.sqrt((w * w).sum()) if len(w) else w
 
+    def learn_relevance(self, among: np.ndarray) -> None:
+        """Relevance from some of the entries, and all entries under it.
+
+        It is 0.1 for a term whose share of examples is the same in both classes, up to 1 the surer it differs. Equal
+        examples are one entry, so copies prove nothing.
+        """
+        has = (self.counts > 0) & among[:, None]
+        total, length = has.sum(axis=0), np.diff(self.start)
+        rows = [np.bincount(self.entry_terms[np.repeat(has[:, c], length)], minlength=len(self.weight)) for c in (0, 1)]
+        if total.all():
+            share = (rows[0] + rows[1]) / total.sum()
+            error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / total[0] + 1 / total[1]))
+            z = (rows[1] / total[1] - rows[0] / total[0]) / error
+            self.relevance = (1 + z * z) / (1 + SURE * SURE + z * z)
+        else:
+            self.relevance = np.ones(len(self.weight))
+        self.entry_weights = np.concatenate([self.scaled(v) for v in self.vectors]) if self.vectors else np.zeros(0)
+
     def scaled(self, vector: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
         """A vector's weights times the relevance of their terms, of length 1."""
         w = vector[1] * self.relevance[vector[0]]
@@ -260,12 +257,16 @@ class Model:
 
     def calibrate(self) -> None:
         x, y, w = [], [], []
-        for e, vector in enumerate(self.vectors):
-            for label in (0, 1):
-                if n := self.counts[e, label]:
-                    x.append(self.vote(vector, e, label)[0])
-                    y.append(label)
-                    w.append(n * self.class_weight[label])
+        fold = np.arange(len(self.vectors)) % FOLDS
+        for k in range(FOLDS):
+            self.learn_relevance(fold != k)
+            for e in np.flatnonzero(fold == k).tolist():
+                for label in (0, 1):
+                    if n := self.counts[e, label]:
+                        x.append(self.vote(self.vectors[e], e, label)[0])
+                        y.append(label)
+                        w.append(n * self.class_weight[label])
+        self.learn_relevance(fold >= 0)
         nothing = np.zeros(0, dtype=np.int64), np.zeros(0)
         for label in (0, 1):
             if self.none[label]:
@@ -305,7 +306,7 @@ def toxicity(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     rows = df.select(F.col(f"`{id_col}`").alias("_ls_id"), readable_text(text_col).alias("_ls_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, 1):
             found = [model.score(t.as_py()) for t in batch.column(1)]
             score = pa.array([s for s, _ in found], pa.float64())
             yield pa.RecordBatch.from_arrays(
@@ -325,7 +326,7 @@ def drop_toxic(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, at):
             texts = batch.column(at).cast(pa.binary())
             keep = [model.score((t.as_py() or b"").decode("utf-8", "replace"))[0] < 0.5 for t in texts]
             yield batch.filter(pa.array(keep, pa.bool_()))
