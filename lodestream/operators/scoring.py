@@ -68,11 +68,13 @@ def champion_scores(stats: DataFrame, user_col: str) -> DataFrame:
         "usage_frequency": F.col("actions"), "feature_diversity": F.col("features"), "time_spent": F.col("minutes"),
         "ai_utilization": F.col("ai_requests"), "cost_efficiency": F.col("_eff"),
     }
-    scaled = min_max(raw, parts).withColumns({k: F.round(k, 2) for k in [*parts, "success_rate"]})
+    # Parts are rounded as the nearest whole number of hundredths.
+    scaled = min_max(raw, parts).withColumns({k: F.round(F.col(k) * 100) / 100 for k in [*parts, "success_rate"]})
     total = F.lit(0.0)
     for k, w in CHAMPION_WEIGHTS.items():
         total = total + F.col(k) * w
-    score = F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), total)), 2)
+    # As a sum of binary fractions a half of a hundredth can lie just below itself; ten decimals hold it exactly.
+    score = F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), total)).cast("decimal(30,10)"), 2).cast("double")
     out = scaled.withColumn("score", score).withColumn("tier", ladder(F.col("score"), CHAMPION_TIERS, "rookie"))
     return placed(out, [F.desc("score"), F.desc("ai_requests"), F.desc("features"), F.col(user_col)], "place").drop("_eff")
 
