@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestream.functions.text import upper_each
+
 
 def revision_key(c: Column) -> Column:
     """Sorts revision names: single letters first (A, B), then whole numbers by value (0, 1, 10), then others as text (1A, B2)."""
-    name = F.upper(F.trim(F.coalesce(c.cast("string"), F.lit(""))))
+    name = upper_each(F.trim(F.coalesce(c.cast("string"), F.lit(""))))
     letter, number = name.rlike("^[A-Z]$"), name.rlike("^[0-9]+$")
     digits = F.regexp_replace(name, "^0+(?=.)", "")
     # Numbers of any length sort by their length and then as text.
@@ -20,7 +22,7 @@ def revision_key(c: Column) -> Column:
 
 def split_tags(*columns: Column) -> Column:
     """Distinct upper-case tags of one or more lists that are separated by commas, semicolons, slashes or blanks."""
-    parts = F.split(F.upper(F.concat_ws(",", *columns)), r"[,\s;/]+")
+    parts = F.split(upper_each(F.concat_ws(",", *columns)), r"[,\s;/]+")
     return F.array_distinct(F.filter(parts, lambda t: t != ""))
 
 
