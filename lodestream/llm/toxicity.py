@@ -53,8 +53,14 @@ class Terms:
 
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Places of a text's terms, ascending, and how often each occurs."""
-        found = [np.fromiter((i for i in map(self.place.get, words_of(part.lower())) if i is not None), dtype=np.int64) for part in slices(text)]
-        return np.unique(np.concatenate(found) if len(found) > 1 else found[0], return_counts=True)
+        count: Counter[str] = Counter()
+        for part in slices(text):
+            count.update(words_of(part.lower()))
+        place = self.place
+        found = {place[w]: n for w, n in count.items() if w in place}
+        at, n = np.fromiter(found, np.int64, len(found)), np.fromiter(found.values(), np.int64, len(found))
+        order = np.argsort(at)
+        return at[order], n[order]
 
 
 def vocabulary(examples: list[Example]) -> list[str]:
@@ -107,6 +113,7 @@ class BlockMaxIndex:
         self.matrix = np.zeros((len(common), self.size))
         often = self.row[term] >= 0
         self.matrix[self.row[term[often]], entry[often]] = weight[often]
+        self.by_entry = self.matrix.T.copy()
         entry, term, weight = entry[~often], term[~often], weight[~often]
         order = np.lexsort((entry, term))
         self.entry, self.weight, term = entry[order], weight[order], term[order]
@@ -118,12 +125,24 @@ class BlockMaxIndex:
         self.term_runs = np.searchsorted(term[self.run_start[:-1]], np.arange(terms + 1))
         self.blocks = -(-self.size // BLOCK)
 
+    def sums(self, terms: np.ndarray, weights: np.ndarray, entries: np.ndarray) -> np.ndarray:
+        """Products of these weights and those of some entries, summed up over the terms."""
+        row = self.row[terms]
+        often = row >= 0
+        first = self.run_start[self.term_runs[terms[~often]]]
+        length = self.run_start[self.term_runs[terms[~often] + 1]] - first
+        at = _spans(first, length)
+        rare = np.bincount(self.entry.take(at), self.weight.take(at) * np.repeat(weights[~often], length), self.size)
+        all_ = np.zeros(len(self.matrix))
+        all_[row[often]] = weights[often]
+        return rare[entries] + self.by_entry.take(entries, axis=0) @ all_
+
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k entries of the largest cosine (ties: smallest entry), cosine above 0, and those cosines."""
         if not self.size:
             return np.zeros(0, dtype=np.int64), np.zeros(0)
         row = self.row[terms]
-        known = weights[row >= 0] @ self.matrix[row[row >= 0]]
+        known = weights[row >= 0] @ self.matrix.take(row[row >= 0], axis=0)
         terms, weights = terms[row < 0], weights[row < 0]
         first = self.term_runs[terms]
         length = self.term_runs[terms + 1] - first
@@ -142,12 +161,13 @@ class BlockMaxIndex:
                 break
             now[:] = False
             now[reach] = True
-            mine = run.compress(now.take(block))
+            here = now.take(block)
+            mine = run.compress(here)
             start = self.run_start.take(mine)
             size = self.run_start.take(mine + 1) - start
             at = _spans(start, size)
             part = self.weight.take(at)
-            part *= np.repeat(q.compress(now.take(block)), size)
+            part *= np.repeat(q.compress(here), size)
             score = np.bincount(self.entry.take(at), part, self.size) + known * np.repeat(now, BLOCK)[: self.size]
             if without >= 0:
                 score[without] = 0.0
@@ -197,17 +217,16 @@ class Model:
         self.ids = [e[2] for e in entries]
         self.none = np.array(none) * self.class_weight
         self.index = BlockMaxIndex(self.vectors, len(terms))
-        # Entries under relevance, one after the other, and room for the same of a text.
+        # The entries, one after the other.
         self.start = np.cumsum([0] + [len(t) for t, _ in self.vectors])
         self.entry_terms = np.concatenate([t for t, _ in self.vectors]) if self.vectors else np.zeros(0, dtype=np.int64)
-        self.room = np.zeros(len(terms))
         self.learn_relevance(np.ones(len(entries), dtype=bool))
         self.curve = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
         self.calibrate()
 
     def __getstate__(self) -> dict:
         """Tasks need the index, not what it was made from."""
-        return {k: v for k, v in self.__dict__.items() if k not in ("vectors", "counts")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("vectors", "counts", "start", "entry_terms")}
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """A text's terms, ascending, and their weights, of length 1."""
@@ -231,7 +250,7 @@ class Model:
             self.relevance = (1 + z * z) / (1 + SURE * SURE + z * z)
         else:
             self.relevance = np.ones(len(self.weight))
-        self.entry_weights = np.concatenate([self.scaled(v) for v in self.vectors]) if self.vectors else np.zeros(0)
+        self.length = np.array([np.linalg.norm(w * self.relevance[t]) for t, w in self.vectors])
 
     def scaled(self, vector: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
         """A vector's weights times the relevance of their terms, of length 1."""
@@ -239,13 +258,12 @@ class Model:
         return w / np.sqrt((w * w).sum())
 
     def relevant_cosines(self, vector: tuple[np.ndarray, np.ndarray], entries: np.ndarray) -> np.ndarray:
-        """The cosines of a text and some entries under relevance."""
-        length = self.start[entries + 1] - self.start[entries]
-        at = _spans(self.start[entries], length)
-        self.room[vector[0]] = self.scaled(vector)
-        products = self.entry_weights.take(at) * self.room.take(self.entry_terms.take(at))
-        self.room[vector[0]] = 0.0
-        return np.clip(np.add.reduceat(products, np.cumsum(length) - length), 0.0, 1.0) if len(entries) else np.zeros(0)
+        """The cosines of a text and some entries under relevance: from the postings of the text's terms, which are far fewer
+        than the terms of all those entries."""
+        if not len(entries):
+            return np.zeros(0)
+        sums = self.index.sums(vector[0], self.scaled(vector) * self.relevance[vector[0]], entries)
+        return np.clip(sums / self.length[entries], 0.0, 1.0)
 
     def vote(self, vector: tuple[np.ndarray, np.ndarray], without: int = -1, label: int = 0) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
         """Weighted share of votes for label 1 among the neighbours, those, their TF-IDF cosines, and the weights of their votes.

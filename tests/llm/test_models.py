@@ -355,3 +355,26 @@ def test_spans_beyond_the_patterns_in_long_pieces_and_redaction(spark, trained,
 def test_untrained_field_adds_nothing(awkward):
     assert not secrets.fit(awkward.where("doc_id < 3")).trained
     assert all(r["spans"] == [] for r in secrets.find_secrets(awkward.where("doc_id < 3"), secrets.Field()).collect())
+
+
+def test_relevant_cosines_read_the_postings_of_the_text_alone():
+    draw = np.random.default_rng(8)
+    words = [f"w{k}" for k in range(400)]
+    text = lambda: " ".join(draw.choice(words[: draw.integers(20, 400)], 30))
+    examples = [(i, text(), i % 2) for i in range(120)]
+    terms = toxicity.vocabulary(examples)
+    model = toxicity.Model(examples, terms, 500, draw.integers(1, 400, len(terms)), (60, 60))
+    entries = np.arange(len(model.vectors))
+    read, spans = [], toxicity._spans
+    toxicity._spans = lambda start, length: read.append(int(length.sum())) or spans(start, length)
+    try:
+        for _ in range(20):
+            vector = model.vector(text() + " other")
+            dense = np.zeros((len(entries) + 1, len(terms)))
+            for row, (at, w) in zip(dense, [*model.vectors, vector]):
+                row[at] = w * model.relevance[at]
+            dense /= np.linalg.norm(dense, axis=1, keepdims=True)
+            assert np.allclose(model.relevant_cosines(vector, entries), dense[:-1] @ dense[-1], atol=1e-12)
+    finally:
+        toxicity._spans = spans
+    assert max(read) < sum(len(at) for at, _ in model.vectors) / 4
