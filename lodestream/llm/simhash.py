@@ -7,9 +7,10 @@ into chunks by hash; every pair of chunks is its own small unit of work, so no t
 lost. Inside a unit the pairs are compared in arrays and only a spanning forest of the verified pairs leaves the task.
 
 ``drop_near_duplicates`` has settings of its own: sets of five-word shingles with Jaccard similarity of at least 0.8. At
-0.8 about 15 % of SimHash bits differ, so no blocks of them are both selective and sure to agree; its candidates share one
-of ``BANDS`` keys of ``BAND_ROWS`` independent smallest hashes instead (0.998 of pairs at 0.8, more above), and every link
-is checked on the whole sets.
+0.8 about 15 % of SimHash bits differ, too many for the blocks of 64 bits. So its fingerprints have ``NEAR_WORDS`` words of
+64 bits, whose every 16 bits are a block: 7 % of the blocks of a pair at 0.8 agree, and 0.997 of such pairs agree in one of
+the 80. Those that meet and differ in at most ``NEAR_BITS`` of the first 128 bits are candidates (19 differ at 0.8, 64 by
+chance), and every link is checked on the whole sets.
 """
 
 from __future__ import annotations
@@ -22,17 +23,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_digest, xxh64_intdigest
+from xxhash import xxh64_digest
 
 from lodestream.llm.common import bounded, components, parts, read_table, settle, sorted_runs, spanning_edges, text_or_empty
 
 BLOCKS, BLOCK_BITS, SHARED = 4, 16, 2
 CHUNK = 1024
 NEAR_WIDTH, NEAR_LEAST = 5, (4, 5)
-BANDS, BAND_ROWS = 16, 5
+NEAR_WORDS, NEAR_BITS = 20, 36
 CHUNK_SHINGLES = 200_000
-_DRAWN = np.random.default_rng(42).integers(0, 1 << 32, size=(2, BANDS * BAND_ROWS, 1), dtype=np.uint32)
-_TIMES, _PLUS = _DRAWN[0] | np.uint32(1), _DRAWN[1]
+_PLUS = np.random.default_rng(42).integers(0, 1 << 64, size=NEAR_WORDS, dtype=np.uint64)
 
 
 def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> bytes:
@@ -66,45 +66,55 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return kept.mapInArrow(run, f"_ls_id {kept.schema[0].dataType.simpleString()}, _ls_fp bigint")
 
 
+def _close_rows(table: pa.Table, order: list[str], words: list[np.ndarray], distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows in units sorted by ``order``, which ends in (lo, hi), pairs of places in one unit whose ``words`` differ in at
+    most ``distance`` bits; of large units, as many as join what all of them join."""
+    columns = [table[c].to_numpy() for c in order]
+    lo, hi, chunk = columns[-2], columns[-1], table["chunk"].to_numpy()
+    new = np.r_[True, np.zeros(len(lo) - 1, dtype=bool)]
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    start = np.flatnonzero(new)
+    size = np.diff(np.r_[start, len(lo)])
+    left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    unit = np.repeat(np.arange(len(start)), size)
+    # Short runs, all at once: each row against the row s places on.
+    short = np.repeat(size <= 64, size)
+    for s in range(1, int(min(64, size.max()))):
+        at = np.flatnonzero(short[:-s] & (unit[s:] == unit[:-s]))
+        if not len(at):
+            break
+        at = at[sum(np.bitwise_count(x[at] ^ x[at + s]) for x in words) <= distance]
+        left.append(at)
+        right.append(at + s)
+    for b, n in zip(start[size > 64], size[size > 64]):
+        mine, c = [x[b : b + n] for x in words], chunk[b : b + n]
+        crossing = lo[b] != hi[b]
+        pair_a, pair_b = [], []
+        for i in range(0, n, 256):
+            close = sum(np.bitwise_count(x[i : i + 256, None] ^ x[None, :]) for x in mine) <= distance
+            if crossing:
+                close &= c[i : i + 256, None] != c[None, :]
+            p, q = np.nonzero(close)
+            p += i
+            pair_a.append(p[p < q])
+            pair_b.append(q[p < q])
+        p, q = spanning_edges(np.concatenate(pair_a), np.concatenate(pair_b), int(n))
+        left.append(p + b)
+        right.append(q + b)
+    return np.concatenate(left), np.concatenate(right)
+
+
 def _verified(distance: int):
     """Over units sorted by (t, key, lo, hi): edges of a spanning forest of the pairs within ``distance``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in sorted_runs(batches, ["t", "key", "lo", "hi"]):
-            t, key, lo, hi, chunk = (table[c].to_numpy() for c in ("t", "key", "lo", "hi", "chunk"))
-            fp = table["fp"].to_numpy().view(np.uint64)
-            start = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
-            size = np.diff(np.r_[start, len(t)])
-            left, right = [], []
-            unit = np.repeat(np.arange(len(start)), size)
-            # Short runs, all at once: each row against the row s places on.
-            short = np.repeat(size <= 64, size)
-            for s in range(1, int(min(64, size.max())) if len(size) else 0):
-                at = np.flatnonzero(short[:-s] & (unit[s:] == unit[:-s]))
-                if not len(at):
-                    break
-                at = at[np.bitwise_count(fp[at] ^ fp[at + s]) <= distance]
-                left.append(at)
-                right.append(at + s)
-            for b, n in zip(start[size > 64], size[size > 64]):
-                x, c = fp[b : b + n], chunk[b : b + n]
-                crossing = lo[b] != hi[b]
-                pair_a, pair_b = [], []
-                for i in range(0, n, 256):
-                    close = np.bitwise_count(x[i : i + 256, None] ^ x[None, :]) <= distance
-                    if crossing:
-                        close &= c[i : i + 256, None] != c[None, :]
-                    p, q = np.nonzero(close)
-                    p += i
-                    pair_a.append(p[p < q])
-                    pair_b.append(q[p < q])
-                p, q = spanning_edges(np.concatenate(pair_a), np.concatenate(pair_b), int(n))
-                left.append(p + b)
-                right.append(q + b)
-            if left and (total := sum(map(len, left))):
-                a, b = np.concatenate(left), np.concatenate(right)
-                signed = fp.view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(signed[a]), pa.array(signed[b])], names=["a", "b"])
+        order = ["t", "key", "lo", "hi"]
+        for table in sorted_runs(batches, order):
+            fp = table["fp"].to_numpy()
+            a, b = _close_rows(table, order, [fp.view(np.uint64)], distance)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(fp[a]), pa.array(fp[b])], names=["a", "b"])
 
     return run
 
@@ -149,14 +159,27 @@ def shingle_set(text: bytes, width: int = NEAR_WIDTH) -> np.ndarray:
     return np.unique(np.frombuffer(b"".join(map(xxh64_digest, shingles, repeat(42))), dtype="<u8"))
 
 
-def band_keys(shingles: np.ndarray) -> list[int]:
-    """One key a band: texts meet that agree in all smallest hashes of a band."""
-    high = (shingles >> np.uint64(32)).astype(np.uint32)
-    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint32).max, dtype=np.uint32)
-    for at in range(0, len(high), 1024):
-        np.minimum(least, (high[None, at : at + 1024] * _TIMES + _PLUS).min(axis=1), out=least)
-    rows = least.reshape(BANDS, BAND_ROWS)
-    return np.array([xxh64_intdigest(r.tobytes(), seed=i) for i, r in enumerate(rows)], dtype=np.uint64).view(np.int64).tolist()
+def wide_fingerprint(shingles: np.ndarray) -> np.ndarray:
+    """The ``NEAR_WORDS`` words of a shingle set's fingerprint: majority of the bits of as many hashes of its shingles; where
+    half are 1, the bit of the smallest shingle."""
+    ones = np.zeros(64 * NEAR_WORDS, dtype=np.int64)
+    for at in range(0, len(shingles), 255):
+        # One hash after another out of the XXH64 of a shingle.
+        z = shingles[at : at + 255, None] + _PLUS
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        bits = np.unpackbits((z ^ (z >> np.uint64(31))).view(np.uint8), axis=1)
+        if not at:
+            first = bits[0]
+        # 255 ones fit a byte.
+        ones += np.add.reduce(bits, axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones + first > len(shingles)).view(np.uint64)
+
+
+def block_keys(words: np.ndarray) -> list[int]:
+    """One key for each block of a wide fingerprint."""
+    blocks = words.view(np.uint16).astype(np.int64)
+    return (blocks | np.arange(len(blocks)) << BLOCK_BITS).tolist()
 
 
 def _alike(shared: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int) -> np.ndarray | bool:
@@ -165,7 +188,7 @@ def _alike(shared: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int) -
 
 
 def _shingled(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(row, id, text_md5, digest, n, keys, shingles) of every row; null text counts as empty."""
+    """(row, id, text_md5, digest, n, keys, near0, near1, shingles) of every row; null text counts as empty."""
     text = text_or_empty(text_col).cast("binary")
     kept = df.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"), _text_md5(text_col).alias("text_md5"), text.alias("text"))
 
@@ -173,17 +196,20 @@ def _shingled(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for batch in parts(batches, 3):
             sets = [shingle_set(t.as_py()) for t in batch.column(3)]
             packed = [x.tobytes() for x in sets]
+            prints = [wide_fingerprint(x) for x in sets]
             columns = [
                 *batch.columns[:3],
                 pa.array([md5(x).digest() for x in packed], pa.binary()),
                 pa.array([len(x) for x in sets], pa.int64()),
-                pa.array([band_keys(x) for x in sets], pa.list_(pa.int64())),
+                # So few shingles are like no others: three of four are less than 0.8.
+                pa.array([block_keys(p) if len(x) >= NEAR_LEAST[0] else [] for p, x in zip(prints, sets)], pa.list_(pa.int64())),
+                *(pa.array(np.array([p[i] for p in prints], dtype=np.uint64).view(np.int64)) for i in (0, 1)),
                 pa.array(packed, pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "id", "text_md5", "digest", "n", "keys", "shingles"])
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "id", "text_md5", "digest", "n", "keys", "near0", "near1", "shingles"])
 
     kind = kept.schema["id"].dataType.simpleString()
-    return kept.mapInArrow(run, f"row bigint, id {kind}, text_md5 binary, digest binary, n bigint, keys array<bigint>, shingles binary")
+    return kept.mapInArrow(run, f"row bigint, id {kind}, text_md5 binary, digest binary, n bigint, keys array<bigint>, near0 bigint, near1 bigint, shingles binary")
 
 
 def _pairs_alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,17 +252,48 @@ def _units_alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
 
+def _groups_close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over units sorted by (key, lo, hi, node): of each unit the rows that pairs within ``NEAR_BITS`` join, with the smallest
+    node that they join."""
+    order = ["key", "lo", "hi"]
+    for table in sorted_runs(batches, order):
+        words = [table[c].to_numpy().view(np.uint64) for c in ("near0", "near1")]
+        at, root = spanning_edges(*_close_rows(table, order, words, NEAR_BITS), table.num_rows)
+        if len(at):
+            first = np.unique(root)
+            out = table.select([*order, "node", "n"]).take(pa.array(np.r_[at, first]))
+            least = table["node"].to_numpy()[np.r_[root, first]]
+            yield from out.append_column("least", pa.array(least)).combine_chunks().to_batches()
+
+
+def close_groups(nodes: DataFrame) -> DataFrame:
+    """(node, n, key): the groups of ``nodes`` (node, n, keys, near0, near1) that share a block and are joined by fingerprints
+    within ``NEAR_BITS``; a node is in as many groups as there are blocks under which it meets another.
+
+    Keys of many nodes are cut into chunks, every two of which are a unit; nodes that only share a block leave no unit.
+    """
+    rows = nodes.select("node", "n", "near0", "near1", F.explode("keys").alias("key"))
+    hot = bounded(settle(rows.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > CHUNK)))
+    chunks = F.coalesce(F.ceil(F.col("rows") / CHUNK), F.lit(1)).cast("int")
+    mine = rows.join(hot, "key", "left").withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64(F.lit("chunk"), "node"), F.col("chunks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    order = ["key", "lo", "hi"]
+    units = mine.withColumn("other", other).select("key", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "node", "n", "near0", "near1")
+    found = units.repartition(*order).sortWithinPartitions(*order, "node").mapInArrow(_groups_close, "key bigint, lo int, hi int, node bigint, n bigint, least bigint")
+    return found.select("node", "n", F.xxhash64("key", "lo", "hi", "least").alias("key"))
+
+
 def similar_links(nodes: DataFrame, shingles: DataFrame) -> DataFrame:
-    """Edges (a, b) that join exactly what the alike pairs among ``nodes`` (node, n, keys) with a common key join.
+    """Edges (a, b) that join exactly what the alike pairs in a common one of the ``close_groups`` of ``nodes`` join.
 
-    ``shingles`` (node, shingles) has their sets; only those that meet another under some key are moved.
+    ``shingles`` (node, shingles) has their sets; only those of nodes in groups are moved.
 
-    The nodes of a key are first checked against its smallest. Keys whose nodes that has not joined are then compared
+    The nodes of a group are first checked against its smallest. Groups whose nodes that has not joined are then compared
     pair by pair, in units of two chunks of bounded size.
     """
-    rows = nodes.select("node", "n", F.explode("keys").alias("key"))
+    rows = settle(close_groups(nodes))
     met = rows.groupBy("key").agg(F.count("*").alias("rows"), F.bit_xor(F.xxhash64("node")).alias("who"), F.min("node").alias("least"), F.sum("n").alias("total")).where("rows > 1")
-    # Keys with the same nodes are the same work.
+    # Groups of the same nodes are the same work.
     keys = settle(met.groupBy("rows", "who", "least").agg(F.min("key").alias("key"), F.max("total").alias("total")))
     members = settle(rows.join(keys, "key").select("key", "node", "least", "total"))
     # Lists of nodes that are small, as counted, go to where the sets are; else the sets are shuffled.
@@ -262,13 +319,13 @@ def _text_md5(text_col: str) -> Column:
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row, id, text_md5, root) of every row: rows of one root are linked, directly or by way of others.
 
-    Links are between sets of ``NEAR_WIDTH``-word shingles with a Jaccard similarity of at least ``NEAR_LEAST``. Equal
-    sets are one node, so copies cost one row each. Null and blank texts are equal.
+    Links are between sets of ``NEAR_WIDTH``-word shingles with a Jaccard similarity of at least ``NEAR_LEAST`` whose SimHash
+    fingerprints share a block. Equal sets are one node, so copies cost one row each. Null and blank texts are equal.
     """
     rows = settle(_shingled(df, id_col, text_col))
     firsts = settle(rows.groupBy("digest").agg(F.min("row").alias("node")))
     # The node of a set is one of its rows.
-    nodes = settle(rows.select(F.col("row").alias("node"), "n", "keys").join(bounded(settle(firsts.select("node"))), "node", "left_semi"))
+    nodes = settle(rows.select(F.col("row").alias("node"), "n", "keys", "near0", "near1").join(bounded(settle(firsts.select("node"))), "node", "left_semi"))
     roots = settle(components(similar_links(nodes, rows.select(F.col("row").alias("node"), "shingles"))))
     placed = settle(firsts.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root")))
     return rows.select("row", "id", "text_md5", "digest").join(placed, "digest").select("row", "id", "text_md5", "root")

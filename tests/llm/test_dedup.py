@@ -220,6 +220,46 @@ def test_near_duplicates_join_what_all_pairs_join(spark, monkeypatch):
     assert sorted(map(sorted, by_root.values())) == sorted(sorted(i for i in range(150) if root[i] == r) for r in set(root))
 
 
+def test_wide_fingerprints_are_majorities_and_blocks_their_sixteen_bits():
+    shingles = np.unique(np.random.default_rng(1).integers(0, 1 << 64, 600, dtype=np.uint64))
+    ones = [0] * 64
+    for h in shingles.tolist():
+        z = (h + int(simhash._PLUS[3])) % 2**64
+        z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+        z = (z ^ z >> 27) * 0x94D049BB133111EB % 2**64
+        z = int.from_bytes((z ^ z >> 31).to_bytes(8, "little"), "big")
+        ones = [n + (z >> (63 - i) & 1) for i, n in enumerate(ones)]
+    words = simhash.wide_fingerprint(shingles)
+    assert len(words) == simhash.NEAR_WORDS and np.unpackbits(words[3:4].view(np.uint8)).tolist() == [int(2 * n > len(shingles)) for n in ones]
+    keys = simhash.block_keys(words)
+    assert len(keys) == len(set(keys)) == 80 and [k & 65535 for k in keys] == words.view(np.uint16).tolist()
+
+
+@pytest.mark.parametrize("chunk", [4, 1024])
+def test_candidates_share_a_block_of_their_fingerprints_and_are_close(spark, monkeypatch, chunk):
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
+    draw = np.random.default_rng(2)
+    rows = []
+    for family in range(4):
+        centre = draw.integers(0, 1 << 64, 2, dtype=np.uint64)
+        for n in range(30):
+            words = centre.copy()
+            for bit in draw.integers(0, 128, draw.integers(0, 20)):
+                words[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+            rows.append((30 * family + n, 10, *words.view(np.int64).tolist(), [family // 2, 10 + n % 3]))  # families meet in blocks
+    close = lambda a, b: sum((x ^ y) % 2**64 >> i & 1 for x, y in zip(a[2:4], b[2:4]) for i in range(64)) <= simhash.NEAR_BITS
+    expected = {i: i for i in range(120)}
+    for a in rows:
+        for b in rows[: a[0]]:
+            if set(a[4]) & set(b[4]) and close(a, b) and expected[a[0]] != expected[b[0]]:
+                old, new = max(expected[a[0]], expected[b[0]]), min(expected[a[0]], expected[b[0]])
+                expected = {i: new if r == old else r for i, r in expected.items()}
+    groups = simhash.close_groups(spark.createDataFrame(rows, "node bigint, n bigint, near0 bigint, near1 bigint, keys array<bigint>"))
+    pairs = groups.join(groups.groupBy("key").agg(F.min("node").alias("least")), "key").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    roots = {r["node"]: r["root"] for r in components(pairs).collect()}
+    assert {i: roots.get(i, i) for i in range(120)} == expected and len(set(expected.values())) >= 4
+
+
 def test_rows_that_share_an_id_or_have_none_are_decided_one_by_one(spark):
     text = lambda k: " ".join(f"{k}{i}" for i in range(30))
     rows = [(1, text("a")), (7, text("a") + " end"), (7, text("clean")), (None, text("a") + " stop"), (9, text("p")), (9, text("q")), (None, text("z")), (None, text("z"))]
