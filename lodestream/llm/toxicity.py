@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -56,10 +57,10 @@ class Terms:
         count: Counter[str] = Counter()
         for part in slices(text):
             count.update(words_of(part.lower()))
-        place = self.place
-        found = {place[w]: n for w, n in count.items() if w in place}
-        at, n = np.fromiter(found, np.int64, len(found)), np.fromiter(found.values(), np.int64, len(found))
+        at = np.fromiter(map(self.place.get, count, repeat(-1)), np.int64, len(count))
+        n = np.fromiter(count.values(), np.int64, len(count))
         order = np.argsort(at)
+        order = order[np.count_nonzero(at < 0) :]
         return at[order], n[order]
 
 
@@ -77,9 +78,11 @@ def document_frequencies(df: DataFrame, text_col: str, terms: list[str]) -> tupl
         found, rows = np.zeros(len(names) + 1, dtype=np.int64), 0
         for batch in batches:
             for text in batch.column(0):
-                at = {i for part in slices(text.as_py()) for i in map(place.get, set(words_of(part.lower())))}
-                at.discard(None)
-                found[list(at)] += 1
+                words: set[str] = set()
+                for part in slices(text.as_py()):
+                    words.update(words_of(part.lower()))
+                # Words that are no terms are counted in the last place, which is overwritten.
+                found[np.fromiter(map(place.get, words, repeat(-1)), np.int64, len(words))] += 1
             rows += batch.num_rows
         found[-1] = rows
         at = np.flatnonzero(found)
@@ -123,16 +126,20 @@ class BlockMaxIndex:
         self.run_block = self.entry[self.run_start[:-1]] // BLOCK
         self.run_max = np.maximum.reduceat(self.weight, self.run_start[:-1]) if len(term) else np.zeros(0)
         self.term_runs = np.searchsorted(term[self.run_start[:-1]], np.arange(terms + 1))
+        self.term_start = self.run_start[self.term_runs]
         self.blocks = -(-self.size // BLOCK)
 
     def sums(self, terms: np.ndarray, weights: np.ndarray, entries: np.ndarray) -> np.ndarray:
         """Products of these weights and those of some entries, summed up over the terms."""
         row = self.row[terms]
         often = row >= 0
-        first = self.run_start[self.term_runs[terms[~often]]]
-        length = self.run_start[self.term_runs[terms[~often] + 1]] - first
+        few = terms[~often]
+        first = self.term_start.take(few)
+        length = self.term_start.take(few + 1) - first
         at = _spans(first, length)
-        rare = np.bincount(self.entry.take(at), self.weight.take(at) * np.repeat(weights[~often], length), self.size)
+        part = np.repeat(weights[~often], length)
+        part *= self.weight.take(at)
+        rare = np.bincount(self.entry.take(at), part, self.size)
         all_ = np.zeros(len(self.matrix))
         all_[row[often]] = weights[often]
         return rare[entries] + self.by_entry.take(entries, axis=0) @ all_
@@ -173,7 +180,11 @@ class BlockMaxIndex:
                 score[without] = 0.0
             more = np.flatnonzero(score > max(0.0, least - 1e-12))
             best, cosine = np.concatenate([best, more]), np.concatenate([cosine, score[more]])
-            first_k = np.lexsort((best, -cosine.round(12)))[:k]
+            rounded = cosine.round(12)
+            if len(best) > k:
+                most = np.flatnonzero(rounded >= np.partition(rounded, -k)[-k])
+                best, cosine, rounded = best[most], cosine[most], rounded[most]
+            first_k = np.lexsort((best, -rounded))[:k]
             best, cosine = best[first_k], cosine[first_k]
             least = cosine[-1] if len(best) == k else 0.0
         return best, np.minimum(cosine, 1.0)
@@ -265,23 +276,23 @@ class Model:
         sums = self.index.sums(vector[0], self.scaled(vector) * self.relevance[vector[0]], entries)
         return np.clip(sums / self.length[entries], 0.0, 1.0)
 
-    def vote(self, vector: tuple[np.ndarray, np.ndarray], without: int = -1, label: int = 0) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    def vote(self, vector: tuple[np.ndarray, np.ndarray], without: int = -1, label: int = 0, near: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
         """Weighted share of votes for label 1 among the neighbours, those, their TF-IDF cosines, and the weights of their votes.
 
-        ``without`` leaves one vote of that entry out.
+        ``without`` leaves one vote of that entry out. ``near`` are the neighbours and cosines, if they were found before.
         """
         if not len(vector[0]):
             pro, all_ = self.none[1], self.none.sum()
             return (pro + self.prior) / (all_ + 1), np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0)
         drop = without if without >= 0 and self.counts[without].sum() == 1 else -1
-        at, cosine = self.index.nearest(*vector, NEIGHBOURS, drop)
+        at, cosine = near or self.index.nearest(*vector, NEIGHBOURS, drop)
         if not len(at):
             return self.prior, at, cosine, np.zeros(0)
         votes = self.votes[at]
         if without >= 0 and drop < 0:
             votes = votes - (at == without)[:, None] * np.eye(2)[label] * self.class_weight[label]
-        near = 1 - self.relevant_cosines(vector, at) + SOFT
-        pull = (near.min() / near) ** SHARP
+        away = 1 - self.relevant_cosines(vector, at) + SOFT
+        pull = (away.min() / away) ** SHARP
         pro, all_ = float(pull @ votes[:, 1]), float(pull @ votes.sum(axis=1))
         return (pro + PRIOR * self.prior) / (all_ + PRIOR), at, cosine, pull
 
@@ -309,7 +320,16 @@ class Model:
             self.curve = (np.r_[0.0, px, 1.0], np.r_[0.0, np.clip(py, 0.001, 0.999), 1.0])
 
     def score(self, text: str) -> tuple[float, list[str]]:
-        raw, at, cosine, pull = self.vote(self.vector(text))
+        return self.scores([text])[0]
+
+    def scores(self, texts: list[str]) -> list[tuple[float, list[str]]]:
+        """Score and evidence of each text; one step for all texts after the other, so that the part of the model that a step
+        reads stays in the processor's cache."""
+        vectors = [self.vector(t) for t in texts]
+        near = [self.index.nearest(*v, NEIGHBOURS) for v in vectors]
+        return [self.judged(*self.vote(v, near=n)) for v, n in zip(vectors, near)]
+
+    def judged(self, raw: float, at: np.ndarray, cosine: np.ndarray, pull: np.ndarray) -> tuple[float, list[str]]:
         first = np.argsort(-pull, kind="stable")[:3]
         evidence = [f"{self.ids[e]}:{int(self.votes[e, 1] > self.votes[e, 0])}:{c:.4f}" for e, c in zip(at[first], cosine[first])]
         return float(np.interp(raw, *self.curve)), evidence
@@ -337,7 +357,7 @@ def toxicity(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches, 1):
-            found = [model.score(t.as_py()) for t in batch.column(1)]
+            found = model.scores(batch.column(1).to_pylist())
             score = pa.array([s for s, _ in found], pa.float64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), score, pa.array([int(s >= 0.5) for s, _ in found], pa.int32()), pa.array([e for _, e in found], pa.list_(pa.string()))],
@@ -358,7 +378,7 @@ def drop_toxic(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches, at):
             texts = batch.column(at).cast(pa.binary())
-            keep = [model.score((t.as_py() or b"").decode("utf-8", "replace"))[0] < 0.5 for t in texts]
+            keep = [score < 0.5 for score, _ in model.scores([(t.as_py() or b"").decode("utf-8", "replace") for t in texts])]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

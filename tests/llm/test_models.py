@@ -378,3 +378,13 @@ def test_relevant_cosines_read_the_postings_of_the_text_alone():
     finally:
         toxicity._spans = spans
     assert max(read) < sum(len(at) for at, _ in model.vectors) / 4
+
+
+def test_texts_score_the_same_together_and_alone():
+    draw = np.random.default_rng(9)
+    text = lambda n: " ".join(f"w{k}" for k in draw.integers(0, 200, n))
+    examples = [(i, text(30), i % 2) for i in range(80)]
+    terms = toxicity.vocabulary(examples)
+    model = toxicity.Model(examples, terms, 300, draw.integers(1, 200, len(terms)), (40, 40))
+    texts = [text(int(n)) for n in draw.integers(0, 60, 30)] + ["", "no term of these", examples[0][1]]
+    assert model.scores(texts) == [model.score(t) for t in texts] and model.scores([]) == []
