@@ -16,6 +16,7 @@ chance), and every link is checked on the whole sets.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import partial
 from hashlib import md5
 from itertools import combinations, repeat
 
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_digest
 
-from lodestream.llm.common import bounded, components, parts, read_table, settle, sorted_runs, spanning_edges, text_or_empty
+from lodestream.llm.common import bounded, components, finished, parts, read_table, settle, sorted_runs, spanning_edges, text_or_empty
 
 BLOCKS, BLOCK_BITS, SHARED = 4, 16, 2
 CHUNK = 1024
@@ -254,61 +255,71 @@ def _units_alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _groups_close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Over units sorted by (key, lo, hi, node): of each unit the rows that pairs within ``NEAR_BITS`` join, with the smallest
-    node that they join."""
+    node that they join, itself included."""
     order = ["key", "lo", "hi"]
     for table in sorted_runs(batches, order):
         words = [table[c].to_numpy().view(np.uint64) for c in ("near0", "near1")]
         at, root = spanning_edges(*_close_rows(table, order, words, NEAR_BITS), table.num_rows)
         if len(at):
             first = np.unique(root)
-            out = table.select([*order, "node", "n"]).take(pa.array(np.r_[at, first]))
-            least = table["node"].to_numpy()[np.r_[root, first]]
-            yield from out.append_column("least", pa.array(least)).combine_chunks().to_batches()
+            node = table["node"].to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(node[np.r_[at, first]]), pa.array(node[np.r_[root, first]])], names=["node", "key"])
 
 
 def close_groups(nodes: DataFrame) -> DataFrame:
-    """(node, n, key): the groups of ``nodes`` (node, n, keys, near0, near1) that share a block and are joined by fingerprints
-    within ``NEAR_BITS``; a node is in as many groups as there are blocks under which it meets another.
+    """(node, key): the groups of ``nodes`` (node, keys, near0, near1) that share a block and are joined by fingerprints
+    within ``NEAR_BITS``, each under its smallest node; groups with the same smallest node are one, and list a node once.
 
     Keys of many nodes are cut into chunks, every two of which are a unit; nodes that only share a block leave no unit.
     """
-    rows = nodes.select("node", "n", "near0", "near1", F.explode("keys").alias("key"))
+    rows = nodes.select("node", "near0", "near1", F.explode("keys").alias("key"))
     hot = bounded(settle(rows.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > CHUNK)))
     chunks = F.coalesce(F.ceil(F.col("rows") / CHUNK), F.lit(1)).cast("int")
     mine = rows.join(hot, "key", "left").withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64(F.lit("chunk"), "node"), F.col("chunks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     order = ["key", "lo", "hi"]
-    units = mine.withColumn("other", other).select("key", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "node", "n", "near0", "near1")
-    found = units.repartition(*order).sortWithinPartitions(*order, "node").mapInArrow(_groups_close, "key bigint, lo int, hi int, node bigint, n bigint, least bigint")
-    return found.select("node", "n", F.xxhash64("key", "lo", "hi", "least").alias("key"))
+    units = mine.withColumn("other", other).select("key", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "node", "near0", "near1")
+    return units.repartition(*order).sortWithinPartitions(*order, "node").mapInArrow(_groups_close, "node bigint, key bigint").distinct()
 
 
 def similar_links(nodes: DataFrame, shingles: DataFrame) -> DataFrame:
-    """Edges (a, b) that join exactly what the alike pairs in a common one of the ``close_groups`` of ``nodes`` join.
+    """Edges (a, b) that join at least what the alike pairs in a common one of the ``close_groups`` of ``nodes`` join.
 
-    ``shingles`` (node, shingles) has their sets; only those of nodes in groups are moved.
-
-    The nodes of a group are first checked against its smallest. Groups whose nodes that has not joined are then compared
-    pair by pair, in units of two chunks of bounded size.
+    ``shingles`` (node, n, shingles) has their sets; only those of nodes in groups are moved. Groups that share nodes are
+    compared as one, so a node and its set are in one group, and no list of pairs is made.
     """
-    rows = settle(close_groups(nodes))
-    met = rows.groupBy("key").agg(F.count("*").alias("rows"), F.bit_xor(F.xxhash64("node")).alias("who"), F.min("node").alias("least"), F.sum("n").alias("total")).where("rows > 1")
-    # Groups of the same nodes are the same work.
-    keys = settle(met.groupBy("rows", "who", "least").agg(F.min("key").alias("key"), F.max("total").alias("total")))
-    members = settle(rows.join(keys, "key").select("key", "node", "least", "total"))
+    groups = settle(components(settle(close_groups(nodes).where("node != key")), "node", "key"))
     # Lists of nodes that are small, as counted, go to where the sets are; else the sets are shuffled.
-    sets = settle(shingles.join(bounded(settle(members.select("node").distinct())), "node", "left_semi"))
-    star = bounded(settle(members.where("node != least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()))
-    both = star.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    stars = settle(both.select("a", "b", "x", "y").mapInArrow(_pairs_alike, "a bigint, b bigint"))
-    placed = settle(members.join(components(stars), "node", "left").withColumn("root", F.coalesce("root", "node")))
-    open_keys = settle(placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key"))
-    chunks = F.ceil(F.col("total") / CHUNK_SHINGLES).cast("int")
-    left = placed.join(open_keys, "key").withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64(F.lit("near"), "node"), F.col("chunks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    units = left.withColumn("other", other).select("key", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "node", "root")
+    sets = settle(shingles.join(bounded(groups), "node").select("root", "node", "n", "shingles"))
+    large = bounded(settle(sets.groupBy("root").agg(F.sum("n").alias("total")).where(F.col("total") > CHUNK_SHINGLES).select("root")))
+    zero = F.lit(0)
+    small = sets.join(large, "root", "left_anti").select(F.col("root").alias("key"), zero.alias("lo"), zero.alias("hi"), "node", F.col("node").alias("root"), "shingles")
+    links = small.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_units_alike, "a bigint, b bigint")
+    return links if large.isEmpty() else links.unionByName(_large_groups_alike(sets.join(large, "root", "left_semi")))
+
+
+def _large_groups_alike(sets: DataFrame) -> DataFrame:
+    """Edges (a, b) that join what the alike pairs in each group of ``sets`` (root, node, n, shingles) join.
+
+    The nodes of a group are first checked against its smallest. Those that this leaves are then compared with one another
+    and with the rest, pair by pair, in units of two chunks of bounded size.
+    """
+    firsts = sets.where("node = root").select("root", F.col("shingles").alias("x"))
+    both = sets.where("node != root").join(firsts, "root").select(F.col("root").alias("a"), F.col("node").alias("b"), "x", F.col("shingles").alias("y"))
+    stars = settle(both.mapInArrow(_pairs_alike, "a bigint, b bigint"))
+    joined = stars.select(F.col("b").alias("node"), F.lit(True).alias("joined"))
+    placed = settle(sets.select("root", "node", "n").join(joined, "node", "left").withColumn("joined", F.col("joined").isNotNull() | (F.col("node") == F.col("root"))))
+    chunks = lambda which: F.ceil(F.coalesce(F.sum(F.when(which, F.col("n"))), F.lit(0)) / CHUNK_SHINGLES).cast("int")
+    left = settle(placed.groupBy("root").agg(chunks(~F.col("joined")).alias("open"), chunks(F.col("joined")).alias("rest")).where("open > 0"))
+    dealt = lambda n: F.pmod(F.xxhash64(F.lit("near"), "node"), n).cast("int")
+    mine = placed.join(left, "root").withColumn("chunk", F.when(F.col("joined"), F.col("open") + dealt(F.col("rest"))).otherwise(dealt(F.col("open"))))
+    # Chunks of nodes that are left meet all chunks, those of joined nodes only them.
+    other = F.explode(F.sequence(F.lit(0), F.col("open") - 1 + F.when(F.col("joined"), 0).otherwise(F.col("rest"))))
+    units = mine.withColumn("other", other).select(
+        F.col("root").alias("key"), F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "node", F.when(F.col("joined"), F.col("root")).otherwise(F.col("node")).alias("root")
+    )
     order = ["key", "lo", "hi"]
-    compared = units.join(sets, "node").select(*order, "node", "root", "shingles").repartition(*order).sortWithinPartitions(*order)
+    compared = units.join(sets.select("node", "shingles"), "node").select(*order, "node", "root", "shingles").repartition(*order).sortWithinPartitions(*order)
     return stars.unionByName(compared.mapInArrow(_units_alike, "a bigint, b bigint"))
 
 
@@ -325,22 +336,28 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = settle(_shingled(df, id_col, text_col))
     firsts = settle(rows.groupBy("digest").agg(F.min("row").alias("node")))
     # The node of a set is one of its rows.
-    nodes = settle(rows.select(F.col("row").alias("node"), "n", "keys", "near0", "near1").join(bounded(settle(firsts.select("node"))), "node", "left_semi"))
-    roots = settle(components(similar_links(nodes, rows.select(F.col("row").alias("node"), "shingles"))))
+    nodes = settle(rows.select(F.col("row").alias("node"), "keys", "near0", "near1").join(bounded(settle(firsts.select("node"))), "node", "left_semi"))
+    roots = settle(components(similar_links(nodes, rows.select(F.col("row").alias("node"), "n", "shingles"))))
     placed = settle(firsts.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root")))
     return rows.select("row", "id", "text_md5", "digest").join(placed, "digest").select("row", "id", "text_md5", "root")
 
 
+def _decided(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_ls_id, _ls_md5, stays, rows) of ids and texts in components of several rows, where a row of them goes or they repeat."""
+    found = settle(near_duplicates(df, id_col, text_col))
+    best = settle(found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("row").alias("row"))).alias("best"), F.count("*").alias("rows")).where("rows > 1"))
+    decided = found.join(best, "root").withColumn("stays", F.col("best.row") == F.col("row"))
+    return decided.groupBy(F.col("id").alias("_ls_id"), F.col("text_md5").alias("_ls_md5")).agg(F.max("stays").alias("stays"), F.count("*").alias("rows")).where("not stays or rows > 1")
+
+
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with, of each component of ``near_duplicates``, the row with the smallest id, a null id last; columns unchanged.
 
     Rows are told apart by id and text, so rows that only share an id are decided one by one. Null and blank texts are
     equal to one another; an empty table stays empty.
     """
-    found = settle(near_duplicates(df, id_col, text_col))
-    best = settle(found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("row").alias("row"))).alias("best"), F.count("*").alias("rows")).where("rows > 1"))
-    decided = found.join(best, "root").withColumn("stays", F.col("best.row") == F.col("row"))
-    by_key = settle(decided.groupBy(F.col("id").alias("_ls_id"), F.col("text_md5").alias("_ls_md5")).agg(F.max("stays").alias("stays"), F.count("*").alias("rows")).where("not stays or rows > 1"))
+    # Sets and fingerprints go when the list of rows is written.
+    by_key = finished(df.sparkSession, partial(_decided, df, id_col, text_col))
     keyed = df.withColumn("_ls_text_md5", _text_md5(text_col))
     same = lambda t: F.col(f"`{id_col}`").eqNullSafe(t["_ls_id"]) & (keyed["_ls_text_md5"] == t["_ls_md5"])
     lost, repeated = (bounded(settle(by_key.where(x).select("_ls_id", "_ls_md5"))) for x in ("not stays", "stays"))

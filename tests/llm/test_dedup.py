@@ -260,6 +260,20 @@ def test_candidates_share_a_block_of_their_fingerprints_and_are_close(spark, mon
     assert {i: roots.get(i, i) for i in range(120)} == expected and len(set(expected.values())) >= 4
 
 
+def test_copies_that_meet_under_every_block_are_listed_once(spark):
+    rows = [(n, 10, 1 << n % 5, 0, list(range(80))) for n in range(30)]
+    groups = simhash.close_groups(spark.createDataFrame(rows, "node bigint, n bigint, near0 bigint, near1 bigint, keys array<bigint>"))
+    assert sorted((r["node"], r["key"]) for r in groups.collect()) == [(n, 0) for n in range(30)]
+
+
+def test_near_duplicates_leave_only_lists_of_rows_in_the_shared_folder(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("lodestream.llm.common.shared_dir", lambda _: str(tmp_path))
+    text = " ".join(f"w{i}" for i in range(40))
+    df = spark.createDataFrame([(1, text), (2, text + " end"), (3, "other")], "doc_id bigint, text string")
+    assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(df).collect()) == [1, 3]
+    assert {c for p in tmp_path.iterdir() for c in spark.read.parquet(str(p)).columns} <= {"_ls_id", "_ls_md5", "stays", "rows"}
+
+
 def test_rows_that_share_an_id_or_have_none_are_decided_one_by_one(spark):
     text = lambda k: " ".join(f"{k}{i}" for i in range(30))
     rows = [(1, text("a")), (7, text("a") + " end"), (7, text("clean")), (None, text("a") + " stop"), (9, text("p")), (9, text("q")), (None, text("z")), (None, text("z"))]
