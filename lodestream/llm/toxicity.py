@@ -41,6 +41,8 @@ FOLDS = 5
 SURE = 3.0
 FIRST_BLOCKS = 6
 COMMON = 16
+#: Texts whose common terms are multiplied with the matrix at once.
+TOGETHER = 128
 words_of = re.compile(r"[^\W_]+").findall
 
 Example = tuple[int, str, int]
@@ -129,9 +131,18 @@ class BlockMaxIndex:
         self.term_start = self.run_start[self.term_runs]
         self.blocks = -(-self.size // BLOCK)
 
-    def sums(self, terms: np.ndarray, weights: np.ndarray, entries: np.ndarray) -> np.ndarray:
-        """Products of these weights and those of some entries, summed up over the terms."""
-        row = self.row[terms]
+    def known(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """A row for each vector: products of its weights and those of every entry, summed up over the common terms."""
+        out = np.zeros((len(vectors), len(self.matrix)))
+        for i, (terms, weights) in enumerate(vectors):
+            row = self.row.take(terms)
+            often = row >= 0
+            out[i, row[often]] = weights[often]
+        return out @ self.matrix
+
+    def sums(self, terms: np.ndarray, weights: np.ndarray, entries: np.ndarray, known: np.ndarray | None = None) -> np.ndarray:
+        """Products of these weights and those of some entries, summed up over the terms; ``known`` is their row of ``known``."""
+        row = self.row.take(terms)
         often = row >= 0
         few = terms[~often]
         first = self.term_start.take(few)
@@ -140,16 +151,20 @@ class BlockMaxIndex:
         part = np.repeat(weights[~often], length)
         part *= self.weight.take(at)
         rare = np.bincount(self.entry.take(at), part, self.size)
+        if known is not None:
+            return rare[entries] + known[entries]
         all_ = np.zeros(len(self.matrix))
         all_[row[often]] = weights[often]
         return rare[entries] + self.by_entry.take(entries, axis=0) @ all_
 
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k entries of the largest cosine (ties: smallest entry), cosine above 0, and those cosines."""
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The k entries of the largest cosine (ties: smallest entry), cosine above 0, and those cosines; ``known`` is the
+        vector's row of ``known``."""
         if not self.size:
             return np.zeros(0, dtype=np.int64), np.zeros(0)
-        row = self.row[terms]
-        known = weights[row >= 0] @ self.matrix.take(row[row >= 0], axis=0)
+        row = self.row.take(terms)
+        if known is None:
+            known = weights[row >= 0] @ self.matrix.take(row[row >= 0], axis=0)
         terms, weights = terms[row < 0], weights[row < 0]
         first = self.term_runs[terms]
         length = self.term_runs[terms + 1] - first
@@ -169,13 +184,18 @@ class BlockMaxIndex:
             now[:] = False
             now[reach] = True
             here = now.take(block)
-            mine = run.compress(here)
-            start = self.run_start.take(mine)
-            size = self.run_start.take(mine + 1) - start
+            if 2 * np.count_nonzero(here) > len(here):
+                # Most runs are open: the postings of a term are read in one piece, and the other blocks are zeroed below.
+                start, times = self.term_start.take(terms), weights
+                size = self.term_start.take(terms + 1) - start
+            else:
+                mine, times = run.compress(here), q.compress(here)
+                start = self.run_start.take(mine)
+                size = self.run_start.take(mine + 1) - start
             at = _spans(start, size)
             part = self.weight.take(at)
-            part *= np.repeat(q.compress(here), size)
-            score = np.bincount(self.entry.take(at), part, self.size) + known * np.repeat(now, BLOCK)[: self.size]
+            part *= np.repeat(times, size)
+            score = (np.bincount(self.entry.take(at), part, self.size) + known) * np.repeat(now, BLOCK)[: self.size]
             if without >= 0:
                 score[without] = 0.0
             more = np.flatnonzero(score > max(0.0, least - 1e-12))
@@ -268,18 +288,23 @@ class Model:
         w = vector[1] * self.relevance[vector[0]]
         return w / np.sqrt((w * w).sum())
 
-    def relevant_cosines(self, vector: tuple[np.ndarray, np.ndarray], entries: np.ndarray) -> np.ndarray:
+    def relevant(self, vector: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """The weights whose products with those of an entry sum up to the cosine under relevance times the entry's length."""
+        return self.scaled(vector) * self.relevance[vector[0]]
+
+    def relevant_cosines(self, vector: tuple[np.ndarray, np.ndarray], entries: np.ndarray, scaled: np.ndarray | None = None, known: np.ndarray | None = None) -> np.ndarray:
         """The cosines of a text and some entries under relevance: from the postings of the text's terms, which are far fewer
         than the terms of all those entries."""
         if not len(entries):
             return np.zeros(0)
-        sums = self.index.sums(vector[0], self.scaled(vector) * self.relevance[vector[0]], entries)
+        sums = self.index.sums(vector[0], self.relevant(vector) if scaled is None else scaled, entries, known)
         return np.clip(sums / self.length[entries], 0.0, 1.0)
 
-    def vote(self, vector: tuple[np.ndarray, np.ndarray], without: int = -1, label: int = 0, near: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    def vote(self, vector: tuple[np.ndarray, np.ndarray], without: int = -1, label: int = 0, near: tuple[np.ndarray, np.ndarray] | None = None, scaled: np.ndarray | None = None, known: np.ndarray | None = None) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
         """Weighted share of votes for label 1 among the neighbours, those, their TF-IDF cosines, and the weights of their votes.
 
-        ``without`` leaves one vote of that entry out. ``near`` are the neighbours and cosines, if they were found before.
+        ``without`` leaves one vote of that entry out. ``near`` are the neighbours and cosines, if they were found before,
+        ``scaled`` the ``relevant`` weights with their row of the index's ``known``.
         """
         if not len(vector[0]):
             pro, all_ = self.none[1], self.none.sum()
@@ -291,7 +316,7 @@ class Model:
         votes = self.votes[at]
         if without >= 0 and drop < 0:
             votes = votes - (at == without)[:, None] * np.eye(2)[label] * self.class_weight[label]
-        away = 1 - self.relevant_cosines(vector, at) + SOFT
+        away = 1 - self.relevant_cosines(vector, at, scaled, known) + SOFT
         pull = (away.min() / away) ** SHARP
         pro, all_ = float(pull @ votes[:, 1]), float(pull @ votes.sum(axis=1))
         return (pro + PRIOR * self.prior) / (all_ + PRIOR), at, cosine, pull
@@ -326,8 +351,14 @@ class Model:
         """Score and evidence of each text; one step for all texts after the other, so that the part of the model that a step
         reads stays in the processor's cache."""
         vectors = [self.vector(t) for t in texts]
-        near = [self.index.nearest(*v, NEIGHBOURS) for v in vectors]
-        return [self.judged(*self.vote(v, near=n)) for v, n in zip(vectors, near)]
+        found: list[tuple[float, list[str]]] = []
+        for at in range(0, len(vectors), TOGETHER):
+            some = vectors[at : at + TOGETHER]
+            near = [self.index.nearest(*v, NEIGHBOURS, known=k) for v, k in zip(some, self.index.known(some))]
+            scaled = [self.relevant(v) if len(v[0]) else v[1] for v in some]
+            known = self.index.known([(v[0], w) for v, w in zip(some, scaled)])
+            found += [self.judged(*self.vote(v, near=n, scaled=w, known=k)) for v, n, w, k in zip(some, near, scaled, known)]
+        return found
 
     def judged(self, raw: float, at: np.ndarray, cosine: np.ndarray, pull: np.ndarray) -> tuple[float, list[str]]:
         first = np.argsort(-pull, kind="stable")[:3]

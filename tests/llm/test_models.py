@@ -357,6 +357,23 @@ def test_untrained_field_adds_nothing(awkward):
     assert all(r["spans"] == [] for r in secrets.find_secrets(awkward.where("doc_id < 3"), secrets.Field()).collect())
 
 
+def test_common_terms_of_many_texts_are_multiplied_at_once():
+    draw = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(60)]
+    text = lambda: " ".join(words[i] for i in (draw.random(12) ** 2 * 60).astype(int))
+    examples = [(i, text(), i % 2) for i in range(200)]
+    terms = toxicity.vocabulary(examples)
+    model = toxicity.Model(examples, terms, 400, np.arange(len(terms)) + 3, (150, 150))
+    texts = [text() for _ in range(2 * toxicity.TOGETHER + 3)] + ["", "unknown"]
+    vectors = [model.vector(x) for x in texts]
+    known = model.index.known(vectors)
+    for (at, w), row in zip(vectors, known):
+        common = model.index.row[at] >= 0
+        assert np.allclose(row, w[common] @ model.index.matrix[model.index.row[at[common]]], atol=1e-12)
+    one_by_one = [model.judged(*model.vote(v))[0] for v in vectors]
+    assert len(model.index.matrix) and np.allclose([s for s, _ in model.scores(texts)], one_by_one, atol=1e-12)
+
+
 def test_relevant_cosines_read_the_postings_of_the_text_alone():
     draw = np.random.default_rng(8)
     words = [f"w{k}" for k in range(400)]
