@@ -43,6 +43,9 @@ FIRST_BLOCKS = 6
 COMMON = 16
 #: Texts whose common terms are multiplied with the matrix at once.
 TOGETHER = 128
+#: Decimals of a share of votes that count, and how near to the middle between two of them, in units of the last, it is
+#: computed anew: sums of many texts at once are rounded otherwise than those of one text, by some 1e-15.
+DECIMALS, NEAR = 9, 1e-3
 words_of = re.compile(r"[^\W_]+").findall
 
 Example = tuple[int, str, int]
@@ -357,13 +360,16 @@ class Model:
             near = [self.index.nearest(*v, NEIGHBOURS, known=k) for v, k in zip(some, self.index.known(some))]
             scaled = [self.relevant(v) if len(v[0]) else v[1] for v in some]
             known = self.index.known([(v[0], w) for v, w in zip(some, scaled)])
-            found += [self.judged(*self.vote(v, near=n, scaled=w, known=k)) for v, n, w, k in zip(some, near, scaled, known)]
+            for v, n, w, k in zip(some, near, scaled, known):
+                vote = self.vote(v, near=n, scaled=w, known=k)
+                # The vote of the text alone decides there, so a text has one score, whichever texts are scored with it.
+                found.append(self.judged(*(self.vote(v) if abs(vote[0] * 10**DECIMALS % 1 - 0.5) < NEAR else vote)))
         return found
 
     def judged(self, raw: float, at: np.ndarray, cosine: np.ndarray, pull: np.ndarray) -> tuple[float, list[str]]:
         first = np.argsort(-pull, kind="stable")[:3]
         evidence = [f"{self.ids[e]}:{int(self.votes[e, 1] > self.votes[e, 0])}:{c:.4f}" for e, c in zip(at[first], cosine[first])]
-        return float(np.interp(raw, *self.curve)), evidence
+        return float(np.interp(round(float(raw), DECIMALS), *self.curve)), evidence
 
 
 def fit(df: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS) -> Model:

@@ -405,3 +405,19 @@ def test_texts_score_the_same_together_and_alone():
     model = toxicity.Model(examples, terms, 300, draw.integers(1, 200, len(terms)), (40, 40))
     texts = [text(int(n)) for n in draw.integers(0, 60, 30)] + ["", "no term of these", examples[0][1]]
     assert model.scores(texts) == [model.score(t) for t in texts] and model.scores([]) == []
+
+
+def test_scores_do_not_depend_on_the_texts_beside(monkeypatch):
+    draw = np.random.default_rng(11)
+    text = lambda n: " ".join(f"w{k}" for k in draw.integers(0, 300, n))
+    examples = [(i, text(40), i % 2) for i in range(97)]
+    terms = toxicity.vocabulary(examples)
+    model = toxicity.Model(examples, terms, 400, draw.integers(1, 300, len(terms)), (50, 47))
+    texts = [text(int(n)) for n in draw.integers(1, 80, 300)]
+    alone = [model.score(t) for t in texts]
+    for together in (2, 7, 128):
+        monkeypatch.setattr(toxicity, "TOGETHER", together)
+        assert model.scores(texts) == alone and model.scores(texts[::-1]) == alone[::-1]
+    # Where all are near the middle, all are decided alone.
+    monkeypatch.setattr(toxicity, "NEAR", 1.0)
+    assert model.scores(texts) == alone
